@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alertmill.sources.shared import written  # noqa: F401
+
 #: Text that is worked on at once inside a Python task, in characters; bounds a worker's memory.
 SLICE_CHARS = 2_000_000
 #: The white space of all word, line and text contracts.
@@ -31,27 +31,6 @@ def row_key() -> Column:
     return F.xxhash64(F.lit(17), F.col("doc_id"), F.col("text"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        have = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = have.get() if have.isDefined() else None
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: the rows as a table in the shared folder, which outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
