@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertmill.llm import dedup, fingerprints, near_dups, tokens
+from alertmill.llm import dedup, fingerprints, near_dups, packing, substrings, tokens
 from alertmill.llm.common import table
 
 #: Tokens beyond which a text is over a context's limit.
@@ -69,3 +69,26 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op5_fingerprints": op5_fingerprints, "op2_near_dedup": op2_near_dedup}
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_digests(table(spark, sf_dir, "documents"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeated_passages(table(spark, sf_dir, "documents"), digest=True).drop("rest")
+
+
+QUERIES |= {"op7_packing": op7_packing, "op8_substring_dedup": op8_substring_dedup}
+
+ORACLES["op8_substring_dedup"] = r"""
+WITH a AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     s AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 18, 1))) AS pos FROM a),
+     r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY array_to_string(w[pos:pos + 19], ' ') ORDER BY doc_id, pos) AS place FROM s),
+     g AS (SELECT DISTINCT doc_id, pos + k AS pos FROM (SELECT doc_id, pos, unnest(range(0, 20)) AS k FROM r WHERE place > 1)),
+     o AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM a),
+     k AS (SELECT o.doc_id, o.word, o.pos, g.pos IS NOT NULL AS goes FROM o LEFT JOIN g USING (doc_id, pos)),
+     e AS (SELECT doc_id, count(*) FILTER (WHERE goes) AS n, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT goes) AS t FROM k GROUP BY doc_id)
+SELECT a.doc_id, CAST(len(a.w) AS BIGINT) AS n_words, coalesce(e.n, 0) AS n_removed, sha256(coalesce(e.t, '')) AS kept_sha256
+FROM a LEFT JOIN e USING (doc_id)
+"""
