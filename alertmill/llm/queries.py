@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertmill.llm import dedup, fingerprints, near_dups, packing, substrings, tokens
+from alertmill.llm import dedup, fingerprints, html, near_dups, packing, substrings, tokens
 from alertmill.llm.common import table
 
 #: Tokens beyond which a text is over a context's limit.
@@ -92,3 +92,10 @@ WITH a AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0
 SELECT a.doc_id, CAST(len(a.w) AS BIGINT) AS n_words, coalesce(e.n, 0) AS n_removed, sha256(coalesce(e.t, '')) AS kept_sha256
 FROM a LEFT JOIN e USING (doc_id)
 """
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_texts(table(spark, sf_dir, "pages"))
+
+
+QUERIES |= {"op9_html_text": op9_html_text}
