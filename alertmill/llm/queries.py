@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertmill.llm import dedup, fingerprints, html, near_dups, packing, substrings, tokens
+from alertmill.llm import dedup, fingerprints, html, near_dups, packing, quality, substrings, tokens
 from alertmill.llm.common import table
 
 #: Tokens beyond which a text is over a context's limit.
@@ -99,3 +99,10 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op9_html_text": op9_html_text}
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row")
+
+
+QUERIES |= {"op10_quality": op10_quality}
