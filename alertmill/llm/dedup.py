@@ -15,10 +15,12 @@ from alertmill.llm.common import SPACE_CLASS, partitions, row_key, texts, writte
 
 #: Groups of at most this many rows are never salted.
 SMALL_GROUP = 1000
+#: Characters of a text that order it before its digest does.
+PREFIX = 32
 
 
-def salted(rows: DataFrame, keys: list[str], spread: str) -> tuple[DataFrame, bool]:
-    """rows with n_salts (null: not salted) and salt; whether any group is salted.
+def salted(rows: DataFrame, keys: list[str], spread: str) -> tuple[DataFrame, list[str]]:
+    """rows with n_salts (null: not salted) and, if any group is salted, salt; the list ["salt"], or an empty one.
 
     The list of large groups has at most one entry for each shuffle partition, whatever the input.
     """
@@ -27,11 +29,11 @@ def salted(rows: DataFrame, keys: list[str], spread: str) -> tuple[DataFrame, bo
     part = max(SMALL_GROUP, top[-1]["size"] if len(top) == n else 0)
     hot = [(*[r[k] for k in keys], -(-r["size"] // part)) for r in top if r["size"] > part]
     if not hot:
-        return rows.withColumns({"n_salts": F.lit(None).cast("long"), "salt": F.lit(0).cast("long")}), False
+        return rows.withColumn("n_salts", F.lit(None).cast("long")), []
     schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys) + ", n_salts long"
     large = F.broadcast(rows.sparkSession.createDataFrame(hot, schema))
     joined = rows.join(large, keys, "left")
-    return joined.withColumn("salt", F.coalesce(F.pmod(F.xxhash64(F.lit(5), spread), F.col("n_salts")), F.lit(0))), True
+    return joined.withColumn("salt", F.coalesce(F.pmod(F.xxhash64(F.lit(5), spread), F.col("n_salts")), F.lit(0))), ["salt"]
 
 
 def normalised(text):
@@ -43,19 +45,21 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256 (and with carry: row, its columns).
 
     Content sort: ranges of normalised texts from sampled splitters, an external sort inside each, and
-    whole neighbours compared by the window over the sorted run. The smallest doc_id stays; null ids are the
+    whole neighbours compared by the window over the sorted run. Texts are ordered by their first PREFIX
+    characters, then by digest, then in full, so splitters stay small however long the texts are. The smallest doc_id stays; null ids are the
     largest, null text is empty. Of repeated rows (one id, one text) one stays. Nothing is dropped here.
     """
     base = texts(docs, id_col=id_col, text_col=text_col)
     if carry:
         base = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     base = base.withColumn("text", normalised(F.col("text"))).withColumn("text_sha256", F.sha2("text", 256))
-    rows, hot = salted(base, ["text_sha256"], "doc_id")
-    run = Window.partitionBy("text", "salt").orderBy(F.asc_nulls_last("doc_id"))
+    rows, hot = salted(base.withColumn("prefix", F.substring("text", 1, PREFIX)), ["text_sha256"], "doc_id")
+    order = ["prefix", "text_sha256", *hot]
+    run = Window.partitionBy(*order, "text").orderBy(F.asc_nulls_last("doc_id"))
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     more = ["row"] if carry else []
     runs = (
-        rows.repartitionByRange(partitions(docs.sparkSession), "text", "salt")
+        rows.repartitionByRange(partitions(docs.sparkSession), *order)
         .select("doc_id", "text_sha256", "n_salts", *more, F.row_number().over(run).alias("place"), F.min("doc_id").over(whole).alias("keep_id"), F.count(F.lit(1)).over(whole).alias("group_size"))
     )
     if hot:
@@ -94,10 +98,10 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col
     lines = lines.select("doc_id", "key", "pos", F.translate(F.btrim("line", F.lit(" \t\n\x0b\x0c\r")), _UPPER, _LOWER).alias("line"))
     lines = lines.filter(F.char_length("line") >= min_chars).select("doc_id", "key", "pos", F.xxhash64(F.lit(1), "line").alias("h"), F.xxhash64(F.lit(2), "line").alias("g"))
     rows, hot = salted(written(lines, "line-hashes"), ["h", "g"], "doc_id")
-    run = Window.partitionBy("h", "g", "salt").orderBy(F.desc_nulls_last("doc_id"), "key", "pos")
+    run = Window.partitionBy("h", "g", *hot).orderBy(F.desc_nulls_last("doc_id"), "key", "pos")
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     firsts = (
-        rows.repartitionByRange(partitions(docs.sparkSession), "h", "g", "salt")
+        rows.repartitionByRange(partitions(docs.sparkSession), "h", "g", *hot)
         .withColumn("place", F.row_number().over(run))
         .withColumn("new", (F.col("place") == 1) | ~F.lag("doc_id").over(run).eqNullSafe(F.col("doc_id")))
         .withColumns({"n_docs": F.sum(F.col("new").cast("long")).over(whole), "stays": F.max("doc_id").over(whole)})
