@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertmill.llm.common import row_key, slices, texts, written
+from alertmill.llm.common import partitions, row_key, slices, texts, written
 from alertmill.llm.textops import code_points, mix, ranges, span_hashes, windows, word_spans
 from alertmill.operators.components import connected_components
 
@@ -24,6 +24,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, COORDINATES = 32, 4
 #: Ranks (in darts for each unit of weight) of the first slab end at 2 ** FIRST_SLAB; each later slab doubles.
 FIRST_SLAB = -7
+#: Members of a chunk of a bucket; two chunks are compared in one task.
+BLOCK = 512
 
 _U = np.uint64
 _NONE = _U(0xFFFFFFFFFFFFFFFF)
@@ -129,37 +131,91 @@ def _similar(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def links(spark: SparkSession, members: DataFrame, content: DataFrame) -> DataFrame:
-    """node, component of the nodes with a link; members: bucket, node; content: node, cells.
+def links(members: DataFrame, content: DataFrame) -> DataFrame | None:
+    """node, component of the nodes with a link (None: there is no link); members: bucket, node; content: node, cells.
 
-    Never all pairs of a bucket: in each round every bucket compares one pivot with its members outside the
-    pivot's class so far, and the links found merge classes. A pivot is taken from the class with the fewest
-    members that were none yet, until only one class of the bucket has any. So of two members that end up in
-    different classes one was the pivot and the other compared with it: no link of a bucket is lost. A bucket
-    of copies of one text, however large, takes one round.
+    Two rounds, and no pair is made into a row before it is known to be similar. First each bucket's members
+    are compared with one of them, the one that meets most others in all its buckets: copies of one text
+    fall into its class at once. Buckets that still hold several classes are then compared in full, inside
+    tasks, by blocks of at most 2 x BLOCK members; a block returns a tree of links and no more. So no link
+    of a bucket is lost, and no task holds a whole bucket.
     """
-    found = spark.createDataFrame([], "a long, b long")
-    classes = spark.createDataFrame([], "node long, component long")
-    pivots = spark.createDataFrame([], "bucket long, node long")
-    tried = spark.createDataFrame([], "a long, b long")
-    while True:
-        now = members.join(pivots, ["bucket", "node"], "left_anti").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        now = written(now, "near-members")
-        by_class = now.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
-        next_ = by_class.groupBy("bucket").agg(F.min(F.struct("n", "node", "component")).alias("p"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-        next_ = written(next_.select("bucket", F.col("p.node").alias("pivot"), F.col("p.component").alias("of")), "near-pivots")
-        if next_.isEmpty():
-            return classes
-        pairs = now.join(next_, "bucket").filter("component <> of").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        wide = pairs.join(content.select(F.col("node").alias("a"), F.col("cells").alias("cells_a")), "a").join(content.select(F.col("node").alias("b"), F.col("cells").alias("cells_b")), "b")
-        new = written(_similar(wide.select("a", "b", "cells_a", "cells_b")), "near-links")
-        pivots = written(pivots.unionByName(next_.select("bucket", F.col("pivot").alias("node"))), "near-pivoted")
-        tried = written(tried.unionByName(pairs), "near-tried")
-        if not new.isEmpty():
-            found = found.unionByName(new)
-            classes = connected_components(found)
-        members = now.join(next_.select("bucket"), "bucket", "left_semi").select("bucket", "node")
+    size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    sized = members.join(size, "bucket")
+    hub = sized.groupBy("node").agg(F.sum("n").alias("hub"))
+    sized = written(sized.join(hub, "node"), "near-sized")
+    pivots = sized.groupBy("bucket").agg(F.max_by("node", F.struct("hub", "node")).alias("pivot"))
+    pairs = sized.join(pivots, "bucket").filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    wide = pairs.join(content.select(F.col("node").alias("a"), F.col("cells").alias("cells_a")), "a").join(content.select(F.col("node").alias("b"), F.col("cells").alias("cells_b")), "b")
+    found = written(_similar(wide.select("a", "b", "cells_a", "cells_b")), "near-links")
+    classes = None if found.isEmpty() else connected_components(found)
+    now = sized.withColumn("component", F.col("node")) if classes is None else sized.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = now.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("bucket")
+    more = written(_block_links(now.join(mixed, "bucket"), content), "near-links")
+    if more.isEmpty():
+        return classes
+    return connected_components(found.unionByName(more))
+
+
+def _block_links(rows: DataFrame, content: DataFrame) -> DataFrame:
+    """a, b: links that join the components of each block's members. rows: bucket, node, n (of the bucket), component.
+
+    A member of chunk i of c goes to the c blocks {i, k}, so each two members of a bucket meet in a block.
+    """
+    c = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
+    placed = rows.withColumn("c", c).withColumn("i", F.pmod(F.xxhash64("node"), F.col("c")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    placed = placed.select("node", "component", F.xxhash64("bucket", F.least("i", "k"), F.greatest("i", "k")).alias("block"))
+    full = placed.join(content, "node").select("block", "node", "component", "cells")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, []
+        for part in slices(batches, "cells"):
+            for b, *row in zip(*[part.column(x).to_pylist() for x in ("block", "node", "component", "cells")], strict=True):
+                if b != block:
+                    yield from _tree(held)
+                    block, held = b, []
+                held.append(row)
+        yield from _tree(held)
+
+    dealt = full.repartition(partitions(rows.sparkSession), "block").sortWithinPartitions("block")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _tree(held: list[list]) -> Iterator[pa.RecordBatch]:
+    """Exact similarities of a block's members by products of their incidence matrix, a few columns at a time."""
+    if len(held) < 2:
+        return
+    sizes = np.array([len(r[2]) // 4 for r in held])
+    member = np.repeat(np.arange(len(held)), sizes)
+    _, column, times = np.unique(np.frombuffer(b"".join(r[2] for r in held), "<u4"), return_inverse=True, return_counts=True)
+    shared = times > 1
+    column, member = (np.cumsum(shared) - 1)[column[shared[column]]], member[shared[column]]
+    order = np.argsort(column, kind="stable")
+    column, member = column[order], member[order]
+    same = np.zeros((len(held), len(held)), np.float32)
+    for low in range(0, int(shared.sum()), 2048):
+        i, j = np.searchsorted(column, [low, low + 2048])
+        x = np.zeros((len(held), 2048), np.float32)
+        x[member[i:j], column[i:j] - low] = 1
+        same += x @ x.T
+    near = np.triu(same >= SIMILARITY * (sizes[:, None] + sizes[None, :] - same), 1)
+    names = [r[1] for r in held]
+    parent = {c: c for c in names}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    out = []
+    for i, j in zip(*np.nonzero(near), strict=True):
+        a, b = root(names[i]), root(names[j])
+        if a != b:
+            parent[a] = b
+            out.append((held[i][0], held[j][0]))
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,7 +225,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the links between nodes. A text without words is near other such texts alone; null text is empty; null
     ids are the largest. Repeated rows (one id, one text) are all kept or all not.
     """
-    spark = docs.sparkSession
     rows = written(signatures(docs, id_col, text_col), "near-signatures")
     nodes = rows.groupBy("node").agg(F.any_value("bands").alias("bands"))
     buckets = written(nodes.select("node", F.explode("bands").alias("bucket")), "near-buckets")
@@ -177,8 +232,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = written(buckets.join(shared, "bucket"), "near-members")
     involved = members.select("node").distinct()
     content = written(node_cells(docs, id_col, text_col).join(involved, "node", "left_semi").groupBy("node").agg(F.min("cells").alias("cells")), "near-content")
-    classes = links(spark, members, content)
-    named = rows.select("doc_id", "key", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    classes = links(members, content)
+    named = rows.select("doc_id", "key", "node")
+    if classes is not None:
+        named = named.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    else:
+        named = named.withColumn("component", F.col("node"))
     named = written(named, "near-named")
     heads = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("head"), F.count(F.lit(1)).alias("class_size"))
     joined = named.join(heads, "component")
