@@ -1,6 +1,6 @@
 """Quality classifier (10): an interpolated modified Kneser-Ney model of characters, trained on trusted text.
 
-Documents are dealt into shards. Each shard gives the distinct n-grams of its documents, with the counts of
+Documents are dealt into shards, as compressed blocks. Each shard gives the distinct n-grams of its documents, with the counts of
 its trusted ones; those are summed over shards, turned into probabilities by joins on n-gram and context,
 and joined back to each shard's n-grams. So a shard gets what it needs of the model and no more, the model
 is never in one place, and counts cover every trusted document.
@@ -8,24 +8,32 @@ is never in one place, and counts cover every trusted document.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.ipc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertmill.llm.common import partitions, written
+from alertmill.llm.common import partitions, slices, written
 from alertmill.llm.textops import code_points
 
 #: Characters of an n-gram: 16 bits each, so one number holds it and its context and its rest are shifts.
 ORDER = 4
 #: Documents of a shard, on average.
-SHARD_DOCS = 4096
+SHARD_DOCS = 8192
 #: The quantile of a language's trusted scores beyond which a document is rejected, and by what factor.
 QUANTILE, FACTOR = 0.995, 1.05
 #: A score is the perplexity less what chance adds to few characters: divided by exp(CHANCE / sqrt(n_chars)).
 CHANCE = 2.0
 
+#: Bytes of text that a task gathers before it cuts them into one block for each shard.
+BLOCK_BYTES = 16_000_000
+#: Languages up to which the table of their discounts (four numbers each) is sent to all tasks.
+FEW_LANGUAGES = 1000
+
 _MASK = {1: 0xFFFF, 2: 0xFFFFFFFF, 3: 0xFFFFFFFFFFFF}
 
 
@@ -62,7 +70,52 @@ def _per_language(table: pa.Table):
         yield name, own[start:], [text[x] for x in own[start:]]
 
 
-def _shard_grams(key, docs: pa.Table, trusted: pa.Table) -> pa.Table:
+def _blocks(base: DataFrame) -> DataFrame:
+    """shard and block: the rows of base (doc_id, row, lang, text, shard) that a task has for a shard, as one compressed Arrow stream."""
+    names = ["doc_id", "row", "lang", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            shard = rows.column("shard").to_numpy()
+            order = np.argsort(shard, kind="stable")
+            cuts = np.flatnonzero(np.diff(shard[order])) + 1
+            out = []
+            for own in np.split(order, cuts):
+                sink = pa.BufferOutputStream()
+                part = rows.select(names).take(pa.array(own)).combine_chunks()
+                with pa.ipc.new_stream(sink, part.schema, options=options) as w:
+                    w.write_table(part)
+                out.append((int(shard[own[0]]), sink.getvalue().to_pybytes()))
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["shard", "block"])
+
+        for part in slices(batches, limit=BLOCK_BYTES):
+            held.append(part)
+            size += part.get_total_buffer_size()
+            if size >= BLOCK_BYTES:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    return base.select(*names, "shard").mapInArrow(run, "shard long, block binary")
+
+
+def _opened(blocks: pa.Table) -> pa.Table | None:
+    found = [pa.ipc.open_stream(b.as_buffer()).read_all() for b in blocks.column("block")]
+    return pa.concat_tables(found) if found else None
+
+
+_NO_GRAMS = pa.table({"shard": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "gram": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
+
+
+def _shard_grams(key, blocks: pa.Table, trusted: pa.Table) -> pa.Table:
+    docs = _opened(blocks)
+    if docs is None:
+        return _NO_GRAMS
     ids = set(trusted.column("doc_id").to_pylist())
     good = np.array([i is not None and i in ids for i in docs.column("doc_id").to_pylist()], bool)
     found: dict[str, pd.Series] = {}
@@ -73,11 +126,12 @@ def _shard_grams(key, docs: pa.Table, trusted: pa.Table) -> pa.Table:
         counts = pd.Series(np.bincount(codes[weight], minlength=len(names)), index=names)
         found[lang] = found[lang].add(counts, fill_value=0) if lang in found else counts
     parts = [pa.table({"shard": np.full(len(s), key[0].as_py(), np.int64), "lang": pa.array([lang] * len(s), pa.string()), "gram": s.index.to_numpy(np.int64), "c": s.to_numpy(np.int64)}) for lang, s in found.items()]
-    return pa.concat_tables(parts) if parts else pa.table({"shard": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "gram": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
+    return pa.concat_tables(parts) if parts else _NO_GRAMS
 
 
-def _shard_scores(key, docs: pa.Table, model: pa.Table) -> pa.Table:
-    """doc_id, lang, n_chars and the sum of log probabilities of each document."""
+def _shard_scores(key, blocks: pa.Table, model: pa.Table) -> pa.Table:
+    """doc_id, row, lang, n_chars and the sum of log probabilities of each document. A shard of the model always has documents."""
+    docs = _opened(blocks)
     total, size = np.zeros(docs.num_rows), np.zeros(docs.num_rows, np.int64)
     langs = model.column("lang").to_numpy(zero_copy_only=False)
     gram, logp = model.column("gram").to_numpy(), model.column("logp").to_numpy()
@@ -106,7 +160,7 @@ def _discounts(counts: DataFrame) -> DataFrame:
     return n.select("lang", *d)
 
 
-def probabilities(counts: DataFrame) -> DataFrame:
+def probabilities(counts: DataFrame, few_languages: bool = False) -> DataFrame:
     """lang, gram, p of each n-gram of counts (lang, gram, c; c may be 0).
 
     The longest n-grams have their counts, shorter ones the number of different characters before them.
@@ -120,7 +174,8 @@ def probabilities(counts: DataFrame) -> DataFrame:
     for k in range(1, ORDER + 1):
         context = F.shiftrightunsigned(F.col("gram"), 16)
         around = Window.partitionBy("lang", "context")
-        now = tables[k].withColumn("context", context).join(_discounts(tables[k]), "lang")
+        discounts = _discounts(tables[k])
+        now = tables[k].withColumn("context", context).join(F.broadcast(discounts) if few_languages else discounts, "lang")
         now = now.withColumns({"sum": F.sum("c").over(around), "left": F.sum(F.expr("case when c = 0 then 0.0D when c = 1 then d1 when c = 2 then d2 else d3 end")).over(around)})
         own = F.expr("case when c = 0 then 0.0D when c = 1 then c - d1 when c = 2 then c - d2 else c - d3 end")
         if lower is None:
@@ -139,11 +194,13 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     n = max(1, -(-docs.count() // SHARD_DOCS))
     base = base.withColumn("row", F.xxhash64(F.lit(17), "doc_id", "text", "lang")).withColumn("shard", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.col("row"))), F.lit(n)))
     ids = trusted.filter("doc_id is not null").select("doc_id", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(n)).alias("shard"))
-    dealt = base.groupBy("shard")
+    few = base.select("lang").distinct().limit(FEW_LANGUAGES + 1).count() <= FEW_LANGUAGES
+    dealt = _blocks(base).groupBy("shard")
     found = dealt.cogroup(ids.groupBy("shard")).applyInArrow(_shard_grams, "shard long, lang string, gram long, c long")
-    found = found.repartition(partitions(spark), "lang", "gram")  # one exchange, read for the model and for the shards
-    model = probabilities(found.groupBy("lang", "gram").agg(F.sum("c").alias("c")))
-    needed = found.select("shard", "lang", "gram").join(model, ["lang", "gram"]).select("shard", "lang", "gram", F.log("p").alias("logp"))
+    # one exchange, read for the model and for the shards: both take all of its columns
+    found = found.repartition(partitions(spark), "lang", "gram")
+    model = probabilities(found.groupBy("lang", "gram").agg(F.sum(F.when(F.col("shard") >= 0, F.col("c"))).alias("c")), few)
+    needed = found.filter("c >= 0").select("shard", "lang", "gram").join(model, ["lang", "gram"]).select("shard", "lang", "gram", F.log("p").cast("float").alias("logp"))
     kind = base.schema["doc_id"].dataType.simpleString()
     scored = dealt.cogroup(needed.groupBy("shard")).applyInArrow(_shard_scores, f"doc_id {kind}, row long, lang string, n_chars long, log_sum double")
     return scored.select("doc_id", "row", "lang", "n_chars", F.when(F.col("n_chars") > 0, F.exp(-F.col("log_sum") / F.col("n_chars"))).alias("perplexity"))
