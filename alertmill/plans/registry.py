@@ -2,13 +2,635 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from alertmill.functions import catalog, normalize
+from alertmill.operators import anomaly, briefs, chain, correlate, entities, evaluate, graph, iforest, incidents, ingest, similarity, techniques, views
+from alertmill.operators.components import connected_components
+from alertmill.operators.correlate import Correlation
+from alertmill.plans import pipeline
+from alertmill.sources import event_alerts, readers, shared, tables, vendor
+from alertmill.sources.event_alerts import ALERTS_SQL, CONTEXT_SQL, RAW_SQL, alerts, contexts, raw_alerts, with_incidents
+from alertmill.streaming import stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The threshold at which the event alerts form components of some size.
+CFG = Correlation(threshold=0.35)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize.normalize(raw_alerts(spark, sf_dir), *contexts(spark, sf_dir), ipv6=False)
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_incidents(alerts(spark, sf_dir))
+
+
+# --- reading, validation, ingestion -------------------------------------------------------------------
+
+
+@query("SELECT event_type, count(*) AS n, sum(CASE WHEN json_valid(props) THEN 0 ELSE 1 END)::BIGINT AS n_bad, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS sum_k FROM events GROUP BY 1")
+def source_json_lines(spark, sf_dir):
+    rows = readers.typed(table(spark, sf_dir, "events").select("event_type", F.col("props").alias("body")))
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("parse_error").isNotNull()).alias("n_bad"), F.sum(F.get_json_object("raw", "$.k").cast("long")).alias("sum_k"))
+
+
+@query("WITH " + ALERTS_SQL + ", " + RAW_SQL + "SELECT pos, alert_id, array_to_string(errors, '; ') AS errors FROM raw_v WHERE len(errors) > 0")
+def validation_errors(spark, sf_dir):
+    return normalized(spark, sf_dir).filter(F.size("errors") > 0).select("pos", "alert_id", F.array_join("errors", "; ").alias("errors"))
+
+
+@query("WITH " + ALERTS_SQL + ", " + RAW_SQL + "SELECT pos, \"user\", host, t AS us, CASE WHEN k = 97 THEN NULL ELSE k % 3 <> 0 END AS internal FROM accepted_0 WHERE k <> 99")
+def canonical_identities(spark, sf_dir):
+    return normalized(spark, sf_dir).filter("us is not null").select("pos", "user", "host", "us", F.col("src_ip_private").alias("internal"))
+
+
+@query(
+    "WITH " + ALERTS_SQL + ", " + RAW_SQL
+    + """SELECT pos, alert_id, CASE WHEN content_place = 1 THEN 'accepted' ELSE 'duplicate' END AS status, CASE WHEN content_place > 1 THEN kept END AS duplicate_of, CASE WHEN content_place = 1 THEN copies ELSE 0 END AS duplicate_count FROM accepted_2
+UNION ALL SELECT pos, alert_id, 'rejected', NULL, 0 FROM accepted_0 WHERE id_place > 1 OR len(errors) > 0"""
+)
+def ingest_statuses(spark, sf_dir):
+    return ingest.classified(normalized(spark, sf_dir)).select("pos", "alert_id", "status", "duplicate_of", "duplicate_count")
+
+
+@query(
+    "WITH " + ALERTS_SQL + ", " + RAW_SQL
+    + """, s AS (SELECT CASE WHEN content_place = 1 THEN 'a' ELSE 'd' END AS s FROM accepted_2 UNION ALL SELECT 'r' FROM accepted_0 WHERE id_place > 1 OR len(errors) > 0)
+SELECT count(*) AS received, count(*) FILTER (WHERE s = 'a') AS accepted, count(*) FILTER (WHERE s = 'd') AS duplicates, count(*) FILTER (WHERE s = 'r') AS rejected FROM s"""
+)
+def ingest_summary(spark, sf_dir):
+    return ingest.batch_summary(ingest.classified(normalized(spark, sf_dir)))
+
+
+@query(
+    "WITH " + ALERTS_SQL + ", " + RAW_SQL
+    + """, late AS (SELECT kept AS alert_id, count(*) AS n FROM accepted_2 WHERE content_place > 1 GROUP BY 1)
+SELECT a.alert_id, coalesce(l.n, 0)::BIGINT AS duplicate_count FROM alerts_v a LEFT JOIN late l USING (alert_id)"""
+)
+def late_duplicates(spark, sf_dir):
+    """Duplicates of a later batch raise the counters of stored alerts."""
+    rows = ingest.classified(normalized(spark, sf_dir))
+    return ingest.bump_duplicates(alerts(spark, sf_dir).select("alert_id", "duplicate_count"), rows)
+
+
+@query(
+    "WITH " + ALERTS_SQL + """, stored AS (SELECT * FROM alerts_v WHERE pos % 2 = 0), k AS (SELECT DISTINCT alert_id FROM stored)
+SELECT a.pos, CASE WHEN k.alert_id IS NULL THEN 'accepted' ELSE 'duplicate' END AS status FROM alerts_v a LEFT JOIN k USING (alert_id)"""
+)
+def known_alert_ids(spark, sf_dir):
+    """A batch against what is stored: ids that are there are duplicates."""
+    a = alerts(spark, sf_dir)
+    rows = normalize.normalize(a.withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).withColumn("attributes", F.lit(None).cast("string")), ipv6=False)
+    rows = rows.withColumn("content_hash", F.sha2("alert_id", 256))
+    known = rows.filter("pos % 2 = 0").select("alert_id", "content_hash")
+    return ingest.classified(rows, known).select("pos", "status")
+
+
+@query("SELECT n, count(*) AS texts FROM (SELECT substr(sha256(coalesce(text, '')), 1, 24) AS h, count(*) AS n FROM documents GROUP BY 1) GROUP BY 1")
+def content_hash_groups(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").groupBy(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 24).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    return d.groupBy("n").agg(F.count(F.lit(1)).alias("texts"))
+
+
+def _rule_case(text: str) -> str:
+    whens = " ".join("WHEN " + " AND ".join(f"contains({text}, '{k}')" for k in keys.split("&")) + f" THEN '{to}'" for keys, to in catalog.rows(catalog.KEYWORD_RULES))
+    return f"CASE {whens} ELSE 'sentinel_alert' END"
+
+
+@query(f"SELECT alert_type, count(*) AS n FROM (SELECT {_rule_case('t')} AS alert_type FROM (SELECT lower(coalesce(text, '')) AS t FROM documents)) GROUP BY 1")
+def classified_texts(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    return table(spark, sf_dir, "documents").select(normalize.classify(F.coalesce("text", F.lit("")), none, none).alias("alert_type")).groupBy("alert_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """SELECT 'conversations' AS source, role AS part, count(*) AS n, count(*) FILTER (WHERE regexp_matches(lower(text), '%s')) AS flagged FROM conversations GROUP BY 1, 2
+UNION ALL SELECT 'documents', lang, count(*), count(*) FILTER (WHERE regexp_matches(lower(text), '%s')) FROM documents GROUP BY 1, 2""" % ((catalog.INSTRUCTIONS.replace("(?i)", ""),) * 2)
+)
+def instruction_flags(spark, sf_dir):
+    flag = lambda t: F.count_if(F.coalesce(t.rlike(catalog.INSTRUCTIONS), F.lit(False)))
+    c = table(spark, sf_dir, "conversations").groupBy(F.lit("conversations").alias("source"), F.col("role").alias("part")).agg(F.count(F.lit(1)).alias("n"), flag(F.col("text")).alias("flagged"))
+    return c.unionByName(table(spark, sf_dir, "documents").groupBy(F.lit("documents").alias("source"), F.col("lang").alias("part")).agg(F.count(F.lit(1)).alias("n"), flag(F.col("text")).alias("flagged")))
+
+
+_NAMED = ", ".join(f"'{t}'" for t in vendor.ALERT_NAMES)
+
+
+@query(
+    "WITH " + ALERTS_SQL
+    + f"""SELECT pos, alert_type, "user", host, src_ip, process, resource, us FROM alerts_v WHERE alert_type IN ({_NAMED})"""
+)
+def vendor_round_trip(spark, sf_dir):
+    """Alerts as vendor rows and back through conversion and normalisation."""
+    out = shared.written(vendor.to_vendor(alerts(spark, sf_dir)).filter("raw is not null"), "vendor-rows")
+    back = normalize.normalize(vendor.convert(readers.typed(out.withColumnRenamed("raw", "body"))), ipv6=False)
+    return back.filter(F.size("errors") == 0).select("pos", "alert_type", "user", "host", "src_ip", "process", "resource", "us")
+
+
+# --- entities and similarity --------------------------------------------------------------------------
+
+LINKS_SQL = """
+links AS (SELECT pos, us, alert_id, 'user' AS type, "user" AS value, 'actor' AS role FROM alerts_v UNION ALL SELECT pos, us, alert_id, 'host', host, 'device' FROM alerts_v
+  UNION ALL SELECT pos, us, alert_id, 'ip', src_ip, 'source' FROM alerts_v UNION ALL SELECT pos, us, alert_id, 'ip', dst_ip, 'destination' FROM alerts_v
+  UNION ALL SELECT pos, us, alert_id, 'process', process, 'process' FROM alerts_v WHERE process IS NOT NULL UNION ALL SELECT pos, us, alert_id, 'resource', resource, 'target' FROM alerts_v WHERE resource IS NOT NULL),
+corpus AS (SELECT count(*) AS n, min(us) AS start FROM alerts_v),
+all_b AS (SELECT greatest(1, count(DISTINCT (us - start) // 1800000000)) AS nb FROM alerts_v, corpus),
+stats AS (SELECT type || ':' || value AS entity_key, type, value, count(DISTINCT pos) AS n_alerts, count(DISTINCT (us - start) // 1800000000) AS n_buckets, min(us) AS first_us, max(us) AS last_us FROM links, corpus GROUP BY ALL),
+weights AS (SELECT stats.*, greatest(0.0, least(1.0, 0.5 * ln((n + 1) / (n_alerts + 1)) / ln(n + 1) + 0.5 * ln((nb + 1) / (n_buckets + 1)) / ln(nb + 1))) AS weight FROM stats, corpus, all_b)
+"""
+
+
+@query("WITH " + ALERTS_SQL + ", " + LINKS_SQL + "SELECT entity_key, n_alerts, n_buckets, first_us, last_us, round(weight, 6) AS weight FROM weights")
+def entity_rarity(spark, sf_dir):
+    return entities.entity_stats(alerts(spark, sf_dir)).select("entity_key", "n_alerts", "n_buckets", "first_us", "last_us", F.round("weight", 6).alias("weight"))
+
+
+@query(
+    "WITH " + ALERTS_SQL + ", " + CONTEXT_SQL + ", " + LINKS_SQL
+    + """SELECT type, value, n_alerts, coalesce(u.privilege, h.criticality, r.criticality) AS level FROM weights w LEFT JOIN users_v u ON w.type = 'user' AND u."user" = w.value
+LEFT JOIN hosts_v h ON w.type = 'host' AND h.host = w.value LEFT JOIN resources_v r ON w.type = 'resource' AND r.resource = w.value"""
+)
+def entity_dimension(spark, sf_dir):
+    a = alerts(spark, sf_dir)
+    return entities.entity_dimension(entities.entity_stats(a), *contexts(spark, sf_dir)).select("type", "value", "n_alerts", "level")
+
+
+@query("WITH " + ALERTS_SQL + ", " + LINKS_SQL + "SELECT DISTINCT alert_id, type || ':' || value AS entity_key, role FROM links")
+def alert_entities(spark, sf_dir):
+    return tables.alert_entity_links(entities.entity_links(alerts(spark, sf_dir)))
+
+
+def _titles_sql(source: str) -> str:
+    return f"""
+tt AS (SELECT DISTINCT title FROM ({source}) WHERE title IS NOT NULL),
+tw AS (SELECT title, ' ' || w || ' ' AS w FROM (SELECT title, unnest(regexp_split_to_array(lower(title), '\\s+')) AS w FROM tt) WHERE w <> ''),
+tg AS (SELECT title, substr(w, i, n) AS gram FROM (SELECT title, w, n, unnest(range(1, length(w) - n + 2)) AS i FROM (SELECT title, w, unnest([3, 4, 5]) AS n FROM tw) WHERE length(w) >= n)),
+tf AS (SELECT title, gram, count(*) AS tf FROM tg GROUP BY ALL), td AS (SELECT gram, count(*) AS df FROM tf GROUP BY ALL),
+tx AS (SELECT title, gram, tf * (ln((1 + (SELECT count(*) FROM tt)) / (1 + df)) + 1) AS w FROM tf JOIN td USING (gram)),
+ty AS (SELECT title, gram, w / sqrt(sum(w * w) OVER (PARTITION BY title)) AS w FROM tx),
+titles AS (SELECT x.title AS a, y.title AS b, sum(x.w * y.w) AS similarity FROM ty x JOIN ty y ON x.gram = y.gram AND x.title < y.title GROUP BY ALL)
+"""
+
+
+@query("WITH " + _titles_sql("SELECT p_name AS title FROM part") + "SELECT a, b, round(similarity, 5) AS similarity FROM titles")
+def title_similarity(spark, sf_dir):
+    return similarity.title_similarity(table(spark, sf_dir, "part"), "p_name").withColumn("similarity", F.round("similarity", 5))
+
+
+@query(
+    """WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS c FROM e GROUP BY ALL)
+SELECT vec_id, e.label, round(sum(x * c) / (sqrt(sum(x * x)) * sqrt(sum(c * c))), 5) AS similarity FROM e JOIN m ON e.label = m.label AND e.i = m.i GROUP BY ALL"""
+)
+def vector_cosine(spark, sf_dir):
+    return similarity.nearest_to_centroid(table(spark, sf_dir, "embeddings")).withColumn("similarity", F.round("similarity", 5))
+
+
+# --- correlation --------------------------------------------------------------------------------------
+
+PAIRS_SQL = LINKS_SQL + """,
+keyed AS (SELECT DISTINCT l.type || ':' || l.value AS entity_key, pos, us FROM links l JOIN weights w ON w.entity_key = l.type || ':' || l.value WHERE l.type <> 'process' AND weight >= 0.12),
+ahead AS (SELECT pos, us, unnest(list({'p': pos, 'u': us}) OVER (PARTITION BY entity_key ORDER BY us, pos ROWS BETWEEN 1 FOLLOWING AND 30 FOLLOWING)) AS n FROM keyed),
+pairs AS (SELECT DISTINCT least(pos, n.p) AS a, greatest(pos, n.p) AS b FROM ahead WHERE n.u - us <= 1800000000 AND n.p <> pos)
+"""
+EDGES_SQL = PAIRS_SQL + ", " + _titles_sql("SELECT title FROM alerts_v JOIN types_v USING (alert_type)") + """,
+full_v AS (SELECT v.*, t.title, coalesce(t.family, 'other') AS family, t.stage FROM alerts_v v LEFT JOIN types_v t USING (alert_type)),
+parts AS (SELECT p.a, p.b, wu.weight AS c_user, wh.weight AS c_host, ws.weight AS c_src_ip, greatest(wd.weight, wr.weight) AS c_dst, exp(-abs(x.us - y.us) / 60000000 / 15.0) AS c_time,
+  CASE WHEN x.alert_type = y.alert_type THEN 0.6 WHEN f.first IS NOT NULL THEN 1.0 WHEN g.first IS NOT NULL THEN 0.7 WHEN x.family = y.family THEN 0.5 WHEN x.stage IS NULL AND y.stage IS NULL THEN 0.3 ELSE 0.1 END AS c_behavior,
+  1.0 - abs(x.severity_score - y.severity_score) / 100.0 AS c_severity, CASE WHEN x.title = y.title THEN 1.0 ELSE coalesce(ti.similarity, 0.0) END AS c_semantic
+  FROM pairs p JOIN full_v x0 ON x0.pos = p.a JOIN full_v y0 ON y0.pos = p.b
+  JOIN full_v x ON x.pos = CASE WHEN x0.us <= y0.us THEN p.a ELSE p.b END JOIN full_v y ON y.pos = CASE WHEN x0.us <= y0.us THEN p.b ELSE p.a END
+  LEFT JOIN weights wu ON x."user" = y."user" AND wu.entity_key = 'user:' || x."user" LEFT JOIN weights wh ON x.host = y.host AND wh.entity_key = 'host:' || x.host
+  LEFT JOIN weights ws ON x.src_ip = y.src_ip AND ws.entity_key = 'ip:' || x.src_ip LEFT JOIN weights wd ON x.dst_ip = y.dst_ip AND wd.entity_key = 'ip:' || x.dst_ip
+  LEFT JOIN weights wr ON x.resource = y.resource AND wr.entity_key = 'resource:' || x.resource
+  LEFT JOIN sequences_v f ON f.first = x.family AND f.second = y.family LEFT JOIN sequences_v g ON g.first = y.family AND g.second = x.family
+  LEFT JOIN titles ti ON ti.a = least(x.title, y.title) AND ti.b = greatest(x.title, y.title)),
+scored AS (SELECT *, least(1.0, 0.22 * coalesce(c_user, 0) + 0.18 * coalesce(c_host, 0) + 0.14 * coalesce(c_src_ip, 0) + 0.08 * coalesce(c_dst, 0) + 0.12 * c_time + 0.12 * c_behavior + 0.08 * c_severity + 0.06 * c_semantic) AS score FROM parts),
+edges AS (SELECT *, score >= 0.60 OR greatest(coalesce(c_user, 0), coalesce(c_host, 0), coalesce(c_src_ip, 0)) >= 0.45 OR c_behavior >= 1.0 AS strong FROM scored WHERE score >= 0.35)
+"""
+GROUPS_SQL = EDGES_SQL + """,
+both_v AS (SELECT a, b, score FROM edges UNION ALL SELECT b, a, score FROM edges),
+reach(n, m) AS (SELECT a, b FROM both_v UNION SELECT r.n, e.b FROM reach r JOIN both_v e ON e.a = r.m),
+groups_v AS (SELECT v.pos, coalesce(least(v.pos, min(r.m)), v.pos) AS component FROM alerts_v v LEFT JOIN reach r ON r.n = v.pos GROUP BY v.pos),
+best_v AS (SELECT e.a AS pos, max_by(e.b, {'s': score, 'm': -e.b}) AS linked, max(score) AS link_score FROM both_v e GROUP BY e.a),
+members_v AS (SELECT g.pos, g.component, count(*) OVER (PARTITION BY g.component) AS n_members, b.linked, round(coalesce(b.link_score, 0), 4) AS link_score FROM groups_v g LEFT JOIN best_v b USING (pos))
+"""
+
+
+@query("WITH " + ALERTS_SQL + ", " + PAIRS_SQL + "SELECT a, b FROM pairs")
+def candidate_pairs(spark, sf_dir):
+    a = alerts(spark, sf_dir)
+    return correlate.candidate_pairs(correlate.keyed(a, entities.entity_stats(a), cfg=CFG), CFG)
+
+
+@query("WITH " + ALERTS_SQL + ", " + EDGES_SQL + "SELECT a, b, round(score, 4) AS score, strong FROM edges")
+def scored_edges(spark, sf_dir):
+    return pipeline.correlated(alerts(spark, sf_dir), cfg=CFG)[2].select("a", "b", F.round("score", 4).alias("score"), "strong")
+
+
+@query("WITH RECURSIVE " + ALERTS_SQL + ", " + GROUPS_SQL + "SELECT pos, component FROM groups_v")
+def alert_components(spark, sf_dir):
+    return pipeline.correlated(alerts(spark, sf_dir), cfg=CFG)[3]
+
+
+@query("WITH RECURSIVE " + ALERTS_SQL + ", " + GROUPS_SQL + "SELECT pos, component, n_members, linked, link_score FROM members_v")
+def alert_memberships(spark, sf_dir):
+    _, _, edges, groups = pipeline.correlated(alerts(spark, sf_dir), cfg=CFG)
+    return correlate.memberships(groups, edges)
+
+
+@query("WITH RECURSIVE " + ALERTS_SQL + ", " + GROUPS_SQL + "SELECT component, any_value(n_members) AS n_members, CASE WHEN any_value(n_members) = 1 THEN 0.25 ELSE round(least(1.0, avg(link_score) / 0.75), 3) END AS confidence FROM members_v GROUP BY component")
+def component_confidence(spark, sf_dir):
+    _, _, edges, groups = pipeline.correlated(alerts(spark, sf_dir), cfg=CFG)
+    return correlate.confidences(correlate.memberships(groups, edges))
+
+
+@query(
+    "WITH RECURSIVE " + ALERTS_SQL + ", " + GROUPS_SQL
+    + """, s AS (SELECT component, count(*) AS n FROM groups_v GROUP BY 1) SELECT (SELECT count(*) FROM alerts_v) AS alerts, (SELECT count(*) FROM pairs) AS pairs, (SELECT count(*) FROM edges) AS edges, count(*) AS clusters, count(*) FILTER (WHERE n = 1) AS singletons FROM s"""
+)
+def correlation_statistics(spark, sf_dir):
+    a = alerts(spark, sf_dir)
+    _, pairs, edges, groups = pipeline.correlated(a, cfg=CFG)
+    return correlate.correlation_stats(a, pairs, edges, groups)
+
+
+@query()
+def recut_components(spark, sf_dir):
+    """Components above ten alerts cut by thresholds and communities."""
+    _, _, edges, groups = pipeline.correlated(alerts(spark, sf_dir), cfg=CFG)
+    return correlate.recut(groups, edges, Correlation(threshold=0.35, max_component=10))
+
+
+@query("""WITH RECURSIVE e AS (SELECT l_orderkey AS a, -l_partkey - 1 AS b FROM lineitem WHERE l_partkey % 40 = 0), both_v AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(n, m) AS (SELECT a, b FROM both_v UNION SELECT r.n, x.b FROM reach r JOIN both_v x ON x.a = r.m) SELECT n AS node, least(n, min(m)) AS component FROM reach GROUP BY n""")
+def order_part_components(spark, sf_dir):
+    """Components of orders and some parts: a graph with large hubs."""
+    e = table(spark, sf_dir, "lineitem").filter("l_partkey % 40 = 0").select(F.col("l_orderkey").alias("a"), (-F.col("l_partkey") - 1).alias("b"))
+    return connected_components(e)
+
+
+# --- anomaly ------------------------------------------------------------------------------------------
+
+_FAIL = ", ".join(f"'{t}'" for t in catalog.FAIL_TYPES)
+_SUCCESS = ", ".join(f"'{t}'" for t in catalog.SUCCESS_TYPES)
+FEATURES_SQL = CONTEXT_SQL + f""",
+fv AS (SELECT v.*, (alert_type IN ({_FAIL}))::INT AS f, alert_type IN ({_SUCCESS}) AS ok, u.known_ip FROM alerts_v v JOIN users_v u USING ("user")),
+pv AS (SELECT process, count(*) AS np FROM alerts_v WHERE process IS NOT NULL GROUP BY 1),
+feat AS (SELECT fv.pos, fv.incident_id, fv.severity_score,
+  sum(f) OVER (PARTITION BY "user" ORDER BY us RANGE BETWEEN 600000000 PRECEDING AND CURRENT ROW)::BIGINT AS fails_user_10m, sum(f) OVER (PARTITION BY src_ip ORDER BY us RANGE BETWEEN 600000000 PRECEDING AND CURRENT ROW)::BIGINT AS fails_ip_10m,
+  count(DISTINCT "user") OVER (PARTITION BY src_ip ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS users_per_ip_60m,
+  count(DISTINCT host) OVER (PARTITION BY "user" ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS hosts_per_user_60m,
+  (ok AND sum(f) OVER (PARTITION BY "user" ORDER BY us RANGE BETWEEN 1800000000 PRECEDING AND CURRENT ROW) >= 5)::INT AS success_after_failures,
+  CASE WHEN (ok OR f = 1) AND src_ip <> known_ip THEN CASE WHEN src_ip_private THEN 0.5 ELSE 1.0 END ELSE 0.0 END AS novel_source,
+  ((us - 1704067200000000) // 60000000 % 1440 < 480 OR (us - 1704067200000000) // 60000000 % 1440 >= 1080)::INT AS off_hours,
+  CASE WHEN fv.process IS NULL THEN 0.0 ELSE ln((n + 1) / (np + 1)) / ln(n + 1) END AS process_rarity, coalesce(fv.process NOT IN ('proc0', 'proc1', 'proc2'), false)::INT AS novel_process
+  FROM fv LEFT JOIN pv ON pv.process = fv.process, (SELECT count(*) AS n FROM alerts_v) c),
+lg AS (SELECT pos, ln(1 + fails_user_10m) AS a, ln(1 + fails_ip_10m) AS b, ln(1 + users_per_ip_60m) AS c, ln(1 + hosts_per_user_60m) AS d FROM feat),
+mid AS (SELECT median(a) AS ma, median(b) AS mb, median(c) AS mc, median(d) AS md, greatest(1, stddev_pop(a)) AS sa, greatest(1, stddev_pop(b)) AS sb, greatest(1, stddev_pop(c)) AS sc, greatest(1, stddev_pop(d)) AS sd FROM lg),
+mad AS (SELECT 1.4826 * median(abs(a - ma)) AS xa, 1.4826 * median(abs(b - mb)) AS xb, 1.4826 * median(abs(c - mc)) AS xc, 1.4826 * median(abs(d - md)) AS xd FROM lg, mid),
+zs AS (SELECT pos, greatest((a - ma) / CASE WHEN xa > 0 THEN xa ELSE sa END, (b - mb) / CASE WHEN xb > 0 THEN xb ELSE sb END, (c - mc) / CASE WHEN xc > 0 THEN xc ELSE sc END, (d - md) / CASE WHEN xd > 0 THEN xd ELSE sd END) AS z FROM lg, mid, mad),
+ruled AS (SELECT feat.*, greatest(0, least(1, 0.40 * greatest(0, least(1, z / 6)) + 0.20 * novel_source + 0.15 * off_hours + 0.15 * success_after_failures + 0.15 * novel_process + 0.10 * (process_rarity > 0.6)::INT)) AS rule_score FROM feat JOIN zs USING (pos))
+"""
+_COLS = ["fails_user_10m", "fails_ip_10m", "users_per_ip_60m", "hosts_per_user_60m", "success_after_failures", "novel_source", "off_hours", "novel_process"]
+
+
+def _ruled(spark, sf_dir):
+    return anomaly.rule_scores(anomaly.features(members(spark, sf_dir), contexts(spark, sf_dir)[0]))
+
+
+@query("WITH " + ALERTS_SQL + ", " + FEATURES_SQL + f"SELECT pos, {', '.join(_COLS)}, round(process_rarity, 6) AS process_rarity FROM feat")
+def behavior_features(spark, sf_dir):
+    return anomaly.features(alerts(spark, sf_dir), contexts(spark, sf_dir)[0]).select("pos", *_COLS, F.round("process_rarity", 6).alias("process_rarity"))
+
+
+@query("WITH " + ALERTS_SQL + ", " + FEATURES_SQL + "SELECT pos, round(rule_score, 5) AS rule_score FROM ruled")
+def rule_scores(spark, sf_dir):
+    return _ruled(spark, sf_dir).select("pos", F.round("rule_score", 5).alias("rule_score"))
+
+
+@query("WITH " + ALERTS_SQL + ", " + FEATURES_SQL + ", r AS (SELECT incident_id, rule_score, row_number() OVER (PARTITION BY incident_id ORDER BY rule_score DESC, pos) AS p FROM ruled) SELECT incident_id, round(0.6 * max(rule_score) + 0.4 * avg(rule_score), 4) AS anomaly FROM r WHERE p <= 5 GROUP BY 1")
+def incident_anomaly(spark, sf_dir):
+    return anomaly.incident_anomaly(_ruled(spark, sf_dir), "rule_score")
+
+
+@query()
+def forest_scores(spark, sf_dir):
+    """Isolation forest, scaled and blended with the rule score."""
+    rows = shared.written(_ruled(spark, sf_dir), "features")
+    return anomaly.blended(rows.join(iforest.score(rows, iforest.fit(rows)), "pos")).select("pos", "rule_score", "model_score", "anomaly_score")
+
+
+@query()
+def anomaly_notes(spark, sf_dir):
+    return anomaly.incident_notes(anomaly.notes(_ruled(spark, sf_dir)))
+
+
+# --- chains, techniques, incidents --------------------------------------------------------------------
+
+CHAIN_SQL = """
+c0 AS (SELECT v.*, t.stage AS s0, sum((alert_type IN ('failed_login', 'account_lockout'))::INT) OVER (PARTITION BY incident_id) AS fails FROM alerts_v v LEFT JOIN types_v t USING (alert_type)),
+c1 AS (SELECT *, CASE WHEN alert_type IN ('failed_login', 'account_lockout') AND fails < 5 THEN NULL ELSE s0 END AS s1 FROM c0),
+c2 AS (SELECT *, max((s1 = 'credential_attack')::INT) OVER (PARTITION BY incident_id ORDER BY us, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM c1),
+staged AS (SELECT *, CASE WHEN alert_type = 'login_success' AND coalesce(seen, 0) = 1 THEN 'valid_access' ELSE s1 END AS st FROM c2),
+rolled AS (SELECT incident_id, st AS stage, any_value(label) AS label, any_value(stage_order) AS stage_order, min(us) AS first_us, max(us) AS last_us, count(*) AS n_alerts, string_agg(alert_id, ',' ORDER BY us, pos) AS alert_ids,
+  avg(confidence) AS mean, round(least(0.99, avg(confidence) * (0.85 + 0.15 * least(1.0, count(*) / 5))), 3) AS confidence FROM staged JOIN stages_v ON stages_v.stage = staged.st GROUP BY 1, 2),
+r1 AS (SELECT *, lag(stage_order) OVER (PARTITION BY incident_id ORDER BY first_us, stage_order) AS before, min(CASE WHEN stage IN ('initial_access', 'credential_attack', 'valid_access') THEN first_us END) OVER (PARTITION BY incident_id) AS entry FROM rolled),
+strength AS (SELECT incident_id, count(*) AS n_stages, round(least(1.0, least(1.0, (count(*) - 1) / 4) * (0.7 + 0.3 * CASE WHEN count(*) > 1 THEN count(*) FILTER (WHERE before <= stage_order) / (count(*) - 1) ELSE 0 END)
+  + 0.15 * coalesce(max((stage NOT IN ('initial_access', 'credential_attack', 'valid_access') AND first_us >= entry)::INT), 0)), 4) AS chain_strength FROM r1 GROUP BY 1)
+"""
+
+
+@query("WITH " + ALERTS_SQL + ", " + CHAIN_SQL + "SELECT incident_id, stage, label, first_us, last_us, n_alerts, alert_ids, round(mean, 6) AS mean_confidence FROM rolled")
+def attack_stages(spark, sf_dir):
+    return chain.stage_rollup(chain.staged(members(spark, sf_dir))).select("incident_id", "stage", "label", "first_us", "last_us", "n_alerts", F.array_join("alert_ids", ",").alias("alert_ids"), F.round("mean_confidence", 6).alias("mean_confidence"))
+
+
+@query("WITH " + ALERTS_SQL + ", " + CHAIN_SQL + "SELECT incident_id, n_stages, chain_strength FROM strength")
+def chain_strengths(spark, sf_dir):
+    return chain.chain_strength(chain.stage_rollup(chain.staged(members(spark, sf_dir))))
+
+
+MAPS_SQL = """
+m0 AS (SELECT incident_id, count(*) FILTER (WHERE alert_type = 'failed_login') AS f, count(*) FILTER (WHERE alert_type = 'login_success_after_failures') AS g,
+  count(*) FILTER (WHERE alert_type = 'login_new_source' AND NOT src_ip_private) AS e, count(*) FILTER (WHERE alert_type IN ('sensitive_resource_access', 'bulk_data_access')) AS d FROM alerts_v GROUP BY 1),
+maps AS (SELECT incident_id, 'T1110' AS technique_id, round(least(0.98, 0.7 + 0.004 * f), 3) AS confidence, f AS n_evidence FROM m0 WHERE f >= 10
+  UNION ALL SELECT incident_id, 'T1078', CASE WHEN g > 0 THEN 0.9 ELSE 0.65 END, g + e FROM m0 WHERE g > 0 OR e > 0 UNION ALL SELECT incident_id, 'T1213', round(least(0.9, 0.6 + 0.01 * d), 3), d FROM m0 WHERE d > 0)
+"""
+
+
+@query("WITH " + ALERTS_SQL + ", " + MAPS_SQL + "SELECT * FROM maps")
+def technique_mappings(spark, sf_dir):
+    return techniques.mapped(members(spark, sf_dir)).select("incident_id", "technique_id", "confidence", F.size("evidence").cast("long").alias("n_evidence"))
+
+
+RISK_SQL = CHAIN_SQL + ", " + MAPS_SQL + ", " + FEATURES_SQL + """,
+an AS (SELECT incident_id, round(0.6 * max(rule_score) + 0.4 * avg(rule_score), 4) AS anomaly FROM (SELECT incident_id, rule_score, row_number() OVER (PARTITION BY incident_id ORDER BY rule_score DESC, pos) AS p FROM ruled) WHERE p <= 5 GROUP BY 1),
+sv AS (SELECT incident_id, 0.5 * max(severity_score) / 100 + 0.5 * avg(severity_score) / 100 AS s FROM (SELECT incident_id, severity_score, row_number() OVER (PARTITION BY incident_id ORDER BY severity_score DESC, pos) AS p FROM alerts_v) WHERE p <= 10 GROUP BY 1),
+th AS (SELECT incident_id, sum(confidence) / 3 AS t FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY confidence DESC, technique_id) AS p FROM maps) WHERE p <= 3 GROUP BY 1),
+pl AS (SELECT incident_id, max(asset_criticality) / 5 AS a, max(user_privilege) / 5 AS p, count(DISTINCT "user") + count(DISTINCT host) + count(DISTINCT resource) + count(DISTINCT CASE WHEN NOT src_ip_private THEN src_ip END) AS things, min(us) AS first_us FROM alerts_v GROUP BY 1),
+fa AS (SELECT pl.incident_id, first_us, round(s, 4) AS base_severity, round(a, 4) AS asset_criticality, round(p, 4) AS identity_privilege, round(coalesce(chain_strength, 0), 4) AS attack_chain_strength, round(anomaly, 4) AS anomaly_score,
+  0.5 AS correlation_confidence, round(least(1.0, log2(1 + things) / log2(21)), 4) AS blast_radius, round(coalesce(t, 0), 4) AS threat_mapping_confidence
+  FROM pl JOIN sv USING (incident_id) JOIN an USING (incident_id) LEFT JOIN strength USING (incident_id) LEFT JOIN th USING (incident_id)),
+ri AS (SELECT *, ((((round(base_severity * 10000)::BIGINT * 20 + 50) // 100 + (round(asset_criticality * 10000)::BIGINT * 18 + 50) // 100 + (round(identity_privilege * 10000)::BIGINT * 14 + 50) // 100 + (round(attack_chain_strength * 10000)::BIGINT * 16 + 50) // 100 + (round(anomaly_score * 10000)::BIGINT * 10 + 50) // 100 + (round(correlation_confidence * 10000)::BIGINT * 10 + 50) // 100 + (round(blast_radius * 10000)::BIGINT * 7 + 50) // 100 + (round(threat_mapping_confidence * 10000)::BIGINT * 5 + 50) // 100) + 5) // 10) / 10 AS risk_score FROM fa)
+"""
+
+
+def _factors(spark, sf_dir):
+    m = shared.written(_ruled(spark, sf_dir), "members")
+    stages = chain.stage_rollup(chain.staged(m))
+    sure = m.select("incident_id").distinct().withColumn("confidence", F.lit(0.5))
+    return m, incidents.base_factors(m, chain.chain_strength(stages), anomaly.incident_anomaly(m, "rule_score"), sure, techniques.mapped(m))
+
+
+@query("WITH " + ALERTS_SQL + ", " + RISK_SQL + "SELECT incident_id, base_severity, asset_criticality, identity_privilege, attack_chain_strength, anomaly_score, correlation_confidence, blast_radius, threat_mapping_confidence FROM fa")
+def risk_factors(spark, sf_dir):
+    return _factors(spark, sf_dir)[1]
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(greatest(0, least(1, CASE WHEN c < 0.55 THEN 0.5 + (raw - 0.5) * c / 0.55 ELSE raw END)), 4) AS decision_signal, c < 0.55 AS needs_review
+FROM (SELECT l_orderkey, l_linenumber, 0.55 * (l_discount * 10)::DOUBLE + 0.30 * (l_tax * 10)::DOUBLE + 0.15 * (l_quantity / 50)::DOUBLE AS raw, (l_quantity / 50)::DOUBLE AS c FROM lineitem)""")
+def decision_signals(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem")
+    x = lambda c: c.cast("double")
+    rows = d.select("l_orderkey", "l_linenumber", x(F.col("l_discount") * 10).alias("p_malicious"), x(F.col("l_tax") * 10).alias("severity_normalized"), x(F.col("l_quantity") / 50).alias("p_escalate"), x(F.col("l_quantity") / 50).alias("disposition_confidence"))
+    return incidents.decision_signal(rows).select("l_orderkey", "l_linenumber", "decision_signal", "needs_review")
+
+
+@query("WITH " + ALERTS_SQL + """SELECT incident_id, min(us) AS first_us, max(us) AS last_us, string_agg(alert_id, ',' ORDER BY us, pos) AS alert_ids, count(*) AS n_alerts FROM alerts_v GROUP BY 1""")
+def incident_envelopes(spark, sf_dir):
+    return incidents.envelope(members(spark, sf_dir)).select("incident_id", "first_us", "last_us", F.array_join("alert_ids", ",").alias("alert_ids"), "n_alerts")
+
+
+_ENTITIES_SQL = LINKS_SQL + """, ie AS (SELECT incident_id, l.type, l.value, l.role, count(*) AS n_alerts, any_value(weight) AS rarity, any_value(weight) * count(*) AS score FROM links l JOIN alerts_v v USING (pos) JOIN weights w ON w.entity_key = l.type || ':' || l.value GROUP BY 1, 2, 3, 4),
+ip AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY score DESC, type, value, role) AS place FROM ie)
+"""
+
+
+@query("WITH " + ALERTS_SQL + ", " + _ENTITIES_SQL + "SELECT incident_id, type, value, role, n_alerts, round(score, 5) AS score FROM ie")
+def incident_entities(spark, sf_dir):
+    m = members(spark, sf_dir)
+    links = entities.entity_links(m).join(m.select("pos", "incident_id"), "pos")
+    return incidents.incident_entities(links, entities.entity_stats(m)).select("incident_id", "type", "value", "role", "n_alerts", F.round("score", 5).alias("score"))
+
+
+@query("WITH " + ALERTS_SQL + """, n AS (SELECT incident_id, alert_type, count(*) AS n, min({'u': us, 'p': pos}) AS seen FROM alerts_v GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY n DESC, seen) AS p FROM n)
+SELECT incident_id, string_agg(alert_type || ':' || n, ',' ORDER BY p) AS top_alert_types FROM r WHERE p <= 5 GROUP BY 1""")
+def top_alert_types(spark, sf_dir):
+    return incidents.top_types(members(spark, sf_dir)).select("incident_id", F.array_join(F.transform("top_alert_types", lambda x: F.concat_ws(":", x["alert_type"], x["n"].cast("string"))), ",").alias("top_alert_types"))
+
+
+@query("WITH " + ALERTS_SQL + ", " + RISK_SQL + "SELECT incident_id, risk_score, CASE WHEN risk_score >= 80 THEN 'critical' WHEN risk_score >= 60 THEN 'high' WHEN risk_score >= 30 THEN 'medium' ELSE 'low' END AS severity, row_number() OVER (ORDER BY risk_score DESC, first_us, incident_id) AS rank FROM ri")
+def ranked_risk(spark, sf_dir):
+    m, f = _factors(spark, sf_dir)
+    first = m.groupBy("incident_id").agg(F.min("us").alias("first_us"))
+    return incidents.ranked(incidents.risk(f.join(first, "incident_id")).withColumn("first_alert", F.col("incident_id"))).select("incident_id", "risk_score", "severity", "rank")
+
+
+@query("WITH " + ALERTS_SQL + ", " + CHAIN_SQL + """, w AS (SELECT *, row_number() OVER (PARTITION BY incident_id, st ORDER BY us, pos) AS i, row_number() OVER (PARTITION BY incident_id, st ORDER BY us DESC, pos DESC) AS j FROM staged),
+x AS (SELECT *, st IS NOT NULL AND (i <= 3 OR j = 1) AS s FROM w), y AS (SELECT *, CASE WHEN s THEN 0 WHEN row_number() OVER (PARTITION BY incident_id, alert_type, s ORDER BY us, pos) = 1 THEN 1 ELSE 2 END AS prio FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY prio, us, pos) AS p FROM y) SELECT incident_id, alert_id FROM z WHERE p <= 10""")
+def evidence_samples(spark, sf_dir):
+    return briefs.evidence_sample(chain.staged(members(spark, sf_dir)), 10).select("incident_id", "alert_id")
+
+
+@query()
+def incident_titles(spark, sf_dir):
+    m = shared.written(members(spark, sf_dir), "members")
+    stages, maps = chain.stage_rollup(chain.staged(m)), techniques.mapped(m)
+    ents = incidents.incident_entities(entities.entity_links(m).join(m.select("pos", "incident_id"), "pos"), entities.entity_stats(m))
+    return incidents.titles(m, stages, maps, incidents.primary_entities(ents))
+
+
+@query()
+def ranked_incidents(spark, sf_dir):
+    """The whole analysis of all alerts."""
+    return flagship(spark, sf_dir)
+
+
+# --- graph, evaluation, read queries ------------------------------------------------------------------
+
+_REFS = """rf AS (SELECT v.*, CASE WHEN ws.weight >= 0.1 THEN 'ip:' || src_ip END AS ns, CASE WHEN wu.weight >= 0.1 THEN 'user:' || "user" END AS nu, CASE WHEN wh.weight >= 0.1 THEN 'host:' || host END AS nh, CASE WHEN wp.weight >= 0.1 THEN 'process:' || process END AS np,
+  CASE WHEN wr.weight >= 0.1 THEN 'resource:' || resource END AS nr, CASE WHEN wd.weight >= 0.1 THEN 'ip:' || dst_ip END AS nd FROM alerts_v v LEFT JOIN weights ws ON ws.entity_key = 'ip:' || src_ip LEFT JOIN weights wu ON wu.entity_key = 'user:' || "user"
+  LEFT JOIN weights wh ON wh.entity_key = 'host:' || host LEFT JOIN weights wp ON wp.entity_key = 'process:' || process LEFT JOIN weights wr ON wr.entity_key = 'resource:' || resource LEFT JOIN weights wd ON wd.entity_key = 'ip:' || dst_ip),
+ed AS (SELECT incident_id, source, target, relation, count(*) AS n_alerts FROM (SELECT incident_id, ns AS source, coalesce(nu, nh) AS target, CASE WHEN nu IS NOT NULL THEN 'authenticates as' ELSE 'connects to' END AS relation FROM rf
+  UNION ALL SELECT incident_id, nu, nh, 'active on' FROM rf UNION ALL SELECT incident_id, nh, np, 'runs' FROM rf UNION ALL SELECT incident_id, coalesce(np, nh, nu), nr, 'accesses' FROM rf
+  UNION ALL SELECT incident_id, coalesce(nr, nh, nu), nd, CASE WHEN nr IS NOT NULL THEN 'hosted on' ELSE 'connects to' END FROM rf) WHERE source <> target GROUP BY ALL),
+no AS (SELECT incident_id, node, count(*) AS n_alerts FROM (SELECT incident_id, unnest([ns, nu, nh, np, nr, nd]) AS node FROM rf) WHERE node IS NOT NULL GROUP BY ALL),
+de AS (SELECT incident_id, node, count(*) AS degree FROM (SELECT incident_id, unnest([source, target]) AS node FROM ed) GROUP BY ALL)
+"""
+
+
+def _graph(spark, sf_dir):
+    m = shared.written(chain.staged(members(spark, sf_dir)), "members")
+    return graph.graph(m, entities.entity_stats(m))
+
+
+@query("WITH " + ALERTS_SQL + ", " + LINKS_SQL + ", " + _REFS + "SELECT incident_id, node, n_alerts, coalesce(degree, 0) AS degree FROM no LEFT JOIN de USING (incident_id, node)")
+def graph_nodes(spark, sf_dir):
+    return _graph(spark, sf_dir)[0].select("incident_id", "node", "n_alerts", "degree")
+
+
+@query("WITH " + ALERTS_SQL + ", " + LINKS_SQL + ", " + _REFS + "SELECT incident_id, source, target, relation, n_alerts FROM ed")
+def graph_edges(spark, sf_dir):
+    return _graph(spark, sf_dir)[1].select("incident_id", "source", "target", "relation", "n_alerts")
+
+
+def _truth(df):
+    return df.select("alert_id", F.concat("user", F.lit("-"), F.expr("((us - 1704067200000000) div 3600000000) div 8")).alias("gt_id"))
+
+
+TRUTH_SQL = """tr AS (SELECT alert_id, incident_id, "user" || '-' || (((us - 1704067200000000) // 3600000000) // 8) AS gt_id, user_id FROM alerts_v),
+ce AS (SELECT incident_id, gt_id, count(*) AS n FROM tr GROUP BY ALL), bp AS (SELECT incident_id, sum(n) AS size, max(n) AS top, count(*) AS kinds FROM ce GROUP BY 1), bt AS (SELECT gt_id, sum(n) AS size, count(*) AS kinds FROM ce GROUP BY 1),
+dm AS (SELECT incident_id, gt_id, n / sum(n) OVER (PARTITION BY incident_id) AS share, row_number() OVER (PARTITION BY incident_id ORDER BY n DESC, gt_id) AS p FROM ce),
+ti AS (SELECT DISTINCT gt_id, CASE WHEN user_id % 20 = 0 THEN 'critical' WHEN user_id % 10 = 0 THEN 'high' ELSE 'low' END AS priority, user_id % 10 = 0 AS malicious FROM tr)
+"""
+
+
+@query("WITH " + ALERTS_SQL + ", " + TRUTH_SQL + """, q AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM ce) AS same, (SELECT sum(size * (size - 1) / 2) FROM bp) AS pp, (SELECT sum(size * (size - 1) / 2) FROM bt) AS tp)
+SELECT (SELECT sum(n) FROM ce)::BIGINT AS alerts, (SELECT count(*) FROM bp) AS incidents, (SELECT count(*) FROM bt) AS truths, round(same / pp, 4) AS pairwise_precision, round(same / tp, 4) AS pairwise_recall,
+round(2 * (same / pp) * (same / tp) / (same / pp + same / tp), 4) AS pairwise_f1, round((SELECT sum(top) FROM bp) / (SELECT sum(n) FROM ce), 4) AS purity,
+round((SELECT count(*) FROM bp WHERE size > 1 AND kinds > 1) / (SELECT count(*) FROM bp WHERE size > 1), 4) AS over_merge_rate, round((SELECT count(*) FROM bt WHERE size > 1 AND kinds > 1) / (SELECT count(*) FROM bt WHERE size > 1), 4) AS split_rate,
+round((SELECT count(*) FROM bp WHERE size = 1) / (SELECT count(*) FROM bp), 4) AS singleton_rate, round((SELECT sum(n) FROM ce) / (SELECT count(*) FROM bp), 2) AS compression FROM q""")
+def clustering_metrics(spark, sf_dir):
+    m = members(spark, sf_dir)
+    return evaluate.clustering_metrics(m.select("alert_id", "incident_id"), _truth(m))
+
+
+@query("WITH " + ALERTS_SQL + ", " + TRUTH_SQL + "SELECT incident_id, gt_id, round(share, 5) AS share FROM dm WHERE p = 1")
+def dominant_truth(spark, sf_dir):
+    m = members(spark, sf_dir)
+    return evaluate.dominant_truth(m.select("alert_id", "incident_id"), _truth(m)).withColumn("share", F.round("share", 5))
+
+
+@query("WITH " + ALERTS_SQL + ", " + RISK_SQL + ", " + TRUTH_SQL + """, rk AS (SELECT incident_id, row_number() OVER (ORDER BY risk_score DESC, first_us, incident_id) AS rank, risk_score >= 60 AS high FROM ri), br AS (SELECT gt_id, min(rank) AS rank FROM rk JOIN dm USING (incident_id) WHERE p = 1 GROUP BY 1),
+fo AS (SELECT ti.*, rank FROM ti LEFT JOIN br USING (gt_id)), be AS (SELECT high FROM rk JOIN dm USING (incident_id) JOIN ti USING (gt_id) WHERE p = 1 AND NOT malicious)
+SELECT round(count(*) FILTER (WHERE priority = 'critical' AND rank <= 3) / count(*) FILTER (WHERE priority = 'critical'), 4) AS top3_critical_recall,
+round(count(*) FILTER (WHERE priority IN ('high', 'critical') AND rank <= 5) / least(5, count(*) FILTER (WHERE priority IN ('high', 'critical'))), 4) AS top5_urgent_recall,
+round((SELECT count(*) FROM be WHERE high) / (SELECT count(*) FROM be), 4) AS false_high_rate, (SELECT count(*) FROM be WHERE high) AS false_high_count, (SELECT count(*) FROM be) AS benign_incidents FROM fo""")
+def priority_metrics(spark, sf_dir):
+    m = members(spark, sf_dir)
+    truth = _truth(m)
+    truths = truth.join(m.select("alert_id", "user_id"), "alert_id").select("gt_id", F.when(F.col("user_id") % 20 == 0, "critical").when(F.col("user_id") % 10 == 0, "high").otherwise("low").alias("priority"), (F.col("user_id") % 10 == 0).alias("malicious")).distinct()
+    return evaluate.priority_metrics(ranked_risk(spark, sf_dir), evaluate.dominant_truth(m.select("alert_id", "incident_id"), truth), truths)
+
+
+@query("WITH " + ALERTS_SQL + ", " + FEATURES_SQL + """, d AS (SELECT rule_score >= 0.3 AS f, user_id % 10 = 0 AS m FROM ruled JOIN alerts_v USING (pos)), s AS (SELECT count(*) FILTER (WHERE f AND m) AS tp, count(*) FILTER (WHERE f AND NOT m) AS fp, count(*) FILTER (WHERE NOT f AND m) AS fn, count(*) FILTER (WHERE NOT f AND NOT m) AS tn FROM d)
+SELECT tp, fp, fn, tn, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 4) AS f1, round(fp / (fp + tn), 4) AS false_positive_rate FROM s""")
+def detection_metrics(spark, sf_dir):
+    return evaluate.detection_metrics(_ruled(spark, sf_dir).withColumn("bad", F.col("user_id") % 10 == 0), "rule_score", "bad", 0.3)
+
+
+@query("SELECT o_orderpriority, count(*) AS n, median(o_totalprice::DOUBLE) AS median FROM orders GROUP BY 1")
+def group_medians(spark, sf_dir):
+    return evaluate.medians(table(spark, sf_dir, "orders").withColumn("o_totalprice", F.col("o_totalprice").cast("double")), "o_orderpriority", "o_totalprice")
+
+
+@query("""WITH t AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'manual' ELSE 'assisted' END AS mode, o_totalprice::DOUBLE AS s, (o_orderstatus = 'F')::INT AS ok FROM orders), b AS (SELECT mode, count(*) AS n, median(s) AS median_seconds, round(avg(ok), 4) AS accuracy FROM t GROUP BY 1)
+SELECT *, round(100 * (1 - median_seconds / (SELECT median_seconds FROM b WHERE mode = 'manual')), 1) AS reduction_percent FROM b""")
+def triage_summary(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, "manual").otherwise("assisted").alias("mode"), F.col("o_totalprice").cast("double").alias("seconds"), (F.col("o_orderstatus") == "F").alias("correct"))
+    return evaluate.triage_summary(o)
+
+
+@query("WITH " + ALERTS_SQL + """SELECT pos, alert_id FROM alerts_v JOIN types_v USING (alert_type) WHERE (contains(lower(title), 'power') OR contains(alert_id, 'POWER') OR contains(lower("user"), 'power') OR contains(lower(host), 'power') OR starts_with(src_ip, 'power') OR contains(lower(alert_type), 'power')) AND alerts_v.severity = 'low' ORDER BY us DESC, pos DESC LIMIT 50 OFFSET 10""")
+def alert_search(spark, sf_dir):
+    return views.page(views.search_alerts(alerts(spark, sf_dir), "power", severity="low"), [F.desc("us"), F.desc("pos")], 50, 10).select("pos", "alert_id")
+
+
+@query("WITH " + ALERTS_SQL + "SELECT severity, count(*) AS n FROM alerts_v GROUP BY 1")
+def severity_overview(spark, sf_dir):
+    return views.overview(alerts(spark, sf_dir))
+
+
+@query("WITH " + ALERTS_SQL + ", h AS (SELECT ((us - 1704067200000000) // 3600000000 % 24)::INT AS hour, severity FROM alerts_v) SELECT hour, " + ", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS {s}" for s in ("critical", "high", "medium", "low", "informational")) + " FROM h GROUP BY 1")
+def hour_matrix(spark, sf_dir):
+    return views.hour_matrix(alerts(spark, sf_dir))
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderstatus = 'F') DESC, o_orderdate DESC, o_orderkey DESC) AS p FROM orders) WHERE p = 1")
+def latest_per_key(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("first", F.col("o_orderstatus") == "F")
+    return views.latest(o, "o_custkey", "o_orderdate", "first", "o_orderkey").select("o_custkey", "o_orderkey")
+
+
+@query("SELECT o_custkey, max_by(o_orderpriority, {'d': o_orderdate, 'k': o_orderkey}) AS verdict, 'triaged' AS status FROM orders GROUP BY 1 UNION ALL SELECT c_custkey, NULL, 'new' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def feedback_status(spark, sf_dir):
+    f = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("evidence_hash"), F.col("o_orderpriority").alias("verdict"), F.col("o_orderdate").alias("created_us"), F.col("o_orderkey").alias("feedback_id"))
+    return views.with_feedback(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("evidence_hash")), f).select(F.col("evidence_hash").alias("o_custkey"), "verdict", "status")
+
+
+@query("SELECT o_orderkey, o_totalprice::DOUBLE AS price FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, min(0.0) FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 GROUP BY 1")
+def fill_gaps(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    stored = o.filter("o_orderkey % 3 = 0").select("o_orderkey", F.col("o_totalprice").cast("double").alias("price"))
+    return tables.fill_gaps(stored, o.filter("o_orderkey % 2 = 0").select("o_orderkey", F.lit(0.0).alias("price")), ["o_orderkey"])
+
+
+@query("WITH " + ALERTS_SQL + ", " + RISK_SQL + """, tp AS (SELECT incident_id FROM ri ORDER BY risk_score DESC, first_us, incident_id LIMIT 300), tk AS (SELECT incident_id AS k, technique_id AS t FROM maps JOIN tp USING (incident_id) UNION SELECT incident_id, 'type:' || alert_type FROM alerts_v JOIN tp USING (incident_id)),
+sz AS (SELECT k, count(*) AS n FROM tk GROUP BY 1), co AS (SELECT a.k, b.k AS o, count(*) AS c FROM tk a JOIN tk b ON a.t = b.t AND a.k <> b.k GROUP BY ALL), si AS (SELECT co.k, o, c / (x.n + y.n - c) AS s FROM co JOIN sz x ON x.k = co.k JOIN sz y ON y.k = co.o)
+SELECT k AS incident_id, o AS other, round(s, 4) AS similarity, p AS place FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s DESC, o) AS p FROM si WHERE s > 0.2) WHERE p <= 3""")
+def similar_incidents(spark, sf_dir):
+    m, f = _factors(spark, sf_dir)
+    first = m.groupBy("incident_id").agg(F.min("us").alias("first_us"))
+    top = incidents.risk(f.join(first, "incident_id")).orderBy(F.desc("risk_score"), "first_us", "incident_id").limit(300).select("incident_id")
+    own = techniques.mapped(m).select("incident_id", F.col("technique_id").alias("token")).unionByName(m.select("incident_id", F.concat(F.lit("type:"), "alert_type").alias("token")))
+    return similarity.similar_sets(own.join(top, "incident_id", "left_semi"), "incident_id", "token").withColumn("place", F.col("place").cast("long"))
+
+
+@query("WITH " + ALERTS_SQL + ", " + RISK_SQL + "SELECT incident_id FROM (SELECT * FROM ri ORDER BY risk_score DESC, first_us, incident_id LIMIT 25) WHERE right(incident_id, 1) <> '1'")
+def undecided_incidents(spark, sf_dir):
+    m, f = _factors(spark, sf_dir)
+    risky = incidents.risk(f.join(m.groupBy("incident_id").agg(F.min("us").alias("first_us")), "incident_id")).withColumn("evidence_hash", F.col("incident_id"))
+    ok = risky.filter(F.col("incident_id").endswith("1")).select("evidence_hash", F.lit("ok").alias("status"))
+    return views.undecided(risky, ok, 25).select("incident_id")
+
+
+# --- streams ------------------------------------------------------------------------------------------
+
+
+@query("WITH " + ALERTS_SQL + """, b AS (SELECT ((us - 1704067200000000) // 600000000 % 144) AS b, count(*) AS n, count(*) FILTER (WHERE severity IN ('high', 'critical')) AS h FROM alerts_v GROUP BY 1)
+SELECT lpad((i // 6)::VARCHAR, 2, '0') || ':' || lpad((i % 6 * 10)::VARCHAR, 2, '0') AS bucket, coalesce(n, 0) AS n, coalesce(h, 0) AS n_high FROM (SELECT unnest(range(144)) AS i) LEFT JOIN b ON b.b = i""")
+def filled_rates(spark, sf_dir):
+    return stream.filled_rates(alerts(spark, sf_dir))
+
+
+@query(
+    "WITH " + ALERTS_SQL + ", " + RAW_SQL
+    + "SELECT alert_id, t AS us FROM accepted_2 WHERE content_place = 1"
+)
+def stream_drained(spark, sf_dir):
+    """All raw alerts as micro-batches of a file stream; the end state is the batch's."""
+    root = f"{shared.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    raw = raw_alerts(spark, sf_dir).drop("k")
+    raw.repartitionByRange(3, "pos").sortWithinPartitions("pos").write.parquet(f"{root}/in")
+    schema = spark.read.parquet(f"{root}/in").schema
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    stream.run_available(source, stream.ingest_batch(root), f"{root}/check")
+    return stream.drained(spark, root).select("alert_id", "us")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Ranked incidents: name, title, risk, severity, confidence, times, alerts."""
+    users, hosts, _ = contexts(spark, sf_dir)
+    out = pipeline.analyze(alerts(spark, sf_dir), users, None, CFG)
+    return out.incidents.select("incident_name", "rank", "title", "risk_score", "severity", "correlation_confidence", "first_us", "last_us", "n_alerts", "evidence_hash")
