@@ -58,17 +58,21 @@ def anchors(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarra
     return text[place], place - first[text[place]], h[place]
 
 
+def _starts(positions: list[int], n_words: int, length: int, last: bool) -> np.ndarray:
+    """Starts of windows of twice the length around repeated ones: to the right and to the left, or (last) all that hold one."""
+    shifts = np.arange(length + 1) if last else np.array([0, length])
+    found = np.unique((np.asarray(positions, np.int64)[:, None] - shifts).reshape(-1))
+    return found[(found >= 0) & (found + 2 * length <= n_words)]
+
+
 def _extended(texts: list[str], positions: list[list[int]], length: int, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of twice the length around repeated ones: to the right and to the left, or (last) all that hold one."""
+    """Text, word position and hash of those windows."""
     word, first = _words(texts)
-    text = np.repeat(np.arange(len(texts)), [len(p) for p in positions])
-    at = np.concatenate([np.asarray(p, np.int64) for p in positions]) + first[text] if len(text) else np.empty(0, np.int64)
-    shifts = np.arange(length + 1) if last else np.array([0, length])
-    start, text = (at[:, None] - shifts).reshape(-1), np.repeat(text, len(shifts))
-    fits = (start >= first[text]) & (start + 2 * length <= first[text + 1])
-    start = np.unique(start[fits])
-    text = np.searchsorted(first, start, side="right") - 1
-    return text, start - first[text], span_hashes(word, start, start + 2 * length)
+    own = [_starts(p, int(n), length, last) for p, n in zip(positions, np.diff(first), strict=True)]
+    text = np.repeat(np.arange(len(texts)), [len(x) for x in own])
+    pos = np.concatenate(own) if own else np.empty(0, np.int64)
+    start = pos + first[text]
+    return text, pos, span_hashes(word, start, start + 2 * length)
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
@@ -77,10 +81,14 @@ def _repeated(rows: DataFrame) -> DataFrame:
     return rows.join(many, "h").groupBy("key").agg(F.collect_set("pos").alias("pos"))
 
 
-def repeated_windows(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """key and pos, the starts of windows of words words that start earlier too. docs: key, doc_id, text, rest.
+def repeated_windows(docs: DataFrame, words: int = WORDS, small: bool = False) -> tuple[DataFrame, DataFrame, int]:
+    """Where windows of words words may start elsewhere too, and which of those start first. docs: key, id, text and more.
 
-    Earlier: a smaller doc_id (null is the smallest; then a smaller key), or an earlier position.
+    Each level takes all columns of docs, so that one exchange of the texts serves them all.
+
+    The first table has key and pos, the starts of repeated windows of words / 2 words: a window of full
+    length that repeats holds one (small: see _small_ids). The second has id and firsts: of each such window that is hashed, the
+    place with the smallest id, then position. All other places start earlier too. Also: words / 2.
     """
     length = words // 4
 
@@ -89,23 +97,35 @@ def repeated_windows(docs: DataFrame, words: int = WORDS) -> DataFrame:
             text, pos, h = anchors(part.column("text").to_pylist(), words)
             yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(text)), pa.array(pos, pa.int32()), pa.array(h.view(np.int64))], names=["key", "pos", "h"])
 
-    found = _repeated(docs.select("key", "text").mapInArrow(first_level, "key long, pos int, h long"))
+    found = _repeated(docs.mapInArrow(first_level, "key long, pos int, h long"))
     while True:
         last = 2 * length == words
 
         def next_level(batches: Iterator[pa.RecordBatch], length=length, last=last) -> Iterator[pa.RecordBatch]:
             for part in slices(batches):
                 text, pos, h = _extended(part.column("text").to_pylist(), part.column("pos").to_pylist(), length, last)
-                at = pa.array(text)
-                yield pa.RecordBatch.from_arrays([part.column("key").take(at), part.column("doc_id").take(at), pa.array(pos, pa.int32()), pa.array(h.view(np.int64))], names=["key", "doc_id", "pos", "h"])
+                yield pa.RecordBatch.from_arrays([part.column("id" if last else "key").take(pa.array(text)), pa.array(pos, pa.int32()), pa.array(h.view(np.int64))], names=["id" if last else "key", "pos", "h"])
 
-        rows = docs.join(found, "key").select("key", "doc_id", "text", "pos").mapInArrow(next_level, "key long, doc_id long, pos int, h long")
+        joined = docs.join(found, "key")
         if last:
             break
-        found, length = _repeated(rows), 2 * length
-    firsts = rows.groupBy("h").agg(F.min(F.struct("doc_id", "key", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "first.key", "first.pos")
-    firsts = firsts.select("h", F.col("key").alias("first_key"), F.col("pos").alias("first_pos"))
-    return rows.join(firsts, "h").filter("key <> first_key or pos <> first_pos").groupBy("key").agg(F.collect_set("pos").alias("pos"))
+        found, length = _repeated(joined.mapInArrow(next_level, "key long, pos int, h long")), 2 * length
+    rows = joined.mapInArrow(next_level, "id long, pos int, h long")
+    # a place as one number, by id and then by position, so that the smallest is found by plain sums in tasks
+    place = (F.col("id").cast("decimal(20,0)") * (1 << 31) + F.col("pos")).cast("decimal(38,0)")
+    if small:
+        place = F.col("id") * (1 << 27) + F.col("pos")
+        unpacked = [F.expr("first div (1L << 27)").alias("id"), F.expr("cast(first & ((1L << 27) - 1) as int)").alias("pos")]
+    else:
+        unpacked = [F.expr("cast(floor(first / 2147483648) as bigint)").alias("id"), F.expr("cast(pmod(first, 2147483648) as int)").alias("pos")]
+    firsts = rows.groupBy("h").agg(F.min(place).alias("first")).select(*unpacked)
+    return found, firsts.groupBy("id").agg(F.collect_set("pos").alias("firsts")), length
+
+
+def _small_ids(docs: DataFrame) -> bool:
+    """Whether all ids have 36 bits and all texts fewer than 2 ** 27 characters, so that a place fits 64 bits."""
+    r = docs.agg(F.min("id"), F.max("id"), F.max(F.octet_length("text"))).first()
+    return r[0] is not None and r[0] >= 0 and r[1] < 1 << 36 and r[2] < 1 << 27
 
 
 def without_repeated_passages(docs: DataFrame, words: int = WORDS, digest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,25 +133,36 @@ def without_repeated_passages(docs: DataFrame, words: int = WORDS, digest: bool
 
     A word goes if it is in a window of words words that also starts earlier. Words are runs without ASCII
     white space, unchanged. Texts are judged as they are, not by what is left of them. Null and empty texts
-    have no words. Rows that agree in doc_id and text are one document with one result; an extra column
+    have no words. Rows that agree in doc_id and text are one document with one result; of different texts
+    under one doc_id equal windows at equal positions all stay. A null doc_id is the smallest. An extra column
     never clashes, as it is inside rest. words must be a multiple of 4.
     """
     if words % 4:
         raise ValueError("words must be a multiple of 4")
     others = [docs[c] for c in docs.columns if c not in (id_col, text_col)]
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *([] if digest else others)).alias("rest"))
-    base = base.select(F.xxhash64(F.lit(17), "doc_id", "text").alias("key"), "doc_id", "text", "rest")
-    joined = base.join(repeated_windows(base, words), "key", "left").select("doc_id", "text", "rest", "pos")
+    base = base.select(F.xxhash64(F.lit(17), "doc_id", "text").alias("key"), "doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "text", "rest")
+    # copies of a whole text that are not its first row: all of their windows start earlier
+    named = base.select("key", "id", F.xxhash64(F.lit(1), "text").alias("t"), F.hash(F.lit(2), "text").alias("u"))
+    heads = named.groupBy("t", "u").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    copies = named.join(heads, ["t", "u"]).filter("id <> head").select("key", F.lit(True).alias("copy")).distinct()
+    tagged = base.join(copies, "key", "left")
+    own = tagged.filter("copy is null")
+    found, firsts, half = repeated_windows(own, words, _small_ids(base))
+    ids = base.select("key", "id").join(firsts, "id").select("key", "firsts").dropDuplicates(["key"])
+    joined = tagged.join(found, "key", "left").join(ids, "key", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             n, gone, kept = [], [], []
-            for text, pos in zip(part.column("text").to_pylist(), part.column("pos").to_pylist(), strict=True):
+            for text, copy, pos, first in zip(*[part.column(c).to_pylist() for c in ("text", "copy", "pos", "firsts")], strict=True):
                 have = text.encode("utf-8", "surrogatepass").split()  # ASCII white space
                 left = have
-                if pos:
+                if copy and len(have) >= words:
+                    left = []
+                elif pos:
+                    at = np.setdiff1d(_starts(pos, len(have), half, True), np.asarray(first or [], np.int64), assume_unique=True)
                     cover = np.zeros(len(have) + 1, np.int64)
-                    at = np.asarray(pos)
                     cover[at] += 1
                     cover[at + words] -= 1
                     left = [have[i] for i in np.flatnonzero(np.cumsum(cover[:-1]) == 0)]
