@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from alertmill.functions import catalog
 
@@ -58,7 +59,7 @@ def is_internal_v4(c: Column) -> Column:
     return reduce(lambda x, y: x | y, [n.between(int(x.network_address), int(x.broadcast_address)) for x in nets])
 
 
-@F.pandas_udf("struct<ip string, internal boolean>")
+@F.pandas_udf(T.StructType([T.StructField("ip", T.StringType()), T.StructField("internal", T.BooleanType())]))
 def _ipv6(values: pd.Series) -> pd.DataFrame:
     nets = [ipaddress.ip_network(x) for x in _INTERNAL_6]
 
