@@ -4,6 +4,9 @@ Documents are dealt into shards, as compressed blocks. Each shard gives the dist
 its trusted ones; those are summed over shards, turned into probabilities by joins on n-gram and context,
 and joined back to each shard's n-grams. So a shard gets what it needs of the model and no more, the model
 is never in one place, and counts cover every trusted document.
+
+Texts fall into two halves by hash (copies into the same). Each half is scored by the model of the other, so
+no document is scored by a model that has seen it, and thresholds hold for unseen documents too.
 """
 
 from __future__ import annotations
@@ -55,9 +58,13 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out.view(np.int64), offsets
 
 
+def _other(key: str) -> str:
+    return ("1" if key[0] == "0" else "0") + key[1:]
+
+
 def _per_language(table: pa.Table):
-    """Rows of a shard by language, in slices: language, row numbers, texts."""
-    lang = table.column("lang").to_pylist()
+    """Rows of a shard by half and language, in slices: that key, row numbers, texts."""
+    lang = table.column("key").to_pylist()
     rows = pd.Series(range(len(lang))).groupby(pd.Series(lang)).apply(list) if lang else {}
     text = table.column("text").to_pylist()
     for name, own in rows.items():
@@ -71,8 +78,8 @@ def _per_language(table: pa.Table):
 
 
 def _blocks(base: DataFrame) -> DataFrame:
-    """shard and block: the rows of base (doc_id, row, lang, text, shard) that a task has for a shard, as one compressed Arrow stream."""
-    names = ["doc_id", "row", "lang", "text"]
+    """shard and block: the rows of base (doc_id, row, lang, key, text, shard) that a task has for a shard, as one compressed Arrow stream."""
+    names = ["doc_id", "row", "lang", "key", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression="zstd")
@@ -123,8 +130,10 @@ def _shard_grams(key, blocks: pa.Table, trusted: pa.Table) -> pa.Table:
         gram, offsets = grams(texts)
         codes, names = pd.factorize(gram)
         weight = np.repeat(good[rows], np.diff(offsets))
-        counts = pd.Series(np.bincount(codes[weight], minlength=len(names)), index=names)
-        found[lang] = found[lang].add(counts, fill_value=0) if lang in found else counts
+        counts = np.bincount(codes[weight], minlength=len(names))
+        # scored by its own key's model, counted in the other half's
+        for key_, own in ((lang, pd.Series(0, index=names)), (_other(lang), pd.Series(counts[counts > 0], index=names[counts > 0]))):
+            found[key_] = found[key_].add(own, fill_value=0) if key_ in found else own
     parts = [pa.table({"shard": np.full(len(s), key[0].as_py(), np.int64), "lang": pa.array([lang] * len(s), pa.string()), "gram": s.index.to_numpy(np.int64), "c": s.to_numpy(np.int64)}) for lang, s in found.items()]
     return pa.concat_tables(parts) if parts else _NO_GRAMS
 
@@ -161,7 +170,7 @@ def _discounts(counts: DataFrame) -> DataFrame:
 
 
 def probabilities(counts: DataFrame, few_languages: bool = False) -> DataFrame:
-    """lang, gram, p of each n-gram of counts (lang, gram, c; c may be 0).
+    """lang, gram, p of each n-gram of counts (lang, gram, c; c may be 0); lang may name a half too.
 
     The longest n-grams have their counts, shorter ones the number of different characters before them.
     Each order takes its discount, by count 1, 2 or more, and hands it to the next shorter one; below single
@@ -187,12 +196,17 @@ def probabilities(counts: DataFrame, few_languages: bool = False) -> DataFrame:
     return now
 
 
+def half(text):
+    """0 or 1, by the text alone."""
+    return F.pmod(F.xxhash64(F.lit(3), text), F.lit(2))
+
+
 def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, row, lang, n_chars and perplexity (null for empty texts) of each row of docs; trusted: a table of doc_id."""
     spark = docs.sparkSession
     base = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), F.coalesce(docs[lang_col].cast("string"), F.lit("")).alias("lang"))
     n = max(1, -(-docs.count() // SHARD_DOCS))
-    base = base.withColumn("row", F.xxhash64(F.lit(17), "doc_id", "text", "lang")).withColumn("shard", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.col("row"))), F.lit(n)))
+    base = base.withColumn("row", F.xxhash64(F.lit(17), "doc_id", "text", "lang")).withColumn("key", F.concat(half(F.col("text")).cast("string"), "lang")).withColumn("shard", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.col("row"))), F.lit(n)))
     ids = trusted.filter("doc_id is not null").select("doc_id", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(n)).alias("shard"))
     few = base.select("lang").distinct().limit(FEW_LANGUAGES + 1).count() <= FEW_LANGUAGES
     dealt = _blocks(base).groupBy("shard")
@@ -200,7 +214,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     # one exchange, read for the model and for the shards: both take all of its columns
     found = found.repartition(partitions(spark), "lang", "gram")
     model = probabilities(found.groupBy("lang", "gram").agg(F.sum(F.when(F.col("shard") >= 0, F.col("c"))).alias("c")), few)
-    needed = found.filter("c >= 0").select("shard", "lang", "gram").join(model, ["lang", "gram"]).select("shard", "lang", "gram", F.log("p").cast("float").alias("logp"))
+    needed = found.join(model, ["lang", "gram"]).select("shard", "lang", "gram", F.when(F.col("c") >= 0, F.log("p")).cast("float").alias("logp"))
     kind = base.schema["doc_id"].dataType.simpleString()
     scored = dealt.cogroup(needed.groupBy("shard")).applyInArrow(_shard_scores, f"doc_id {kind}, row long, lang string, n_chars long, log_sum double")
     return scored.select("doc_id", "row", "lang", "n_chars", F.when(F.col("n_chars") > 0, F.exp(-F.col("log_sum") / F.col("n_chars"))).alias("perplexity"))
