@@ -230,14 +230,18 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, facto
     """doc_id, row, lang, n_chars, perplexity, score, threshold and kept of each row of docs.
 
     A document is rejected if its score is above its language's threshold: factor times the given quantile
-    of the language's trusted documents' scores (by percentile_approx). A language without trusted documents
+    of the language's trusted documents' scores (to 1 / 10000). A language without trusted documents
     has no threshold and loses nothing; nor does an empty text. Null languages are one language.
     """
     good = trusted_ids(labels)
     scored = perplexities(docs, good, id_col, text_col, lang_col).withColumn("score", F.col("perplexity") * F.exp(-CHANCE / F.sqrt("n_chars")))
     scored = written(scored, "quality-scores")
     of_trusted = scored.filter("score is not null").join(good, "doc_id", "left_semi")
-    limits = of_trusted.groupBy("lang").agg((F.percentile_approx("score", quantile, 10_000) * factor).alias("threshold"))
+    # counts on a grid of 1 / 10000 in the logarithm: bounded for each language, and the same in any order of summing
+    bins = of_trusted.groupBy("lang", F.round(F.log("score") * 10_000).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    by_lang = Window.partitionBy("lang")
+    bins = bins.withColumns({"below": F.sum("n").over(by_lang.orderBy("bin")), "all": F.sum("n").over(by_lang)})
+    limits = bins.filter(F.col("below") >= quantile * F.col("all")).groupBy("lang").agg((F.exp(F.min("bin") / 10_000) * factor).alias("threshold"))
     return scored.join(limits, "lang", "left").withColumn("kept", F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)))
 
 
