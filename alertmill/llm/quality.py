@@ -7,6 +7,9 @@ is never in one place, and counts cover every trusted document.
 
 Texts fall into two halves by hash (copies into the same). Each half is scored by the model of the other, so
 no document is scored by a model that has seen it, and thresholds hold for unseen documents too.
+
+A document has two scores: the mean over all of its characters, which junk of any length raises, and its
+worst window, which a single strange word raises however much normal prose stands around it.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ SHARD_DOCS = 8192
 QUANTILE, FACTOR = 0.995, 1.05
 #: A score is the perplexity less what chance adds to few characters: divided by exp(CHANCE / sqrt(n_chars)).
 CHANCE = 2.0
+#: Characters of a window, and the quantile of a language's trusted worst windows beyond which a document is rejected.
+WINDOW, WINDOW_QUANTILE = 5, 0.99
 
 #: Bytes of text that a task gathers before it cuts them into one block for each shard.
 BLOCK_BYTES = 16_000_000
@@ -138,10 +143,23 @@ def _shard_grams(key, blocks: pa.Table, trusted: pa.Table) -> pa.Table:
     return pa.concat_tables(parts) if parts else _NO_GRAMS
 
 
+def worst_windows(sums: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The largest -log p of WINDOW adjacent characters of each text (of the whole text if it is shorter; empty: 0), from running sums of log p."""
+    sizes = np.diff(offsets)
+    out = np.zeros(len(sizes))
+    end = np.arange(1, offsets[-1] + 1)
+    # a window cut short by the start of its text is never above the first whole one
+    window = sums[np.maximum(end - WINDOW, np.repeat(offsets[:-1], sizes))] - sums[end]
+    some = np.flatnonzero(sizes)
+    if len(some):
+        out[some] = np.maximum.reduceat(window, offsets[:-1][some])
+    return out
+
+
 def _shard_scores(key, blocks: pa.Table, model: pa.Table) -> pa.Table:
-    """doc_id, row, lang, n_chars and the sum of log probabilities of each document. A shard of the model always has documents."""
+    """doc_id, row, lang, n_chars, the sum of log probabilities and the worst window of each document. A shard of the model always has documents."""
     docs = _opened(blocks)
-    total, size = np.zeros(docs.num_rows), np.zeros(docs.num_rows, np.int64)
+    total, worst, size = np.zeros(docs.num_rows), np.zeros(docs.num_rows), np.zeros(docs.num_rows, np.int64)
     langs = model.column("lang").to_numpy(zero_copy_only=False)
     gram, logp = model.column("gram").to_numpy(), model.column("logp").to_numpy()
     by_lang = {}
@@ -156,8 +174,9 @@ def _shard_scores(key, blocks: pa.Table, model: pa.Table) -> pa.Table:
             known, values = by_lang[lang]
             sums = np.concatenate([[0.0], np.cumsum(values[np.searchsorted(known, names)][codes])])
             total[rows] = sums[offsets[1:]] - sums[offsets[:-1]]
+            worst[rows] = worst_windows(sums, offsets)
         size[rows] = np.diff(offsets)
-    return pa.table([docs.column("doc_id"), docs.column("row"), docs.column("lang"), pa.array(size), pa.array(total)], names=["doc_id", "row", "lang", "n_chars", "log_sum"])
+    return pa.table([docs.column("doc_id"), docs.column("row"), docs.column("lang"), pa.array(size), pa.array(total), pa.array(worst)], names=["doc_id", "row", "lang", "n_chars", "log_sum", "worst"])
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
@@ -202,7 +221,7 @@ def half(text):
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, row, lang, n_chars and perplexity (null for empty texts) of each row of docs; trusted: a table of doc_id."""
+    """doc_id, row, lang, n_chars, perplexity and worst (window; both null for empty texts) of each row of docs; trusted: a table of doc_id."""
     spark = docs.sparkSession
     base = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), F.coalesce(docs[lang_col].cast("string"), F.lit("")).alias("lang"))
     n = max(1, -(-docs.count() // SHARD_DOCS))
@@ -216,8 +235,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     model = probabilities(found.groupBy("lang", "gram").agg(F.sum(F.when(F.col("shard") >= 0, F.col("c"))).alias("c")), few)
     needed = found.join(model, ["lang", "gram"]).select("shard", "lang", "gram", F.when(F.col("c") >= 0, F.log("p")).cast("float").alias("logp"))
     kind = base.schema["doc_id"].dataType.simpleString()
-    scored = dealt.cogroup(needed.groupBy("shard")).applyInArrow(_shard_scores, f"doc_id {kind}, row long, lang string, n_chars long, log_sum double")
-    return scored.select("doc_id", "row", "lang", "n_chars", F.when(F.col("n_chars") > 0, F.exp(-F.col("log_sum") / F.col("n_chars"))).alias("perplexity"))
+    scored = dealt.cogroup(needed.groupBy("shard")).applyInArrow(_shard_scores, f"doc_id {kind}, row long, lang string, n_chars long, log_sum double, worst double")
+    return scored.select("doc_id", "row", "lang", "n_chars", F.when(F.col("n_chars") > 0, F.exp(-F.col("log_sum") / F.col("n_chars"))).alias("perplexity"), F.when(F.col("n_chars") > 0, F.col("worst")).alias("worst"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -226,23 +245,31 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.groupBy("doc_id").agg(F.min(F.coalesce(good, F.lit(False)).cast("int")).alias("good")).filter("good = 1").select("doc_id")
 
 
-def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, factor: float = FACTOR, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, row, lang, n_chars, perplexity, score, threshold and kept of each row of docs.
+def _limits(values: DataFrame, quantile: float) -> DataFrame:
+    """lang and the least value of its rows (lang, value) that the given share of them does not exceed."""
+    by_lang = Window.partitionBy("lang")
+    bins = values.groupBy("lang", "value").agg(F.count(F.lit(1)).alias("n"))
+    bins = bins.withColumns({"below": F.sum("n").over(by_lang.orderBy("value")), "all": F.sum("n").over(by_lang)})
+    return bins.filter(F.col("below") >= quantile * F.col("all")).groupBy("lang").agg(F.min("value").alias("value"))
 
-    A document is rejected if its score is above its language's threshold: factor times the given quantile
-    of the language's trusted documents' scores (to 1 / 10000). A language without trusted documents
-    has no threshold and loses nothing; nor does an empty text. Null languages are one language.
+
+def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, factor: float = FACTOR, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", window_quantile: float = WINDOW_QUANTILE) -> DataFrame:
+    """doc_id, row, lang, n_chars, perplexity, worst, score, threshold, worst_threshold and kept of each row of docs.
+
+    A document is rejected if its score is above its language's threshold, factor times the given quantile
+    of the language's trusted documents' scores (to 1 / 10000), or its worst window above the window_quantile
+    of theirs (to 1 / 1000). A language without trusted documents has no thresholds and loses nothing; nor
+    does an empty text. Null languages are one language.
     """
     good = trusted_ids(labels)
-    scored = perplexities(docs, good, id_col, text_col, lang_col).withColumn("score", F.col("perplexity") * F.exp(-CHANCE / F.sqrt("n_chars")))
+    scored = perplexities(docs, good, id_col, text_col, lang_col).withColumns({"score": F.col("perplexity") * F.exp(-CHANCE / F.sqrt("n_chars")), "worst": F.round("worst", 3)})
     scored = written(scored, "quality-scores")
     of_trusted = scored.filter("score is not null").join(good, "doc_id", "left_semi")
-    # counts on a grid of 1 / 10000 in the logarithm: bounded for each language, and the same in any order of summing
-    bins = of_trusted.groupBy("lang", F.round(F.log("score") * 10_000).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    by_lang = Window.partitionBy("lang")
-    bins = bins.withColumns({"below": F.sum("n").over(by_lang.orderBy("bin")), "all": F.sum("n").over(by_lang)})
-    limits = bins.filter(F.col("below") >= quantile * F.col("all")).groupBy("lang").agg((F.exp(F.min("bin") / 10_000) * factor).alias("threshold"))
-    return scored.join(limits, "lang", "left").withColumn("kept", F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)))
+    # counts on grids (1 / 10000 in the logarithm, 1 / 1000): bounded for each language, and the same in any order of summing
+    limits = _limits(of_trusted.select("lang", F.round(F.log("score") * 10_000).alias("value")), quantile).select("lang", (F.exp(F.col("value") / 10_000) * factor).alias("threshold"))
+    worst_limits = _limits(of_trusted.select("lang", F.col("worst").alias("value")), window_quantile).withColumnRenamed("value", "worst_threshold")
+    kept = (F.col("score") <= F.col("threshold")) & (F.col("worst") <= F.col("worst_threshold"))
+    return scored.join(limits, "lang", "left").join(worst_limits, "lang", "left").withColumn("kept", F.coalesce(kept, F.lit(True)))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:

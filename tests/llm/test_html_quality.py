@@ -104,6 +104,26 @@ def test_held_out_junk_is_found_and_good_text_kept(spark):
     assert good.kept.mean() > 0.97 and judged[judged.quality == 0].kept.mean() < 0.25
 
 
+def test_held_out_toxic_text_is_found(spark):
+    path = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    judged = quality.judged(docs, labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1"), "doc_id").toPandas()
+    toxic, good = judged[(judged.quality == 1) & (judged.toxic == 1)], judged[(judged.quality == 1) & (judged.toxic == 0)]
+    figures = {"toxic": 1 - toxic.kept.mean(), "toxic en": 1 - toxic[toxic.lang == "en"].kept.mean(), "clean": 1 - good.kept.mean(), "low": 1 - judged[judged.quality == 0].kept.mean(), "n": (len(toxic), (toxic.lang == "en").sum(), len(good), (judged.quality == 0).sum())}
+    print("share rejected:", figures)
+    # English toxic rows hold toxic words; those of the other languages hold none
+    assert figures["toxic en"] > 0.9 and figures["clean"] < 0.025
+
+
+def test_worst_windows():
+    rng = np.random.default_rng(3)
+    sizes = [0, 3, 40, 0, 5, 6, 0]
+    logs = [-rng.random(n) for n in sizes]
+    sums, offsets = np.concatenate([[0.0], np.cumsum(np.concatenate(logs))]), np.concatenate([[0], np.cumsum(sizes)])
+    want = [max((-x[i : i + quality.WINDOW].sum() for i in range(max(1, len(x) - quality.WINDOW + 1))), default=0.0) for x in logs]
+    assert np.allclose(quality.worst_windows(sums, offsets), want)
+
+
 def test_odd_tables(spark):
     docs = spark.createDataFrame([(1, "abc", "en"), (1, "abc", "en"), (None, "abc", None), (2, None, "en")], "doc_id long, text string, lang string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
