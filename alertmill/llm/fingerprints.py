@@ -2,11 +2,15 @@
 
 A k-mer of characters is a closed syncmer if the smallest of its inner s-mers (by hash) is its first or its
 last one. That depends on the k-mer alone, so equal passages give equal anchors wherever they stand.
+
+Two texts are compared by all of their anchors, aligned in the order of their positions. A fingerprint is a
+short sketch of the same anchors for output.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +22,7 @@ from pyspark.sql import functions as F
 from alertmill.llm.common import partitions, slices
 from alertmill.llm.textops import code_points, mix, span_hashes
 
-#: Characters of a k-mer and of its inner substrings, and anchors that a fingerprint keeps.
+#: Characters of a k-mer and of its inner substrings, and anchors that a fingerprint (not the alignment) keeps.
 K, S, KEEP = 16, 6, 128
 
 
@@ -49,31 +53,94 @@ def syncmers(texts: list[str], k: int = K, s: int = S) -> tuple[np.ndarray, np.n
     return text[place], place - offsets[text[place]], span_hashes(points, place, place + k, base=1)
 
 
-def sketches(texts: list[str], keep: int = KEEP, k: int = K, s: int = S) -> list[np.ndarray]:
-    """The keep smallest distinct anchors of each text, 32 bits each. A text without anchors has its own hash as one; an empty text none."""
-    text, _, found = syncmers(texts, k, s)
-    found = (mix(found) >> np.uint64(32)).astype(np.int64)
+def _own_hash(text: str) -> int:
+    return int.from_bytes(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()[:4], "big")
+
+
+def anchors_and_sketches(texts: list[str], keep: int = KEEP, k: int = K, s: int = S) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """All anchors of each text by position (64 bits each), and its keep smallest distinct ones (32 bits each).
+
+    A text without anchors has its own hash as one; an empty text none.
+    """
+    text, _, whole = syncmers(texts, k, s)  # by text, then by position
+    borders = np.searchsorted(text, np.arange(len(texts) + 1))
+    found = (mix(whole) >> np.uint64(32)).astype(np.int64)
     order = np.unique((text.astype(np.int64) << 32) | found)  # by text, then by hash
     first = np.searchsorted(order, np.arange(len(texts) + 1, dtype=np.int64) << 32)
-    out = []
+    anchors, out = [], []
     for i, t in enumerate(texts):
+        placed = whole[borders[i] : borders[i + 1]]
         mine = order[first[i] : min(first[i + 1], first[i] + keep)] & 0xFFFFFFFF
-        if not len(mine) and t:
-            mine = np.array([int.from_bytes(hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest()[:4], "big")], np.int64)
-        out.append(mine)
-    return out
+        if not len(placed) and t:
+            mine = np.array([_own_hash(t)], np.int64)
+            placed = mine.astype(np.uint64)
+        anchors.append(placed)
+        out.append(mine[:keep])
+    return anchors, out
+
+
+def sketches(texts: list[str], keep: int = KEEP, k: int = K, s: int = S) -> list[np.ndarray]:
+    """The keep smallest distinct anchors of each text, 32 bits each. A text without anchors has its own hash as one; an empty text none."""
+    return anchors_and_sketches(texts, keep, k, s)[1]
 
 
 def as_text(sketch: np.ndarray) -> str:
     return sketch.astype(">u4").tobytes().hex()
 
 
-def likeness(a: np.ndarray, b: np.ndarray, keep: int = KEEP) -> float:
-    """The share of common anchors among the keep smallest of both: an estimate of Jaccard's. Two empty ones: 1."""
+def aligned(a: np.ndarray, b: np.ndarray) -> int:
+    """How many anchors can be matched in the order of their positions: the longest common subsequence, exactly."""
+    n = min(len(a), len(b))
+    differs = a[:n] != b[:n]
+    head = int(differs.argmax()) if differs.any() else n
+    a, b = a[head:], b[head:]
+    n = min(len(a), len(b))
+    differs = a[len(a) - n :][::-1] != b[len(b) - n :][::-1]
+    tail = int(differs.argmax()) if differs.any() else n
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    both = np.intersect1d(a, b) if len(a) and len(b) else a[:0]
+    if not len(both):
+        return head + tail
+    x, y = (np.searchsorted(both, z[np.isin(z, both)]) for z in (a, b))
+    pairs = int(np.bincount(x, minlength=len(both)) @ np.bincount(y, minlength=len(both)))
+    return head + tail + (_by_pairs(x, y) if pairs <= 16 * (len(x) + len(y)) else _by_bits(x, y))
+
+
+def _by_pairs(x: np.ndarray, y: np.ndarray) -> int:
+    """Hunt and Szymanski's: the longest rising run of pairs; for few pairs."""
+    places: dict[int, list[int]] = {}
+    for j, v in enumerate(y.tolist()):
+        places.setdefault(v, []).append(j)
+    ends: list[int] = []
+    for v in x.tolist():
+        for j in reversed(places[v]):
+            at = bisect_left(ends, j)
+            if at == len(ends):
+                ends.append(j)
+            else:
+                ends[at] = j
+    return len(ends)
+
+
+def _by_bits(x: np.ndarray, y: np.ndarray) -> int:
+    """The bit-parallel one, a row of the table as one number; for texts that repeat themselves."""
+    masks: dict[int, int] = {}
+    for v in np.unique(x):
+        masks[int(v)] = int.from_bytes(np.packbits(x == v, bitorder="little").tobytes(), "little")
+    full = (1 << len(x)) - 1
+    row = full
+    for v in y.tolist():
+        hit = row & masks[v]
+        row = ((row + hit) | (row - hit)) & full
+    return len(x) - row.bit_count()
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard's of two texts' anchors, where those count as common that are aligned. Two empty ones: 1."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both = np.union1d(a, b)[:keep]
-    return float(np.isin(both, a, assume_unique=True).__and__(np.isin(both, b, assume_unique=True)).sum() / len(both))
+    common = aligned(a, b)
+    return common / (len(a) + len(b) - common)
 
 
 def fingerprints(docs: DataFrame, keep: int = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,7 +189,7 @@ def _bisect(cuts: list[int]) -> str:
 
 
 def edited_likeness(docs: DataFrame, keep: int = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of each text, of its edited text and of the next one, and their likeness.
+    """Fingerprints of each text and of its edited text, and its likeness to the edited text and to the next one by all aligned anchors.
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many (or all) of the
     next document's. Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
@@ -133,13 +200,13 @@ def edited_likeness(docs: DataFrame, keep: int = KEEP, id_col: str = "doc_id", t
         own = [r[1] for r in rows]
         edited = [t[: len(t) - len(t) // 3] + u[: len(t) // 3] for t, u in zip(own, nexts, strict=True)]
         # the last row's next is not among the rows themselves
-        a, b = sketches([*own, nexts[-1]], keep), sketches(edited, keep)
+        (a, short), (b, short_edited) = anchors_and_sketches([*own, nexts[-1]], keep), anchors_and_sketches(edited, keep)
         return pd.DataFrame(
             {
                 "doc_id": pd.array([r[0] for r in rows], "Int64"), "n_chars": [len(t) for t in own],
                 "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited],
-                "fingerprint": [as_text(x) for x in a[:-1]], "edited_fingerprint": [as_text(x) for x in b],
-                "near_edited": [likeness(x, y, keep) for x, y in zip(a, b, strict=False)], "near_next": [likeness(x, y, keep) for x, y in zip(a, a[1:], strict=False)],
+                "fingerprint": [as_text(x) for x in short[:-1]], "edited_fingerprint": [as_text(x) for x in short_edited],
+                "near_edited": [likeness(x, y) for x, y in zip(a, b, strict=False)], "near_next": [likeness(x, y) for x, y in zip(a, a[1:], strict=False)],
             }
         )
 

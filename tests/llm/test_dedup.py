@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from alertmill.llm import dedup, fingerprints, substrings
@@ -129,3 +130,32 @@ def test_fingerprints_and_next(spark):
     assert plain == {r["doc_id"]: r["fingerprint"] for r in got}
     one = fingerprints.edited_likeness(spark.createDataFrame([(None, "abc" * 20)], "doc_id long, text string")).first()
     assert one["near_next"] == 1.0
+
+
+def common_subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = last[j] + 1 if x == y else max(row[j], last[j + 1])
+    return row[-1]
+
+
+@pytest.mark.parametrize("symbols", [2, 5, 30, 1000])
+def test_aligned_anchors_are_the_longest_common_subsequence(symbols):
+    rng = np.random.default_rng(symbols)
+    for _ in range(40):
+        a, b = (rng.integers(0, symbols, rng.integers(0, 60)).astype(np.uint64) for _ in range(2))
+        b = np.concatenate([a[: len(a) // 3], b, a[len(a) // 2 :]]) if rng.random() < 0.5 else b
+        assert fingerprints.aligned(a, b) == common_subsequence(a.tolist(), b.tolist())
+
+
+def test_long_documents_keep_their_overlaps(spark):
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    passage = words(50)
+    a, b, c = words(20_000), words(20_000), words(20_000)
+    a, b = f"{a} {passage} {words(900)}", f"{words(3000)} {passage} {b}"
+    rows = {r["doc_id"]: r for r in fingerprints.edited_likeness(spark.createDataFrame([(3, a), (2, b), (1, c)], "doc_id long, text string")).collect()}
+    assert rows[3]["near_next"] > 0.0005 and rows[2]["near_next"] == rows[1]["near_next"] == 0
+    assert abs(rows[3]["near_edited"] - 0.5) < 0.01  # two thirds of each of two texts of one length
