@@ -289,6 +289,12 @@ def order_part_components(spark, sf_dir):
     return connected_components(e)
 
 
+@query()
+def order_part_components_whole(spark, sf_dir):
+    """Components of all orders and all parts; the query above keeps the part that its recursive SQL can do."""
+    return connected_components(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a"), (-F.col("l_partkey") - 1).alias("b")))
+
+
 # --- anomaly ------------------------------------------------------------------------------------------
 
 _FAIL = ", ".join(f"'{t}'" for t in catalog.FAIL_TYPES)
@@ -586,6 +592,14 @@ def fill_gaps(spark, sf_dir):
     return tables.fill_gaps(stored, o.filter("o_orderkey % 2 = 0").select("o_orderkey", F.lit(0.0).alias("price")), ["o_orderkey"])
 
 
+@query()
+def fill_gaps_whole(spark, sf_dir):
+    """As above, but all orders are new: none is left out."""
+    o = table(spark, sf_dir, "orders")
+    stored = o.filter("o_orderkey % 3 = 0").select("o_orderkey", F.col("o_totalprice").cast("double").alias("price"))
+    return tables.fill_gaps(stored, o.select("o_orderkey", F.lit(0.0).alias("price")), ["o_orderkey"])
+
+
 @query("WITH " + ALERTS_SQL + ", " + RISK_SQL + """, tp AS (SELECT incident_id FROM ri ORDER BY risk_score DESC, first_us, incident_id LIMIT 300), tk AS (SELECT incident_id AS k, technique_id AS t FROM maps JOIN tp USING (incident_id) UNION SELECT incident_id, 'type:' || alert_type FROM alerts_v JOIN tp USING (incident_id)),
 sz AS (SELECT k, count(*) AS n FROM tk GROUP BY 1), co AS (SELECT a.k, b.k AS o, count(*) AS c FROM tk a JOIN tk b ON a.t = b.t AND a.k <> b.k GROUP BY ALL), si AS (SELECT co.k, o, c / (x.n + y.n - c) AS s FROM co JOIN sz x ON x.k = co.k JOIN sz y ON y.k = co.o)
 SELECT k AS incident_id, o AS other, round(s, 4) AS similarity, p AS place FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s DESC, o) AS p FROM si WHERE s > 0.2) WHERE p <= 3""")

@@ -50,3 +50,24 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_whole_tables_of_orders(spark):
+    edges = [(r[0], -r[1] - 1) for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()]
+    above = {}
+
+    def root(x):
+        above.setdefault(x, x)
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        above[max(a, b)] = min(a, b)
+    got = registry.QUERIES["order_part_components_whole"](spark, SF).collect()
+    assert len(got) == len(above) and {r["node"]: r["component"] for r in got} == {x: root(x) for x in above}
+    orders = {r[0]: float(r[1]) for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_totalprice").collect()}
+    filled = registry.QUERIES["fill_gaps_whole"](spark, SF).collect()
+    assert len(filled) == len(orders) and {r["o_orderkey"]: r["price"] for r in filled} == {k: v if k % 3 == 0 else 0.0 for k, v in orders.items()}
