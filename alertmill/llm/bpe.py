@@ -7,10 +7,9 @@ every code point too. Special strings inside texts are found, as the library doe
 
 from __future__ import annotations
 
-import base64
 import functools
 import json
-import re
+import unicodedata
 from pathlib import Path
 
 import numpy as np
@@ -34,11 +33,34 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+#: Fragments of at most so many characters whose ids a worker keeps, and how many.
+_KNOWN_CHARS, _KNOWN = 32, 50_000
+#: Kinds of characters in the pattern: others, white space, letters, numbers.
+_OTHER, _SPACE, _LETTER, _NUMBER = range(4)
+#: Whether the pattern, wherever it began, may be cut between two kinds: before white space and never after it (it joins what
+#: follows), not from others to letters (contractions) and not inside a run of others (it may hide the start of one).
+_STARTS_ANEW = np.array([[0, 1, 0, 1], [0, 0, 0, 0], [1, 1, 1, 1], [1, 1, 1, 1]], bool)
+
+
 def is_space(c: str) -> bool:
     """What the pattern's \\s takes; Python's isspace also takes four separators."""
     return c.isspace() and not "\x1c" <= c <= "\x1f"
 
 
+@functools.cache
+def _kinds() -> np.ndarray:
+    """The kind of each code point."""
+    of = {"L": _LETTER, "N": _NUMBER}
+    return np.array([_SPACE if is_space(c) else of.get(unicodedata.category(c)[0], _OTHER) for c in map(chr, range(0x110000))], np.uint8)
+
+
+def _utf8(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, last byte and number of bytes of each code point."""
+    size = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+    lead, shift = np.array([0, 0, 0xC0, 0xE0, 0xF0], np.uint32), np.array([0, 0, 6, 12, 18], np.uint32)
+    return (lead[size] | points >> shift[size]).astype(np.uint8), np.where(size == 1, points, 0x80 | points & 0x3F).astype(np.uint8), size
+
+
 class ByteBpe:
     def __init__(self, path: str) -> None:
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
@@ -64,6 +86,7 @@ class ByteBpe:
             inside[a[:-1], a[1:]] = True
         #: apart[a, b]: no token has byte b right after byte a.
         self.apart = ~inside
+        self._known: dict[str, list[int]] = {}
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.coder.encode(text, allowed_special="all"), np.uint32)
@@ -73,40 +96,38 @@ class ByteBpe:
 
     # --- forced cuts -------------------------------------------------------------------------------
 
-    def is_cut(self, text: str, at: int) -> bool:
-        """No encoding has a token across at, and neither side's tokens depend on the other.
+    def cuts(self, text: str) -> np.ndarray:
+        """All places that no encoding has a token across, and whose sides' tokens do not depend on each other.
 
         The bytes on both sides occur in no token side by side (special ones included), so nothing merges
-        across; and the pre-tokenizer starts anew there, as white space follows something else, or a
-        letter follows a letter of the same run (whose rest is again a run of letters).
+        across; and the pre-tokenizer starts anew there, or goes on with a run of letters or digits whose
+        rest is again such a run (see _STARTS_ANEW).
         """
-        a, b = text[at - 1], text[at]
-        if not self.apart[a.encode("utf-8", "surrogatepass")[-1], b.encode("utf-8", "surrogatepass")[0]]:
-            return False
-        return (is_space(b) and not is_space(a)) or (a.isalpha() and b.isalpha())
-
-    def fragments(self, text: str, size: int) -> list[str]:
-        """The text cut at forced boundaries, each piece ending at the first one after size characters."""
-        out, start = [], 0
-        while len(text) - start > size:
-            at = start + size
-            while at < len(text) and not self.is_cut(text, at):
-                at += 1
-            out.append(text[start:at])
-            start = at
-        out.append(text[start:])
-        return out
-
-    def encode_fragments(self, text: str, size: int) -> np.ndarray:
-        parts = [self.encode(x) for x in self.fragments(text, size) if x]
-        return np.concatenate(parts) if parts else np.empty(0, np.uint32)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind, (first, last, _) = _kinds()[points], _utf8(points)
+        return np.flatnonzero(_STARTS_ANEW[kind[:-1], kind[1:]] & self.apart[last[:-1], first[1:]]) + 1
+
+    def fragments(self, text: str) -> list[str]:
+        """The text cut at every forced boundary; an empty text has none."""
+        places = [0, *self.cuts(text).tolist(), len(text)] if text else []
+        return [text[a:b] for a, b in zip(places, places[1:], strict=False)]
+
+    def encode_fragments(self, text: str) -> np.ndarray:
+        """Each fragment encoded by itself, then concatenated. Short ones recur, so a bounded number of their ids is kept."""
+        ids, known = [], self._known
+        for x in self.fragments(text):
+            own = known.get(x)
+            if own is None:
+                own = self.coder.encode(x, allowed_special="all")
+                if len(x) <= _KNOWN_CHARS:
+                    if len(known) >= _KNOWN:
+                        known.clear()
+                    known[x] = own
+            ids.extend(own)
+        return np.array(ids, np.uint32)
 
     # --- overlapping chunks ------------------------------------------------------------------------
 
-    def stable(self, text: str, at: int) -> bool:
-        """Any encoding of any chunk with at inside starts a token at at: white space after something else."""
-        return 0 < at < len(text) and is_space(text[at]) and not is_space(text[at - 1])
-
     def _token_starts(self, text: str) -> np.ndarray:
         """Byte offset of each token of a chunk, and the end."""
         return np.concatenate([[0], np.cumsum(self.lengths[self.encode(text)])])
@@ -115,8 +136,9 @@ class ByteBpe:
         """Tokens of a text; chunks encoded; times an overlap was widened.
 
         Texts longer than chunk are encoded as chunks that overlap. Two neighbours are spliced at a
-        common boundary: a stable place inside the overlap where both have a token border, and after
-        which both have the same borders up to the next stable place. If there is none, the overlap is
+        common boundary: a stable place (any chunk that holds both sides of a forced boundary starts a token
+        there) inside the overlap where both have a token border, and after which both have the same borders
+        up to the next stable place. If there is none, the overlap is
         doubled, at most until the right chunk takes in the whole rest of the left one.
         """
         if len(text) <= chunk:
@@ -151,13 +173,11 @@ class ByteBpe:
         """Tokens before the common boundary, in the left and in the right chunk."""
         before = len(text[left_begin:right_begin].encode("utf-8", "surrogatepass"))
         inside = text[right_begin:left_end]
-        places = [m.end() for m in re.finditer(r"\S(?=\s)", inside)]
+        places = self.cuts(inside)
         if len(places) < 2:
             return None
-        sizes = np.concatenate([[0], np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in inside])])
+        sizes = np.concatenate([[0], np.cumsum(_utf8(np.frombuffer(inside.encode("utf-32-le", "surrogatepass"), np.uint32))[2])])
         for a, b in zip(places, places[1:], strict=False):
-            if not (self.stable(text, right_begin + a) and self.stable(text, right_begin + b)):
-                continue
             i, j = (np.searchsorted(left, before + sizes[x]) for x in (a, b))
             k, m = (np.searchsorted(right, sizes[x]) for x in (a, b))
             if j < len(left) and m < len(right) and left[i] == before + sizes[a] and right[k] == sizes[a] and np.array_equal(left[i : j + 1] - before, right[k : m + 1]):

@@ -18,8 +18,6 @@ from alertmill.llm.common import slices, texts
 
 #: Characters of a chunk and of its overlap with the next; longer texts are never encoded whole.
 CHUNK_CHARS, OVERLAP_CHARS = 16_384, 256
-#: Characters after which the next forced boundary ends a fragment.
-FRAGMENT_CHARS = 16_384
 
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -42,9 +40,9 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, chunk_chars: in
     return narrow.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, n_chunks bigint, n_widened bigint")
 
 
-def encoded(docs: DataFrame, vocabulary: str | None = None, fragment_chars: int = FRAGMENT_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids array<int> of each row: fragments between forced boundaries, encoded apart and concatenated."""
-    return _coded(docs, vocabulary, fragment_chars, id_col, text_col, "ids array<int>", lambda coder, t, ids: (ids.astype(np.int32),))
+def encoded(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and ids array<int> of each row: fragments between all forced boundaries, encoded apart and concatenated."""
+    return _coded(docs, vocabulary, id_col, text_col, "ids array<int>", lambda coder, t, ids: (ids.astype(np.int32),))
 
 
 def decoded(tokens: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -60,17 +58,17 @@ def decoded(tokens: DataFrame, vocabulary: str | None = None, id_col: str = "doc
     return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def encoding_digests(docs: DataFrame, vocabulary: str | None = None, fragment_chars: int = FRAGMENT_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encoding_digests(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, decode, and keep digests of both alone: doc_id, n_tokens, ids_sha256, decoded_sha256, n_fragments."""
 
     def digests(coder: bpe.ByteBpe, text: str, ids: np.ndarray) -> tuple:
         back = coder.decode(ids).encode("utf-8")
-        return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), len(coder.fragments(text, fragment_chars))
+        return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), len(coder.cuts(text)) + 1 if text else 0
 
-    return _coded(docs, vocabulary, fragment_chars, id_col, text_col, "n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_fragments bigint", digests)
+    return _coded(docs, vocabulary, id_col, text_col, "n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_fragments bigint", digests)
 
 
-def _coded(docs, vocabulary, fragment_chars, id_col, text_col, schema, each) -> DataFrame:
+def _coded(docs, vocabulary, id_col, text_col, schema, each) -> DataFrame:
     path = vocabulary or bpe.default_vocabulary()
     kinds = {"bigint": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     fields = [x.split(" ") for x in schema.split(", ")]
@@ -78,7 +76,7 @@ def _coded(docs, vocabulary, fragment_chars, id_col, text_col, schema, each) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe.load(path)
         for part in slices(batches):
-            rows = [each(coder, t, coder.encode_fragments(t, fragment_chars)) for t in part.column("text").to_pylist()]
+            rows = [each(coder, t, coder.encode_fragments(t)) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)]], names=["doc_id", *[n for n, _ in fields]])
 
     narrow = texts(docs, id_col=id_col, text_col=text_col)
