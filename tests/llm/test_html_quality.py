@@ -37,6 +37,91 @@ def test_large_template_tables_are_joined(spark, monkeypatch):
     assert a == sorted(map(tuple, html.main_texts(pages).collect()))
 
 
+def _neutral(page):
+    for tag, name in (("nav", "q1"), ("article", "q2"), ("footer", "q3")):
+        page = page.replace(f"<{tag}>", f'<div class="{name}">').replace(f"</{tag}>", "</div>")
+    return page.replace('<div class="ad">', '<div class="q4">')
+
+
+def _unknown(page):
+    for tag, name in (("nav", "x-a"), ("article", "x-b"), ("footer", "x-c")):
+        page = page.replace(f"<{tag}>", f"<{name}>").replace(f"</{tag}>", f"</{name}>")
+    return page.replace('<div class="ad">', "<x-d>").replace("</div><x-b>", "</x-d><x-b>")
+
+
+def _bare(page):
+    return re.sub(r' class="q\d"', "", _neutral(page))
+
+
+@pytest.mark.parametrize(("change", "least"), [(_neutral, 0.95), (_unknown, 0.95), (_bare, 0.9)])
+def test_the_template_alone_finds_the_article(spark, change, least):
+    """Without tags or words that name the article, menu, advert or footer, on small hosts too."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    pages = spark.createDataFrame([(r["page_id"], r["url"], change(r["html"])) for r in rows], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.main_texts(pages).collect()}
+    right = [got[r["page_id"]] == want(r["html"]) for r in rows]
+    print(change.__name__, sum(right), len(right))
+    assert sum(right) >= least * len(right)
+
+
+def want(page):
+    article = re.search(r"<article>(.*)</article>", page, re.S).group(1)
+    blocks = [" ".join(entities.unescape(re.sub(r"</?b>|<br>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", article)]
+    return "\n".join(b for b in blocks if b)
+
+
+def test_classes_by_brute_force(spark):
+    """The members of each class, from the vectors themselves."""
+    rng = random.Random(8)
+    page = lambda i: "<body><div class=top>Name</div>" + ("<div class=promo>Buy</div>" if i % 3 else "") + f"<div class=c><p>{rng.random()}</p>" + ("<p>often</p>" if i % 2 else "") + ("<p>x</p><p>x</p>" if i % 5 == 0 else "") + "</div></body>"
+    rows = [(i, f"http://h.com/{i}", page(i)) for i in range(24)]
+    base = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": html.host(html.F.col("url")), "key": html.F.xxhash64("page_id")})
+    parsed = html.parsed(base).cache()
+    counts = {}
+    for i, _, text in rows:
+        p = html.Page(text)
+        for token in [(0, html._name("tag", x)) for x in p.paths] + [(1, html.text_token(x[0], x[1])) for x in p.blocks]:
+            counts.setdefault(token, {}).setdefault(i, 0)
+            counts[token][i] += 1
+    by_vector = {}
+    for token, v in counts.items():
+        if len(v) >= 4 and set(v.values()) == {1}:
+            by_vector.setdefault(tuple(sorted(v)), set()).add(token)
+    tokens = html._summed(html.occurrences(parsed).withColumns({"group": html.F.lit("g"), "n": html.F.lit(24)}), "group", "n")
+    got = {}
+    for r in html.classes(tokens).collect():
+        got.setdefault((r["v1"], r["v2"]), set()).add((r["kind"], r["token"]))
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, by_vector.values())) and len(got) >= 3
+    fixed = {r["token"] for r in html.fixed_texts(html.classes(tokens)).collect()}
+    assert fixed == {html.text_token("/body[1]/div.top[1]", "Name"), html.text_token("/body[1]/div.promo[1]", "Buy")}
+
+
+def test_template_text_of_some_pages_is_dropped_and_copies_are_kept(spark):
+    rng = random.Random(2)
+    words = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(n))
+    notice = "<div class=k1>Read more of our stories every day</div>"
+    bodies = [words(60) for _ in range(12)]
+    rows = [(i, f"http://h.com/{i}", f"<body><div class=k2>Menu</div><div class=k3><p>{b}</p>{notice if i % 2 else ''}<p>{b[:50]}</p></div></body>") for i, b in enumerate(bodies)]
+    rows += [(100 + i, f"http://h.com/c{i}", rows[1][2]) for i in range(8)]  # copies of one page
+    rows += [(200 + i, f"http://copies.com/{i}", f"<body><div class=z1>all the same</div><div class=z2><p>{bodies[0]}</p></div></body>") for i in range(6)]
+    rows += [rows[0], (None, None, rows[0][2])]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, text string, host int")
+    got = [(r["page_id"], r["text"]) for r in html.main_texts(pages).collect()]
+    assert len(got) == len(rows)
+    for i, t in got:
+        if i is None or i < 200:
+            own = bodies[1] if i is not None and i >= 100 else bodies[i or 0]
+            assert t == f"{own}\n{own[:50]}"
+        else:
+            assert bodies[0] in t
+
+
+def test_title_beside_the_body_and_empty_article(spark):
+    rows = [(i, f"http://h.com/{i}", f"<body><div>Menu</div><div><h1>Title {i}</h1><div>{''.join(f'<p>{i} text {j} of the body</p>' for j in range(3)) if i else ''}</div></div><div>Foot {i}</div></body>") for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n".join([f"Title {i}", *[f"{i} text {j} of the body" for j in range(3 if i else 0)]]) for i in range(8)}
+
+
 def kneser_ney(train, tests):
     """The same model over strings and dictionaries."""
     n = quality.ORDER
@@ -80,7 +165,7 @@ def kneser_ney(train, tests):
 
 
 def test_perplexities_are_the_models(spark, monkeypatch):
-    monkeypatch.setattr(quality, "SHARD_DOCS", 5)
+    monkeypatch.setattr(quality, "SHARD_BYTES", 100)
     rng = random.Random(4)
     texts = ["".join(rng.choice("ab cdé") for _ in range(rng.randrange(40))) for _ in range(30)] + ["", "ZZZ 日本 zq"]
     docs = spark.createDataFrame([(i, t or None, "x" if i % 2 else None, "c") for i, t in enumerate(texts)], "doc_id long, text string, lang string, c string")
