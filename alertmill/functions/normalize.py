@@ -202,10 +202,10 @@ def risk_label(score: Column) -> Column:
 def classify(name: Column, kind: Column, description: Column) -> Column:
     """Alert type of a vendor's alert: a native type stands for itself, else the first keyword rule that holds, else the generic type."""
     text = F.lower(F.concat_ws(" ", name, kind, description))
-    native = F.when(kind.isin([r[0] for r in catalog.rows(catalog.ALERT_TYPES)]), kind)
-    rules = [F.when(reduce(lambda x, y: x & y, [text.contains(k) for k in keys.split("&")]), F.lit(to)) for keys, to in catalog.rows(catalog.KEYWORD_RULES)]
+    native = F.when(kind.isin([r[0] for r in catalog.ALERT_TYPES]), kind)
+    rules = [F.when(reduce(lambda x, y: x & y, [text.contains(k) for k in keys]), F.lit(to)) for keys, to in catalog.KEYWORD_RULES]
     return F.coalesce(native, *rules, F.lit("sentinel_alert"))
 
 
 def product_source(product: Column) -> Column:
-    return F.coalesce(*[F.when(F.lower(product).contains(part), F.lit(to)) for part, to in catalog.rows(catalog.PRODUCT_SOURCES)], F.lit("sentinel"))
+    return F.coalesce(*[F.when(F.lower(product).contains(part), F.lit(to)) for part, to in catalog.PRODUCT_SOURCES], F.lit("sentinel"))

@@ -6,18 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertmill.functions import catalog
+from alertmill.operators.hot import exact_percentiles
 
 MINUTE = 60 * 1_000_000
 COUNTS = ["fails_user_10m", "fails_ip_10m", "users_per_ip_60m", "hosts_per_user_60m"]
 FEATURES = [*COUNTS, "novel_source", "off_hours", "process_rarity", "privilege", "criticality", "severity", "novel_process", "success_after_failures"]
 
 
+#: Longest trailing window; keys are cut into slots of this length.
+HOUR = 60 * MINUTE
+
+
 def _trailing(key: str, minutes: int):
-    return Window.partitionBy(key).orderBy("us").rangeBetween(-minutes * MINUTE, 0)
+    return Window.partitionBy(key, "_slot").orderBy("us").rangeBetween(-minutes * MINUTE, 0)
 
 
-def _of_key(key: str, value: Column) -> Column:
-    return F.when(F.col(key).isNotNull(), value).otherwise(F.lit(0))
+def _with_counts(rows: DataFrame, key: str, counts: dict[str, Column]) -> DataFrame:
+    """rows with counts over trailing windows of a key. Each slot of an hour also holds the alerts of the hour before it, so a key of any size is many tasks' work; rows without a key meet in none."""
+    slot = F.expr(f"us div {HOUR}")
+    keyed = rows.filter(F.col(key).isNotNull()).withColumn("_slot", F.explode(F.array(slot, slot + 1)))
+    own = keyed.withColumns(counts).filter(F.col("_slot") == slot).drop("_slot")
+    return own.unionByName(rows.filter(F.col(key).isNull()), allowMissingColumns=True)
 
 
 def features(alerts: DataFrame, users: DataFrame) -> DataFrame:
@@ -33,12 +42,15 @@ def features(alerts: DataFrame, users: DataFrame) -> DataFrame:
     hour = F.hour("ts") + F.minute("ts") / 60
     based = F.col("hours_from").isNotNull() & ~((F.col("hours_from") == 0) & (F.col("hours_to") >= 24))
     new_ip = F.col("_known") & F.col("src_ip").isNotNull() & (success | (fail == 1)) & ~F.array_contains(F.coalesce("known_src_ips", F.array().cast("array<string>")), F.col("src_ip"))
+    by_user, by_ip = (lambda n: _trailing("user", n)), (lambda n: _trailing("src_ip", n))
+    rows = _with_counts(rows, "user", {"fails_user_10m": F.sum(fail).over(by_user(10)), "_hosts": F.size(F.collect_set("host").over(by_user(60))), "_fails_30m": F.sum(fail).over(by_user(30))})
+    rows = _with_counts(rows, "src_ip", {"fails_ip_10m": F.sum(fail).over(by_ip(10)), "_users": F.size(F.collect_set("user").over(by_ip(60)))})
     rows = rows.withColumns(
         {
-            "fails_user_10m": _of_key("user", F.sum(fail).over(_trailing("user", 10))), "fails_ip_10m": _of_key("src_ip", F.sum(fail).over(_trailing("src_ip", 10))),
-            "users_per_ip_60m": F.when(F.col("src_ip").isNotNull() & F.col("user").isNotNull(), F.size(F.collect_set("user").over(_trailing("src_ip", 60)))).otherwise(0),
-            "hosts_per_user_60m": F.when(F.col("user").isNotNull() & F.col("host").isNotNull(), F.size(F.collect_set("host").over(_trailing("user", 60)))).otherwise(0),
-            "success_after_failures": (success & F.col("user").isNotNull() & (F.sum(fail).over(_trailing("user", 30)) >= 5)).cast("int"),
+            "fails_user_10m": F.coalesce("fails_user_10m", F.lit(0)), "fails_ip_10m": F.coalesce("fails_ip_10m", F.lit(0)),
+            "users_per_ip_60m": F.when(F.col("src_ip").isNotNull() & F.col("user").isNotNull(), F.col("_users")).otherwise(0),
+            "hosts_per_user_60m": F.when(F.col("user").isNotNull() & F.col("host").isNotNull(), F.col("_hosts")).otherwise(0),
+            "success_after_failures": F.coalesce(success & (F.col("_fails_30m") >= 5), F.lit(False)).cast("int"),
             "novel_source": F.when(F.coalesce(new_ip, F.lit(False)), F.when(F.col("src_ip_private"), 0.5).otherwise(1.0)).otherwise(0.0),
             "off_hours": F.coalesce(based & ((hour < F.col("hours_from")) | (hour >= F.col("hours_to"))), F.lit(False)).cast("int"),
             "process_rarity": F.when(F.col("process").isNotNull() & (F.col("_n") > 0), F.log((F.col("_n") + 1) / (F.col("_of_process") + 1)) / F.log(F.col("_n") + F.lit(1.0))).otherwise(0.0),
@@ -46,7 +58,7 @@ def features(alerts: DataFrame, users: DataFrame) -> DataFrame:
             "privilege": F.col("user_privilege") / 5, "criticality": F.col("asset_criticality") / 5, "severity_part": F.col("severity_score") / 100,
         }
     )
-    return rows.drop("_known", "_n", "_of_process", "hours_from", "hours_to", "known_src_ips", "known_processes")
+    return rows.drop("_known", "_n", "_of_process", "_hosts", "_users", "_fails_30m", "hours_from", "hours_to", "known_src_ips", "known_processes")
 
 
 def robust_scales(rows: DataFrame) -> DataFrame:
@@ -74,7 +86,7 @@ def rule_scores(rows: DataFrame) -> DataFrame:
 
 def blended(rows: DataFrame, raw: str = "forest_raw") -> DataFrame:
     """anomaly_score: half the rule score, half the forest's, which is scaled from its median to its 99.5th percentile."""
-    limits = rows.agg(F.median(raw).alias("_mid"), F.percentile(raw, F.lit(0.995)).alias("_top"))
+    limits = exact_percentiles(rows, raw, {"_mid": 0.5, "_top": 0.995}).drop("n")
     model = _clip((F.col(raw) - F.col("_mid")) / (F.col("_top") - F.col("_mid") + 1e-9))
     return rows.crossJoin(F.broadcast(limits)).withColumn("model_score", model).withColumn("anomaly_score", _clip(0.5 * F.col("rule_score") + 0.5 * F.col("model_score"))).drop("_mid", "_top")
 

@@ -5,27 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from alertmill.operators.hot import join_groups
 from alertmill.sources.shared import written
 
+#: Edges from which on the neighbours of one node are dealt to several tasks.
+MANY = 200_000
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", within: str | None = None) -> DataFrame:
     """node, component: the smallest node that each node of the edges reaches; with within, in each of its values apart.
 
     Rounds of large and small stars: every node passes its larger neighbours on to its smallest one. The
     number of rounds grows with the logarithm of the longest path, and the edges never grow in number. Edge
-    rows alone are moved, minima are combined before the shuffle, and each round is a table in the shared
-    folder. Nulls and loops link nothing.
+    rows alone are moved, minima are combined before the shuffle, a hub's neighbours are dealt to several tasks,
+    and each round is a table in the shared folder. Nulls and loops link nothing.
     """
     key = [within] if within else []
     now = edges.select(*key, F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     now = written(_both(now, key), "edges")
-    seen = None
+    seen, size = None, now.count()
     while True:
-        now = written(_small_star(_large_star(now, key), key), "edges")
+        many = size > MANY
+        now = written(_small_star(_large_star(now, key, many), key, many), "edges")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*key, "u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
-        seen = state
+        seen, size = state, state[0]
     return now.select(*key, F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(*key, F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
@@ -34,16 +39,20 @@ def _both(edges: DataFrame, key: list[str]) -> DataFrame:
     return edges.select(*key, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def _large_star(edges: DataFrame, key: list[str]) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, key: list[str], many: bool) -> DataFrame:
+    return join_groups(edges, least, [*key, "u"], ["v"]) if many else edges.join(least.drop("n"), [*key, "u"])
+
+
+def _large_star(edges: DataFrame, key: list[str], many: bool) -> DataFrame:
     around = edges.unionByName(edges.select(*key, F.col("v").alias("u"), F.col("u").alias("v")))
-    least = around.groupBy(*key, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = around.join(least, [*key, "u"]).filter("v > u").select(*key, F.col("v").alias("u"), F.col("m").alias("v"))
+    least = around.groupBy(*key, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    joined = _with_least(around, least, key, many).filter("v > u").select(*key, F.col("v").alias("u"), F.col("m").alias("v"))
     return joined.filter("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame, key: list[str]) -> DataFrame:
+def _small_star(edges: DataFrame, key: list[str], many: bool) -> DataFrame:
     """edges go from larger to smaller."""
-    least = edges.groupBy(*key, "u").agg(F.min("v").alias("m"))
-    joined = edges.join(least, [*key, "u"])
+    least = edges.groupBy(*key, "u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    joined = _with_least(edges, least, key, many)
     own = least.select(*key, "u", F.col("m").alias("v"))
     return joined.filter("v <> m").select(*key, F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own).distinct()

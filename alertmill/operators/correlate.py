@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertmill.functions import catalog
+from alertmill.operators import similarity
 from alertmill.operators.components import connected_components
+from alertmill.operators.hot import sent_if_small
 from alertmill.sources.shared import written
 
 
@@ -24,13 +26,24 @@ class Correlation:
     version: str = "1"
 
 
+# --- fixed values: results depend on them -------------------------------------------------------------
 WEIGHTS = {"user": 0.22, "host": 0.18, "src_ip": 0.14, "dst": 0.08, "time": 0.12, "behavior": 0.12, "severity": 0.08, "semantic": 0.06}
 STRONG_SCORE, STRONG_ENTITY = 0.60, 0.45
+# ------------------------------------------------------------------------------------------------------
+
+#: Columns of an alert that name an entity, and the entity's type.
+KEYS = {"user": "user", "host": "host", "src_ip": "ip", "dst_ip": "ip", "resource": "resource"}
+#: Rows of weights and of similar titles up to which they are sent to all tasks.
+SENT_ROWS = 1_000_000
+
+
+def _named(column: str) -> Column:
+    return F.when(F.col(column).isNotNull(), F.concat(F.lit(f"{KEYS[column]}:"), F.col(column)))
 
 
 def keyed(alerts: DataFrame, weights: DataFrame, ip_to_host: DataFrame | None = None, cfg: Correlation = Correlation()) -> DataFrame:
     """entity_key, pos, us: each alert once under each of its rare entities, and under the host its address belongs to."""
-    each = F.array_distinct(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{t}:"), F.col(c))) for c, t in (("user", "user"), ("host", "host"), ("src_ip", "ip"), ("dst_ip", "ip"), ("resource", "resource"))])))
+    each = F.array_distinct(F.array_compact(F.array(*[_named(c) for c in KEYS])))
     rows = alerts.select("pos", "us", F.explode(each).alias("entity_key"))
     if ip_to_host is not None:
         pivot = alerts.join(ip_to_host.select(F.col("ip").alias("src_ip"), F.col("host").alias("_host")), "src_ip").filter(F.col("host").isNull() | (F.col("host") != F.col("_host")))
@@ -42,65 +55,78 @@ def keyed(alerts: DataFrame, weights: DataFrame, ip_to_host: DataFrame | None =
 def candidate_pairs(rows: DataFrame, cfg: Correlation = Correlation()) -> DataFrame:
     """a, b: under each key an alert meets the next max_neighbors ones (by time, then pos) inside the window; each pair once.
 
-    A frame of rows after the current one, so no self-join: a row holds at most max_neighbors others. Common
-    keys, which would fill one task, are gone by their weight.
+    A frame of rows after the current one, so no self-join: a row holds at most max_neighbors others. A key is
+    cut into slots of the window's length; an alert looks ahead into its own slot and the next one, whose
+    alerts are there too, so a key of any size is many tasks' work.
     """
-    ahead = Window.partitionBy("entity_key").orderBy("us", "pos").rowsBetween(1, cfg.max_neighbors)
-    met = rows.withColumn("next", F.collect_list(F.struct("us", "pos")).over(ahead)).select("pos", "us", F.explode("next").alias("n"))
-    near = met.filter((F.col("n.us") - F.col("us") <= cfg.window_minutes * 60_000_000) & (F.col("n.pos") != F.col("pos")))
+    length = cfg.window_minutes * 60_000_000
+    slot = F.expr(f"us div {length}")
+    rows = rows.select("entity_key", "pos", "us", F.explode(F.array(slot, slot - 1)).alias("slot"))
+    ahead = Window.partitionBy("entity_key", "slot").orderBy("us", "pos").rowsBetween(1, cfg.max_neighbors)
+    met = rows.withColumn("next", F.collect_list(F.struct("us", "pos")).over(ahead)).filter(F.col("slot") == slot).select("pos", "us", F.explode("next").alias("n"))
+    near = met.filter((F.col("n.us") - F.col("us") <= length) & (F.col("n.pos") != F.col("pos")))
     return near.select(F.least("pos", "n.pos").alias("a"), F.greatest("pos", "n.pos").alias("b")).distinct()
 
 
-_SIDE = ["us", "user", "host", "src_ip", "dst_ip", "resource", "alert_type", "severity_score", "title"]
-
-
 def behavior(first_type, second_type, first_family, second_family, first_stage, second_stage, forward, backward):
-    """How well two alerts, in time order, go together, and why."""
-    value = (
+    """How well two alerts, in time order, go together."""
+    return (
         F.when(first_type == second_type, 0.6).when(forward, 1.0).when(backward, 0.7).when(first_family == second_family, 0.5)
         .when(first_stage.isNull() & second_stage.isNull(), 0.3).otherwise(0.1)
     )
-    return value
 
 
-def scored_pairs(pairs: DataFrame, alerts: DataFrame, weights: DataFrame, titles: DataFrame | None = None, ip_to_host: DataFrame | None = None) -> DataFrame:
-    """a, b, the eight components (null: not shared), score and minutes between the two.
+def sides(alerts: DataFrame, weights: DataFrame, ip_to_host: DataFrame | None = None) -> DataFrame:
+    """What a pair needs of an alert: its columns, family and stage, the weight w_ of each of its entities, and of, the host that its source address belongs to.
 
-    weights: entity_key, weight; titles: a, b, similarity of distinct titles (none: equal titles alone count).
+    Weights are joined to alerts, once for all entities; pairs are many more.
+    """
+    each = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("c"), _named(c).alias("entity_key"))) for c in KEYS]))
+    links = alerts.select("pos", F.explode(each).alias("e")).select("pos", "e.*")
+    own = links.join(sent_if_small(weights.select("entity_key", "weight"), SENT_ROWS), "entity_key").groupBy("pos").agg(*[F.max(F.when(F.col("c") == c, F.col("weight"))).alias(f"w_{c}") for c in KEYS])
+    kind = F.col("alert_type")
+    out = alerts.select("pos", "us", *KEYS, "alert_type", "severity_score", "title", catalog.family(kind).alias("family"), catalog.of_type("stage", kind).alias("stage")).join(own, "pos", "left")
+    if ip_to_host is None:
+        return out.withColumn("of", F.lit(None).cast("string"))
+    of = alerts.filter("src_ip is not null").select("pos", F.col("src_ip").alias("ip")).join(ip_to_host, "ip").select("pos", F.col("host").alias("of"))
+    return out.join(of, "pos", "left")
+
+
+def scored_pairs(pairs: DataFrame, alerts: DataFrame, weights: DataFrame, semantic: bool = True, ip_to_host: DataFrame | None = None) -> DataFrame:
+    """a, b, the eight components (null: not shared), score, minutes between the two, and key_: the entities they share.
+
+    weights: entity_key, weight, a written table. semantic: similar titles count (else equal ones alone); only the
+    titles of pairs are compared.
     """
-    spark = pairs.sparkSession
-    side = lambda s: alerts.select(F.col("pos").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in _SIDE])
+    each = written(sides(alerts, weights, ip_to_host), "pair-sides")
+    side = lambda s: each.select(*[F.col(c).alias(s if c == "pos" else f"{s}_{c}") for c in each.columns])
     p = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared = {c: F.when(F.col(f"a_{c}") == F.col(f"b_{c}"), F.concat(F.lit(f"{t}:"), F.col(f"a_{c}"))) for c, t in (("user", "user"), ("host", "host"), ("src_ip", "ip"), ("dst_ip", "ip"), ("resource", "resource"))}
-    p = p.withColumns({f"key_{c}": v for c, v in shared.items()})
-    if ip_to_host is not None:
-        for x, y in (("a", "b"), ("b", "a")):
-            p = p.join(ip_to_host.select(F.col("ip").alias(f"{y}_src_ip"), F.col("host").alias(f"{y}_of")), f"{y}_src_ip", "left")
-        pivot = F.coalesce(F.when(F.col("a_host") == F.col("b_of"), F.col("a_host")), F.when(F.col("b_host") == F.col("a_of"), F.col("b_host")))
-        p = p.withColumn("key_host", F.coalesce("key_host", F.concat(F.lit("host:"), pivot)))
-    for c in shared:
-        p = p.join(weights.select(F.col("entity_key").alias(f"key_{c}"), F.col("weight").alias(f"w_{c}")), f"key_{c}", "left")
+    both = {c: F.col(f"a_{c}") == F.col(f"b_{c}") for c in KEYS}
+    weight, key = {c: F.when(x, F.col(f"a_w_{c}")) for c, x in both.items()}, {c: F.when(x, F.concat(F.lit(f"{KEYS[c]}:"), F.col(f"a_{c}"))) for c, x in both.items()}
+    for x, y in (("a", "b"), ("b", "a")):  # a host and an address that is the host's
+        pivot = F.col(f"{x}_host") == F.col(f"{y}_of")
+        weight["host"] = F.coalesce(weight["host"], F.when(pivot, F.col(f"{x}_w_host")))
+        key["host"] = F.coalesce(key["host"], F.when(pivot, F.concat(F.lit("host:"), F.col(f"{x}_host"))))
     first = (F.col("a_us") < F.col("b_us")) | ((F.col("a_us") == F.col("b_us")) & (F.col("a") < F.col("b")))
-    kinds = [F.when(first, F.col("a_alert_type")).otherwise(F.col("b_alert_type")), F.when(first, F.col("b_alert_type")).otherwise(F.col("a_alert_type"))]
-    p = p.withColumns({"t1": kinds[0], "t2": kinds[1], "f1": catalog.family(kinds[0]), "f2": catalog.family(kinds[1])})
-    order = F.broadcast(catalog.sequences(spark))  # 22 rows
-    p = p.join(order.select(F.col("first").alias("f1"), F.col("second").alias("f2"), F.lit(True).alias("forward")), ["f1", "f2"], "left")
-    p = p.join(order.select(F.col("first").alias("f2"), F.col("second").alias("f1"), F.lit(True).alias("backward")), ["f1", "f2"], "left")
-    semantic = F.when(F.col("a_title") == F.col("b_title"), 1.0)
-    if titles is not None:
-        low, high = F.least("a_title", "b_title"), F.greatest("a_title", "b_title")
-        p = p.withColumns({"low": low, "high": high}).join(titles.select(F.col("a").alias("low"), F.col("b").alias("high"), "similarity"), ["low", "high"], "left")
-        semantic = F.coalesce(semantic, F.col("similarity"))
+    of = lambda c: (F.when(first, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")), F.when(first, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")))
+    (t1, t2), (f1, f2), (s1, s2) = of("alert_type"), of("family"), of("stage")
     minutes = F.abs(F.col("a_us") - F.col("b_us")) / 60_000_000
-    p = p.withColumns(
-        {
-            "c_user": F.col("w_user"), "c_host": F.col("w_host"), "c_src_ip": F.col("w_src_ip"), "c_dst": F.greatest("w_dst_ip", "w_resource"), "minutes": minutes, "c_time": F.exp(-minutes / 15.0),
-            "c_behavior": behavior(F.col("t1"), F.col("t2"), F.col("f1"), F.col("f2"), catalog.of_type("stage", F.col("t1")), catalog.of_type("stage", F.col("t2")), F.col("forward"), F.col("backward")),
-            "c_severity": 1.0 - F.abs(F.col("a_severity_score") - F.col("b_severity_score")) / 100.0, "c_semantic": F.coalesce(semantic, F.lit(0.0)),
-        }
+    parts = p.select(
+        "a", "b", weight["user"].alias("c_user"), weight["host"].alias("c_host"), weight["src_ip"].alias("c_src_ip"), F.greatest(weight["dst_ip"], weight["resource"]).alias("c_dst"), minutes.alias("minutes"),
+        F.exp(-minutes / 15.0).alias("c_time"), behavior(t1, t2, f1, f2, s1, s2, catalog.follows(f1, f2), catalog.follows(f2, f1)).alias("c_behavior"),
+        (1.0 - F.abs(F.col("a_severity_score") - F.col("b_severity_score")) / 100.0).alias("c_severity"), *[v.alias(f"key_{c}") for c, v in key.items()],
+        F.least("a_title", "b_title").alias("low"), F.greatest("a_title", "b_title").alias("high"),
     )
+    same = F.when(F.col("low") == F.col("high"), 1.0)
+    if semantic:
+        parts = written(parts, "pair-parts")
+        differ = parts.filter("low < high").select(F.col("low").alias("a"), F.col("high").alias("b")).distinct()
+        titles = written(similarity.title_similarity(alerts, pairs=differ).select(F.col("a").alias("low"), F.col("b").alias("high"), "similarity"), "pair-titles")
+        parts = parts.join(sent_if_small(titles, SENT_ROWS), ["low", "high"], "left")
+        same = F.coalesce(same, F.col("similarity"))
+    parts = parts.withColumn("c_semantic", F.coalesce(same, F.lit(0.0)))
     total = sum([w * F.coalesce(F.col(f"c_{k}"), F.lit(0.0)) for k, w in WEIGHTS.items()], F.lit(0.0))
-    return p.select("a", "b", *[f"c_{k}" for k in WEIGHTS], "minutes", F.least(F.lit(1.0), total).alias("score"), *[f"key_{c}" for c in shared])
+    return parts.select("a", "b", *[f"c_{k}" for k in WEIGHTS], "minutes", F.least(F.lit(1.0), total).alias("score"), *[f"key_{c}" for c in KEYS])
 
 
 def accepted_edges(scored: DataFrame, cfg: Correlation = Correlation()) -> DataFrame:
@@ -129,7 +155,7 @@ def grouped(edges: DataFrame, alerts: DataFrame) -> DataFrame:
 
 
 def recut(groups: DataFrame, edges: DataFrame, cfg: Correlation = Correlation(), steps: tuple[float, ...] = (0.45, 0.50, 0.55, 0.60)) -> DataFrame:
-    """groups with components above max_component cut: by the lowest threshold whose strong edges leave more than one part, again for the parts, else by communities.
+    """groups with components above max_component cut: by the lowest threshold whose strong edges leave more than one part, else by communities; parts that are still too large again.
 
     All oversized components and all thresholds are cut in one round; the number of rounds is small, as every
     part is smaller than what it was cut from. A component that nothing divides is kept whole.
@@ -148,60 +174,99 @@ def recut(groups: DataFrame, edges: DataFrame, cfg: Correlation = Correlation(),
         every = large.withColumn("t", F.explode(F.array(*[F.lit(x) for x in steps]))).withColumn("item", F.concat_ws("@", "component", "t"))
         every = written(every.join(parts, ["item", "pos"], "left").withColumn("part", F.coalesce("part", "pos")), "recut-parts")
         best = every.groupBy("component", "t").agg(F.count_distinct("part").alias("n")).filter("n > 1").groupBy("component").agg(F.min("t").alias("t"))
-        cut = every.join(best, ["component", "t"]).select("pos", F.col("part").alias("component"))
-        whole = large.join(best, "component", "left_anti").select("pos", "component")
+        now = every.join(best, ["component", "t"]).select("pos", F.col("part").alias("component"))
+        whole = written(large.join(best, "component", "left_anti").select("pos", "component"), "recut-whole")
         if not whole.isEmpty():
-            communities = louvain(inner.join(whole.select(F.col("pos").alias("a")), "a", "left_semi").select("a", "b", "score"), whole)
-            done.append(communities)
-        kept, now = inner.filter(F.col("strong")).select("a", "b", "score", "strong"), written(cut, "recut-groups")
+            of = inner.join(whole.select(F.col("pos").alias("a")), "a", "left_semi").select("a", "b", "score")
+            communities = written(louvain(of, whole).withColumnRenamed("component", "part").join(whole, "pos"), "recut-communities")
+            divided = communities.groupBy("component").agg(F.count_distinct("part").alias("n")).filter("n > 1").select("component")
+            done.append(communities.join(divided, "component", "left_anti").select("pos", "component"))
+            now = now.unionByName(communities.join(divided, "component").select("pos", F.col("part").alias("component")))
+        kept, now = inner.select("a", "b", "score", "strong"), written(now, "recut-groups")
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
     return out
 
 
-def louvain(edges: DataFrame, nodes: DataFrame, rounds: int = 12) -> DataFrame:
-    """pos and component: communities by local moves that raise modularity, half of the nodes at a time, ties to the smallest label.
+def louvain(edges: DataFrame, nodes: DataFrame, rounds: int = 8) -> DataFrame:
+    """pos and component: communities of each component by local moves that raise modularity; communities become nodes, as often as that raises it.
 
-    Every round is a join and an aggregate over edges. The best labels of all rounds are kept, so the result's
-    modularity is never below that of each component as one community.
+    A level is some rounds of moves, half of the nodes at a time, ties to the smallest label; the labels of the
+    best round count. Each round is a join and an aggregate over edges. Modularity is each component's own; a
+    component for which one community is the best stays whole.
     """
-    both = edges.select("a", "b", F.col("score").alias("w")).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("score").alias("w")))
-    both = written(both, "louvain-edges")
-    degree = written(both.groupBy(F.col("a").alias("pos")).agg(F.sum("w").alias("k")), "louvain-degree")
-    two_m = both.agg(F.sum("w")).first()[0] or 1.0
-    labels = written(nodes.select("pos", "component", F.col("pos").alias("label")), "louvain-labels")
-    best, best_q = nodes.select("pos", "component"), _modularity(both, degree, nodes.select("pos", F.col("component").alias("label")), two_m)
+    of = written(nodes.select("pos", "component", F.col("pos").alias("node")), "louvain-nodes")
+    links = edges.join(of.select(F.col("pos").alias("a"), "component"), "a")
+    links = written(links.select("component", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("score").alias("w")), "louvain-edges")
+    while True:
+        labels, quality, gained = _level(links, of.select("component", "node").distinct(), rounds)
+        if not gained:
+            break
+        of = written(of.join(labels, ["component", "node"]).select("pos", "component", F.col("label").alias("node")), "louvain-nodes")
+        ends = [labels.select("component", F.col("node").alias(x), F.col("label").alias(f"to_{x}")) for x in ("a", "b")]
+        joined = links.join(ends[0], ["component", "a"]).join(ends[1], ["component", "b"])
+        links = written(joined.groupBy("component", F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).agg(F.sum("w").alias("w")), "louvain-edges")
+    # one community for all has modularity 0
+    better = quality.filter("q > 1e-12").select("component")
+    first = of.groupBy("component").agg(F.min("pos").alias("first"))
+    out = of.join(first, "component").join(better.withColumn("better", F.lit(True)), "component", "left")
+    heads = of.groupBy("component", "node").agg(F.min("pos").alias("head"))
+    return written(out.join(heads, ["component", "node"]).select("pos", F.when(F.col("better"), F.col("head")).otherwise(F.col("first")).alias("component")), "louvain-best")
+
+
+def _level(links: DataFrame, nodes: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame, bool]:
+    """component, node, label (the smallest node of its community) after the best round of each component; its modularity (component, q); whether any gained."""
+    loops = links.filter("a = b").groupBy("component").agg((2 * F.sum("w")).alias("loops"))
+    apart = links.filter("a <> b")
+    both = written(apart.select("component", "a", "b", "w").unionByName(apart.select("component", F.col("b").alias("a"), F.col("a").alias("b"), "w")), "louvain-both")
+    ends = links.select("component", F.explode(F.array("a", "b")).alias("node"), "w").groupBy("component", "node").agg(F.sum("w").alias("k"))  # a loop counts twice
+    size = links.groupBy("component").agg((2 * F.sum("w")).alias("m2"))
+    labels = written(nodes.join(ends, ["component", "node"], "left").join(size, "component").select("component", "node", F.coalesce("k", F.lit(0.0)).alias("k"), "m2", F.col("node").alias("label")), "louvain-labels")
+    best, quality = labels, written(_modularity(both, loops, labels), "louvain-quality")
+    start = quality
     for i in range(rounds):
-        around = both.join(labels.select(F.col("pos").alias("b"), F.col("label").alias("to")), "b").groupBy(F.col("a").alias("pos"), "to").agg(F.sum("w").alias("inside"))
-        totals = labels.join(degree, "pos").groupBy(F.col("label").alias("to")).agg(F.sum("k").alias("total"))
-        own = labels.join(degree, "pos")
-        options = around.join(totals, "to").join(own, "pos")
-        gain = F.col("inside") - F.col("k") * (F.col("total") - F.when(F.col("to") == F.col("label"), F.col("k")).otherwise(0.0)) / two_m
-        choice = options.withColumn("gain", gain).groupBy("pos").agg(F.max_by("to", F.struct("gain", -F.col("to"))).alias("to"))
-        moved = labels.join(choice, "pos", "left").withColumn("label", F.when(F.pmod(F.xxhash64("pos"), F.lit(2)) == i % 2, F.coalesce("to", "label")).otherwise(F.col("label"))).drop("to")
-        labels = written(moved, "louvain-labels")
-        q = _modularity(both, degree, labels, two_m)
-        if q > best_q + 1e-12:
-            heads = labels.groupBy("component", "label").agg(F.min("pos").alias("head"))
-            best, best_q = labels.join(heads, ["component", "label"]).select("pos", F.col("head").alias("component")), q
-    return written(best, "louvain-best")
-
-
-def _modularity(both: DataFrame, degree: DataFrame, labels: DataFrame, two_m: float) -> float:
-    of = labels.select("pos", "label")
-    inside = both.join(of.select(F.col("pos").alias("a"), F.col("label").alias("la")), "a").join(of.select(F.col("pos").alias("b"), F.col("label").alias("lb")), "b").filter("la = lb").agg(F.sum("w")).first()[0] or 0.0
-    spread = of.join(degree, "pos").groupBy("label").agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0] or 0.0
-    return inside / two_m - spread / two_m**2
+        around = both.join(labels.select("component", F.col("node").alias("b"), F.col("label").alias("to")), ["component", "b"]).select("component", F.col("a").alias("node"), "to", "w")
+        around = around.unionByName(labels.select("component", "node", F.col("label").alias("to"), F.lit(0.0).alias("w"))).groupBy("component", "node", "to").agg(F.sum("w").alias("inside"))
+        totals = labels.groupBy("component", F.col("label").alias("to")).agg(F.sum("k").alias("total"))
+        options = around.join(totals, ["component", "to"]).join(labels, ["component", "node"])
+        gain = F.col("inside") - F.col("k") * (F.col("total") - F.when(F.col("to") == F.col("label"), F.col("k")).otherwise(0.0)) / F.col("m2")
+        choice = options.groupBy("component", "node").agg(F.max_by("to", F.struct(F.round(gain, 12).alias("gain"), -F.col("to"))).alias("to"))
+        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == i % 2
+        labels = written(labels.join(choice, ["component", "node"], "left").withColumn("label", F.when(turn, F.coalesce("to", "label")).otherwise(F.col("label"))).drop("to"), "louvain-labels")
+        now = _modularity(both, loops, labels).withColumnRenamed("q", "new")
+        better = written(now.join(quality, "component").filter("new > q + 1e-12").select("component", "new"), "louvain-better")
+        if not better.isEmpty():
+            names = better.select("component")
+            best = written(best.join(names, "component", "left_anti").unionByName(labels.join(names, "component", "left_semi")), "louvain-best")
+            quality = written(quality.join(better, "component", "left").select("component", F.coalesce("new", "q").alias("q")), "louvain-quality")
+    heads = best.groupBy("component", "label").agg(F.min("node").alias("head"))
+    found = written(best.join(heads, ["component", "label"]).select("component", "node", F.col("head").alias("label")), "louvain-level")
+    return found, quality, not quality.withColumnRenamed("q", "new").join(start, "component").filter("new > q + 1e-12").isEmpty()
+
+
+def _modularity(both: DataFrame, loops: DataFrame, labels: DataFrame) -> DataFrame:
+    """component, q of labels (component, node, k, m2, label)."""
+    of = labels.select("component", "node", "label")
+    inside = both.join(of.select("component", F.col("node").alias("a"), F.col("label").alias("la")), ["component", "a"]).join(of.select("component", F.col("node").alias("b"), F.col("label").alias("lb")), ["component", "b"])
+    inside = inside.filter("la = lb").groupBy("component").agg(F.sum("w").alias("inside"))
+    spread = labels.groupBy("component", "label").agg(F.sum("k").alias("k"), F.max("m2").alias("m2")).groupBy("component").agg(F.sum(F.col("k") * F.col("k")).alias("spread"), F.max("m2").alias("m2"))
+    full = spread.join(inside, "component", "left").join(loops, "component", "left")
+    return full.select("component", ((F.coalesce("inside", F.lit(0.0)) + F.coalesce("loops", F.lit(0.0))) / F.col("m2") - F.col("spread") / (F.col("m2") * F.col("m2"))).alias("q"))
 
 
 def memberships(groups: DataFrame, edges: DataFrame) -> DataFrame:
-    """pos, component, n_members, linked (the other end of the strongest edge inside the group; ties to the smaller pos), link_score (0: none)."""
-    both = edges.select(F.col("a").alias("pos"), F.col("b").alias("other"), "score").unionByName(edges.select(F.col("b").alias("pos"), F.col("a").alias("other"), "score"))
+    """pos, component, n_members, linked (the other end of the strongest edge inside the group; ties to the smaller pos), link_score (0: none) and reasons.
+
+    Every membership has a reason: those of its strongest edge, or that the alert stands alone.
+    """
+    told = edge_reasons(edges) if "key_user" in edges.columns else edges.withColumn("reasons", F.array(F.format_string("score %.2f", "score")))
+    both = told.select(F.col("a").alias("pos"), F.col("b").alias("other"), "score", "reasons").unionByName(told.select(F.col("b").alias("pos"), F.col("a").alias("other"), "score", "reasons"))
     inside = both.join(groups.select("pos", "component"), "pos").join(groups.select(F.col("pos").alias("other"), F.col("component").alias("_of")), "other").filter("component = _of")
-    best = inside.groupBy("pos").agg(F.max(F.struct("score", (-F.col("other")).alias("m"))).alias("e")).select("pos", (-F.col("e.m")).alias("linked"), F.round("e.score", 4).alias("link_score"))
+    best = inside.groupBy("pos").agg(F.max(F.struct("score", (-F.col("other")).alias("m"), "reasons")).alias("e")).select("pos", (-F.col("e.m")).alias("linked"), F.round("e.score", 4).alias("link_score"), "e.reasons")
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n_members"))
-    return groups.join(sizes, "component").join(best, "pos", "left").select("pos", "component", "n_members", "linked", F.coalesce("link_score", F.lit(0.0)).alias("link_score"))
+    alone = F.array(F.lit("no other alert in the window shares evidence with this one"))
+    return groups.join(sizes, "component").join(best, "pos", "left").select("pos", "component", "n_members", "linked", F.coalesce("link_score", F.lit(0.0)).alias("link_score"), F.coalesce("reasons", alone).alias("reasons"))
 
 
 def confidences(members: DataFrame) -> DataFrame:
@@ -210,9 +275,10 @@ def confidences(members: DataFrame) -> DataFrame:
     return out.select("component", "n_members", F.when(F.col("n_members") == 1, 0.25).otherwise(F.round(F.least(F.lit(1.0), F.col("mean") / 0.75), 3)).alias("confidence"))
 
 
-def correlation_stats(alerts: DataFrame, pairs: DataFrame, edges: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row: alerts, pairs, edges, clusters, singletons."""
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+def correlation_stats(alerts: DataFrame, pairs: DataFrame, edges: DataFrame, groups: DataFrame, cut: DataFrame | None = None, cfg: Correlation = Correlation()) -> DataFrame:
+    """One row: alerts, pairs, edges, clusters, singletons, splits (components above max_component). cut: recut() of groups, if any."""
     one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    parts = sizes.agg(F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("n") == 1).alias("singletons"))
-    return one(alerts, "alerts").crossJoin(one(pairs, "pairs")).crossJoin(one(edges, "edges")).crossJoin(parts)
+    sizes = lambda df: df.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    parts = sizes(groups if cut is None else cut).agg(F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("n") == 1).alias("singletons"))
+    splits = sizes(groups).agg(F.count_if(F.col("n") > cfg.max_component).alias("splits"))
+    return one(alerts, "alerts").crossJoin(one(pairs, "pairs")).crossJoin(one(edges, "edges")).crossJoin(parts).crossJoin(splits)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from alertmill.operators.hot import exact_percentiles
+
 
 def _pairs(n):
     return n * (n - 1) / 2
@@ -49,6 +51,11 @@ def best_ranks(ranked: DataFrame, dominant: DataFrame) -> DataFrame:
     return ranked.join(dominant, "incident_id").groupBy("gt_id").agg(F.min("rank").alias("rank"))
 
 
+def planted_ranks(ranked: DataFrame, dominant: DataFrame, truths: DataFrame) -> DataFrame:
+    """gt_id, priority and the best rank (null: none) of each malicious truth."""
+    return truths.filter("malicious").select("gt_id", "priority").join(best_ranks(ranked, dominant), "gt_id", "left")
+
+
 def priority_metrics(ranked: DataFrame, dominant: DataFrame, truths: DataFrame) -> DataFrame:
     """One row. ranked: incident_id, rank, severity; truths: gt_id, priority, malicious."""
     found = truths.join(best_ranks(ranked, dominant), "gt_id", "left")
@@ -71,8 +78,10 @@ def detection_metrics(scored: DataFrame, score: str, malicious: str, threshold:
 
 
 def medians(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """group, n and the exact median."""
-    return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.median(value).alias("median"))
+    """group, n (rows) and the exact median of the values that are not null."""
+    found = exact_percentiles(rows, value, {"median": 0.5}, group).drop("n").withColumnRenamed(group, "_g")
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.join(found, F.col(group).eqNullSafe(F.col("_g")), "left").select(group, "n", "median")
 
 
 def claim_rates(ratings: DataFrame) -> DataFrame:
@@ -89,7 +98,8 @@ def brief_metrics(reports: DataFrame) -> DataFrame:
 
 def triage_summary(trials: DataFrame) -> DataFrame:
     """mode, n, median_seconds, accuracy, and the reduction of the median against mode manual, in percent."""
-    by = trials.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.median("seconds").alias("median_seconds"), F.round(F.avg(F.col("correct").cast("int")), 4).alias("accuracy"))
+    right = trials.groupBy("mode").agg(F.round(F.avg(F.col("correct").cast("int")), 4).alias("accuracy"))
+    by = medians(trials, "mode", "seconds").withColumnRenamed("median", "median_seconds").join(right, "mode")
     manual = by.filter("mode = 'manual'").select(F.col("median_seconds").alias("_base"))
     base = manual.agg(F.max("_base").alias("_base"))
     return by.crossJoin(F.broadcast(base)).withColumn("reduction_percent", F.round(100 * (1 - F.col("median_seconds") / F.col("_base")), 1)).drop("_base")

@@ -26,7 +26,7 @@ def _refs(members: DataFrame, weights: DataFrame, ip_to_host: DataFrame | None)
 
 
 def graph(members: DataFrame, weights: DataFrame, ip_to_host: DataFrame | None = None, max_nodes: int = MAX_NODES) -> tuple[DataFrame, DataFrame]:
-    """Nodes (incident_id, node, role, n_alerts, alert_ids, stages, degree) and edges (incident_id, source, target, relation, n_alerts, alert_ids).
+    """Nodes (incident_id, node, role, n_alerts, alert_ids, stages, degree, rarity) and edges (incident_id, source, target, relation, n_alerts, alert_ids).
 
     members: alerts with incident_id and stage (a label or null). The largest max_nodes nodes of an incident stay.
     """
@@ -55,4 +55,10 @@ def graph(members: DataFrame, weights: DataFrame, ip_to_host: DataFrame | None =
     keep = nodes.select("incident_id", "node")
     edges = edges.join(keep.withColumnRenamed("node", "source"), ["incident_id", "source"], "left_semi").join(keep.withColumnRenamed("node", "target"), ["incident_id", "target"], "left_semi")
     ends = edges.select("incident_id", F.explode(F.array("source", "target")).alias("node")).groupBy("incident_id", "node").agg(F.count(F.lit(1)).alias("degree"))
+    nodes = nodes.join(weights.select(F.col("entity_key").alias("node"), F.col("weight").alias("rarity")), "node", "left")
     return nodes.join(ends, ["incident_id", "node"], "left").withColumn("degree", F.coalesce("degree", F.lit(0))), edges
+
+
+def with_context(nodes: DataFrame, dimension: DataFrame) -> DataFrame:
+    """nodes with level, what the contexts know of a user's privilege or a host's or resource's criticality. dimension: entities.entity_dimension()."""
+    return nodes.join(dimension.select(F.concat_ws(":", "type", "value").alias("node"), "level"), "node", "left")

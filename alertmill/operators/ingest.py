@@ -12,10 +12,12 @@ def classified(normalized: DataFrame, known: DataFrame | None = None) -> DataFra
     In the batch the first row of an alert_id counts and later ones are rejected; rows with errors are
     rejected; the first accepted row of a content hash stays, later ones are its duplicates. known (alert_id,
     content_hash) are alerts already stored: equal ids or hashes are duplicates of those. Both windows are
-    over keys with few rows; copies of one alert beyond that are sorted on disk, not held in memory.
+    over keys with few rows; copies of one alert beyond that are sorted on disk, not held in memory. Rows
+    without an id (they have an error) go past the window over ids.
     """
     by_id = Window.partitionBy("alert_id").orderBy("pos")
-    rows = normalized.withColumn("_id_place", F.when(F.col("alert_id").isNull(), 1).otherwise(F.row_number().over(by_id)))
+    with_id, without = normalized.filter("alert_id is not null"), normalized.filter("alert_id is null")
+    rows = with_id.withColumn("_id_place", F.row_number().over(by_id)).unionByName(without.withColumn("_id_place", F.lit(1)))
     rows = rows.withColumn("errors", F.when((F.col("_id_place") > 1) & (F.size("errors") == 0), F.array(F.lit("duplicate alert_id"))).otherwise(F.col("errors")))
     good, bad = rows.filter(F.size("errors") == 0), rows.filter(F.size("errors") > 0)
     by_hash = Window.partitionBy("content_hash").orderBy("pos")

@@ -20,14 +20,16 @@ def title_grams(titles: DataFrame, column: str = "title") -> DataFrame:
     return weighted.join(norms, "title").select("title", "gram", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def title_similarity(titles: DataFrame, column: str = "title") -> DataFrame:
+def title_similarity(titles: DataFrame, column: str = "title", pairs: DataFrame | None = None) -> DataFrame:
     """a, b, similarity: the cosine of each two distinct titles that share a gram, a < b. Equal titles have 1 and no row.
 
-    The join is on grams, so titles without one in common meet nowhere.
+    With pairs (a, b): of those alone, however many titles share a common gram. Without, the join is on grams,
+    so titles without one in common meet nowhere; meant for few titles.
     """
     g = title_grams(titles, column)
-    other = g.select(F.col("title").alias("b"), "gram", F.col("w").alias("wb"))
-    return g.withColumnRenamed("title", "a").join(other, "gram").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("w") * F.col("wb")).alias("similarity"))
+    first, other = g.withColumnRenamed("title", "a"), g.select(F.col("title").alias("b"), "gram", F.col("w").alias("wb"))
+    met = first.join(other, "gram").filter("a < b") if pairs is None else pairs.select("a", "b").join(first, "a").join(other, ["b", "gram"])
+    return met.groupBy("a", "b").agg(F.sum(F.col("w") * F.col("wb")).alias("similarity"))
 
 
 def similar_sets(sets: DataFrame, key: str, token: str, least: float = 0.2, top: int = 3) -> DataFrame:

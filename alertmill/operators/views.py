@@ -24,6 +24,16 @@ def page(rows: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_with_total(rows: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
+    """A page, each row with total, the number of all rows found."""
+    return page(rows, order, limit, offset).crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total"))))
+
+
+def technique(known: DataFrame, technique_id: str) -> DataFrame:
+    """The row of one technique, by its id in any case."""
+    return known.filter(F.col("technique_id") == technique_id.strip().upper())
+
+
 def incident_queue(incidents: DataFrame, min_risk: float = 0.0, severities: list[str] | None = None, statuses: list[str] | None = None, q: str | None = None, technique: str | None = None, sort: str = "risk") -> DataFrame:
     out = incidents.filter(F.col("risk_score") >= min_risk)
     if severities:
@@ -79,6 +89,18 @@ def overview(alerts: DataFrame) -> DataFrame:
     return alerts.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+def headline(batches: DataFrame, alerts: DataFrame, incidents: DataFrame) -> DataFrame:
+    """One row: rows received, accepted, duplicates and rejected, alerts, incidents, those of each severity, critical_high, and alerts for each incident and for each critical or high one.
+
+    batches: rows of ingest.batch_summary().
+    """
+    a = batches.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("received", "accepted", "duplicates", "rejected")])
+    b = incidents.agg(F.count(F.lit(1)).alias("incidents"), *[F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "high", "medium", "low")])
+    out = a.crossJoin(alerts.agg(F.count(F.lit(1)).alias("alerts"))).crossJoin(b).withColumn("critical_high", F.col("critical") + F.col("high"))
+    some = F.col("incidents") > 0
+    return out.withColumns({"compression_ratio": F.when(some, F.round(F.col("alerts") / F.col("incidents"), 2)), "actionable_ratio": F.when(some, F.round(F.col("alerts") / F.greatest(F.lit(1), F.col("critical_high")), 1))})
+
+
 def hour_matrix(alerts: DataFrame) -> DataFrame:
     """hour of day and the number of alerts of each severity."""
     kinds = ["critical", "high", "medium", "low", "informational"]

@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertmill.operators import anomaly, chain, correlate, entities, iforest, incidents, similarity, techniques
+from alertmill.operators import anomaly, chain, correlate, entities, iforest, incidents, techniques
 from alertmill.operators.correlate import Correlation
 from alertmill.sources.readers import ip_to_host
-from alertmill.sources.shared import written
+from alertmill.sources import tables
+from alertmill.sources.shared import scratch, written
 
 
 @dataclass
@@ -30,8 +31,7 @@ def correlated(alerts: DataFrame, hosts: DataFrame | None = None, cfg: Correlati
     weights = written(entities.entity_stats(alerts), "entity-stats")
     at = ip_to_host(hosts) if hosts is not None else None
     pairs = written(correlate.candidate_pairs(correlate.keyed(alerts, weights, at, cfg), cfg), "pairs")
-    titles = similarity.title_similarity(alerts)
-    edges = written(correlate.accepted_edges(correlate.scored_pairs(pairs, alerts, weights, titles, at), cfg), "scored-edges")
+    edges = written(correlate.accepted_edges(correlate.scored_pairs(pairs, alerts, weights, ip_to_host=at), cfg), "scored-edges")
     groups = written(correlate.grouped(edges, alerts), "groups")
     return weights, pairs, edges, groups
 
@@ -68,3 +68,28 @@ def analyze(alerts: DataFrame, users: DataFrame, hosts: DataFrame | None = None,
     names = incidents.titles(members, stages, mappings, incidents.primary_entities(ents))
     full = risk.join(names, "incident_id").join(incidents.top_types(members), "incident_id").join(anomaly.incident_notes(members).withColumnRenamed("notes", "anomaly_notes"), "incident_id", "left")
     return Analysis(incidents.ranked(full), members, strongest, edges, stages, mappings, ents, weights)
+
+
+def persist(found: Analysis, alerts: DataFrame, root: str, run_id: str) -> None:
+    """Writes a run's result tables to root in full, a row to pipeline_runs, and alerts with their incident and scores.
+
+    Alerts go by day to alerts_scored, so that root's alerts, which they may come from, stay as they are.
+    """
+    kept = [c for c in found.incidents.columns if c != "alert_ids"]
+    tables.replace(found.incidents.select("incident_id", "alert_ids", *[c for c in kept if c != "incident_id"]), root, "incidents")
+    linked = found.memberships.withColumn("incident_id", F.concat(F.lit("C"), "component"))
+    ids = found.members.select("pos", "alert_id")
+    tables.replace(linked.join(ids, "pos").join(ids.select(F.col("pos").alias("linked"), F.col("alert_id").alias("linked_alert_id")), "linked", "left").select("incident_id", "alert_id", "linked_alert_id", "link_score", "reasons"), root, "incident_alerts")
+    tables.replace(found.entities, root, "incident_entities")
+    tables.replace(found.stages, root, "attack_stages")
+    tables.replace(found.mappings, root, "incident_mitre")
+    tables.append(incidents.run_stats(alerts, found.incidents).withColumn("run_id", F.lit(run_id)), root, "pipeline_runs")
+    scores = found.members.select("alert_id", "incident_id", "rule_score", "anomaly_score")
+    scored_alerts = tables.with_results(alerts, scores.select("alert_id", "incident_id"), scores)
+    scored_alerts.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(f"{root}/alerts_scored")
+
+
+def run(alerts: DataFrame, users: DataFrame, root: str, run_id: str, hosts: DataFrame | None = None, cfg: Correlation = Correlation(), decisions: DataFrame | None = None) -> None:
+    """The whole job: analyses alerts and writes all results; tables in between are deleted."""
+    with scratch(alerts.sparkSession):
+        persist(analyze(alerts, users, hosts, cfg, decisions), alerts, root, run_id)

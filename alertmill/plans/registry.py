@@ -38,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize.normalize(raw_alerts(spark, sf_dir), *contexts(spark, sf_dir), ipv6=False)
+    return normalize.normalize(raw_alerts(spark, sf_dir), *contexts(spark, sf_dir))
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,9 +59,16 @@ def validation_errors(spark, sf_dir):
     return normalized(spark, sf_dir).filter(F.size("errors") > 0).select("pos", "alert_id", F.array_join("errors", "; ").alias("errors"))
 
 
-@query("WITH " + ALERTS_SQL + ", " + RAW_SQL + "SELECT pos, \"user\", host, t AS us, CASE WHEN k = 97 THEN NULL ELSE k % 3 <> 0 END AS internal FROM accepted_0 WHERE k <> 99")
+@query("WITH " + ALERTS_SQL + ", " + RAW_SQL + "SELECT pos, \"user\", host, t AS us, src_ip, CASE WHEN k = 97 THEN NULL ELSE k <> 95 AND k % 3 <> 0 END AS internal FROM accepted_0 WHERE k <> 99")
 def canonical_identities(spark, sf_dir):
-    return normalized(spark, sf_dir).filter("us is not null").select("pos", "user", "host", "us", F.col("src_ip_private").alias("internal"))
+    return normalized(spark, sf_dir).filter("us is not null").select("pos", "user", "host", "us", "src_ip", F.col("src_ip_private").alias("internal"))
+
+
+@query("WITH " + ALERTS_SQL + ", " + RAW_SQL + "SELECT severity, count(*) AS n, round(sum(severity_score), 3) AS total FROM accepted_2 WHERE content_place = 1 GROUP BY 1")
+def accepted_severities(spark, sf_dir):
+    """Severities of accepted alerts, some of which give a label alone."""
+    rows = ingest.classified(normalized(spark, sf_dir)).filter("status = 'accepted'")
+    return rows.groupBy("severity").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("severity_score"), 3).alias("total"))
 
 
 @query(
@@ -100,7 +107,7 @@ SELECT a.pos, CASE WHEN k.alert_id IS NULL THEN 'accepted' ELSE 'duplicate' END
 def known_alert_ids(spark, sf_dir):
     """A batch against what is stored: ids that are there are duplicates."""
     a = alerts(spark, sf_dir)
-    rows = normalize.normalize(a.withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).withColumn("attributes", F.lit(None).cast("string")), ipv6=False)
+    rows = normalize.normalize(a.withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).withColumn("attributes", F.lit(None).cast("string")))
     rows = rows.withColumn("content_hash", F.sha2("alert_id", 256))
     known = rows.filter("pos % 2 = 0").select("alert_id", "content_hash")
     return ingest.classified(rows, known).select("pos", "status")
@@ -113,7 +120,7 @@ def content_hash_groups(spark, sf_dir):
 
 
 def _rule_case(text: str) -> str:
-    whens = " ".join("WHEN " + " AND ".join(f"contains({text}, '{k}')" for k in keys.split("&")) + f" THEN '{to}'" for keys, to in catalog.rows(catalog.KEYWORD_RULES))
+    whens = " ".join("WHEN " + " AND ".join(f"contains({text}, '{k}')" for k in keys) + f" THEN '{to}'" for keys, to in catalog.KEYWORD_RULES)
     return f"CASE {whens} ELSE 'sentinel_alert' END"
 
 
@@ -133,17 +140,11 @@ def instruction_flags(spark, sf_dir):
     return c.unionByName(table(spark, sf_dir, "documents").groupBy(F.lit("documents").alias("source"), F.col("lang").alias("part")).agg(F.count(F.lit(1)).alias("n"), flag(F.col("text")).alias("flagged")))
 
 
-_NAMED = ", ".join(f"'{t}'" for t in vendor.ALERT_NAMES)
-
-
-@query(
-    "WITH " + ALERTS_SQL
-    + f"""SELECT pos, alert_type, "user", host, src_ip, process, resource, us FROM alerts_v WHERE alert_type IN ({_NAMED})"""
-)
+@query("WITH " + ALERTS_SQL + """SELECT pos, alert_type, "user", host, src_ip, process, resource, us FROM alerts_v""")
 def vendor_round_trip(spark, sf_dir):
     """Alerts as vendor rows and back through conversion and normalisation."""
-    out = shared.written(vendor.to_vendor(alerts(spark, sf_dir)).filter("raw is not null"), "vendor-rows")
-    back = normalize.normalize(vendor.convert(readers.typed(out.withColumnRenamed("raw", "body"))), ipv6=False)
+    out = shared.written(vendor.to_vendor(alerts(spark, sf_dir)), "vendor-rows")
+    back = normalize.normalize(vendor.convert(readers.typed(out.withColumnRenamed("raw", "body"))))
     return back.filter(F.size("errors") == 0).select("pos", "alert_type", "user", "host", "src_ip", "process", "resource", "us")
 
 
@@ -255,7 +256,7 @@ def alert_components(spark, sf_dir):
 @query("WITH RECURSIVE " + ALERTS_SQL + ", " + GROUPS_SQL + "SELECT pos, component, n_members, linked, link_score FROM members_v")
 def alert_memberships(spark, sf_dir):
     _, _, edges, groups = pipeline.correlated(alerts(spark, sf_dir), cfg=CFG)
-    return correlate.memberships(groups, edges)
+    return correlate.memberships(groups, edges).drop("reasons")
 
 
 @query("WITH RECURSIVE " + ALERTS_SQL + ", " + GROUPS_SQL + "SELECT component, any_value(n_members) AS n_members, CASE WHEN any_value(n_members) = 1 THEN 0.25 ELSE round(least(1.0, avg(link_score) / 0.75), 3) END AS confidence FROM members_v GROUP BY component")
@@ -266,12 +267,32 @@ def component_confidence(spark, sf_dir):
 
 @query(
     "WITH RECURSIVE " + ALERTS_SQL + ", " + GROUPS_SQL
-    + """, s AS (SELECT component, count(*) AS n FROM groups_v GROUP BY 1) SELECT (SELECT count(*) FROM alerts_v) AS alerts, (SELECT count(*) FROM pairs) AS pairs, (SELECT count(*) FROM edges) AS edges, count(*) AS clusters, count(*) FILTER (WHERE n = 1) AS singletons FROM s"""
+    + """, s AS (SELECT component, count(*) AS n FROM groups_v GROUP BY 1) SELECT (SELECT count(*) FROM alerts_v) AS alerts, (SELECT count(*) FROM pairs) AS pairs, (SELECT count(*) FROM edges) AS edges, count(*) AS clusters, count(*) FILTER (WHERE n = 1) AS singletons, count(*) FILTER (WHERE n > 300) AS splits FROM s"""
 )
 def correlation_statistics(spark, sf_dir):
     a = alerts(spark, sf_dir)
     _, pairs, edges, groups = pipeline.correlated(a, cfg=CFG)
-    return correlate.correlation_stats(a, pairs, edges, groups)
+    return correlate.correlation_stats(a, pairs, edges, groups, cfg=CFG)
+
+
+PIVOT_SQL = CONTEXT_SQL + ", " + LINKS_SQL + """,
+of_v AS (SELECT v.pos, h.host AS of FROM alerts_v v JOIN hosts_v h ON h.ip = v.src_ip),
+keyed AS (SELECT DISTINCT k.entity_key, pos, us FROM (SELECT l.type || ':' || l.value AS entity_key, pos, us FROM links l WHERE l.type <> 'process' UNION ALL SELECT 'host:' || o.of, v.pos, v.us FROM of_v o JOIN alerts_v v USING (pos) WHERE v.host <> o.of) k
+  JOIN weights w ON w.entity_key = k.entity_key WHERE weight >= 0.12),
+ahead AS (SELECT pos, us, unnest(list({'p': pos, 'u': us}) OVER (PARTITION BY entity_key ORDER BY us, pos ROWS BETWEEN 1 FOLLOWING AND 30 FOLLOWING)) AS n FROM keyed),
+pairs AS (SELECT DISTINCT least(pos, n.p) AS a, greatest(pos, n.p) AS b FROM ahead WHERE n.u - us <= 1800000000 AND n.p <> pos)
+SELECT a, b, round(w.weight, 6) AS c_host FROM (SELECT p.a, p.b, CASE WHEN x.host = y.host THEN x.host WHEN x.host = oy.of THEN x.host WHEN y.host = ox.of THEN y.host END AS host
+  FROM pairs p JOIN alerts_v x ON x.pos = p.a JOIN alerts_v y ON y.pos = p.b LEFT JOIN of_v ox ON ox.pos = p.a LEFT JOIN of_v oy ON oy.pos = p.b) q LEFT JOIN weights w ON w.entity_key = 'host:' || q.host
+"""
+
+
+@query("WITH " + ALERTS_SQL + ", " + PIVOT_SQL)
+def pivoted_pairs(spark, sf_dir):
+    """Pairs and the weight of the host they share, where an internal address stands for its host too."""
+    a = alerts(spark, sf_dir)
+    weights, at = shared.written(entities.entity_stats(a), "entity-stats"), readers.ip_to_host(contexts(spark, sf_dir)[1])
+    pairs = shared.written(correlate.candidate_pairs(correlate.keyed(a, weights, at, CFG), CFG), "pairs")
+    return correlate.scored_pairs(pairs, a, weights, semantic=False, ip_to_host=at).select("a", "b", F.round("c_host", 6).alias("c_host"))
 
 
 @query()
@@ -281,18 +302,22 @@ def recut_components(spark, sf_dir):
     return correlate.recut(groups, edges, Correlation(threshold=0.35, max_component=10))
 
 
-@query("""WITH RECURSIVE e AS (SELECT l_orderkey AS a, -l_partkey - 1 AS b FROM lineitem WHERE l_partkey % 40 = 0), both_v AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-reach(n, m) AS (SELECT a, b FROM both_v UNION SELECT r.n, x.b FROM reach r JOIN both_v x ON x.a = r.m) SELECT n AS node, least(n, min(m)) AS component FROM reach GROUP BY n""")
+COMPONENTS_SQL = """WITH RECURSIVE e AS (SELECT l_orderkey AS a, -l_partkey - 1 AS b FROM lineitem), both_v AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+cc(node, component) USING KEY (node) AS (SELECT a, least(a, min(b)) FROM both_v GROUP BY a
+  UNION SELECT n.node, n.m FROM (SELECT x.a AS node, min(c.component) AS m FROM both_v x JOIN cc AS c ON c.node = x.b GROUP BY x.a) n JOIN recurring.cc r ON r.node = n.node WHERE n.m < r.component)
+SELECT node, component FROM cc"""
+
+
+@query(COMPONENTS_SQL)
 def order_part_components(spark, sf_dir):
-    """Components of orders and some parts: a graph with large hubs."""
-    e = table(spark, sf_dir, "lineitem").filter("l_partkey % 40 = 0").select(F.col("l_orderkey").alias("a"), (-F.col("l_partkey") - 1).alias("b"))
-    return connected_components(e)
+    """Components of all orders and all parts: a graph with large hubs."""
+    return connected_components(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a"), (-F.col("l_partkey") - 1).alias("b")))
 
 
-@query()
+@query(COMPONENTS_SQL)
 def order_part_components_whole(spark, sf_dir):
-    """Components of all orders and all parts; the query above keeps the part that its recursive SQL can do."""
-    return connected_components(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a"), (-F.col("l_partkey") - 1).alias("b")))
+    """As above, under its earlier name."""
+    return order_part_components(spark, sf_dir)
 
 
 # --- anomaly ------------------------------------------------------------------------------------------
@@ -346,9 +371,22 @@ def forest_scores(spark, sf_dir):
     return anomaly.blended(rows.join(iforest.score(rows, iforest.fit(rows)), "pos")).select("pos", "rule_score", "model_score", "anomaly_score")
 
 
-@query()
+NOTES_SQL = FEATURES_SQL + """,
+pk AS (SELECT incident_id, max(fails_user_10m) AS a, max(fails_ip_10m) AS b, max(users_per_ip_60m) AS c FROM feat GROUP BY 1),
+pl AS (SELECT incident_id, list_filter([CASE WHEN a >= 10 THEN 'peak of ' || a || ' failures for one user in 10 minutes' END, CASE WHEN b >= 10 THEN 'peak of ' || b || ' failures from one source in 10 minutes' END,
+  CASE WHEN c >= 10 THEN 'peak of ' || c || ' users from one source in 60 minutes' END], lambda x: x IS NOT NULL) AS l FROM pk),
+nt AS (SELECT f.incident_id, f.pos, unnest(list_filter([CASE WHEN novel_source = 1 THEN 'source ' || src_ip || ' never seen for ' || "user" END, CASE WHEN off_hours = 1 THEN 'activity outside baseline hours for ' || "user" END,
+  CASE WHEN process_rarity > 0.6 THEN 'rare process ' || process END, CASE WHEN novel_process = 1 THEN process || ' not in the software baseline of ' || "user" END,
+  CASE WHEN success_after_failures = 1 THEN 'successful sign-in after repeated failures for ' || "user" END], lambda x: x IS NOT NULL)) AS note FROM feat f JOIN alerts_v v USING (pos)),
+al AS (SELECT incident_id, 1000000000000 AS n, unnest(range(len(l))) AS seen_at, unnest(l) AS note FROM pl UNION ALL SELECT incident_id, count(*), min(pos), note FROM nt GROUP BY incident_id, note),
+np AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY n DESC, seen_at, note) AS p FROM al)
+SELECT incident_id, string_agg(note, ' | ' ORDER BY p) AS notes FROM np WHERE p <= 6 GROUP BY 1
+"""
+
+
+@query("WITH " + ALERTS_SQL + ", " + NOTES_SQL)
 def anomaly_notes(spark, sf_dir):
-    return anomaly.incident_notes(anomaly.notes(_ruled(spark, sf_dir)))
+    return anomaly.incident_notes(anomaly.notes(_ruled(spark, sf_dir))).withColumn("notes", F.array_join("notes", " | "))
 
 
 # --- chains, techniques, incidents --------------------------------------------------------------------
@@ -452,6 +490,39 @@ def ranked_risk(spark, sf_dir):
     return incidents.ranked(incidents.risk(f.join(first, "incident_id")).withColumn("first_alert", F.col("incident_id"))).select("incident_id", "risk_score", "severity", "rank")
 
 
+DECIDED_SQL = RISK_SQL + """,
+dn AS (SELECT incident_id, count(*) AS n FROM alerts_v GROUP BY 1),
+dc AS (SELECT incident_id, 0.55 * (n % 10) / 10 + 0.30 * (n % 5) / 4 + 0.15 * 0.5 AS raw, CASE WHEN n % 3 = 0 THEN 0.4 ELSE 0.9 END AS c FROM dn WHERE n % 4 <> 0),
+ds AS (SELECT incident_id, round(greatest(0, least(1, CASE WHEN c < 0.55 THEN 0.5 + (raw - 0.5) * c / 0.55 ELSE raw END)), 4) AS s FROM dc),
+dr AS (SELECT ri.incident_id, s, risk_score, ((((round(base_severity * 10000)::BIGINT * 20 + 50) // 100 + (round(asset_criticality * 10000)::BIGINT * 17 + 50) // 100 + (round(identity_privilege * 10000)::BIGINT * 12 + 50) // 100 + (round(attack_chain_strength * 10000)::BIGINT * 14 + 50) // 100
+  + (round(anomaly_score * 10000)::BIGINT * 12 + 50) // 100 + (round(correlation_confidence * 10000)::BIGINT * 10 + 50) // 100 + (round(s * 10000)::BIGINT * 15 + 50) // 100) + 5) // 10) / 10 AS decided FROM ri LEFT JOIN ds USING (incident_id))
+SELECT incident_id, risk_score AS deterministic_score, coalesce(decided, risk_score) AS risk_score, CASE WHEN s IS NULL THEN 'v1-deterministic' ELSE 'v2-decision' END AS formula FROM dr
+"""
+
+
+@query("WITH " + ALERTS_SQL + ", " + DECIDED_SQL)
+def decided_risk(spark, sf_dir):
+    """Risk with decisions for most incidents; an unsure decision moves toward the middle."""
+    m, f = _factors(spark, sf_dir)
+    n = F.col("n")
+    decisions = m.groupBy("incident_id").agg(F.count(F.lit(1)).alias("n")).filter("n % 4 <> 0").select(
+        "incident_id", (n % 10 / 10).alias("p_malicious"), (n % 5 / 4).alias("severity_normalized"), F.lit(0.5).alias("p_escalate"), F.when(n % 3 == 0, 0.4).otherwise(0.9).alias("disposition_confidence")
+    )
+    return incidents.risk(f, decisions, "incident_id").select("incident_id", "deterministic_score", "risk_score", "formula")
+
+
+@query(
+    "WITH " + ALERTS_SQL + ", " + RAW_SQL + ", " + RISK_SQL
+    + """, s AS (SELECT CASE WHEN content_place = 1 THEN 'a' ELSE 'd' END AS s FROM accepted_2 UNION ALL SELECT 'r' FROM accepted_0 WHERE id_place > 1 OR len(errors) > 0),
+c AS (SELECT count(*) AS incidents, count(*) FILTER (WHERE risk_score >= 60) AS critical_high FROM ri), a AS (SELECT count(*) AS alerts FROM alerts_v), r AS (SELECT count(*) AS received, count(*) FILTER (WHERE s = 'd') AS duplicates, count(*) FILTER (WHERE s = 'r') AS rejected FROM s)
+SELECT received, duplicates, rejected, alerts, incidents, critical_high, round(alerts / incidents, 2) AS compression_ratio, round(alerts / greatest(1, critical_high), 1) AS actionable_ratio FROM c, a, r"""
+)
+def overview_headline(spark, sf_dir):
+    batches = ingest.batch_summary(ingest.classified(normalized(spark, sf_dir)))
+    ranked = incidents.risk(_factors(spark, sf_dir)[1])
+    return views.headline(batches, alerts(spark, sf_dir), ranked).select("received", "duplicates", "rejected", "alerts", "incidents", "critical_high", "compression_ratio", "actionable_ratio")
+
+
 @query("WITH " + ALERTS_SQL + ", " + CHAIN_SQL + """, w AS (SELECT *, row_number() OVER (PARTITION BY incident_id, st ORDER BY us, pos) AS i, row_number() OVER (PARTITION BY incident_id, st ORDER BY us DESC, pos DESC) AS j FROM staged),
 x AS (SELECT *, st IS NOT NULL AND (i <= 3 OR j = 1) AS s FROM w), y AS (SELECT *, CASE WHEN s THEN 0 WHEN row_number() OVER (PARTITION BY incident_id, alert_type, s ORDER BY us, pos) = 1 THEN 1 ELSE 2 END AS prio FROM x),
 z AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY prio, us, pos) AS p FROM y) SELECT incident_id, alert_id FROM z WHERE p <= 10""")
@@ -459,7 +530,17 @@ def evidence_samples(spark, sf_dir):
     return briefs.evidence_sample(chain.staged(members(spark, sf_dir)), 10).select("incident_id", "alert_id")
 
 
-@query()
+TITLES_SQL = CHAIN_SQL + """,
+tn AS (SELECT incident_id, title, count(*) AS n, min({'u': us, 'p': pos}) AS seen FROM alerts_v JOIN types_v USING (alert_type) GROUP BY 1, 2),
+tt AS (SELECT incident_id, title FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY n DESC, seen) AS p FROM tn) WHERE p = 1),
+ts AS (SELECT incident_id, list(stage) AS st FROM rolled GROUP BY 1), tc AS (SELECT incident_id, count(*) AS n, any_value("user") AS u, max(user_privilege) AS power FROM alerts_v GROUP BY 1)
+SELECT incident_id, CASE WHEN list_contains(st, 'credential_attack') AND list_contains(st, 'valid_access') AND (list_contains(st, 'execution') OR list_contains(st, 'resource_access'))
+  THEN 'Possible ' || CASE WHEN power >= 4 THEN 'privileged account' ELSE 'account' END || ' compromise: ' || u WHEN n = 1 THEN title || ': ' || u ELSE title || ' (' || n || ' alerts): ' || u END AS title
+FROM tc JOIN tt USING (incident_id) LEFT JOIN ts USING (incident_id)
+"""
+
+
+@query("WITH " + ALERTS_SQL + ", " + TITLES_SQL)
 def incident_titles(spark, sf_dir):
     m = shared.written(members(spark, sf_dir), "members")
     stages, maps = chain.stage_rollup(chain.staged(m)), techniques.mapped(m)
@@ -558,9 +639,9 @@ def triage_summary(spark, sf_dir):
     return evaluate.triage_summary(o)
 
 
-@query("WITH " + ALERTS_SQL + """SELECT pos, alert_id FROM alerts_v JOIN types_v USING (alert_type) WHERE (contains(lower(title), 'power') OR contains(alert_id, 'POWER') OR contains(lower("user"), 'power') OR contains(lower(host), 'power') OR starts_with(src_ip, 'power') OR contains(lower(alert_type), 'power')) AND alerts_v.severity = 'low' ORDER BY us DESC, pos DESC LIMIT 50 OFFSET 10""")
+@query("WITH " + ALERTS_SQL + """SELECT pos, alert_id FROM alerts_v JOIN types_v USING (alert_type) WHERE (contains(lower(title), 'power') OR contains(alert_id, 'POWER') OR contains(lower("user"), 'power') OR contains(lower(host), 'power') OR starts_with(src_ip, 'power') OR contains(lower(alert_type), 'power')) AND alerts_v.severity = 'low' ORDER BY us DESC, pos DESC LIMIT 50 OFFSET 10""".replace("SELECT pos, alert_id FROM", "SELECT pos, alert_id, count(*) OVER () AS total FROM"))
 def alert_search(spark, sf_dir):
-    return views.page(views.search_alerts(alerts(spark, sf_dir), "power", severity="low"), [F.desc("us"), F.desc("pos")], 50, 10).select("pos", "alert_id")
+    return views.page_with_total(views.search_alerts(alerts(spark, sf_dir), "power", severity="low"), [F.desc("us"), F.desc("pos")], 50, 10).select("pos", "alert_id", "total")
 
 
 @query("WITH " + ALERTS_SQL + "SELECT severity, count(*) AS n FROM alerts_v GROUP BY 1")
@@ -585,19 +666,21 @@ def feedback_status(spark, sf_dir):
     return views.with_feedback(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("evidence_hash")), f).select(F.col("evidence_hash").alias("o_custkey"), "verdict", "status")
 
 
-@query("SELECT o_orderkey, o_totalprice::DOUBLE AS price FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, min(0.0) FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 GROUP BY 1")
+FILLED_SQL = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice::DOUBLE ELSE 0.0 END AS price FROM orders"
+
+
+@query(FILLED_SQL)
 def fill_gaps(spark, sf_dir):
+    """A third of the orders is stored, all come in: none is left out."""
     o = table(spark, sf_dir, "orders")
     stored = o.filter("o_orderkey % 3 = 0").select("o_orderkey", F.col("o_totalprice").cast("double").alias("price"))
-    return tables.fill_gaps(stored, o.filter("o_orderkey % 2 = 0").select("o_orderkey", F.lit(0.0).alias("price")), ["o_orderkey"])
+    return tables.fill_gaps(stored, o.select("o_orderkey", F.lit(0.0).alias("price")), ["o_orderkey"])
 
 
-@query()
+@query(FILLED_SQL)
 def fill_gaps_whole(spark, sf_dir):
-    """As above, but all orders are new: none is left out."""
-    o = table(spark, sf_dir, "orders")
-    stored = o.filter("o_orderkey % 3 = 0").select("o_orderkey", F.col("o_totalprice").cast("double").alias("price"))
-    return tables.fill_gaps(stored, o.select("o_orderkey", F.lit(0.0).alias("price")), ["o_orderkey"])
+    """As above, under its earlier name."""
+    return fill_gaps(spark, sf_dir)
 
 
 @query("WITH " + ALERTS_SQL + ", " + RISK_SQL + """, tp AS (SELECT incident_id FROM ri ORDER BY risk_score DESC, first_us, incident_id LIMIT 300), tk AS (SELECT incident_id AS k, technique_id AS t FROM maps JOIN tp USING (incident_id) UNION SELECT incident_id, 'type:' || alert_type FROM alerts_v JOIN tp USING (incident_id)),
@@ -636,16 +719,14 @@ def stream_drained(spark, sf_dir):
     """All raw alerts as micro-batches of a file stream; the end state is the batch's."""
     root = f"{shared.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     raw = raw_alerts(spark, sf_dir).drop("k")
-    step = F.col("pos") / 10**9
-    for i in range(3):  # as they arrive: each run takes what is new as one micro-batch
-        raw.filter((step >= i) & (step < i + 1)).write.mode("append").parquet(f"{root}/in")
-        source = spark.readStream.schema(raw.schema).parquet(f"{root}/in")
-        stream.run_available(source, stream.ingest_batch(root), f"{root}/check")
+    for i in range(3):  # as they arrive, copies after what they repeat: each run takes what is new as one micro-batch
+        raw.filter(F.col("copy") == i).write.mode("append").parquet(f"{root}/in")
+        stream.run_available(stream.source(spark, f"{root}/in", raw.schema), stream.ingest_batch(root), f"{root}/check")
     return stream.drained(spark, root).select("alert_id", "us")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked incidents: name, title, risk, severity, confidence, times, alerts."""
     users, hosts, _ = contexts(spark, sf_dir)
-    out = pipeline.analyze(alerts(spark, sf_dir), users, None, CFG)
+    out = pipeline.analyze(alerts(spark, sf_dir), users, hosts, CFG)
     return out.incidents.select("incident_name", "rank", "title", "risk_score", "severity", "correlation_confidence", "first_us", "last_us", "n_alerts", "evidence_hash")

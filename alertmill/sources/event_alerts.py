@@ -26,7 +26,7 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     src = F.when(k % 3 == 0, F.concat(F.lit("203.0.113."), k)).otherwise(F.concat(F.lit("10.30."), F.expr("user_id div 250"), F.lit("."), u % 250))
     out = base.select(
-        F.col("event_id").alias("pos"), F.concat(F.lit("ALT-"), F.lpad(F.col("event_id").cast("string"), 8, "0")).alias("alert_id"),
+        F.col("event_id").alias("pos"), F.expr("concat('ALT-', lpad(cast(event_id as string), greatest(8, length(cast(event_id as string))), '0'))").alias("alert_id"),
         (F.lit(_START) + F.expr(f"(t - {_START}) div 30")).alias("us"), kind.alias("alert_type"), F.least(F.lit(100.0), F.col("value") / 5).alias("severity_score"),
         (0.5 + k / 200).alias("confidence"), F.concat(F.lit("user"), u).alias("user"), F.concat(F.lit("HOST-"), u % F.greatest(F.lit(10), F.expr("n_users * 2 div 3"))).alias("host"),
         src.alias("src_ip"), F.lit("10.0.0.53").alias("dst_ip"), F.when(F.col("event_type") == "view", F.concat(F.lit("proc"), k % 6)).alias("process"),
@@ -43,7 +43,7 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALERTS_SQL = """
 n_users AS (SELECT count(DISTINCT user_id) AS n FROM events),
 alerts_0 AS (
-  SELECT event_id AS pos, 'ALT-' || lpad(CAST(event_id AS VARCHAR), 8, '0') AS alert_id, 1704067200000000 + (epoch_us(ts) - 1704067200000000) // 30 AS us,
+  SELECT event_id AS pos, 'ALT-' || lpad(CAST(event_id AS VARCHAR), greatest(8, length(CAST(event_id AS VARCHAR)))::INT, '0') AS alert_id, 1704067200000000 + (epoch_us(ts) - 1704067200000000) // 30 AS us,
     CAST(json_extract(props, '$.k') AS INT) AS k, user_id, event_type, value, n FROM events, n_users),
 alerts_v AS (
   SELECT pos, alert_id, us, k, user_id,
@@ -59,14 +59,14 @@ alerts_v AS (
     CASE WHEN least(100.0, value / 5) >= 85 THEN 'critical' WHEN least(100.0, value / 5) >= 65 THEN 'high' WHEN least(100.0, value / 5) >= 40 THEN 'medium' WHEN least(100.0, value / 5) >= 20 THEN 'low' ELSE 'informational' END AS severity,
     "user_incident" AS incident_id
   FROM (SELECT *, 'user' || user_id || '-' || (((us - 1704067200000000) // 3600000000) // 6) AS "user_incident" FROM alerts_0)),
-types_v AS (SELECT * FROM (VALUES @types) AS t(alert_type, source, severity, family, stage, title)),
+types_v AS (SELECT * FROM (VALUES @types) AS t(alert_type, source, title, severity, family, stage)),
 stages_v AS (SELECT * FROM (VALUES @stages) AS t(stage, label, stage_order)),
 sequences_v AS (SELECT * FROM (VALUES @sequences) AS t(first, second))
 """
 for _name, _values in (
-    ("@types", ", ".join("(" + ", ".join(f"'{x}'" if x else "NULL" for x in r) + ")" for r in catalog.rows(catalog.ALERT_TYPES))),
-    ("@stages", ", ".join(f"('{s}', '{label}', {i})" for i, (s, label) in enumerate(catalog.rows(catalog.STAGES)))),
-    ("@sequences", ", ".join(f"('{a}', '{b}')" for a, b in catalog.rows(catalog.SEQUENCES))),
+    ("@types", ", ".join("(" + ", ".join(f"'{x}'" if x else "NULL" for x in r) + ")" for r in catalog.ALERT_TYPES)),
+    ("@stages", ", ".join(f"('{s}', '{label}', {i})" for i, (s, label) in enumerate(catalog.STAGES))),
+    ("@sequences", ", ".join(f"('{a}', '{b}')" for a, b in catalog.SEQUENCES)),
 ):
     ALERTS_SQL = ALERTS_SQL.replace(_name, _values)
 
@@ -77,25 +77,30 @@ def with_incidents(df: DataFrame) -> DataFrame:
 
 
 def raw_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The alerts as they might come in: other spellings, times as text, bad values, copies."""
+    """The alerts as they might come in: other spellings, times as text, IPv6, severities by label alone, bad values, copies.
+
+    copy is 0 for an alert, 1 for a copy under another id, 2 for one under the same id; pos sets copies after what they repeat.
+    """
     a = alerts(spark, sf_dir)
     k = F.col("k")
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     raw = a.select(
-        "pos", "alert_id", "k", F.when(k == 99, "not-a-timestamp").when(k % 25 == 0, F.expr("cast(us div 1000 as string)")).otherwise(iso).alias("timestamp"),
-        F.when(k != 96, F.col("alert_type")).alias("alert_type"), F.lit(None).cast("string").alias("severity"), F.when(k == 98, 500.0).otherwise(F.col("severity_score")).alias("severity_score"), "confidence",
+        (4 * F.col("pos")).alias("pos"), "alert_id", "k", F.when(k == 99, "not-a-timestamp").when(k % 25 == 0, F.expr("cast(us div 1000 as string)")).otherwise(iso).alias("timestamp"),
+        F.when(k != 96, F.col("alert_type")).alias("alert_type"), F.when(k == 94, "Crit").alias("severity"), F.when(k == 98, 500.0).when(k != 94, F.col("severity_score")).alias("severity_score"), "confidence",
         F.when(k % 7 == 0, F.concat(F.lit("CORP\\"), F.upper("user"))).when(k % 7 == 1, F.concat("user", F.lit("@corp.example"))).otherwise(F.col("user")).alias("user"),
-        F.when(k % 13 == 0, F.concat(F.lower("host"), F.lit(".corp.local"))).otherwise(F.col("host")).alias("host"), F.when(k == 97, "999.10.1.1").otherwise(F.col("src_ip")).alias("src_ip"), "dst_ip", "process", "resource",
+        F.when(k % 13 == 0, F.concat(F.lower("host"), F.lit(".corp.local"))).otherwise(F.col("host")).alias("host"),
+        F.when(k == 97, "999.10.1.1").when(k == 95, F.concat(F.lit("2001:0DB8:0::"), F.col("user_id") % 9 + 1)).otherwise(F.col("src_ip")).alias("src_ip"), "dst_ip", "process", "resource", F.lit(0).alias("copy"),
     )
-    copies = raw.filter("k = 10").withColumns({"pos": F.col("pos") + 10**9, "alert_id": F.concat("alert_id", F.lit("-DUP"))})
-    again = raw.filter("k = 11").withColumn("pos", F.col("pos") + 2 * 10**9)
+    copies = raw.filter("k = 10").withColumns({"pos": F.col("pos") + 1, "alert_id": F.concat("alert_id", F.lit("-DUP")), "copy": F.lit(1)})
+    again = raw.filter("k = 11").withColumns({"pos": F.col("pos") + 2, "copy": F.lit(2)})
     return raw.unionByName(copies).unionByName(again).withColumn("attributes", F.lit(None).cast("string"))
 
 
 RAW_SQL = r"""
-raw_0 AS (SELECT pos, alert_id, us, k, alert_type, severity_score, confidence, "user", host, src_ip, dst_ip, process, resource FROM alerts_v),
-raw_1 AS (SELECT * FROM raw_0 UNION ALL SELECT * REPLACE (pos + 1000000000 AS pos, alert_id || '-DUP' AS alert_id) FROM raw_0 WHERE k = 10
-  UNION ALL SELECT * REPLACE (pos + 2000000000 AS pos) FROM raw_0 WHERE k = 11),
+raw_0 AS (SELECT 4 * pos AS pos, alert_id, us, k, alert_type, CASE WHEN k = 94 THEN 92 ELSE severity_score END AS severity_score, CASE WHEN k = 94 THEN 'critical' ELSE severity END AS severity, confidence, "user", host,
+  CASE WHEN k = 95 THEN '2001:db8::' || (user_id % 9 + 1) WHEN k = 97 THEN '999.10.1.1' ELSE src_ip END AS src_ip, dst_ip, process, resource FROM alerts_v),
+raw_1 AS (SELECT * FROM raw_0 UNION ALL SELECT * REPLACE (pos + 1 AS pos, alert_id || '-DUP' AS alert_id) FROM raw_0 WHERE k = 10
+  UNION ALL SELECT * REPLACE (pos + 2 AS pos) FROM raw_0 WHERE k = 11),
 raw_v AS (SELECT *, k % 25 = 0 AS ms, list_filter([CASE WHEN k = 96 THEN 'missing alert_type' END, CASE WHEN k = 99 THEN 'bad timestamp' END,
   CASE WHEN k = 98 THEN 'severity_score outside 0..100' END, CASE WHEN k = 97 THEN 'bad src_ip' END], lambda x: x IS NOT NULL) AS errors FROM raw_1),
 accepted_0 AS (SELECT *, CASE WHEN ms THEN us // 1000 * 1000 ELSE us END AS t, row_number() OVER (PARTITION BY alert_id ORDER BY pos) AS id_place FROM raw_v),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RAW_FIELDS = [
@@ -48,9 +48,12 @@ def json_rows(text: Column) -> Column:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files, each a JSON document."""
-    files = spark.read.text(path, wholetext=True)
-    return typed(files.select(F.posexplode(json_rows(F.col("value"))).alias("pos", "body")))
+    """Whole files, each a JSON document. pos grows with the row inside a file, and differs between files (their numbers stand above the lowest 31 bits)."""
+    files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
+    order = Window.orderBy("file")  # a row for each file
+    numbers = files.select("file").distinct().select("file", (F.row_number().over(order) - 1).cast("long").alias("number"))
+    rows = files.select("file", F.posexplode(json_rows(F.col("value"))).alias("at", "body"))
+    return typed(rows.join(F.broadcast(numbers), "file").select((F.shiftleft("number", 31) + F.col("at")).alias("pos"), "body"))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -71,6 +71,11 @@ def fill_gaps(stored: DataFrame, incoming: DataFrame, keys: list[str], only_ok:
     return stored.unionByName(new, allowMissingColumns=True)
 
 
+def write_json(rows: DataFrame, path: str) -> None:
+    """One JSON object a line; null fields are left out."""
+    rows.write.mode("overwrite").json(path)
+
+
 def rating_sheet(briefs: DataFrame) -> DataFrame:
     """One row for each claim of the briefs (facts array<string>, hypotheses array<string>) to be rated."""
     facts = briefs.select("brief_id", "provider", F.lit("fact").alias("kind"), F.explode("facts").alias("claim"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from alertmill.functions import catalog, normalize
 
-MARKERS = ["SystemAlertId", "AlertName", "ProductName"]
+MARKERS = ["SystemAlertId", "AlertName", "AlertSeverity"]
 _FIELDS = ["TimeGenerated", "StartTime", "SystemAlertId", "AlertName", "AlertType", "AlertSeverity", "ProductName", "Description", "CompromisedEntity", "ConfidenceScore", "Entities", "ExtendedProperties", "Techniques", "SubTechniques"]
 _ENTITY = "array<struct<`$id`:string,Type:string,Name:string,UPNSuffix:string,HostName:string,DnsDomain:string,Address:string,CommandLine:string,ImageFile:struct<`$ref`:string,Name:string>,Upn:string,MailboxPrimaryAddress:string,ResourceId:string,AppName:string>>"
 
@@ -31,6 +31,13 @@ REPORTED = {
     "failed_login": "T1110", "password_spray_detected": "T1110", "impossible_travel": "T1078", "powershell_execution": "T1059", "encoded_command": "T1059,T1027",
     "credential_dump": "T1003", "privilege_group_change": "T1098", "account_discovery": "T1087", "large_data_transfer": "T1048",
 }
+#: types without a name of their own that are exported under their type's id
+ROUTINE = [
+    "file_share_access", "vpn_connection", "software_install", "service_restart", "patch_installed", "config_change", "firewall_block", "dns_query_suspicious_tld", "usb_device_connected",
+    "av_detection_quarantined", "dlp_policy_match", "email_attachment_blocked", "password_change", "admin_script_execution",
+]
+CLASSIFICATIONS = {"confirmed_malicious": "TruePositive", "false_positive": "FalsePositive", "benign_true_positive": "BenignPositive"}
+SEVERITIES = {"critical": "High", "high": "High", "medium": "Medium", "low": "Low"}
 TACTICS = {
     "credential-access": "CredentialAccess", "initial-access": "InitialAccess", "execution": "Execution", "persistence": "Persistence", "privilege-escalation": "PrivilegeEscalation", "stealth": "DefenseEvasion",
     "defense-evasion": "DefenseEvasion", "discovery": "Discovery", "lateral-movement": "LateralMovement", "collection": "Collection", "exfiltration": "Exfiltration", "command-and-control": "CommandAndControl", "impact": "Impact",
@@ -51,7 +58,11 @@ def from_vendor(rows: DataFrame, raw: str = "raw") -> DataFrame:
     t = parsed.withColumn("e", F.coalesce(F.from_json(F.col("j.Entities"), _ENTITY), F.array().cast(_ENTITY)))
     proc = F.filter("e", lambda x: (F.lower(x["Type"]) == "process") & (x["CommandLine"].isNotNull() | x["ImageFile"].isNotNull()))
     files = F.map_from_entries(F.transform(F.filter("e", lambda x: (F.lower(x["Type"]) == "file") & x["$id"].isNotNull() & x["Name"].isNotNull()), lambda x: F.struct(x["$id"], x["Name"])))
-    account, host, mailbox, app, azure = (F.get(of(k), F.lit(0)) for k in ("account", "host", "mailbox", "cloud-application", "azure-resource"))
+    account, host, mailbox = (F.get(of(k), F.lit(0)) for k in ("account", "host", "mailbox"))
+    held = lambda x: F.when((F.lower(x["Type"]) == "mailbox") & x["MailboxPrimaryAddress"].isNotNull(), F.concat(F.lit("mailbox:"), F.substring_index(x["MailboxPrimaryAddress"], "@", 1))).when(
+        F.lower(x["Type"]).isin("cloud-application", "azure-resource"), F.lower(F.substring_index(F.coalesce(x["Name"], x["ResourceId"]), "/", -1))
+    )
+    resource = F.get(F.array_compact(F.transform("e", held)), F.lit(0))
     ips = F.transform(of("ip"), lambda x: x["Address"])
     p = F.get(proc, F.lit(0))
     image = F.coalesce(p["ImageFile"]["Name"], F.element_at(files, p["ImageFile"]["$ref"]))
@@ -65,7 +76,7 @@ def from_vendor(rows: DataFrame, raw: str = "raw") -> DataFrame:
         F.coalesce(g("ProductName"), F.lit("Microsoft Sentinel")).alias("vendor"), normalize.classify(g("AlertName"), g("AlertType"), g("Description")).alias("alert_type"), g("AlertName").alias("title"),
         F.lower(g("AlertSeverity")).alias("severity"), F.lit(None).cast("string").alias("severity_score"), F.coalesce(g("ConfidenceScore"), F.lit("0.7")).alias("confidence"), user.alias("user"),
         F.coalesce(host["HostName"], g("CompromisedEntity")).alias("host"), F.get(ips, F.lit(0)).alias("src_ip"), F.get(ips, F.lit(1)).alias("dst_ip"), image.alias("process"),
-        F.coalesce(azure["ResourceId"], app["Name"], mailbox["MailboxPrimaryAddress"]).alias("resource"), F.to_json(attributes).alias("attributes"), F.lit(True).alias("has_confidence"), F.col(raw).alias("raw"),
+        resource.alias("resource"), F.to_json(attributes).alias("attributes"), F.lit(True).alias("has_confidence"), F.col(raw).alias("raw"),
     )
 
 
@@ -78,48 +89,89 @@ def convert(rows: DataFrame) -> DataFrame:
 
 
 def to_vendor(alerts: DataFrame) -> DataFrame:
-    """pos and raw, the alert as a vendor row's JSON text; null for types that have no vendor name."""
-    a = alerts
-    ent = lambda when, **kv: F.when(when, F.to_json(F.struct(*[v.alias(k) for k, v in kv.items()])))
+    """pos and raw, the alert as a vendor row's JSON text.
+
+    Types with a vendor name have an empty AlertType, so that reading them back goes by keywords; routine types
+    keep their type's id. Other alerts (an unknown type, or none) pass as they are. domain\\user and user@domain
+    are one account; mailbox: resources are mailboxes, others applications.
+    """
     c = F.col
-    entities = F.array_compact(
+    named, kind = catalog.lookup(c("alert_type"), ALERT_NAMES), c("alert_type")
+    known = named.isNotNull() | kind.isin(ROUTINE)
+    ent = lambda when, **kv: F.when(when, F.struct(*[(kv[k] if k in kv else F.lit(None).cast(t)).alias(k) for k, t in _OUT]))
+    lit = F.lit
+    mailbox = c("resource").startswith("mailbox:")
+    command = F.get_json_object("attributes", "$.command_line")
+    found = F.array_compact(
         F.array(
-            ent(c("user").isNotNull(), **{"$id": F.lit("1"), "Type": F.lit("account"), "Name": c("user")}), ent(c("host").isNotNull(), **{"$id": F.lit("2"), "Type": F.lit("host"), "HostName": c("host")}),
-            ent(c("src_ip").isNotNull(), **{"$id": F.lit("3"), "Type": F.lit("ip"), "Address": c("src_ip")}), ent(c("dst_ip").isNotNull() & c("src_ip").isNotNull(), **{"$id": F.lit("4"), "Type": F.lit("ip"), "Address": c("dst_ip")}),
-            ent(c("process").isNotNull(), **{"$id": F.lit("5"), "Type": F.lit("file"), "Name": c("process")}),
-            ent(c("process").isNotNull(), **{"$id": F.lit("6"), "Type": F.lit("process"), "CommandLine": F.get_json_object("attributes", "$.command_line"), "ImageFile": F.struct(F.lit("5").alias("$ref"))}),
-            ent(c("resource").isNotNull(), **{"$id": F.lit("7"), "Type": F.lit("azure-resource"), "ResourceId": c("resource")}),
+            ent(c("user").isNotNull(), Type=lit("account"), Name=F.regexp_replace(F.regexp_replace("user", r"^.*\\\\", ""), "@.*$", ""), UPNSuffix=lit("corp.example")),
+            ent(c("host").isNotNull(), Type=lit("host"), HostName=F.substring_index("host", ".", 1), DnsDomain=lit("corp.local")),
+            ent(c("src_ip").isNotNull(), Type=lit("ip"), Address=c("src_ip")), ent(c("dst_ip").isNotNull(), Type=lit("ip"), Address=c("dst_ip")),
+            ent(c("process").isNotNull(), Type=lit("file"), Name=c("process")), ent(c("process").isNotNull(), Type=lit("process"), CommandLine=command, ImageFile=F.struct(lit(0).alias("x"))),
+            ent(mailbox, Type=lit("mailbox"), MailboxPrimaryAddress=F.concat(F.substring_index("resource", ":", -1), lit("@corp.example"))),
+            ent(c("resource").isNotNull() & ~mailbox, Type=lit("cloud-application"), Name=c("resource")),
         )
     )
-    severity = F.when(c("severity") == "critical", "High").otherwise(F.initcap("severity"))
+    # ids count from 2; a process names the file right before it
+    number = lambda i: i.cast("string")
+    entities = F.transform(found, lambda x, i: F.struct(number(i + 2).alias("$id"), *[x[k] for k, _ in _OUT if k != "ImageFile"], F.when(x["ImageFile"].isNotNull(), F.struct(number(i + 1).alias("$ref"))).alias("ImageFile")))
+    severity = F.when(c("severity") == "critical", "High").otherwise(F.initcap(F.coalesce("severity", lit("medium"))))
+    dump = F.lower(F.coalesce(command, lit(""))).contains("minidump")
+    title = F.when(kind == "suspicious_process", F.when(dump, "Credential dump from LSASS memory via rundll32").otherwise("Suspicious certutil download")).otherwise(F.coalesce(named, c("title"), kind))
+    time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    more = F.to_json(F.map_filter(F.coalesce(F.from_json("attributes", "map<string,string>"), F.create_map().cast("map<string,string>")), lambda k, v: k != "command_line"))
     row = F.to_json(
         F.struct(
-            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("TimeGenerated"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("StartTime"), c("alert_id").alias("SystemAlertId"),
-            catalog.lookup(c("alert_type"), ALERT_NAMES).alias("AlertName"), c("alert_type").alias("AlertType"), severity.alias("AlertSeverity"), catalog.lookup(c("source"), PRODUCTS).alias("ProductName"),
-            c("confidence").cast("string").alias("ConfidenceScore"), F.concat(F.lit("["), F.array_join(entities, ","), F.lit("]")).alias("Entities"), c("attributes").alias("ExtendedProperties"),
-            catalog.lookup(c("alert_type"), REPORTED).alias("Techniques"),
+            time.alias("TimeGenerated"), time.alias("StartTime"), time.alias("EndTime"), c("alert_id").alias("SystemAlertId"), title.alias("AlertName"), F.when(named.isNotNull(), "").otherwise(kind).alias("AlertType"),
+            severity.alias("AlertSeverity"), title.alias("Description"), F.coalesce(catalog.lookup(c("source"), PRODUCTS), lit("Microsoft Sentinel")).alias("ProductName"), c("confidence").cast("string").alias("ConfidenceScore"),
+            F.coalesce("user", "host").alias("CompromisedEntity"), F.to_json(entities).alias("Entities"), more.alias("ExtendedProperties"), F.to_json(F.split(F.coalesce(catalog.lookup(kind, REPORTED), lit("")), ",")).alias("Techniques"),
         )
     )
-    return a.select("pos", F.when(catalog.lookup(c("alert_type"), ALERT_NAMES).isNotNull(), row).alias("raw"))
+    own = [x for x in alerts.columns if x != "pos"]
+    plain = F.to_json(F.struct(*[c(x) for x in own if x not in ("ts", "us")], time.alias("timestamp")))
+    return alerts.select("pos", F.when(known, row).otherwise(plain).alias("raw"))
+
+
+_OUT = [("Type", "string"), ("Name", "string"), ("UPNSuffix", "string"), ("HostName", "string"), ("DnsDomain", "string"), ("Address", "string"), ("CommandLine", "string"), ("ImageFile", "struct<x:int>"), ("MailboxPrimaryAddress", "string")]
+
 
+def incident_documents(incidents: DataFrame, mappings: DataFrame, entities: DataFrame, summaries: DataFrame, provider: str = "alertmill") -> DataFrame:
+    """incident_id and document, the JSON text of an incident for the vendor.
 
-def incident_documents(incidents: DataFrame, mappings: DataFrame, entities: DataFrame, summaries: DataFrame) -> DataFrame:
-    """incident_id and document, the JSON text of an incident for the vendor: title, severity, status, classification, labels, tactics, entities, comment."""
+    Status: Closed if the incident's status is closed, Active if it has a verdict, else New. The comment is the
+    summary and up to six facts with up to three of the alerts they cite, 30000 characters at most.
+    incidents: incident_id, title, severity, first_us, last_us, n_alerts, alert_ids, risk_score, contributions, and
+    verdict and status, if any; entities: the primary ones; summaries: incident_id, summary, facts (fact, alert_ids).
+    """
     m = mappings.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct("place", "technique_id", "tactics"))).alias("m"))
     e = entities.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct("place", "type", "value"))).alias("e"))
-    s = summaries.select("incident_id", "summary", "facts")
-    t = incidents.join(m, "incident_id", "left").join(e, "incident_id", "left").join(s, "incident_id", "left")
-    severity = F.when(F.col("severity").isin("critical", "high"), "High").when(F.col("severity") == "medium", "Medium").otherwise("Low")
-    verdict = F.col("verdict") if "verdict" in incidents.columns else F.lit(None).cast("string")
-    kind = catalog.lookup(verdict, {"true_positive": "TruePositive", "false_positive": "FalsePositive", "benign_true_positive": "BenignPositive"})
-    names = F.transform(F.flatten(F.col("m.tactics")), lambda x: catalog.lookup(x, TACTICS))
-    comment = F.substring(F.concat_ws("\n", "summary", F.array_join(F.slice("facts", 1, 6), "\n")), 1, 30000)
-    return t.select(
-        "incident_id",
-        F.to_json(
-            F.struct(
-                F.col("title"), severity.alias("severity"), F.when(kind.isNull(), "Active").otherwise("Closed").alias("status"), kind.alias("classification"), F.slice(F.col("m.technique_id"), 1, 10).alias("labels"),
-                F.array_sort(F.array_distinct(F.filter(names, lambda x: x.isNotNull()))).alias("tactics"), F.transform("e", lambda x: F.struct(x["type"].alias("kind"), x["value"].alias("name"))).alias("entities"), comment.alias("comment"),
-            )
-        ).alias("document"),
+    t = incidents.join(m, "incident_id", "left").join(e, "incident_id", "left").join(summaries.select("incident_id", "summary", "facts"), "incident_id", "left")
+    none = F.lit(None).cast("string")
+    verdict, status = (F.col(c) if c in incidents.columns else none for c in ("verdict", "status"))
+    kind = catalog.lookup(verdict, CLASSIFICATIONS)
+    state = F.when(status == "closed", "Closed").when(verdict.isNotNull(), "Active").otherwise("New")
+    names = F.transform(F.flatten(F.col("m.tactics")), lambda x: F.coalesce(catalog.lookup(x, TACTICS), x))
+    summary = F.coalesce("summary", "title")
+    cited = F.transform(F.slice(F.coalesce("facts", F.array().cast("array<struct<fact:string,alert_ids:array<string>>>")), 1, 6), lambda f: F.concat(F.lit("- "), f["fact"], F.lit(" ["), F.array_join(F.slice(f["alert_ids"], 1, 3), ", "), F.lit("]")))
+    comment = F.substring(F.concat(summary, F.lit("\n\nObserved facts:\n"), F.array_join(cited, "\n")), 1, 30000)
+    label = lambda x: F.struct(x.alias("labelName"), F.lit("User").alias("labelType"))
+    techniques = F.coalesce(F.col("m.technique_id"), F.array().cast("array<string>"))
+    labels = F.transform(F.concat(F.array(F.lit(provider), F.concat(F.lit("risk:"), F.round("risk_score").cast("int").cast("string"))), F.slice(techniques, 1, 10)), label)
+    time = lambda c: F.date_format(F.timestamp_micros(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    known = F.filter("e", lambda x: x["type"].isin(list(_ENTITIES)))
+    shown = F.transform(known, lambda x: F.struct(catalog.lookup(x["type"], {k: v[0] for k, v in _ENTITIES.items()}).alias("kind"), F.struct(*[F.when(x["type"] == k, x["value"]).alias(v[1]) for k, v in _ENTITIES.items()], x["value"].alias("friendlyName")).alias("properties")))
+    properties = F.struct(
+        F.col("title"), summary.alias("description"), F.coalesce(catalog.lookup(F.col("severity"), SEVERITIES), F.lit("Informational")).alias("severity"), state.alias("status"), time("first_us").alias("firstActivityTimeUtc"),
+        time("last_us").alias("lastActivityTimeUtc"), F.lit(provider).alias("providerName"), F.col("incident_id").alias("providerIncidentId"), labels.alias("labels"),
+        F.struct(F.col("n_alerts").alias("alertsCount"), F.array_sort(F.array_distinct(F.coalesce(names, F.array().cast("array<string>")))).alias("tactics"), techniques.alias("techniques"), F.array(F.lit(provider)).alias("alertProductNames")).alias("additionalData"),
+        kind.alias("classification"), F.when(kind.isNotNull(), F.lit(f"Verdict of an analyst, recorded in {provider}")).alias("classificationComment"),
+    )
+    document = F.struct(
+        properties.alias("properties"), F.col("alert_ids").alias("relatedAlertIds"), shown.alias("entities"),
+        F.array(F.struct(F.struct(comment.alias("message")).alias("properties"))).alias("comments"), F.col("contributions").alias("riskBreakdown"),
     )
+    return t.select("incident_id", F.to_json(document).alias("document"))
+
+
+#: kind and name of an entity of a document
+_ENTITIES = {"user": ("Account", "accountName"), "host": ("Host", "hostName"), "ip": ("Ip", "address"), "process": ("File", "fileName"), "resource": ("CloudApplication", "appName")}

@@ -1,4 +1,4 @@
-"""Alerts as a stream: micro-batches through the batch functions, with state in tables; the drained stream equals the batch."""
+"""Alerts as a stream: micro-batches through the batch functions, with state in tables; the drained stream equals the batch if rows come in the order of pos."""
 
 from __future__ import annotations
 
@@ -9,19 +9,30 @@ from pyspark.sql import functions as F
 
 from alertmill.functions import normalize
 from alertmill.operators import ingest
-from alertmill.sources import tables
+from alertmill.operators.correlate import Correlation
+from alertmill.plans import pipeline
+from alertmill.sources import shared, tables
 
 RANKS = {"low": 0, "medium": 1, "high": 2, "critical": 3}
 
 
-def source(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1) -> DataFrame:
-    """Raw alerts from Parquet files as they arrive."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def source(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """Raw alerts from Parquet files as they arrive, all new files or so many in a batch."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
 
-def _known(spark: SparkSession, root: str) -> DataFrame | None:
+def released(raw: DataFrame, until_us: int, after_us: int | None = None) -> DataFrame:
+    """The raw rows that arrive by event time after one instant and until another. Rows without a readable time come with the first release (no after_us), to be rejected."""
+    t = F.unix_micros(normalize.parse_time(F.col("timestamp").cast("string")))
+    if after_us is None:
+        return raw.filter(t.isNull() | (t <= until_us))
+    return raw.filter((t > after_us) & (t <= until_us))
+
+
+def _known(spark: SparkSession, root: str, name: str = "stream_alerts") -> DataFrame | None:
     try:
-        return tables.read(spark, root, "stream_alerts")
+        return tables.read(spark, root, name)
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             return None
@@ -40,7 +51,7 @@ def ingest_batch(root: str, contexts: tuple | None = None, analyze: Callable[[Da
         users, hosts, resources = contexts or (None, None, None)
         known = _known(spark, root)
         known = known.filter(F.col("batch") != number) if known is not None else None
-        rows = ingest.classified(normalize.normalize(batch, users, hosts, resources, ipv6=False), known).withColumn("batch", F.lit(number)).persist()
+        rows = ingest.classified(normalize.normalize(batch, users, hosts, resources), known).withColumn("batch", F.lit(number)).persist()
         for name, part in (("stream_alerts", rows.filter("status = 'accepted'")), ("stream_duplicates", rows.filter("status = 'duplicate'")), ("stream_rejects", rows.filter("status = 'rejected'")), ("stream_counters", ingest.batch_summary(rows))):
             part.drop("batch").write.mode("overwrite").parquet(f"{root}/{name}/batch={number}")
         rows.unpersist()
@@ -99,6 +110,50 @@ def escalations(incidents: DataFrame, state: DataFrame | None) -> tuple[DataFram
     return events.drop("rank", "best"), new
 
 
+def reanalysis(root: str, users: DataFrame, hosts: DataFrame | None = None, cfg: Correlation = Correlation(), board_size: int = 8) -> Callable[[DataFrame, int], None]:
+    """For ingest_batch(): analyses all alerts so far, and writes the board, the new events, the best severity of each incident and the numbers of incidents.
+
+    Each table has a part for each batch, so a batch that is run again gives the same tables; the state is read
+    from the last batch before.
+    """
+
+    def run(alerts: DataFrame, number: int) -> None:
+        spark = alerts.sparkSession
+        if alerts.isEmpty():
+            return
+        before = _known(spark, root, "stream_state")
+        if before is not None:
+            last = before.filter(F.col("batch") < number).agg(F.max("batch")).first()[0]
+            before = before.filter(F.col("batch") == last).drop("batch") if last is not None else None
+        with shared.scratch(spark):
+            found = pipeline.analyze(alerts, users, hosts, cfg).incidents.withColumn("key", F.col("first_alert"))
+            found = shared.written(found.select("key", "incident_name", "title", "severity", "risk_score", "n_alerts", "first_us", "last_us"), "stream-incidents")
+            events, state = escalations(found, before)
+            counts = found.agg(F.count(F.lit(1)).alias("incidents"), *[F.count_if(F.col("severity") == s).alias(s) for s in RANKS])
+            for name, part in (("stream_board", board(found, board_size)), ("stream_events", events), ("stream_state", state), ("stream_analyses", counts)):
+                part.write.mode("overwrite").parquet(f"{root}/{name}/batch={number}")
+
+    return run
+
+
+def feed(spark: SparkSession, root: str, size: int = 40) -> DataFrame:
+    """The newest events, the last batch's first."""
+    return tables.read(spark, root, "stream_events").orderBy(F.desc("batch"), F.desc("risk_score"), "key").limit(size)
+
+
+def snapshot(spark: SparkSession, root: str, rows_total: int | None = None) -> DataFrame:
+    """One row: rows seen (and their share of rows_total), alerts, duplicates, rejected, incidents of the last analysis and their severities, alerts for each incident, analyses."""
+    seen = counters(spark, root)
+    all_ = tables.read(spark, root, "stream_analyses")
+    names = ["incidents", *RANKS]
+    last = all_.agg(F.count(F.lit(1)).alias("analyses"), *[F.max_by(c, "batch").alias(c) for c in names])
+    out = seen.crossJoin(last)
+    return out.select(
+        F.col("received").alias("rows_seen"), (F.least(F.lit(1.0), F.round(F.col("received") / rows_total, 4)) if rows_total else F.lit(None).cast("double")).alias("progress"), F.col("accepted").alias("alerts"), "duplicates", "rejected",
+        *names, (F.col("critical") + F.col("high")).alias("critical_high"), F.when(F.col("incidents") > 0, F.round(F.col("accepted") / F.col("incidents"), 2)).alias("compression_ratio"), "analyses",
+    )
+
+
 def board(incidents: DataFrame, size: int = 8) -> DataFrame:
     return incidents.orderBy(F.desc("risk_score"), "first_us").limit(size)
 

@@ -110,8 +110,8 @@ def test_vendor_rows(spark):
         "Techniques": "T1059, bad", "ExtendedProperties": json.dumps({"x": "y"}),
         "Entities": json.dumps([{"$id": "1", "Type": "account", "Name": "ann", "UPNSuffix": "corp.example"}, {"$id": "2", "Type": "host", "HostName": "h1"}, {"$id": "3", "Type": "ip", "Address": "10.0.0.1"}, {"$id": "4", "Type": "ip", "Address": "10.0.0.2"}, {"$id": "5", "Type": "file", "Name": "powershell.exe"}, {"$id": "6", "Type": "process", "CommandLine": "powershell -enc x", "ImageFile": {"$ref": "5"}}]),
     }
-    rows = vendor.convert(raw(spark, row, BASE, {"AlertName": None, "ProductName": None}))
-    assert [r["converted"] for r in rows.orderBy("pos").collect()] == [True, False, True]
+    rows = vendor.convert(raw(spark, row, BASE, {"AlertName": None, "AlertSeverity": None}, {"AlertName": None, "ProductName": None}))
+    assert [r["converted"] for r in rows.orderBy("pos").collect()] == [True, False, True, False]
     got = normalize.normalize(rows).filter("pos = 0").first()
     assert (got["alert_type"], got["user"], got["host"], got["src_ip"], got["dst_ip"], got["process"], got["source"]) == ("powershell_execution", "ann", "H1", "10.0.0.1", "10.0.0.2", "powershell.exe", "endpoint")
     assert json.loads(got["attributes"]) == {"command_line": "powershell -enc x", "vendor_techniques": "T1059", "x": "y"}
