@@ -33,8 +33,8 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-#: Fragments of at most so many characters whose ids a worker keeps, and how many.
-_KNOWN_CHARS, _KNOWN = 32, 50_000
+#: Characters from which on the next forced boundary ends a fragment: a few dozen words, whatever the text's length.
+FRAGMENT_CHARS = 256
 #: Kinds of characters in the pattern: others, white space, letters, numbers.
 _OTHER, _SPACE, _LETTER, _NUMBER = range(4)
 #: Whether the pattern, wherever it began, may be cut between two kinds: before white space and never after it (it joins what
@@ -54,6 +54,13 @@ def _kinds() -> np.ndarray:
     return np.array([_SPACE if is_space(c) else of.get(unicodedata.category(c)[0], _OTHER) for c in map(chr, range(0x110000))], np.uint8)
 
 
+@functools.cache
+def _sides() -> tuple[np.ndarray, np.ndarray]:
+    """A number for each code point on the left of a place (256 x kind + last byte) and on the right (256 x kind + first byte)."""
+    kind, (first, last, _) = _kinds().astype(np.uint16) * 256, _utf8(np.arange(0x110000, dtype=np.uint32))
+    return kind + last, kind + first
+
+
 def _utf8(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First byte, last byte and number of bytes of each code point."""
     size = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
@@ -86,7 +93,8 @@ class ByteBpe:
             inside[a[:-1], a[1:]] = True
         #: apart[a, b]: no token has byte b right after byte a.
         self.apart = ~inside
-        self._known: dict[str, list[int]] = {}
+        #: forced[a, b]: a cut between sides of those numbers (see _sides()).
+        self.forced = np.repeat(np.repeat(_STARTS_ANEW, 256, axis=0), 256, axis=1) & np.tile(self.apart, (4, 4))
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.coder.encode(text, allowed_special="all"), np.uint32)
@@ -104,26 +112,28 @@ class ByteBpe:
         rest is again such a run (see _STARTS_ANEW).
         """
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        kind, (first, last, _) = _kinds()[points], _utf8(points)
-        return np.flatnonzero(_STARTS_ANEW[kind[:-1], kind[1:]] & self.apart[last[:-1], first[1:]]) + 1
-
-    def fragments(self, text: str) -> list[str]:
-        """The text cut at every forced boundary; an empty text has none."""
-        places = [0, *self.cuts(text).tolist(), len(text)] if text else []
-        return [text[a:b] for a, b in zip(places, places[1:], strict=False)]
-
-    def encode_fragments(self, text: str) -> np.ndarray:
-        """Each fragment encoded by itself, then concatenated. Short ones recur, so a bounded number of their ids is kept."""
-        ids, known = [], self._known
-        for x in self.fragments(text):
-            own = known.get(x)
-            if own is None:
-                own = self.coder.encode(x, allowed_special="all")
-                if len(x) <= _KNOWN_CHARS:
-                    if len(known) >= _KNOWN:
-                        known.clear()
-                    known[x] = own
-            ids.extend(own)
+        left, right = _sides()
+        return np.flatnonzero(self.forced[left[points[:-1]], right[points[1:]]]) + 1
+
+    def fragments(self, text: str, size: int = FRAGMENT_CHARS) -> list[str]:
+        """The text cut at forced boundaries, each piece ending at the first one from size characters on (0: at every one); an empty text has none."""
+        if len(text) <= size:
+            return [text] if text else []
+        places = self.cuts(text)
+        if size > 1 and len(places):
+            chosen, i = [], int(np.searchsorted(places, size))
+            while i < len(places):
+                chosen.append(places[i])
+                i = int(np.searchsorted(places, places[i] + size))
+            places = np.array(chosen, np.int64)
+        ends = [0, *places.tolist(), len(text)]
+        return [text[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def encode_fragments(self, text: str, size: int = FRAGMENT_CHARS) -> np.ndarray:
+        """Each fragment encoded by itself, then concatenated."""
+        ids: list[int] = []
+        for x in self.fragments(text, size):
+            ids.extend(self.coder.encode(x, allowed_special="all"))
         return np.array(ids, np.uint32)
 
     # --- overlapping chunks ------------------------------------------------------------------------

@@ -9,10 +9,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alertmill.operators.hot import join_groups, sent_if_small  # noqa: F401
 from alertmill.sources.shared import written  # noqa: F401
 
 #: Text that is worked on at once inside a Python task, in characters; bounds a worker's memory.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 400_000
 #: The white space of all word, line and text contracts.
 SPACE_CLASS = r"\x20\x09-\x0D"
 
@@ -35,11 +36,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sent_if_small(table: DataFrame, rows: int) -> DataFrame:
-    """A written table of narrow rows, to be sent to all tasks if it has at most that many rows; a larger one is joined by a shuffle."""
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
-
-
 def slices(batches: Iterator[pa.RecordBatch], text: str | tuple[str, ...] = "text", limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches where their texts pass limit bytes; one longer text is a slice of its own."""
     names = (text,) if isinstance(text, str) else text

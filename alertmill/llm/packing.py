@@ -27,6 +27,8 @@ from alertmill.llm.textops import ranges
 
 #: Tokens of a sequence, and the id that ends each document.
 SEQUENCE, END_ID = 2048, 1
+#: Longer texts are encoded in fragments of about so many characters.
+FRAGMENT_CHARS = 16_384
 #: Tokens of each window that a queue of its own has at least; smaller sources share the first queue.
 LEAST_TOKENS = 2
 #: Places of (source, part) up to which they are sent to all tasks; more are joined.
@@ -126,7 +128,7 @@ def _tokens(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str,
         for rows in slices(batches):
             ids, n, before = [], [], []
             for text, source in zip(rows.column("text").to_pylist(), rows.column("source").to_pylist(), strict=True):
-                own = np.append(coder.encode_fragments(text), np.uint32(end_id)).astype(kind)
+                own = np.append(coder.encode_fragments(text, FRAGMENT_CHARS), np.uint32(end_id)).astype(kind)
                 ids.append(own.tobytes())
                 n.append(len(own))
                 before.append(so_far.get(source, 0))

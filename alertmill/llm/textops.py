@@ -7,6 +7,8 @@ import numpy as np
 _U = np.uint64
 #: Odd, so that it has an inverse modulo 2**64.
 _BASES = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
+#: Powers that a worker keeps for each base.
+_KEPT_POWERS = 1 << 19
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -21,19 +23,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _power_table(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    p = _BASES[base]
+    both = []
+    for x in (p, _U(pow(int(p), -1, 1 << 64))):
+        a = np.full(n, x, _U)
+        a[0] = 1
+        both.append(np.multiply.accumulate(a))
+    return both[0], both[1]
+
+
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 20)
-        p = _BASES[base]
-        inverse = _U(pow(int(p), -1, 1 << 64))
-        both = []
-        for x in (p, inverse):
-            a = np.full(size, x, _U)
-            a[0] = 1
-            both.append(np.multiply.accumulate(a))
-        have = _POWERS[base] = (both[0], both[1])
-    return have
+    """Powers of a base and of its inverse. Short tables are kept; one for a long text is made anew, so a worker does not hold it."""
+    if n > _KEPT_POWERS:
+        return _power_table(base, n)
+    if base not in _POWERS:
+        _POWERS[base] = _power_table(base, _KEPT_POWERS)
+    return _POWERS[base]
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = 0) -> np.ndarray:

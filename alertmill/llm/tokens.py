@@ -41,7 +41,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, chunk_chars: in
 
 
 def encoded(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids array<int> of each row: fragments between all forced boundaries, encoded apart and concatenated."""
+    """doc_id and ids array<int> of each row: fragments between forced boundaries, encoded apart and concatenated."""
     return _coded(docs, vocabulary, id_col, text_col, "ids array<int>", lambda coder, t, ids: (ids.astype(np.int32),))
 
 
@@ -63,7 +63,7 @@ def encoding_digests(docs: DataFrame, vocabulary: str | None = None, id_col: str
 
     def digests(coder: bpe.ByteBpe, text: str, ids: np.ndarray) -> tuple:
         back = coder.decode(ids).encode("utf-8")
-        return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), len(coder.cuts(text)) + 1 if text else 0
+        return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), len(coder.fragments(text))
 
     return _coded(docs, vocabulary, id_col, text_col, "n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_fragments bigint", digests)
 

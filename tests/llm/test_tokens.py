@@ -20,7 +20,7 @@ PIECES = ["a", "the ", "  ", "\n\n", "'re", "'s", "é", "日本", "😀", "123",
 def test_any_cut_gives_the_library_ids(text, chunk, overlap):
     coder, want = bpe.load(PATH), bpe.library(PATH).encode(text, add_special_tokens=False).ids
     assert coder.encode(text).tolist() == want
-    assert coder.encode_fragments(text).tolist() == want
+    assert coder.encode_fragments(text, chunk).tolist() == want
     assert coder.count(text, chunk, overlap)[0] == len(want)
     assert coder.decode(np.array(want, np.uint32)) == text
 
@@ -32,15 +32,18 @@ ODD = st.one_of(st.sampled_from([*PIECES, "'", "'ll", "q'Z", "ⅷ", "²", "ǅ",
 @given(st.lists(ODD, max_size=60).map("".join))
 def test_every_forced_boundary(text):
     coder, want = bpe.load(PATH), bpe.library(PATH).encode(text, add_special_tokens=False).ids
-    assert coder.encode_fragments(text).tolist() == want
+    assert coder.encode_fragments(text, 0).tolist() == want and coder.encode_fragments(text, 7).tolist() == want
     assert coder.count(text, 12, 4)[0] == len(want)
-    parts = coder.fragments(text)
-    assert "".join(parts) == text and all(parts)
+    for size in (0, 7):
+        parts = coder.fragments(text, size)
+        assert "".join(parts) == text and all(parts) and all(len(x) >= size for x in parts[:-1])
 
 
 def test_cuts_are_many():
-    """By the method: a cut before each word, whatever the length of the text."""
-    assert bpe.load(PATH).fragments("the cat, a 12x; 日本") == ["the", " cat", ",", " a", " 12", "x", ";", " 日", "本"]
+    """By the method: a boundary before each word, whatever the length of the text."""
+    text = "the cat, a 12x; 日本"
+    assert len(bpe.load(PATH).fragments(text * 100)) > 4
+    assert bpe.load(PATH).fragments(text, 0) == ["the", " cat", ",", " a", " 12", "x", ";", " 日", "本"]
 
 
 def test_text_without_white_space_has_stable_places():
