@@ -44,8 +44,9 @@ def brute_classes(rows):
     return {i: root(i) for i in bags}
 
 
-@pytest.mark.parametrize("rows", ["given", "made"])
-def test_classes_are_those_of_all_pairs(spark, rows):
+@pytest.mark.parametrize(("rows", "block"), [("given", 512), ("made", 512), ("made", 3)])
+def test_classes_are_those_of_all_pairs(spark, monkeypatch, rows, block):
+    monkeypatch.setattr(near_dups, "BLOCK", block)
     if rows == "given":
         docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     else:
@@ -80,7 +81,7 @@ def test_signatures_estimate_weighted_similarity():
     base = [str(rng.randrange(10**6)) for _ in range(400)]
     other = base[:300] + [str(rng.randrange(10**6)) for _ in range(100)]
     texts = [" ".join(base), " ".join(other), "one two", ""]
-    text, cell, _ = near_dups.cells(texts)
+    text, cell, *_ = near_dups.cells(texts)
     signs = near_dups.dart_signatures(text, cell, 4, 4096)
     assert abs(np.mean(signs[0] == signs[1]) - similarity(bag(texts[0]), bag(texts[1]))) < 0.04
     assert (signs[3] == near_dups._NONE).all() and (signs[2] != near_dups._NONE).all()
@@ -94,3 +95,30 @@ def test_empty_and_repeated_rows(spark):
     rows = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (None, None)], "doc_id long, text string")
     got = sorted((r["doc_id"] is None, r["class_id"], r["class_size"], r["kept"]) for r in near_dups.near_duplicates(rows).collect() if r["class_id"] is not None)
     assert got == [(False, 7, 3, True), (False, 7, 3, True), (True, 7, 3, False)]
+
+
+def test_chunks_let_all_classes_meet_and_no_class_meet_itself(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "BLOCK", 4)
+    data = [(1, i, 100) for i in range(40)] + [(1, 50 + i, 200) for i in range(9)] + [(1, 70 + i, 300 + i) for i in range(6)] + [(2, 90, 300), (2, 91, 301)]
+    placed, pairs = near_dups.chunk_pairs(spark.createDataFrame(data, "bucket long, node long, component long"))
+    met, blocks = set(), collections.defaultdict(list)
+    for r in placed.join(pairs, ["bucket", "chunk"]).collect():
+        blocks[r["block"]].append((r["bucket"], r["node"], r["component"]))
+    for own in blocks.values():
+        assert len({b for b, *_ in own}) == 1
+        met |= {(x[0], *sorted((x[1], y[1]))) for x, y in itertools.combinations(own, 2)}
+    want = {(x[0], *sorted((x[1], y[1]))) for x, y in itertools.combinations(data, 2) if x[0] == y[0] and x[2] != y[2]}
+    assert want <= met
+    # the large class is sent to each chunk of others once, not to its own chunks
+    assert sum(len(own) for own in blocks.values()) < 57 * 8
+
+
+def test_different_words_on_one_node_stay_apart(spark):
+    rows = spark.createDataFrame([(1, 5, 10), (2, 5, 11), (3, 6, 12)], "doc_id long, node long, check long")
+    got = near_dups.told_apart(rows, spark.createDataFrame([(5,)], "node long")).collect()
+    assert len({r["node"] for r in got}) == 3 and near_dups.told_apart(rows, None) is rows
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5, 6), (2, "a b c", 7, 8), (3, "x", 9, 10)], "doc_id long, text string, _near_key int, key int")
+    assert sorted(map(tuple, near_dups.without_near_duplicates(docs).collect())) == [(1, "a b c", 5, 6), (3, "x", 9, 10)]
