@@ -15,12 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from alertmill.llm.common import slices
+from alertmill.llm.common import join_groups, slices
 from alertmill.llm.textops import code_points, ranges, span_hashes, word_spans
 
 #: Words of a passage that may not start twice.
 WORDS = 20
+_PLACES = T.StructType([T.StructField("key", T.LongType(), False), T.StructField("pos", T.IntegerType(), False), T.StructField("h", T.LongType(), False)])
 
 
 def _sliding(values: np.ndarray, width: int, of) -> np.ndarray:
@@ -65,20 +67,24 @@ def _starts(positions: list[int], n_words: int, length: int, last: bool) -> np.n
     return found[(found >= 0) & (found + 2 * length <= n_words)]
 
 
-def _extended(texts: list[str], positions: list[list[int]], length: int, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, word position and hash of those windows."""
+def _extended(texts: list[str], positions: list[list[int]], length: int, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, word position and two hashes (64 and, for the last ones, 32 bits) of those windows."""
     word, first = _words(texts)
     own = [_starts(p, int(n), length, last) for p, n in zip(positions, np.diff(first), strict=True)]
     text = np.repeat(np.arange(len(texts)), [len(x) for x in own])
     pos = np.concatenate(own) if own else np.empty(0, np.int64)
     start = pos + first[text]
-    return text, pos, span_hashes(word, start, start + 2 * length)
+    g = (span_hashes(word, start, start + 2 * length, base=1) >> np.uint64(32)).astype(np.uint32) if last else np.empty(0, np.uint32)
+    return text, pos, span_hashes(word, start, start + 2 * length), g
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """key and its positions (pos) whose hash stands in more than one row. Counts are combined before the shuffle."""
-    many = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    return rows.join(many, "h").groupBy("key").agg(F.collect_set("pos").alias("pos"))
+    """key and its positions (pos) whose hash stands in more than one row; further places by a false hash do no harm.
+
+    Counts are combined before the shuffle, and a hash of many places is dealt to several tasks.
+    """
+    many = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return join_groups(rows, many, ["h"], ["key", "pos"]).groupBy("key").agg(F.collect_set("pos").alias("pos"))
 
 
 def repeated_windows(docs: DataFrame, words: int = WORDS, small: bool = False) -> tuple[DataFrame, DataFrame, int]:
@@ -87,43 +93,47 @@ def repeated_windows(docs: DataFrame, words: int = WORDS, small: bool = False) -
     Each level takes all columns of docs, so that one exchange of the texts serves them all.
 
     The first table has key and pos, the starts of repeated windows of words / 2 words: a window of full
-    length that repeats holds one (small: see _small_ids). The second has id and firsts: of each such window that is hashed, the
-    place with the smallest id, then position. All other places start earlier too. Also: words / 2.
+    length that repeats holds one (small: see _small_ids). The second has id and firsts: of each such window that is hashed (by 96
+    bits, as this alone decides), the place with the smallest id, then position. All other places start earlier too. Also: words / 2.
     """
     length = words // 4
+    kind = docs.schema["id"].dataType.simpleString()
 
     def first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             text, pos, h = anchors(part.column("text").to_pylist(), words)
             yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(text)), pa.array(pos, pa.int32()), pa.array(h.view(np.int64))], names=["key", "pos", "h"])
 
-    found = _repeated(docs.mapInArrow(first_level, "key long, pos int, h long"))
-    while True:
-        last = 2 * length == words
-
-        def next_level(batches: Iterator[pa.RecordBatch], length=length, last=last) -> Iterator[pa.RecordBatch]:
+    def next_level(length: int, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of = "id" if last else "key"
             for part in slices(batches):
-                text, pos, h = _extended(part.column("text").to_pylist(), part.column("pos").to_pylist(), length, last)
-                yield pa.RecordBatch.from_arrays([part.column("id" if last else "key").take(pa.array(text)), pa.array(pos, pa.int32()), pa.array(h.view(np.int64))], names=["id" if last else "key", "pos", "h"])
-
-        joined = docs.join(found, "key")
-        if last:
-            break
-        found, length = _repeated(joined.mapInArrow(next_level, "key long, pos int, h long")), 2 * length
-    rows = joined.mapInArrow(next_level, "id long, pos int, h long")
-    # a place as one number, by id and then by position, so that the smallest is found by plain sums in tasks
-    place = (F.col("id").cast("decimal(20,0)") * (1 << 31) + F.col("pos")).cast("decimal(38,0)")
-    if small:
-        place = F.col("id") * (1 << 27) + F.col("pos")
+                text, pos, h, g = _extended(part.column("text").to_pylist(), part.column("pos").to_pylist(), length, last)
+                more = [pa.array(g.view(np.int32))] if last else []
+                yield pa.RecordBatch.from_arrays([part.column(of).take(pa.array(text)), pa.array(pos, pa.int32()), pa.array(h.view(np.int64)), *more], names=[of, "pos", "h", *(["g"] if last else [])])
+
+        return run
+
+    found = _repeated(docs.mapInArrow(first_level, _PLACES))
+    while 2 * length < words:
+        found, length = _repeated(docs.join(found, "key").mapInArrow(next_level(length, False), _PLACES)), 2 * length
+    rows = docs.join(found, "key").mapInArrow(next_level(length, True), f"id {kind}, pos int, h long, g int")
+    if kind != "bigint":
+        first, unpacked = F.struct("id", "pos"), [F.col("first.id").alias("id"), F.col("first.pos").alias("pos")]
+    elif small:  # a place as one number, by id and then by position, so that the smallest is found by plain sums in tasks
+        first = F.col("id") * (1 << 27) + F.col("pos")
         unpacked = [F.expr("first div (1L << 27)").alias("id"), F.expr("cast(first & ((1L << 27) - 1) as int)").alias("pos")]
     else:
+        first = (F.col("id").cast("decimal(20,0)") * (1 << 31) + F.col("pos")).cast("decimal(38,0)")
         unpacked = [F.expr("cast(floor(first / 2147483648) as bigint)").alias("id"), F.expr("cast(pmod(first, 2147483648) as int)").alias("pos")]
-    firsts = rows.groupBy("h").agg(F.min(place).alias("first")).select(*unpacked)
+    firsts = rows.groupBy("h", "g").agg(F.min(first).alias("first")).select(*unpacked)
     return found, firsts.groupBy("id").agg(F.collect_set("pos").alias("firsts")), length
 
 
 def _small_ids(docs: DataFrame) -> bool:
     """Whether all ids have 36 bits and all texts fewer than 2 ** 27 characters, so that a place fits 64 bits."""
+    if docs.schema["id"].dataType != T.LongType():
+        return False
     r = docs.agg(F.min("id"), F.max("id"), F.max(F.octet_length("text"))).first()
     return r[0] is not None and r[0] >= 0 and r[1] < 1 << 36 and r[2] < 1 << 27
 
@@ -134,23 +144,26 @@ def without_repeated_passages(docs: DataFrame, words: int = WORDS, digest: bool
     A word goes if it is in a window of words words that also starts earlier. Words are runs without ASCII
     white space, unchanged. Texts are judged as they are, not by what is left of them. Null and empty texts
     have no words. Rows that agree in doc_id and text are one document with one result; of different texts
-    under one doc_id equal windows at equal positions all stay. A null doc_id is the smallest. An extra column
-    never clashes, as it is inside rest. words must be a multiple of 4.
+    under one doc_id equal windows at equal positions all stay. A null doc_id is the smallest. Ids that are no
+    integers are ordered as text. An extra column never clashes, as it is inside rest. words must be a multiple of 4.
     """
     if words % 4:
         raise ValueError("words must be a multiple of 4")
     others = [docs[c] for c in docs.columns if c not in (id_col, text_col)]
-    base = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *([] if digest else others)).alias("rest"))
-    base = base.select(F.xxhash64(F.lit(17), "doc_id", "text").alias("key"), "doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "text", "rest")
+    whole = isinstance(docs.schema[id_col].dataType, T.IntegralType)
+    base = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *([] if digest else others)).alias("rest"))
+    # a null is the smallest; an id of text has a mark before it
+    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) if whole else F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+    base = base.select(F.xxhash64(F.lit(17), "doc_id", "text").alias("key"), "doc_id", order.alias("id"), "text", "rest")
     # copies of a whole text that are not its first row: all of their windows start earlier
     named = base.select("key", "id", F.xxhash64(F.lit(1), "text").alias("t"), F.hash(F.lit(2), "text").alias("u"))
-    heads = named.groupBy("t", "u").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    copies = named.join(heads, ["t", "u"]).filter("id <> head").select("key", F.lit(True).alias("copy")).distinct()
-    tagged = base.join(copies, "key", "left")
+    heads = named.groupBy("t", "u").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = join_groups(named, heads, ["t", "u"], ["key", "id"]).filter("id <> head").select("key", "id", F.lit(True).alias("copy")).distinct()
+    tagged = base.join(copies, ["key", "id"], "left")
     own = tagged.filter("copy is null")
     found, firsts, half = repeated_windows(own, words, _small_ids(base))
-    ids = base.select("key", "id").join(firsts, "id").select("key", "firsts").dropDuplicates(["key"])
-    joined = tagged.join(found, "key", "left").join(ids, "key", "left")
+    ids = base.select("key", "id").join(firsts, "id").select("key", "id", "firsts").dropDuplicates(["key", "id"])
+    joined = tagged.join(found, "key", "left").join(ids, ["key", "id"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -173,4 +186,5 @@ def without_repeated_passages(docs: DataFrame, words: int = WORDS, digest: bool
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), last, part.column("rest")], names=["doc_id", "n_words", "n_removed", "kept_sha256" if digest else "text", "rest"])
 
     rest = base.schema["rest"].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc_id long, n_words long, n_removed long, {'kept_sha256' if digest else 'text'} string, rest {rest}")
+    kind = base.schema["doc_id"].dataType.simpleString()
+    return joined.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, {'kept_sha256' if digest else 'text'} string, rest {rest}")

@@ -98,6 +98,14 @@ def test_passages(spark, words, shift):
     assert got.select("rest.rest", "rest.pos").distinct().count() == 1
 
 
+def test_passages_of_ids_that_are_text(spark):
+    """Ids of text go by their text order; a hot passage is dealt to several tasks."""
+    _, data = docs(spark, random.Random(4))
+    data = [(f"id{d:05d}", t) for d, t, *_ in data] + [(f"z{i:05d}", f"w{i} " + " ".join(f"hot{j}" for j in range(25))) for i in range(1300)]
+    got = substrings.without_repeated_passages(spark.createDataFrame(data, "doc_id string, text string"), 20)
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["text"]) for r in got.collect()} == passages_want(data, 20)
+
+
 def test_syncmers_are_those_of_the_definition():
     text = "the quick brown fox jumps over the lazy dog and runs away é日"
     found = fingerprints.syncmers([text, "", "short", text[7:]])
