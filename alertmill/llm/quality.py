@@ -19,17 +19,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.ipc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from alertmill.llm.common import partitions, slices, written
+from alertmill.llm.common import SLICE_CHARS, partitions, sent_if_small, slices, written
 from alertmill.llm.textops import code_points
 
 #: Characters of an n-gram: 16 bits each, so one number holds it and its context and its rest are shifts.
 ORDER = 4
-#: Documents of a shard, on average.
-SHARD_DOCS = 8192
+#: Bytes of text of a shard, on average.
+SHARD_BYTES = 24_000_000
 #: The quantile of a language's trusted scores beyond which a document is rejected, and by what factor.
 QUANTILE, FACTOR = 0.995, 1.05
 #: A score is the perplexity less what chance adds to few characters: divided by exp(CHANCE / sqrt(n_chars)).
@@ -39,6 +41,12 @@ WINDOW, WINDOW_QUANTILE = 5, 0.99
 
 #: Bytes of text that a task gathers before it cuts them into one block for each shard.
 BLOCK_BYTES = 16_000_000
+#: Level of the blocks' compression: they are most of what is moved.
+BLOCK_LEVEL = 6
+#: N-grams (with repeats between slices) that a shard holds before it adds them up.
+HELD_GRAMS = 100_000
+#: Rejected rows up to which their keys are sent to all tasks; more are joined.
+SENT_ROWS = 1_000_000
 #: Languages up to which the table of their discounts (four numbers each) is sent to all tasks.
 FEW_LANGUAGES = 1000
 
@@ -67,19 +75,15 @@ def _other(key: str) -> str:
     return ("1" if key[0] == "0" else "0") + key[1:]
 
 
-def _per_language(table: pa.Table):
+def _per_language(table: pa.Table) -> Iterator[tuple[str, np.ndarray, list[str]]]:
     """Rows of a shard by half and language, in slices: that key, row numbers, texts."""
-    lang = table.column("key").to_pylist()
-    rows = pd.Series(range(len(lang))).groupby(pd.Series(lang)).apply(list) if lang else {}
-    text = table.column("text").to_pylist()
-    for name, own in rows.items():
-        start, held = 0, 0
-        for i, r in enumerate(own):
-            if held and held + len(text[r]) > 2_000_000:
-                yield name, own[start:i], [text[x] for x in own[start:i]]
-                start, held = i, 0
-            held += len(text[r])
-        yield name, own[start:], [text[x] for x in own[start:]]
+    keys = table.column("key").combine_chunks().dictionary_encode()
+    code, size = keys.indices.to_numpy(), pc.binary_length(table.column("text")).to_numpy()
+    for i, name in enumerate(keys.dictionary.to_pylist()):
+        own = np.flatnonzero(code == i)
+        cuts = np.flatnonzero(np.diff(np.cumsum(size[own]) // SLICE_CHARS)) + 1
+        for rows in np.split(own, cuts):
+            yield name, rows, table.column("text").take(pa.array(rows)).to_pylist()
 
 
 def _blocks(base: DataFrame) -> DataFrame:
@@ -87,7 +91,7 @@ def _blocks(base: DataFrame) -> DataFrame:
     names = ["doc_id", "row", "lang", "key", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", BLOCK_LEVEL))
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
@@ -121,6 +125,7 @@ def _opened(blocks: pa.Table) -> pa.Table | None:
     return pa.concat_tables(found) if found else None
 
 
+_GRAMS = T.StructType([T.StructField("shard", T.LongType(), False), T.StructField("lang", T.StringType(), False), T.StructField("gram", T.LongType(), False), T.StructField("c", T.LongType(), False)])
 _NO_GRAMS = pa.table({"shard": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "gram": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
 
 
@@ -130,19 +135,36 @@ def _shard_grams(key, blocks: pa.Table, trusted: pa.Table) -> pa.Table:
         return _NO_GRAMS
     ids = set(trusted.column("doc_id").to_pylist())
     good = np.array([i is not None and i in ids for i in docs.column("doc_id").to_pylist()], bool)
-    found: dict[str, pd.Series] = {}
+    found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def add(key: str, gram: np.ndarray, c: np.ndarray) -> None:
+        held = found.setdefault(key, [])
+        held.append((gram, c))
+        if len(held) > 1 and sum(len(g) for g, _ in held[1:]) > max(HELD_GRAMS, len(held[0][0])):
+            found[key] = [_summed(held)]
+
     for lang, rows, texts in _per_language(docs):
         gram, offsets = grams(texts)
         codes, names = pd.factorize(gram)
         weight = np.repeat(good[rows], np.diff(offsets))
         counts = np.bincount(codes[weight], minlength=len(names))
         # scored by its own key's model, counted in the other half's
-        for key_, own in ((lang, pd.Series(0, index=names)), (_other(lang), pd.Series(counts[counts > 0], index=names[counts > 0]))):
-            found[key_] = found[key_].add(own, fill_value=0) if key_ in found else own
-    parts = [pa.table({"shard": np.full(len(s), key[0].as_py(), np.int64), "lang": pa.array([lang] * len(s), pa.string()), "gram": s.index.to_numpy(np.int64), "c": s.to_numpy(np.int64)}) for lang, s in found.items()]
+        add(lang, names, np.zeros(len(names), np.int64))
+        add(_other(lang), names[counts > 0], counts[counts > 0])
+    parts = []
+    for lang, held in found.items():
+        gram, c = _summed(held)
+        parts.append(pa.table({"shard": np.full(len(gram), key[0].as_py(), np.int64), "lang": pa.array([lang] * len(gram), pa.string()), "gram": gram, "c": c}))
     return pa.concat_tables(parts) if parts else _NO_GRAMS
 
 
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams and their summed counts."""
+    gram, c = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+    codes, names = pd.factorize(gram)
+    return names, np.bincount(codes, c, len(names)).astype(np.int64)
+
+
 def worst_windows(sums: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The largest -log p of WINDOW adjacent characters of each text (of the whole text if it is shorter; empty: 0), from running sums of log p."""
     sizes = np.diff(offsets)
@@ -215,6 +237,10 @@ def probabilities(counts: DataFrame, few_languages: bool = False) -> DataFrame:
     return now
 
 
+def _row(*columns: str) -> Column:
+    return F.xxhash64(F.lit(17), *columns)
+
+
 def half(text):
     """0 or 1, by the text alone."""
     return F.pmod(F.xxhash64(F.lit(3), text), F.lit(2))
@@ -224,16 +250,18 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     """doc_id, row, lang, n_chars, perplexity and worst (window; both null for empty texts) of each row of docs; trusted: a table of doc_id."""
     spark = docs.sparkSession
     base = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), F.coalesce(docs[lang_col].cast("string"), F.lit("")).alias("lang"))
-    n = max(1, -(-docs.count() // SHARD_DOCS))
-    base = base.withColumn("row", F.xxhash64(F.lit(17), "doc_id", "text", "lang")).withColumn("key", F.concat(half(F.col("text")).cast("string"), "lang")).withColumn("shard", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.col("row"))), F.lit(n)))
-    ids = trusted.filter("doc_id is not null").select("doc_id", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(n)).alias("shard"))
-    few = base.select("lang").distinct().limit(FEW_LANGUAGES + 1).count() <= FEW_LANGUAGES
+    size = base.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    few, n = size[0] <= FEW_LANGUAGES, max(1, -(-size[1] // SHARD_BYTES))
+    base = base.withColumn("row", _row("doc_id", "text", "lang")).withColumn("key", F.concat(half(F.col("text")).cast("string"), "lang")).withColumn("shard", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("row").cast("string"))), F.lit(n)))
+    ids = trusted.filter("doc_id is not null").select("doc_id", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(n)).alias("shard"))
     dealt = _blocks(base).groupBy("shard")
-    found = dealt.cogroup(ids.groupBy("shard")).applyInArrow(_shard_grams, "shard long, lang string, gram long, c long")
-    # one exchange, read for the model and for the shards: both take all of its columns
-    found = found.repartition(partitions(spark), "lang", "gram")
+    # one exchange, read for the model and for the shards: both take all of its columns, and under names of their own, so
+    # that Spark sees one plan in both places
+    found = dealt.cogroup(ids.groupBy("shard")).applyInArrow(_shard_grams, _GRAMS).repartition(partitions(spark), "lang", "gram")
     model = probabilities(found.groupBy("lang", "gram").agg(F.sum(F.when(F.col("shard") >= 0, F.col("c"))).alias("c")), few)
-    needed = found.join(model, ["lang", "gram"]).select("shard", "lang", "gram", F.when(F.col("c") >= 0, F.log("p")).cast("float").alias("logp"))
+    own = found.select("shard", F.col("lang").alias("own_lang"), F.col("gram").alias("own_gram"), F.col("c").alias("own_c"))
+    joined = own.join(model, (F.col("own_lang") == F.col("lang")) & (F.col("own_gram") == F.col("gram")))
+    needed = joined.select("shard", "lang", "gram", F.when(F.col("own_c") >= 0, F.log("p")).cast("float").alias("logp"))
     kind = base.schema["doc_id"].dataType.simpleString()
     scored = dealt.cogroup(needed.groupBy("shard")).applyInArrow(_shard_scores, f"doc_id {kind}, row long, lang string, n_chars long, log_sum double, worst double")
     return scored.select("doc_id", "row", "lang", "n_chars", F.when(F.col("n_chars") > 0, F.exp(-F.col("log_sum") / F.col("n_chars"))).alias("perplexity"), F.when(F.col("n_chars") > 0, F.col("worst")).alias("worst"))
@@ -273,8 +301,10 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, facto
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """The rows of docs that are not rejected, with all their columns."""
-    bad = judged(docs, labels, id_col=id_col, text_col=text_col, lang_col=lang_col, **options).filter("not kept").select(F.col("row").alias("_quality_row"))
+    """The rows of docs that are not rejected, with all their columns, whatever their names."""
+    bad = written(judged(docs, labels, id_col=id_col, text_col=text_col, lang_col=lang_col, **options).filter("not kept").select("doc_id", "row"), "quality-rejected")
     empty = F.lit("")
-    keyed = docs.withColumn("_quality_row", F.xxhash64(F.lit(17), docs[id_col], F.coalesce(docs[text_col].cast("string"), empty), F.coalesce(docs[lang_col].cast("string"), empty)))
-    return keyed.join(bad, "_quality_row", "left_anti").select(*docs.columns)
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("all"), docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), empty).alias("text"), F.coalesce(docs[lang_col].cast("string"), empty).alias("lang"))
+    keyed = keyed.select("all", "doc_id", _row("doc_id", "text", "lang").alias("row"))
+    bad = sent_if_small(bad, SENT_ROWS)
+    return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["doc_id"]) & (keyed["row"] == bad["row"]), "left_anti").select("all.*")
