@@ -85,9 +85,9 @@ _LINES = r"split(text, '\n', -1)"
 
 
 def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key (of the document, see row_key) and words, an array of 64-bit words: bit p % 64 of word p div 64 is 0 where line p goes.
+    """doc_id, key (of the document, see row_key) and words, a map: bit p % 64 of the 64-bit word p div 64 is 0 where line p goes.
 
-    Only documents that lose a line have a row, and words end with the last one that has a 0. A line goes if
+    Bitmaps are compressed: words of ones are left out, and only documents that lose a line have a row. A line goes if
     its key (stripped, A-Z lowered) has min_chars code points, is in min_docs documents, and a larger doc_id
     holds it. Hashes of keys (two of 64 bits) are range-partitioned and sorted by document and position; the
     first document of each run is where it stays. A null doc_id is the smallest; rows that share a doc_id are
@@ -113,13 +113,14 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col
         # as many rows as there are salted groups: at most one for each shuffle partition
         firsts = firsts.join(F.broadcast(parts), ["h", "g"], "left").withColumns({"n_docs": F.coalesce("all_docs", "n_docs"), "stays": F.coalesce("all_stays", "stays")})
     go = firsts.filter((F.col("n_docs") >= min_docs) & ~F.col("doc_id").eqNullSafe(F.col("stays")))
-    words = go.groupBy("key", F.expr("cast(pos div 64 as int)").alias("word")).agg(F.expr("~bit_or(shiftleft(1L, cast(pos % 64 as int)))").alias("bits"))
-    return words.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"), F.max("word").alias("last")).select("key", F.expr("transform(sequence(0, last), w -> coalesce(m[w], -1L))").alias("words"))
+    words = go.groupBy("doc_id", "key", F.expr("cast(pos div 64 as int)").alias("word")).agg(F.expr("~bit_or(shiftleft(1L, cast(pos % 64 as int)))").alias("bits"))
+    return words.groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
 
 
 def without_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_dropped and the kept text of each row: its lines where the bitmap has 1, joined by \\n. No line left: an empty text."""
     base = texts(docs, id_col=id_col, text_col=text_col).withColumn("key", row_key())
-    joined = base.join(line_bitmaps(docs, min_chars, min_docs, id_col, text_col), "key", "left").withColumn("lines", F.expr(_LINES))
+    maps = line_bitmaps(docs, min_chars, min_docs, id_col, text_col).select(F.col("doc_id").alias("of_doc"), F.col("key").alias("of_key"), F.expr("transform(sequence(0, array_max(map_keys(words))), w -> coalesce(words[w], -1L))").alias("words"))
+    joined = base.join(maps, (F.col("key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of_doc")), "left").withColumn("lines", F.expr(_LINES))
     kept = F.expr("if(words is null, lines, filter(lines, (x, i) -> i div 64 >= size(words) or (shiftrightunsigned(words[cast(i div 64 as int)], i % 64) & 1L) = 1L))")
     return joined.withColumn("kept", kept).select("doc_id", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
