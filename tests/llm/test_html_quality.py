@@ -1,13 +1,16 @@
+import html as entities
 import math
 import random
 import re
+import zlib
 
-import html as entities
 import numpy as np
 import pytest
+from test_dedup import passages_want
+from test_near_dups import brute_classes
 
 import corpus_pipeline
-from alertmill.llm import html, quality
+from alertmill.llm import bpe, html, quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -239,6 +242,23 @@ def test_pipeline(spark, stages):
     assert direct["length"].sum() == packed["length"].sum() and set(direct.doc_id) == set(packed.doc_id) and set(direct.columns) >= set(columns)
 
 
+def test_each_stage_against_brute_force(stages):
+    """What each stage keeps of its own input, by plain Python."""
+    texts = [{r["doc_id"]: r["text"] or "" for r in x.select("doc_id", "text").collect()} for x in stages[:-1]]
+    first = {}
+    for i, t in sorted(texts[1].items()):
+        first.setdefault(re.sub("[\x20\x09-\x0d]+", " ", t), i)
+    assert texts[2] == {i: texts[1][i] for i in first.values()}
+    assert texts[3] == {i: texts[2][i] for i in set(brute_classes(list(texts[2].items())).values())}
+    assert texts[4] == {i: t for i, (_, _, t) in passages_want(list(texts[3].items()), 20).items()}
+    ids = {i: np.array(bpe.library(bpe.default_vocabulary()).encode(t, add_special_tokens=False).ids + [1], "<u4") for i, t in texts[4].items()}
+    pieces = stages[5].toPandas()
+    for r in pieces.to_dict("records"):
+        own = ids[r["doc_id"]]
+        assert r["doc_tokens"] == len(own) and r["ids_crc32"] == zlib.crc32(own[r["start"] : r["start"] + r["length"]].tobytes())
+    assert pieces["length"].sum() == sum(map(len, ids.values())) and not pieces.duplicated(["doc_id", "start"]).any()
+
+
 def test_grams_pack_their_characters():
     g, offsets = quality.grams(["abcde", "", "x"])
     assert offsets.tolist() == [0, 5, 5, 6]
