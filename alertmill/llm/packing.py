@@ -12,6 +12,7 @@ that ends early leaves its proportion to the others, in a new phase.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator, Mapping
 from typing import NamedTuple
 
@@ -29,6 +30,8 @@ from alertmill.llm.textops import ranges
 SEQUENCE, END_ID = 2048, 1
 #: Longer texts are encoded in fragments of about so many characters.
 FRAGMENT_CHARS = 16_384
+#: Bytes of ids that are cut into pieces at once.
+SLICE_IDS = 2_000_000
 #: Tokens of each window that a queue of its own has at least; smaller sources share the first queue.
 LEAST_TOKENS = 2
 #: Places of (source, part) up to which they are sent to all tasks; more are joined.
@@ -109,12 +112,26 @@ def sent(windows: np.ndarray, queue: int, plan: list[Phase], length: int) -> tup
 
 
 def window_at(token: int, queue: int, plan: list[Phase], length: int) -> int:
-    """The last window before which the queue has sent no more than that many tokens."""
-    low, high = 0, plan[-1].first + -(-plan[-1].left // length)
-    while low < high:
-        middle = (low + high + 1) // 2
-        low, high = (middle, high) if sent(np.array([middle]), queue, plan, length)[1][0] <= token else (low, middle - 1)
-    return low
+    """The last window before which the queue has sent no more than that many tokens: a close guess, since it is off its target by less than a token."""
+    starts = [p.before[queue + 1] - p.before[queue] for p in plan]
+    p = plan[bisect_right(starts, token) - 1]
+    low, high, all_ = p.weights[queue], p.weights[queue + 1], p.weights[-1]
+    last, need = -(-p.left // length), token - (p.before[queue + 1] - p.before[queue])
+    if high == low:
+        return p.first + last
+    if not low:  # the first queue may send less than a token a window
+        return p.first + min(last, -(-(need + 1) * all_ // (high * length)) - 1)
+
+    def sent_before(j: int) -> int:
+        tokens = min(j * length, p.left)
+        return tokens * high // all_ - tokens * low // all_
+
+    j = min(last, max(0, need * all_ // ((high - low) * length) - 1))
+    while j and sent_before(j) > need:
+        j -= 1
+    while j < last and sent_before(j + 1) <= need:
+        j += 1
+    return p.first + j
 
 
 def _tokens(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -166,7 +183,7 @@ def packed(docs: DataFrame, length: int = SEQUENCE, end_id: int = END_ID, vocabu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = "<u2" if max(bpe.load(path).size, end_id + 1) <= 1 << 16 else "<u4"
-        for part in slices(batches, "ids"):
+        for part in slices(batches, "ids", SLICE_IDS):
             queue = part.column("queue").to_numpy(zero_copy_only=False)
             at, n = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "n"))
             ids = part.column("ids").to_pylist()

@@ -144,6 +144,9 @@ def test_queues_that_end_leave_their_proportion_to_the_others(queues):
     ahead, own = (np.stack(x, axis=1) for x in zip(*[packing.sent(windows, i, plan, length) for i in range(len(totals))], strict=True)) if n else (np.zeros((1, len(totals))),) * 2
     assert own[-1].tolist() == totals and (own.sum(axis=1) == np.minimum(windows * length, sum(totals))).all() and (np.diff(own, axis=0) >= 0).all()
     assert (ahead == np.cumsum(own, axis=1) - own).all()
+    for q, total in enumerate(totals):
+        for token in {0, total // 3, total - 1} - {-1} if total else ():
+            assert packing.window_at(token, q, plan, length) == np.searchsorted(own[:, q], token, side="right") - 1
     for phase in plan:  # proportions hold while no queue ends
         w = np.diff(phase.weights)
         nxt = min([p.first for p in plan if p.first > phase.first], default=n)
