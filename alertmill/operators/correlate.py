@@ -189,10 +189,10 @@ def recut(groups: DataFrame, edges: DataFrame, cfg: Correlation = Correlation(),
     return out
 
 
-def louvain(edges: DataFrame, nodes: DataFrame, rounds: int = 8) -> DataFrame:
+def louvain(edges: DataFrame, nodes: DataFrame, rounds: int = 10) -> DataFrame:
     """pos and component: communities of each component by local moves that raise modularity; communities become nodes, as often as that raises it.
 
-    A level is some rounds of moves, half of the nodes at a time, ties to the smallest label; the labels of the
+    A level is some rounds of moves, a random half of the nodes at a time, ties to the smallest label; the labels of the
     best round count. Each round is a join and an aggregate over edges. Modularity is each component's own; a
     component for which one community is the best stays whole.
     """
@@ -232,7 +232,7 @@ def _level(links: DataFrame, nodes: DataFrame, rounds: int) -> tuple[DataFrame,
         options = around.join(totals, ["component", "to"]).join(labels, ["component", "node"])
         gain = F.col("inside") - F.col("k") * (F.col("total") - F.when(F.col("to") == F.col("label"), F.col("k")).otherwise(0.0)) / F.col("m2")
         choice = options.groupBy("component", "node").agg(F.max_by("to", F.struct(F.round(gain, 12).alias("gain"), -F.col("to"))).alias("to"))
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == i % 2
+        turn = F.pmod(F.xxhash64("node", F.lit(i)), F.lit(2)) == 0
         labels = written(labels.join(choice, ["component", "node"], "left").withColumn("label", F.when(turn, F.coalesce("to", "label")).otherwise(F.col("label"))).drop("to"), "louvain-labels")
         now = _modularity(both, loops, labels).withColumnRenamed("q", "new")
         better = written(now.join(quality, "component").filter("new > q + 1e-12").select("component", "new"), "louvain-better")

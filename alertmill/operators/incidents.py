@@ -15,6 +15,13 @@ WEIGHTS = dict(zip(FACTORS, (0.20, 0.18, 0.14, 0.16, 0.10, 0.10, 0.07, 0.05), st
 DECIDED = {"base_severity": 0.20, "asset_criticality": 0.17, "identity_privilege": 0.12, "attack_chain_strength": 0.14, "anomaly_score": 0.12, "correlation_confidence": 0.10, "decision_signal": 0.15}
 LEAST_CONFIDENCE = 0.55
 
+# --- fixed values: titles are results -----------------------------------------------------------------
+SPRAY, SPRAY_SOURCE, SPRAY_WORKED = "Password spray from ", "external source", " with successful sign-ins"
+THEFT, THEFT_SENT = "Credential theft on ", " and data exfiltration"
+COMPROMISE = ("Possible ", "privileged account", "account", " compromise: ")
+TRAVEL, DOCUMENT, EXFILTRATION = "Impossible travel and suspicious mailbox access: ", "Malicious document execution on ", "Possible data exfiltration from "
+# ------------------------------------------------------------------------------------------------------
+
 
 def base_factors(members: DataFrame, chains: DataFrame, anomalies: DataFrame, confidences: DataFrame, mappings: DataFrame) -> DataFrame:
     """incident_id and the eight factors, rounded to 4 digits. chains, anomalies, confidences and mappings are by incident_id; missing: 0."""
@@ -123,12 +130,12 @@ def titles(members: DataFrame, stages: DataFrame, mappings: DataFrame, primary:
     subject = F.coalesce("user", "host", "entity", F.lit("unknown"))
     return t.select(
         "incident_id",
-        F.when(F.array_contains("tech", "T1110.003"), F.concat(F.lit("Password spray from "), F.coalesce("source", F.lit("external source")), F.when(valid, " with successful sign-ins").otherwise("")))
-        .when(theft, F.concat(F.lit("Credential theft on "), host, F.when(exfil, " and data exfiltration").otherwise("")))
-        .when(cred & valid & (run | priv | res), F.concat(F.lit("Possible "), F.when(F.col("power") >= 4, "privileged account").otherwise("account"), F.lit(" compromise: "), user))
-        .when(F.array_contains("tech", "T1078.004"), F.concat(F.lit("Impossible travel and suspicious mailbox access: "), user))
-        .when(entry & run, F.concat(F.lit("Malicious document execution on "), host))
-        .when(exfil, F.concat(F.lit("Possible data exfiltration from "), host))
+        F.when(F.array_contains("tech", "T1110.003"), F.concat(F.lit(SPRAY), F.coalesce("source", F.lit(SPRAY_SOURCE)), F.when(valid, SPRAY_WORKED).otherwise("")))
+        .when(theft, F.concat(F.lit(THEFT), host, F.when(exfil, THEFT_SENT).otherwise("")))
+        .when(cred & valid & (run | priv | res), F.concat(F.lit(COMPROMISE[0]), F.when(F.col("power") >= 4, COMPROMISE[1]).otherwise(COMPROMISE[2]), F.lit(COMPROMISE[3]), user))
+        .when(F.array_contains("tech", "T1078.004"), F.concat(F.lit(TRAVEL), user))
+        .when(entry & run, F.concat(F.lit(DOCUMENT), host))
+        .when(exfil, F.concat(F.lit(EXFILTRATION), host))
         .when(F.col("n") == 1, F.concat("top", F.lit(": "), subject))
         .otherwise(F.format_string("%s (%d alerts): %s", "top", "n", subject)).alias("title"),
     )

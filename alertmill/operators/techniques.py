@@ -50,27 +50,27 @@ def default_rules() -> list[Rule]:
     data = _is("sensitive_resource_access", "bulk_data_access")
     rdp = F.upper(F.coalesce(F.get_json_object("attributes", "$.logon_type"), F.lit(""))) == "RDP"
     return [
-        Rule("T1059.001", shell, lambda n: F.least(F.lit(0.95), 0.6 + 0.02 * n), _say("%d PowerShell executions")),
-        Rule("T1027", _is("encoded_command"), _fixed(0.8), _say("%d encoded/obfuscated command lines")),
-        Rule("T1059", _is("script_execution"), _fixed(0.7), _say("%d script interpreter executions")),
-        Rule("T1204.002", _is("office_spawn_shell"), _fixed(0.85), _say("Office application spawned a command shell")),
-        Rule("T1566.001", _is("phishing_attachment_opened"), _fixed(0.75), _say("suspicious attachment opened by the user")),
-        Rule("T1105", _is("suspicious_process") & _command().contains("urlcache"), _fixed(0.85), _say("certutil used to download a remote file")),
-        Rule("T1003.001", _is("credential_dump") | (_is("suspicious_process") & (_command().contains("minidump") | _command().contains("lsass"))), _fixed(0.9), _say("process access / dump of LSASS memory")),
-        Rule("T1098.007", _is("privilege_group_change"), _fixed(0.85), _say("%d additions to privileged groups")),
-        Rule("T1098", _is("privileged_role_assigned"), _fixed(0.8), _say("%d privileged role assignments")),
-        Rule("T1543.003", _is("new_service_installed"), _fixed(0.75), _say("%d new Windows services installed")),
-        Rule("T1053.005", _is("scheduled_task_created"), _fixed(0.7), _say("%d scheduled tasks created")),
-        Rule("T1087.002", _is("account_discovery") & _command().contains("/domain"), _fixed(0.85), _say("domain account/group enumeration commands")),
-        Rule("T1087", _is("account_discovery"), _fixed(0.7), _say("account enumeration activity"), unless="T1087.002"),
-        Rule("T1046", _is("port_scan_internal"), _fixed(0.6), _say("%d internal port-scan detections")),
-        Rule("T1021.001", _is("remote_service_login") & rdp, _fixed(0.8), _say("%d remote desktop logons to servers")),
-        Rule("T1021", _is("remote_service_login"), _fixed(0.7), _say("%d remote service logons"), unless="T1021.001"),
-        Rule("T1213", data & ~F.coalesce(share, F.lit(False)), lambda n: F.least(F.lit(0.9), 0.6 + 0.01 * n), _say("%d reads of a sensitive repository")),
-        Rule("T1039", data & F.coalesce(share, F.lit(False)), _fixed(0.8), _say("%d bulk reads from a network share")),
-        Rule("T1114.002", _is("mailbox_access"), _fixed(0.75), _say("%d remote mailbox API reads"), least=10),
-        Rule("T1048", _is("large_data_transfer"), _fixed(0.8), _say("%d unusually large outbound transfers")),
-        Rule("T1621", _is("mfa_fatigue"), _fixed(0.85), _say("%d repeated MFA push requests"), least=5),
+        Rule("T1059.001", shell, lambda n: F.least(F.lit(0.95), 0.6 + 0.02 * n), _say("PowerShell ran %d times")),
+        Rule("T1027", _is("encoded_command"), _fixed(0.8), _say("%d command lines were encoded")),
+        Rule("T1059", _is("script_execution"), _fixed(0.7), _say("script interpreters ran %d times")),
+        Rule("T1204.002", _is("office_spawn_shell"), _fixed(0.85), _say("a shell was started by an Office program")),
+        Rule("T1566.001", _is("phishing_attachment_opened"), _fixed(0.75), _say("a user opened an attachment that was flagged")),
+        Rule("T1105", _is("suspicious_process") & _command().contains("urlcache"), _fixed(0.85), _say("certutil fetched a file from elsewhere")),
+        Rule("T1003.001", _is("credential_dump") | (_is("suspicious_process") & (_command().contains("minidump") | _command().contains("lsass"))), _fixed(0.9), _say("the memory of LSASS was read or dumped")),
+        Rule("T1098.007", _is("privilege_group_change"), _fixed(0.85), _say("users were added to privileged groups %d times")),
+        Rule("T1098", _is("privileged_role_assigned"), _fixed(0.8), _say("privileged roles were assigned %d times")),
+        Rule("T1543.003", _is("new_service_installed"), _fixed(0.75), _say("%d services were installed")),
+        Rule("T1053.005", _is("scheduled_task_created"), _fixed(0.7), _say("%d tasks were scheduled")),
+        Rule("T1087.002", _is("account_discovery") & _command().contains("/domain"), _fixed(0.85), _say("commands that list accounts or groups of the domain")),
+        Rule("T1087", _is("account_discovery"), _fixed(0.7), _say("accounts were listed"), unless="T1087.002"),
+        Rule("T1046", _is("port_scan_internal"), _fixed(0.6), _say("internal port scans were seen %d times")),
+        Rule("T1021.001", _is("remote_service_login") & rdp, _fixed(0.8), _say("%d remote desktop sessions on servers")),
+        Rule("T1021", _is("remote_service_login"), _fixed(0.7), _say("%d remote sessions"), unless="T1021.001"),
+        Rule("T1213", data & ~F.coalesce(share, F.lit(False)), lambda n: F.least(F.lit(0.9), 0.6 + 0.01 * n), _say("a sensitive resource was read %d times")),
+        Rule("T1039", data & F.coalesce(share, F.lit(False)), _fixed(0.8), _say("a network share was read in bulk %d times")),
+        Rule("T1114.002", _is("mailbox_access"), _fixed(0.75), _say("mailboxes were read through an API %d times"), least=10),
+        Rule("T1048", _is("large_data_transfer"), _fixed(0.8), _say("%d outbound transfers were unusually large")),
+        Rule("T1621", _is("mfa_fatigue"), _fixed(0.85), _say("%d push requests in a row"), least=5),
     ]
 
 
@@ -113,11 +113,11 @@ def sign_in_rules(members: DataFrame) -> DataFrame:
     valid = (F.col("n_strong") > 0) | ((F.col("n_external") > 0) & (F.col("n_travel") == 0))
     made = F.array_compact(
         F.array(
-            _made(brute, "T1110", F.lit(0.85), "e_brute", F.format_string("%d brute-force detections", "n_detected"), 0),
-            _made(spray, "T1110.003", F.least(F.lit(0.97), 0.7 + 0.002 * n), "e_spray", F.format_string("%d failed logins across %d accounts from %s", "n_fails", F.coalesce("spray.users", F.lit(0)), F.coalesce("spray.src_ip", "sprayed_from", F.lit("unknown"))), 1),
-            _made(user, "T1110", F.least(F.lit(0.98), 0.7 + 0.004 * F.col("most.n")), "e_user", F.format_string("%d failed logins for %s", "most.n", "most.user"), 2),
-            _made(F.col("n_travel") > 0, "T1078.004", F.lit(0.85), "e_travel", F.lit("sign-in from a geographically impossible location for the same cloud account"), 3),
-            _made(valid, "T1078", F.when(F.col("n_after") > 0, 0.9).otherwise(0.65), "e_valid", F.lit("account used successfully after failures / from a new source or device"), 4),
+            _made(brute, "T1110", F.lit(0.85), "e_brute", F.format_string("a product saw brute force %d times", "n_detected"), 0),
+            _made(spray, "T1110.003", F.least(F.lit(0.97), 0.7 + 0.002 * n), "e_spray", F.format_string("%d sign-ins to %d accounts failed from %s", "n_fails", F.coalesce("spray.users", F.lit(0)), F.coalesce("spray.src_ip", "sprayed_from", F.lit("unknown"))), 1),
+            _made(user, "T1110", F.least(F.lit(0.98), 0.7 + 0.004 * F.col("most.n")), "e_user", F.format_string("%d sign-ins of %s failed", "most.n", "most.user"), 2),
+            _made(F.col("n_travel") > 0, "T1078.004", F.lit(0.85), "e_travel", F.lit("one cloud account signed in from places too far apart"), 3),
+            _made(valid, "T1078", F.when(F.col("n_after") > 0, 0.9).otherwise(0.65), "e_valid", F.lit("a sign-in succeeded after failures, or from a source or device not seen before"), 4),
         )
     )
     return sums.select("incident_id", F.explode(made).alias("m")).select("incident_id", "m.*")
@@ -143,7 +143,7 @@ def vendor_rules(members: DataFrame) -> DataFrame:
     """Techniques that the product itself reported."""
     told = members.select("incident_id", "us", "pos", "alert_id", "vendor", F.explode(normalize.valid_techniques(F.get_json_object("attributes", "$.vendor_techniques"))).alias("technique_id"))
     out = told.groupBy("incident_id", "technique_id").agg(F.collect_list(F.struct("us", "pos", "alert_id")).alias("e"), F.min_by("vendor", F.struct("us", "pos")).alias("vendor"))
-    return out.select("incident_id", "technique_id", F.lit(0.6).alias("confidence"), _ids(F.col("e")).alias("evidence"), F.format_string("reported by %s on %d alert(s)", "vendor", F.size("e")).alias("reason"), F.lit(1000).alias("rule"))
+    return out.select("incident_id", "technique_id", F.lit(0.6).alias("confidence"), _ids(F.col("e")).alias("evidence"), F.format_string("%s named it in %d alerts", "vendor", F.size("e")).alias("reason"), F.lit(1000).alias("rule"))
 
 
 def mapped(members: DataFrame, known: DataFrame | None = None, rules: list[Rule] | None = None, more: list[DataFrame] | None = None) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from alertmill.functions import catalog, normalize
 
 MARKERS = ["SystemAlertId", "AlertName", "AlertSeverity"]
-_FIELDS = ["TimeGenerated", "StartTime", "SystemAlertId", "AlertName", "AlertType", "AlertSeverity", "ProductName", "Description", "CompromisedEntity", "ConfidenceScore", "Entities", "ExtendedProperties", "Techniques", "SubTechniques"]
-_ENTITY = "array<struct<`$id`:string,Type:string,Name:string,UPNSuffix:string,HostName:string,DnsDomain:string,Address:string,CommandLine:string,ImageFile:struct<`$ref`:string,Name:string>,Upn:string,MailboxPrimaryAddress:string,ResourceId:string,AppName:string>>"
+_FIELDS = ["TimeGenerated", "StartTime", "SystemAlertId", "AlertName", "AlertType", "AlertSeverity", "ProductName", "Description", "ConfidenceScore", "Entities", "ExtendedProperties", "Techniques", "SubTechniques"]
+_ENTITY = "array<struct<`$id`:string,Type:string,Name:string,UPNSuffix:string,HostName:string,NetBiosName:string,DnsDomain:string,Address:string,CommandLine:string,ImageFile:struct<`$ref`:string,Name:string>,Upn:string,MailboxPrimaryAddress:string,ResourceId:string,AppName:string>>"
 
 # --- fixed values: results depend on them -------------------------------------------------------------
 ALERT_NAMES = {
@@ -75,7 +75,7 @@ def from_vendor(rows: DataFrame, raw: str = "raw") -> DataFrame:
         *[c for c in ("pos",) if c in rows.columns], g("SystemAlertId").alias("alert_id"), F.coalesce(g("StartTime"), g("TimeGenerated")).alias("timestamp"), normalize.product_source(g("ProductName")).alias("source"),
         F.coalesce(g("ProductName"), F.lit("Microsoft Sentinel")).alias("vendor"), normalize.classify(g("AlertName"), g("AlertType"), g("Description")).alias("alert_type"), g("AlertName").alias("title"),
         F.lower(g("AlertSeverity")).alias("severity"), F.lit(None).cast("string").alias("severity_score"), F.coalesce(g("ConfidenceScore"), F.lit("0.7")).alias("confidence"), user.alias("user"),
-        F.coalesce(host["HostName"], g("CompromisedEntity")).alias("host"), F.get(ips, F.lit(0)).alias("src_ip"), F.get(ips, F.lit(1)).alias("dst_ip"), image.alias("process"),
+        F.coalesce(host["HostName"], host["NetBiosName"]).alias("host"), F.get(ips, F.lit(0)).alias("src_ip"), F.get(ips, F.lit(1)).alias("dst_ip"), image.alias("process"),
         resource.alias("resource"), F.to_json(attributes).alias("attributes"), F.lit(True).alias("has_confidence"), F.col(raw).alias("raw"),
     )
 
@@ -116,8 +116,7 @@ def to_vendor(alerts: DataFrame) -> DataFrame:
     number = lambda i: i.cast("string")
     entities = F.transform(found, lambda x, i: F.struct(number(i + 2).alias("$id"), *[x[k] for k, _ in _OUT if k != "ImageFile"], F.when(x["ImageFile"].isNotNull(), F.struct(number(i + 1).alias("$ref"))).alias("ImageFile")))
     severity = F.when(c("severity") == "critical", "High").otherwise(F.initcap(F.coalesce("severity", lit("medium"))))
-    dump = F.lower(F.coalesce(command, lit(""))).contains("minidump")
-    title = F.when(kind == "suspicious_process", F.when(dump, "Credential dump from LSASS memory via rundll32").otherwise("Suspicious certutil download")).otherwise(F.coalesce(named, c("title"), kind))
+    title = F.coalesce(named, c("title"), kind)
     time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     more = F.to_json(F.map_filter(F.coalesce(F.from_json("attributes", "map<string,string>"), F.create_map().cast("map<string,string>")), lambda k, v: k != "command_line"))
     row = F.to_json(

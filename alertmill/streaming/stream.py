@@ -1,4 +1,8 @@
-"""Alerts as a stream: micro-batches through the batch functions, with state in tables; the drained stream equals the batch if rows come in the order of pos."""
+"""Alerts as a stream: micro-batches through the batch functions, with state in tables.
+
+The drained stream has the alerts of the batch if rows come in the order of pos. (A row with the id of an earlier batch's alert counts as its duplicate, while
+one batch rejects it.)
+"""
 
 from __future__ import annotations
 
