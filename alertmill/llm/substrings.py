@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertmill.llm.common import join_groups, slices
+from alertmill.llm.common import join_groups, slices, written
 from alertmill.llm.textops import code_points, ranges, span_hashes, word_spans
 
 #: Words of a passage that may not start twice.
@@ -79,12 +79,9 @@ def _extended(texts: list[str], positions: list[list[int]], length: int, last: b
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """key and its positions (pos) whose hash stands in more than one row; further places by a false hash do no harm.
-
-    Counts are combined before the shuffle, and a hash of many places is dealt to several tasks.
-    """
-    many = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return join_groups(rows, many, ["h"], ["key", "pos"]).groupBy("key").agg(F.collect_set("pos").alias("pos"))
+    """key and its positions (pos) whose hash stands in more than one row; further places by a false hash do no harm. Counts are combined before the shuffle."""
+    many = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    return rows.join(many, "h").groupBy("key").agg(F.collect_set("pos").alias("pos"))
 
 
 def repeated_windows(docs: DataFrame, words: int = WORDS, small: bool = False) -> tuple[DataFrame, DataFrame, int]:
@@ -158,12 +155,13 @@ def without_repeated_passages(docs: DataFrame, words: int = WORDS, digest: bool
     # copies of a whole text that are not its first row: all of their windows start earlier
     named = base.select("key", "id", F.xxhash64(F.lit(1), "text").alias("t"), F.hash(F.lit(2), "text").alias("u"))
     heads = named.groupBy("t", "u").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    copies = join_groups(named, heads, ["t", "u"], ["key", "id"]).filter("id <> head").select("key", "id", F.lit(True).alias("copy")).distinct()
-    tagged = base.join(copies, ["key", "id"], "left")
-    own = tagged.filter("copy is null")
+    # by key alone, as texts are dealt by it once for all levels; rows of one key tell their ids apart inside
+    copies = written(join_groups(named, heads, ["t", "u"], ["key", "id"]).filter("id <> head").groupBy("key").agg(F.collect_set("id").alias("copies")), "passage-copies")
+    tagged = base.join(copies, "key", "left").withColumn("copy", F.coalesce(F.array_contains("copies", F.col("id")), F.lit(False))).drop("copies")
+    own = tagged.filter("not copy")
     found, firsts, half = repeated_windows(own, words, _small_ids(base))
-    ids = base.select("key", "id").join(firsts, "id").select("key", "id", "firsts").dropDuplicates(["key", "id"])
-    joined = tagged.join(found, "key", "left").join(ids, ["key", "id"], "left")
+    ids = base.select("key", "id").distinct().join(firsts, "id").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("id", "firsts"))).alias("by_id"))
+    joined = tagged.join(found, "key", "left").join(ids, "key", "left").withColumn("firsts", F.col("by_id")[F.col("id")]).drop("by_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
