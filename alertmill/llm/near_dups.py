@@ -268,7 +268,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = links(members, written(content.groupBy("node").agg(F.min("cells").alias("cells")), "near-content"))
     named = rows.select("doc_id", "key", "node")
     if classes is not None:
-        named = named.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        # a node may be a text of any share of the rows
+        of = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(classes, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
+        named = join_groups(named, of, ["node"], ["key"])
     else:
         named = named.withColumn("component", F.col("node"))
     named = written(named.select("doc_id", "key", "component"), "near-named")
