@@ -2,7 +2,7 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. All but the
 last return the columns of documents. SQL cannot express the classifier, so there is no ORACLE_SQL; tests
-hold the stages against brute force.
+hold what each stage keeps of its own input against plain Python (the classifier's model against one of its own).
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that start earlier too; n_chars follows. A text may end up empty: its row stays."""
     kept = substrings.without_repeated_passages(docs)
-    kept = kept.select("doc_id", "text", *[F.col("rest")[c].alias(c) for c in docs.columns if c not in ("doc_id", "text")])
+    kept = kept.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", *[F.col("rest")[c].alias(c) for c in docs.columns if c not in ("doc_id", "text")])
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)
