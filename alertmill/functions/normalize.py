@@ -53,10 +53,23 @@ def ipv4_number(c: Column) -> Column:
     return F.when(c.rlike(IPV4), reduce(lambda x, i: x * 256 + part[i].cast("long"), range(4), F.lit(0).cast("long")))
 
 
+def _prefixes(net: str) -> str:
+    """A pattern of how addresses of a network begin, by whole octets; the last of them may be a range."""
+    found = ipaddress.ip_network(net)
+    whole, rest = divmod(found.prefixlen, 8)
+    octets = str(found.network_address).split(".")
+    own = octets[:whole]
+    if rest:
+        own.append("(" + "|".join(str(int(octets[whole]) + i) for i in range(1 << (8 - rest))) + ")")
+    return r"\.".join(own)
+
+
+_INTERNAL_4 = "^(" + "|".join(_prefixes(x) for x in INTERNAL) + r")\."
+
+
 def is_internal_v4(c: Column) -> Column:
-    n = ipv4_number(c)
-    nets = [ipaddress.ip_network(x) for x in INTERNAL]
-    return reduce(lambda x, y: x | y, [n.between(int(x.network_address), int(x.broadcast_address)) for x in nets])
+    """Whether a valid IPv4 address lies in an internal network; null for other texts."""
+    return F.when(c.rlike(IPV4), c.rlike(_INTERNAL_4))
 
 
 @F.pandas_udf(T.StructType([T.StructField("ip", T.StringType()), T.StructField("internal", T.BooleanType())]))

@@ -7,26 +7,65 @@ from pyspark.sql import functions as F
 
 from alertmill.functions import catalog
 from alertmill.operators.hot import exact_percentiles
+from alertmill.sources.shared import written
 
 MINUTE = 60 * 1_000_000
 COUNTS = ["fails_user_10m", "fails_ip_10m", "users_per_ip_60m", "hosts_per_user_60m"]
 FEATURES = [*COUNTS, "novel_source", "off_hours", "process_rarity", "privilege", "criticality", "severity", "novel_process", "success_after_failures"]
 
 
-#: Longest trailing window; keys are cut into slots of this length.
+#: Longest trailing window: sightings of a value by a key stay open that long.
 HOUR = 60 * MINUTE
+#: Time that one task sorts of one key.
+SLOT = 10 * MINUTE
+#: What happens at one instant, in order: windows that begin there look, rows count, windows that end there are done.
+_BEGINS, _COUNTS, _ENDS = 0, 1, 2
 
 
-def _trailing(key: str, minutes: int):
-    return Window.partitionBy(key, "_slot").orderBy("us").rangeBetween(-minutes * MINUTE, 0)
+def _slot(column: str, length: int) -> Column:
+    return F.expr(f"({column} - pmod({column}, {length}L)) div {length}L")
 
 
-def _with_counts(rows: DataFrame, key: str, counts: dict[str, Column]) -> DataFrame:
-    """rows with counts over trailing windows of a key. Each slot of an hour also holds the alerts of the hour before it, so a key of any size is many tasks' work; rows without a key meet in none."""
-    slot = F.expr(f"us div {HOUR}")
-    keyed = rows.filter(F.col(key).isNotNull()).withColumn("_slot", F.explode(F.array(slot, slot + 1)))
-    own = keyed.withColumns(counts).filter(F.col("_slot") == slot).drop("_slot")
-    return own.unionByName(rows.filter(F.col(key).isNull()), allowMissingColumns=True)
+def _events(rows: DataFrame) -> DataFrame:
+    """side, key, at, kind, fails, open and, where a window looks, of (the instant whose window it is) and window (its minutes; 0: its end).
+
+    side u: alerts by user, and their hosts; side i: by source address, and their users. Alerts of one key at one instant
+    are one event. A value's sightings within an hour of each other are one stay; a stay opens at its first
+    and closes an hour after its last. Of each clock hour the first and the last sighting are enough, so what a key
+    and value hold is bounded by hours, not by alerts.
+    """
+    sides = F.array(F.struct(F.lit("u").alias("side"), F.col("user").alias("key"), F.col("host").alias("value")), F.struct(F.lit("i").alias("side"), F.col("src_ip").alias("key"), F.col("user").alias("value")))
+    keyed = rows.select("us", "_fail", "_success", F.inline(sides)).filter("key is not null and us is not null")
+    instants = keyed.groupBy("side", "key", "us").agg(F.sum("_fail").alias("fails"), F.max("_success").alias("success"))
+    at = lambda minutes, kind: F.struct((F.col("us") - minutes * MINUTE).alias("at"), F.lit(kind).alias("kind"), F.lit(minutes).alias("window"))
+    looks = F.array_compact(F.array(at(0, _COUNTS), at(10, _BEGINS), F.when(F.col("success") & (F.col("side") == "u"), at(30, _BEGINS))))
+    looks = instants.select("side", "key", F.col("us").alias("of"), "fails", F.inline(looks)).withColumns({"fails": F.when(F.col("kind") == _COUNTS, F.col("fails")).otherwise(0), "open": F.lit(0)})
+    hours = keyed.filter("value is not null").groupBy("side", "key", "value", _slot("us", HOUR).alias("hour")).agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    by_value = Window.partitionBy("side", "key", "value").orderBy("hour")
+    stays = hours.withColumns({"before": F.lag("last").over(by_value), "after": F.lead("first").over(by_value)})
+    opens = F.when(F.coalesce(F.col("first") - F.col("before") > HOUR, F.lit(True)), F.struct(F.col("first").alias("at"), F.lit(_COUNTS).alias("kind"), F.lit(1).alias("open")))
+    closes = F.when(F.coalesce(F.col("after") - F.col("last") > HOUR, F.lit(True)), F.struct((F.col("last") + HOUR).alias("at"), F.lit(_ENDS).alias("kind"), F.lit(-1).alias("open")))
+    stays = stays.select("side", "key", F.inline(F.array_compact(F.array(opens, closes)))).groupBy("side", "key", "at", "kind").agg(F.sum("open").alias("open"))
+    return looks.unionByName(stays.withColumn("fails", F.lit(0)), allowMissingColumns=True)
+
+
+def trailing_counts(rows: DataFrame) -> DataFrame:
+    """side, key, us and, of the windows that end there: fails_10m, fails_30m (side u, instants of a success), others (different values in 60 minutes).
+
+    rows: us, user, src_ip, host, _fail (0 or 1), _success. A window's count is the difference of two running sums, at its end and
+    before its beginning, so each event is sorted once and read once however many windows hold it. Sums run
+    inside slots of ten minutes, on top of the sums of a key's slots before it, so a key of any size is many
+    tasks' work.
+    """
+    events = written(_events(rows).withColumn("slot", _slot("at", SLOT)), "trailing-events")
+    sums = events.groupBy("side", "key", "slot").agg(F.sum("fails").alias("fails"), F.sum("open").alias("open"))
+    earlier = Window.partitionBy("side", "key").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("side", "key", "slot", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("fails", "open")])
+    upto = Window.partitionBy("side", "key", "slot").orderBy("at", "kind")  # events of one instant and kind count together
+    run = events.withColumns({c: F.sum(c).over(upto) for c in ("fails", "open")}).filter("of is not null").join(base, ["side", "key", "slot"])
+    fails = F.col("fails") + F.col("fails_before")
+    part = lambda m: F.sum(F.when(F.col("window") == m, fails))
+    return run.groupBy("side", "key", F.col("of").alias("us")).agg((part(0) - part(10)).alias("fails_10m"), (part(0) - part(30)).alias("fails_30m"), F.max(F.when(F.col("window") == 0, F.col("open") + F.col("open_before"))).alias("others"))
 
 
 def features(alerts: DataFrame, users: DataFrame) -> DataFrame:
@@ -42,9 +81,10 @@ def features(alerts: DataFrame, users: DataFrame) -> DataFrame:
     hour = F.hour("ts") + F.minute("ts") / 60
     based = F.col("hours_from").isNotNull() & ~((F.col("hours_from") == 0) & (F.col("hours_to") >= 24))
     new_ip = F.col("_known") & F.col("src_ip").isNotNull() & (success | (fail == 1)) & ~F.array_contains(F.coalesce("known_src_ips", F.array().cast("array<string>")), F.col("src_ip"))
-    by_user, by_ip = (lambda n: _trailing("user", n)), (lambda n: _trailing("src_ip", n))
-    rows = _with_counts(rows, "user", {"fails_user_10m": F.sum(fail).over(by_user(10)), "_hosts": F.size(F.collect_set("host").over(by_user(60))), "_fails_30m": F.sum(fail).over(by_user(30))})
-    rows = _with_counts(rows, "src_ip", {"fails_ip_10m": F.sum(fail).over(by_ip(10)), "_users": F.size(F.collect_set("user").over(by_ip(60)))})
+    counts = written(trailing_counts(alerts.select("us", "user", "src_ip", "host", fail.alias("_fail"), success.alias("_success"))), "trailing-counts")
+    for side, key, names in (("u", "user", {"fails_10m": "fails_user_10m", "fails_30m": "_fails_30m", "others": "_hosts"}), ("i", "src_ip", {"fails_10m": "fails_ip_10m", "others": "_users"})):
+        own = counts.filter(F.col("side") == side).select(F.col("key").alias("_key"), F.col("us").alias("_us"), *[F.col(c).alias(n) for c, n in names.items()])
+        rows = rows.join(own, (F.col(key) == F.col("_key")) & (F.col("us") == F.col("_us")), "left").drop("_key", "_us")
     rows = rows.withColumns(
         {
             "fails_user_10m": F.coalesce("fails_user_10m", F.lit(0)), "fails_ip_10m": F.coalesce("fails_ip_10m", F.lit(0)),
@@ -64,12 +104,18 @@ def features(alerts: DataFrame, users: DataFrame) -> DataFrame:
 def robust_scales(rows: DataFrame) -> DataFrame:
     """One row: median, 1.4826 x MAD and max(1, standard deviation) of log1p of each count feature, exactly.
 
-    percentile() keeps a count for each distinct value; the counts here are small whole numbers.
+    Rows are counted by their four counts, small whole numbers, and only the table of those is read more than once.
     """
-    logs = rows.select(*[F.log1p(F.col(c).cast("double")).alias(c) for c in COUNTS])
-    middle = logs.agg(*[F.median(c).alias(f"{c}_mid") for c in COUNTS], *[F.greatest(F.lit(1.0), F.stddev_pop(c)).alias(f"{c}_std") for c in COUNTS])
-    off = logs.crossJoin(F.broadcast(middle)).agg(*[(1.4826 * F.median(F.abs(F.col(c) - F.col(f"{c}_mid")))).alias(f"{c}_mad") for c in COUNTS])
-    return middle.crossJoin(off)
+    kinds = written(rows.groupBy(*[F.col(c).cast("double").alias(c) for c in COUNTS]).agg(F.count(F.lit(1)).alias("_rows")), "count-kinds")
+    logs = kinds.select("_rows", *[F.log1p(c).alias(c) for c in COUNTS])
+    half = lambda x: F.percentile(x, F.lit(0.5), F.col("_rows"))
+    mean = lambda x: F.sum(F.col("_rows") * x) / F.sum("_rows")
+    middle = logs.agg(*[half(F.col(c)).alias(f"{c}_mid") for c in COUNTS], *[mean(F.col(c)).alias(f"{c}_mean") for c in COUNTS])
+    off = logs.crossJoin(F.broadcast(middle)).agg(
+        *[F.first(f"{c}_mid").alias(f"{c}_mid") for c in COUNTS], *[(1.4826 * half(F.abs(F.col(c) - F.col(f"{c}_mid")))).alias(f"{c}_mad") for c in COUNTS],
+        *[F.greatest(F.lit(1.0), F.sqrt(mean(F.pow(F.col(c) - F.col(f"{c}_mean"), 2)))).alias(f"{c}_std") for c in COUNTS],
+    )
+    return off
 
 
 def _clip(c: Column) -> Column:
@@ -77,7 +123,8 @@ def _clip(c: Column) -> Column:
 
 
 def rule_scores(rows: DataFrame) -> DataFrame:
-    """rows of features() with max_z and rule_score."""
+    """rows of features(), which are written once, with max_z and rule_score."""
+    rows = written(rows, "features")
     z = [(F.log1p(F.col(c).cast("double")) - F.col(f"{c}_mid")) / F.when(F.col(f"{c}_mad") > 0, F.col(f"{c}_mad")).otherwise(F.col(f"{c}_std")) for c in COUNTS]
     scored = rows.crossJoin(F.broadcast(robust_scales(rows))).withColumn("max_z", F.greatest(*z))
     score = 0.40 * _clip(F.col("max_z") / 6) + 0.20 * F.col("novel_source") + 0.15 * F.col("off_hours") + 0.15 * F.col("success_after_failures") + 0.15 * F.col("novel_process") + 0.10 * (F.col("process_rarity") > 0.6).cast("int")

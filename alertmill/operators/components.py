@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,33 +15,97 @@ from alertmill.sources.shared import written
 
 #: Edges from which on the neighbours of one node are dealt to several tasks.
 MANY = 200_000
+#: Edges that a task holds at once; of each such stretch a spanning forest goes on.
+STRETCH = 500_000
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", within: str | None = None) -> DataFrame:
     """node, component: the smallest node that each node of the edges reaches; with within, in each of its values apart.
 
-    Rounds of large and small stars: every node passes its larger neighbours on to its smallest one. The
+    Each task first replaces its edges, a bounded stretch at a time, by stars around the smallest nodes that they
+    join, which are fewer and shorter. Rounds of large and small stars then join what tasks found: every node passes its larger
+    neighbours on to its smallest one, until each node has one smaller neighbour and that none. The
     number of rounds grows with the logarithm of the longest path, and the edges never grow in number. Edge
     rows alone are moved, minima are combined before the shuffle, a hub's neighbours are dealt to several tasks,
     and each round is a table in the shared folder. Nulls and loops link nothing.
     """
     key = [within] if within else []
     now = edges.select(*key, F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
-    now = written(_both(now, key), "edges")
-    seen, size = None, now.count()
+    now = written(spanning_stars(now, key), "edges")
     while True:
+        near, size = _state(now, key)
+        if near == 1:
+            break
         many = size > MANY
         now = written(_small_star(_large_star(now, key, many), key, many), "edges")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*key, "u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen, size = state, state[0]
     return now.select(*key, F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(*key, F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _both(edges: DataFrame, key: list[str]) -> DataFrame:
-    """Each edge once, from the larger to the smaller node."""
-    return edges.select(*key, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+def _state(edges: DataFrame, key: list[str]) -> tuple[int, int]:
+    """1 if edges are the stars of their components (every node is one edge's larger end, or smaller ends alone), else 2; the number of edges."""
+    ends = edges.select(*key, F.inline(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("above")), F.struct(F.col("v").alias("x"), F.lit(0).alias("above")))))
+    seen = ends.groupBy(*key, "x").agg(F.sum("above").alias("above"), F.min("above").alias("below"))
+    found = seen.agg(F.max(((F.col("above") > 1) | ((F.col("above") > 0) & (F.col("below") == 0))).cast("int")), F.sum("above")).first()
+    return 1 + (found[0] or 0), found[1] or 0
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n items the smallest one that links a-b reach."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return root
+
+
+def spanning_stars(edges: DataFrame, key: list[str]) -> DataFrame:
+    """key, u, v: for each stretch of a task's edges, each node with the smallest one that they join it to (u > v)."""
+    def stars(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        ends = pa.concat_arrays([table.column(c).chunk(0) for c in ("u", "v")])
+        names = pc.unique(ends)
+        names = names.take(pc.sort_indices(names))
+        place = pc.index_in(ends, names).to_numpy()
+        n = len(names)
+        if key:
+            of = table.column(key[0]).chunk(0)
+            items = pc.unique(of)
+            item = np.tile(pc.index_in(of, items).to_numpy(), 2).astype(np.int64)
+            codes, place = np.unique(item * n + place, return_inverse=True)
+        else:
+            codes = np.arange(n)
+        half = table.num_rows
+        root = roots(len(codes), place[:half], place[half:])
+        own = np.flatnonzero(root != np.arange(len(codes)))
+        columns = [names.take(pa.array(codes[own] % n)), names.take(pa.array(codes[root[own]] % n))]
+        if key:
+            columns.insert(0, items.take(pa.array(codes[own] // n)))
+        return pa.RecordBatch.from_arrays(columns, names=[*key, "u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            if size >= STRETCH:
+                yield stars(pa.Table.from_batches(held))
+                held, size = [], 0
+        if held:
+            yield stars(pa.Table.from_batches(held))
+
+    schema = ", ".join(f"{c} {edges.schema[c].dataType.simpleString()}" for c in [*key, "u", "v"])
+    return edges.mapInArrow(run, schema)
 
 
 def _with_least(edges: DataFrame, least: DataFrame, key: list[str], many: bool) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from alertmill.functions import catalog
 from alertmill.operators import similarity
 from alertmill.operators.components import connected_components
 from alertmill.operators.hot import sent_if_small
+from alertmill.operators.recut import ROUNDS, cut_component
 from alertmill.sources.shared import written
 
 
@@ -35,6 +37,10 @@ STRONG_SCORE, STRONG_ENTITY = 0.60, 0.45
 KEYS = {"user": "user", "host": "host", "src_ip": "ip", "dst_ip": "ip", "resource": "resource"}
 #: Rows of weights and of similar titles up to which they are sent to all tasks.
 SENT_ROWS = 1_000_000
+#: Thresholds that cut a component which is too large.
+STEPS = (0.45, 0.50, 0.55, 0.60)
+#: Edges up to which a component is cut inside one task: some 50 MB there.
+WHOLE_EDGES = 1_000_000
 
 
 def _named(column: str) -> Column:
@@ -154,42 +160,83 @@ def grouped(edges: DataFrame, alerts: DataFrame) -> DataFrame:
     return alerts.select("pos").join(found.select(F.col("node").alias("pos"), "component"), "pos", "left").withColumn("component", F.coalesce("component", "pos"))
 
 
-def recut(groups: DataFrame, edges: DataFrame, cfg: Correlation = Correlation(), steps: tuple[float, ...] = (0.45, 0.50, 0.55, 0.60)) -> DataFrame:
+def recut(groups: DataFrame, edges: DataFrame, cfg: Correlation = Correlation(), steps: tuple[float, ...] = STEPS, whole_edges: int = WHOLE_EDGES) -> DataFrame:
     """groups with components above max_component cut: by the lowest threshold whose strong edges leave more than one part, else by communities; parts that are still too large again.
 
-    All oversized components and all thresholds are cut in one round; the number of rounds is small, as every
-    part is smaller than what it was cut from. A component that nothing divides is kept whole.
+    A component of at most whole_edges edges is cut to the end inside one task (operators/recut.py). All larger ones are cut
+    in one round for all thresholds, with edges in tables, by the same moves; what they leave comes again. A
+    component that nothing divides is kept whole.
     """
     done, now, kept = [], groups, edges.select("a", "b", "score", "strong")
     while True:
         sizes = now.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
         large = written(now.join(sizes.filter(F.col("n") > cfg.max_component).select("component"), "component"), "recut-large")
-        done.append(now.join(large.select("component").distinct(), "component", "left_anti").select("pos", "component"))
+        names = large.select("component").distinct()
+        done.append(now.join(names, "component", "left_anti").select("pos", "component"))
         if large.isEmpty():
             break
         inner = kept.join(large.select(F.col("pos").alias("a"), F.col("component").alias("of")), "a").join(large.select(F.col("pos").alias("b"), F.col("component").alias("_of")), "b").filter("of = _of").drop("_of")
         inner = written(inner, "recut-edges")
-        tried = inner.withColumn("t", F.explode(F.array(*[F.lit(x) for x in steps]))).filter("strong and score >= t").withColumn("item", F.concat_ws("@", "of", "t"))
-        parts = connected_components(tried, within="item").select("item", F.col("node").alias("pos"), F.col("component").alias("part"))
-        every = large.withColumn("t", F.explode(F.array(*[F.lit(x) for x in steps]))).withColumn("item", F.concat_ws("@", "component", "t"))
-        every = written(every.join(parts, ["item", "pos"], "left").withColumn("part", F.coalesce("part", "pos")), "recut-parts")
-        best = every.groupBy("component", "t").agg(F.count_distinct("part").alias("n")).filter("n > 1").groupBy("component").agg(F.min("t").alias("t"))
-        now = every.join(best, ["component", "t"]).select("pos", F.col("part").alias("component"))
-        whole = written(large.join(best, "component", "left_anti").select("pos", "component"), "recut-whole")
-        if not whole.isEmpty():
-            of = inner.join(whole.select(F.col("pos").alias("a")), "a", "left_semi").select("a", "b", "score")
-            communities = written(louvain(of, whole).withColumnRenamed("component", "part").join(whole, "pos"), "recut-communities")
-            divided = communities.groupBy("component").agg(F.count_distinct("part").alias("n")).filter("n > 1").select("component")
-            done.append(communities.join(divided, "component", "left_anti").select("pos", "component"))
-            now = now.unionByName(communities.join(divided, "component").select("pos", F.col("part").alias("component")))
-        kept, now = inner.select("a", "b", "score", "strong"), written(now, "recut-groups")
+        held = inner.groupBy("of").agg(F.count(F.lit(1)).alias("n"))
+        in_task = held.filter(F.col("n") <= whole_edges).select("of")
+        done.append(written(recut_in_tasks(inner.join(in_task, "of"), large.join(in_task.withColumnRenamed("of", "component"), "component"), cfg.max_component, steps), "recut-in-tasks"))
+        left = held.filter(F.col("n") > whole_edges).select("of")
+        if left.isEmpty():
+            break
+        inner = written(inner.join(left, "of"), "recut-edges")
+        large = written(large.join(left.withColumnRenamed("of", "component"), "component"), "recut-large")
+        now, ended = _one_cut(inner, large, steps)
+        done.append(ended)
+        kept = inner.select("a", "b", "score", "strong")
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
     return out
 
 
-def louvain(edges: DataFrame, nodes: DataFrame, rounds: int = 10) -> DataFrame:
+def _one_cut(inner: DataFrame, large: DataFrame, steps: tuple[float, ...]) -> tuple[DataFrame, DataFrame]:
+    """What one cut of all components of large makes of them, and those that nothing divides."""
+    tried = inner.withColumn("t", F.explode(F.array(*[F.lit(x) for x in steps]))).filter("strong and score >= t").withColumn("item", F.concat_ws("@", "of", "t"))
+    parts = connected_components(tried, within="item").select("item", F.col("node").alias("pos"), F.col("component").alias("part"))
+    every = large.withColumn("t", F.explode(F.array(*[F.lit(x) for x in steps]))).withColumn("item", F.concat_ws("@", "component", "t"))
+    every = written(every.join(parts, ["item", "pos"], "left").withColumn("part", F.coalesce("part", "pos")), "recut-parts")
+    best = every.groupBy("component", "t").agg(F.count_distinct("part").alias("n")).filter("n > 1").groupBy("component").agg(F.min("t").alias("t"))
+    now = every.join(best, ["component", "t"]).select("pos", F.col("part").alias("component"))
+    whole = written(large.join(best, "component", "left_anti").select("pos", "component"), "recut-whole")
+    ended = whole
+    if not whole.isEmpty():
+        of = inner.join(whole.select(F.col("pos").alias("a")), "a", "left_semi").select("a", "b", "score")
+        communities = written(louvain(of, whole).withColumnRenamed("component", "part").join(whole, "pos"), "recut-communities")
+        divided = communities.groupBy("component").agg(F.count_distinct("part").alias("n")).filter("n > 1").select("component")
+        ended = communities.join(divided, "component", "left_anti").select("pos", "component")
+        now = now.unionByName(communities.join(divided, "component").select("pos", F.col("part").alias("component")))
+    return written(now, "recut-groups"), ended
+
+
+def recut_in_tasks(inner: DataFrame, nodes: DataFrame, largest: int, steps: tuple[float, ...]) -> DataFrame:
+    """pos and component of whole components (inner: of, a, b, score, strong; nodes: pos, component), each cut to the end by one task."""
+    def cut(table: pa.Table) -> pa.Table:
+        a, b, score, turns_a, turns_b = (table.column(c).to_numpy() for c in ("a", "b", "score", "turns_a", "turns_b"))
+        strong = table.column("strong").to_numpy(zero_copy_only=False).astype(bool)
+        found, labels = cut_component(a, b, score, strong, turns_a, turns_b, largest, steps)
+        return pa.table({"pos": pa.array(found), "component": pa.array(labels)})
+
+    loops = nodes.select(F.col("component").alias("of"), F.col("pos").alias("a"), F.col("pos").alias("b"), F.lit(0.0).alias("score"), F.lit(False).alias("strong"))  # a part may hold nodes without edges
+    sent = inner.select("of", "a", "b", "score", "strong").unionByName(loops)
+    sent = sent.select("of", *[F.col(c).cast("long").alias(c) for c in ("a", "b")], F.col("score").cast("double").alias("score"), "strong", _turns("a").alias("turns_a"), _turns("b").alias("turns_b"))
+    return sent.groupBy("of").applyInArrow(cut, "pos long, component long")
+
+
+def _turns(node: str) -> Column:
+    """Bit i: whether a node may move in round i of louvain()."""
+    return sum([F.when(_moves(node, i), F.lit(1 << i)).otherwise(0) for i in range(ROUNDS)], F.lit(0)).cast("int")
+
+
+def _moves(node: str, i: int) -> Column:
+    return F.pmod(F.xxhash64(node, F.lit(i)), F.lit(2)) == 0
+
+
+def louvain(edges: DataFrame, nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """pos and component: communities of each component by local moves that raise modularity; communities become nodes, as often as that raises it.
 
     A level is some rounds of moves, a random half of the nodes at a time, ties to the smallest label; the labels of the
@@ -232,8 +279,7 @@ def _level(links: DataFrame, nodes: DataFrame, rounds: int) -> tuple[DataFrame,
         options = around.join(totals, ["component", "to"]).join(labels, ["component", "node"])
         gain = F.col("inside") - F.col("k") * (F.col("total") - F.when(F.col("to") == F.col("label"), F.col("k")).otherwise(0.0)) / F.col("m2")
         choice = options.groupBy("component", "node").agg(F.max_by("to", F.struct(F.round(gain, 12).alias("gain"), -F.col("to"))).alias("to"))
-        turn = F.pmod(F.xxhash64("node", F.lit(i)), F.lit(2)) == 0
-        labels = written(labels.join(choice, ["component", "node"], "left").withColumn("label", F.when(turn, F.coalesce("to", "label")).otherwise(F.col("label"))).drop("to"), "louvain-labels")
+        labels = written(labels.join(choice, ["component", "node"], "left").withColumn("label", F.when(_moves("node", i), F.coalesce("to", "label")).otherwise(F.col("label"))).drop("to"), "louvain-labels")
         now = _modularity(both, loops, labels).withColumnRenamed("q", "new")
         better = written(now.join(quality, "component").filter("new > q + 1e-12").select("component", "new"), "louvain-better")
         if not better.isEmpty():

@@ -38,7 +38,7 @@ def correlated(alerts: DataFrame, hosts: DataFrame | None = None, cfg: Correlati
 
 def scored(alerts: DataFrame, users: DataFrame, forest: bool = True) -> DataFrame:
     """alerts with features, rule_score, anomaly_score and notes. With fewer than 20 alerts the rule score stands alone."""
-    rows = written(anomaly.rule_scores(anomaly.features(alerts, users)), "features")
+    rows = anomaly.rule_scores(anomaly.features(alerts, users))
     if forest and rows.count() >= 20:
         raw = iforest.score(rows, iforest.fit(rows))
         rows = anomaly.blended(rows.join(raw, "pos"))
