@@ -1,6 +1,6 @@
 """Alerts as a stream: micro-batches through the batch functions, with state in tables.
 
-The drained stream has the alerts of the batch if rows come in the order of pos. (A row with the id of an earlier batch's alert counts as its duplicate, while
+The drained stream has the alerts of the batch if rows come in the order of pos. (A row with the id of an earlier batch's row counts as a duplicate, while
 one batch rejects it.)
 """
 
@@ -43,24 +43,66 @@ def _known(spark: SparkSession, root: str, name: str = "stream_alerts") -> DataF
         raise
 
 
+#: Keyed state on local disk, written to the checkpoint: what is known need not fit into memory.
+_STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def _only_new(spark: SparkSession, root: str, schema) -> None:
+    """Appends those of the batches' candidates whose id and content no earlier batch had to stream_alerts.
+
+    A query of its own over the candidates' files: ids and content hashes are keyed state, which never expires, so a
+    run reads the new candidates and their keys' state, not the alerts stored so far. Its checkpoint and the file
+    sink make each candidate count once, also after a failure.
+    """
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
+    try:
+        new = spark.readStream.schema(schema).parquet(f"{root}/stream_candidates").dropDuplicates(["alert_id"]).dropDuplicates(["content_hash"])
+        query = new.writeStream.partitionBy("batch").option("checkpointLocation", f"{root}/stream_known").trigger(availableNow=True).outputMode("append").start(f"{root}/stream_alerts", format="parquet")
+        query.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def stored(spark: SparkSession, root: str) -> DataFrame:
+    """The accepted alerts of all batches, with their batch."""
+    return spark.read.schema(tables.read(spark, root, "stream_candidates").schema).parquet(f"{root}/stream_alerts")
+
+
+def _done(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def ingest_batch(root: str, contexts: tuple | None = None, analyze: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: normalises, drops what is known by id or hash, appends alerts, duplicates and counters.
+    """A foreachBatch function: normalises, classifies the batch in itself, drops what is known by id or content, appends alerts, duplicates and counters.
 
-    Each batch's rows carry its number, and a batch that is run again first finds its own rows left out of
-    what is known, so a retry gives the same tables. analyze gets all alerts so far.
+    A batch costs what its own rows cost, whatever came before (see _only_new). Each batch's rows carry its number. A
+    batch that is run again finds its candidates written and counted, so a retry gives the same tables. analyze
+    gets all alerts so far.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         users, hosts, resources = contexts or (None, None, None)
-        known = _known(spark, root)
-        known = known.filter(F.col("batch") != number) if known is not None else None
-        rows = ingest.classified(normalize.normalize(batch, users, hosts, resources), known).withColumn("batch", F.lit(number)).persist()
-        for name, part in (("stream_alerts", rows.filter("status = 'accepted'")), ("stream_duplicates", rows.filter("status = 'duplicate'")), ("stream_rejects", rows.filter("status = 'rejected'")), ("stream_counters", ingest.batch_summary(rows))):
+        rows = ingest.classified(normalize.normalize(batch, users, hosts, resources)).withColumn("batch", F.lit(number)).persist()
+        at = f"{root}/stream_candidates/batch={number}"
+        own = rows.filter("status = 'accepted'")
+        if not _done(spark, at):
+            own.drop("batch").write.mode("overwrite").parquet(at)
+        _only_new(spark, root, own.schema)
+        kept = stored(spark, root).filter(F.col("batch") == number).select(F.col("alert_id").alias("_id"), F.lit(True).alias("_new"))
+        told = rows.join(kept, (F.col("alert_id") == F.col("_id")) & (F.col("status") == "accepted"), "left").drop("_id")
+        again = (F.col("status") == "accepted") & F.col("_new").isNull()
+        told = told.withColumns({"status": F.when(again, "duplicate").otherwise(F.col("status")), "_earlier": again}).drop("_new").persist()
+        for name, part in (("stream_duplicates", told.filter("status = 'duplicate'")), ("stream_rejects", told.filter("status = 'rejected'").drop("_earlier")), ("stream_counters", ingest.batch_summary(told))):
             part.drop("batch").write.mode("overwrite").parquet(f"{root}/{name}/batch={number}")
+        told.unpersist()
         rows.unpersist()
         if analyze:
-            analyze(tables.read(spark, root, "stream_alerts").drop("batch"), number)
+            analyze(stored(spark, root).drop("batch"), number)
 
     return run
 
@@ -72,12 +114,19 @@ def run_available(stream: DataFrame, batch: Callable[[DataFrame, int], None], ch
     return query
 
 
+def duplicates(spark: SparkSession, root: str) -> DataFrame:
+    """All duplicates with duplicate_of, the alert of the same content that was stored then, or else the one of the same id; its batch is _first."""
+    told = tables.read(spark, root, "stream_duplicates").drop("duplicate_of")
+    kept = stored(spark, root).select(F.col("alert_id").alias("_id"), F.col("content_hash").alias("_hash"), F.col("batch").alias("_first"))
+    by_hash = told.join(kept.select("_hash", "_first", F.col("_id").alias("duplicate_of")), (F.col("content_hash") == F.col("_hash")) & (F.col("_first") <= F.col("batch")), "left").drop("_hash")
+    by_id = by_hash.filter("duplicate_of is null").drop("duplicate_of", "_first").join(kept.select("_first", F.col("_id").alias("duplicate_of")), F.col("alert_id") == F.col("duplicate_of"), "left")
+    return by_hash.filter("duplicate_of is not null").unionByName(by_id)
+
+
 def drained(spark: SparkSession, root: str) -> DataFrame:
     """All accepted alerts; duplicates that came in later batches raise the counters of what they repeat."""
-    alerts = tables.read(spark, root, "stream_alerts")
-    later = tables.read(spark, root, "stream_duplicates").withColumnRenamed("batch", "_batch")
-    first = alerts.select(F.col("alert_id").alias("duplicate_of"), F.col("batch").alias("_first"))
-    return ingest.bump_duplicates(alerts.drop("batch"), later.join(first, "duplicate_of").filter("_batch <> _first"))
+    alerts = stored(spark, root)
+    return ingest.bump_duplicates(alerts.drop("batch"), duplicates(spark, root).filter("batch <> _first"))
 
 
 def counters(spark: SparkSession, root: str) -> DataFrame:

@@ -125,3 +125,40 @@ def test_cuts_in_tasks_are_those_in_rounds(spark):
     assert len(ways[0]) == len(groups) and same(ways[0]) == same(ways[1])
     assert all(min(p for p in ways[0] if ways[0][p] == c) == c for c in set(ways[0].values()))
     assert max(collections.Counter(ways[0].values()).values()) < 45
+
+
+# --- streams ------------------------------------------------------------------------------------------
+
+
+def test_a_batch_does_not_read_what_came_before(spark, tmp_path):
+    from test_units import BASE, raw
+
+    from alertmill.streaming import stream
+
+    root = str(tmp_path)
+    rows = lambda *ids: [BASE | {"alert_id": f"A{i}", "timestamp": 1_700_000_000_000 + 1000 * i, "user": f"u{i}"} for i in ids]
+    batches = [
+        rows(*range(30)) + [rows(3)[0]] + [rows(4)[0] | {"alert_id": "copy"}],
+        rows(*range(20, 40)) + [rows(1)[0] | {"alert_id": "again"}, rows(2)[0] | {"user": "other"}, rows(90)[0] | {"src_ip": "300.0.0.1"}],
+        [rows(2)[0] | {"alert_id": "late", "user": "other"}, rows(35)[0] | {"alert_id": "B"}] + rows(50),
+    ]
+    call = stream.ingest_batch(root)
+    for n, batch in enumerate(batches):
+        made = raw(spark, *batch)
+        made.withColumn("pos", F.col("pos") + 1000 * n).select("pos", "alert_id", "timestamp", "alert_type", "severity", "severity_score", "confidence", "user", "src_ip").coalesce(1).write.mode("append").parquet(f"{root}/in")
+        schema = spark.read.parquet(f"{root}/in").schema
+        stream.run_available(stream.source(spark, f"{root}/in", schema), call, f"{root}/check")
+        if n == 0:  # a batch that is run again changes nothing
+            first = sorted(tuple(r) for r in stream.drained(spark, root).select("alert_id", "duplicate_count").collect())
+            call(spark.read.schema(schema).parquet(f"{root}/in"), 0)
+            assert sorted(tuple(r) for r in stream.drained(spark, root).select("alert_id", "duplicate_count").collect()) == first and len(first) == 30
+            kept = list((tmp_path / "stream_alerts/batch=0").glob("*.parquet"))
+            away = [f.rename(tmp_path / f.name) for f in kept]  # what is stored is not there while the next batch runs
+        if n == 1:
+            for f, to in zip(away, kept, strict=True):
+                f.rename(to)
+    got = {r["alert_id"]: r["duplicate_count"] for r in stream.drained(spark, root).collect()}
+    assert set(got) == {f"A{i}" for i in (*range(40), 50)} | {"late"}
+    assert [got[f"A{i}"] for i in (1, 2, 4, 25, 35)] == [1, 1, 1, 1, 1] and got["A5"] == 0
+    c = stream.counters(spark, root).first()
+    assert (c["received"], c["accepted"], c["duplicates"], c["rejected"]) == (58, 42, 14, 2)
