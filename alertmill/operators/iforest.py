@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,21 +39,53 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
     return nodes
 
 
+def draws(rows: DataFrame, share: float, trees: int, seed: int, id_col: str = "id") -> DataFrame:
+    """rows with tree: each row in each tree with the probability share, whatever other rows and trees do.
+
+    From a hash of the row follow the gaps between the trees that take it, which are geometric; a row whose first gap is
+    beyond the last tree is dropped by a filter. Work grows with rows and with what is drawn, not with their product with trees.
+    """
+    if share >= 1:
+        return rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    base = float(np.log1p(-share))
+    first = F.floor(F.log1p(-(F.shiftrightunsigned("h", 11) * F.lit(2.0**-53))) / base)
+    near = rows.withColumn("h", F.xxhash64(id_col, F.lit(seed))).withColumn("tree", first).filter(F.col("tree") < trees)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, tree = batch.column("h").to_numpy().view(np.uint64), batch.column("tree").to_numpy().copy()
+            at, out = np.arange(len(h)), []
+            for j in range(1, trees + 1):
+                if not len(at):
+                    break
+                out.append((at, tree[at]))
+                x = h[at] + np.uint64(j) * np.uint64(0x9E3779B97F4A7C15)  # splitmix64: the row's j-th number
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+                gap = np.minimum(np.floor(np.log1p(-u) / base), trees)
+                tree[at] += 1 + gap.astype(np.int64)
+                at = at[tree[at] < trees]
+            taken = np.concatenate([np.empty(0, np.int64), *[x for x, _ in out]])
+            found = batch.take(pa.array(taken)).drop_columns(["h", "tree"])
+            yield found.append_column("tree", pa.array(np.concatenate([np.empty(0, np.int64), *[x for _, x in out]]).astype(np.int32)))
+
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    return near.mapInArrow(run, f"{kinds}, tree int")
+
+
 def fit(rows: DataFrame, columns: list[str] = COLUMNS, id_col: str = "pos", trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
     """tree, node, feature, cut, left, right, path: sample rows for each tree, the smallest by a hash of id and tree.
 
-    Every row throws for every tree but is shipped only if its hash is below a bound that lets about three
-    samples through, so a tree's task gets a few hundred rows at any size. The sample is bounded by trees x
-    sample rows; scores cover all rows.
+    draws() lets about three samples through for each tree, so a tree's task gets a few hundred rows at any size. The
+    sample is bounded by trees x sample rows; scores cover all rows.
     """
     logs = [F.log1p(F.col(c).cast("double")).alias(c) if i < 4 else F.col(c).cast("double").alias(c) for i, c in enumerate(columns)]
     n = rows.count()
     small = rows.select(F.col(id_col).alias("id"), *logs)
-    draws = small.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).withColumn("h", F.xxhash64("id", "tree", F.lit(seed)))
-    if n > 4 * sample:
-        draws = draws.filter(F.pmod(F.col("h"), F.lit(1 << 40)) < int((1 << 40) * 3 * sample / n))
+    drawn = draws(small, 3 * sample / n if n > 4 * sample else 1.0, trees, seed).withColumn("h", F.xxhash64("id", "tree", F.lit(seed)))
     place = F.row_number().over(Window.partitionBy("tree").orderBy("h", "id"))
-    chosen = draws.withColumn("place", place).filter(F.col("place") <= sample)
+    chosen = drawn.withColumn("place", place).filter(F.col("place") <= sample)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])

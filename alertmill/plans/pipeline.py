@@ -73,7 +73,7 @@ def analyze(alerts: DataFrame, users: DataFrame, hosts: DataFrame | None = None,
 def persist(found: Analysis, alerts: DataFrame, root: str, run_id: str) -> None:
     """Writes a run's result tables to root in full, a row to pipeline_runs, and alerts with their incident and scores.
 
-    Alerts go by day to alerts_scored, so that root's alerts, which they may come from, stay as they are.
+    Alerts go by day to alerts_scored, so that root's alerts, which they may come from, stay as they are; days that the run does not have are left alone.
     """
     kept = [c for c in found.incidents.columns if c != "alert_ids"]
     tables.replace(found.incidents.select("incident_id", "alert_ids", *[c for c in kept if c != "incident_id"]), root, "incidents")
@@ -86,7 +86,7 @@ def persist(found: Analysis, alerts: DataFrame, root: str, run_id: str) -> None:
     tables.append(incidents.run_stats(alerts, found.incidents).withColumn("run_id", F.lit(run_id)), root, "pipeline_runs")
     scores = found.members.select("alert_id", "incident_id", "rule_score", "anomaly_score")
     scored_alerts = tables.with_results(alerts, scores.select("alert_id", "incident_id"), scores)
-    scored_alerts.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(f"{root}/alerts_scored")
+    tables.replace_days(scored_alerts.withColumn("day", F.to_date("ts")), root, "alerts_scored")
 
 
 def run(alerts: DataFrame, users: DataFrame, root: str, run_id: str, hosts: DataFrame | None = None, cfg: Correlation = Correlation(), decisions: DataFrame | None = None) -> None:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from alertmill.sources.shared import written
 
 TABLES = [
     "ingest_batches", "alerts", "entities", "alert_entities", "pipeline_runs", "incidents", "incident_alerts", "incident_entities", "attack_stages", "incident_mitre",
@@ -26,6 +31,65 @@ def read(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}")
 
 
+def replace_days(df: DataFrame, root: str, name: str, day: str = "day") -> None:
+    """Replaces the days that df has; the files of all other days stay as they are."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(f"{root}/{name}")
+
+
+def merge_days(spark: SparkSession, root: str, name: str, changes: DataFrame, keys: list[str], values: dict[str, Column], number: int, day: str = "day") -> list:
+    """Sets columns of the stored rows that changes name, in the days that changes touch; gives these days.
+
+    changes: day, keys (once each) and columns of its own; values: stored columns and what they become, from stored columns and those of changes,
+    which are called new_. Only the touched days are read and written again, as new files that take the old ones' place
+    together. Each row keeps the number of the last merge that changed it, so a merge that is run again after a failure
+    changes no row twice; numbers must rise. A row without a day is in a day of its own (null).
+    """
+    days = [r[0] for r in changes.select(day).distinct().collect()]  # one row a day
+    if not days:
+        return []
+    known = [d for d in days if d is not None]
+    touched = F.col(day).isin(known) if known else F.lit(False)
+    schema = read(spark, root, name).schema
+    if "merged_by" not in schema.names:  # files of merges have it, others read as null
+        schema = StructType([StructField("merged_by", LongType()), *schema.fields])
+    stored = spark.read.schema(schema).parquet(f"{root}/{name}").filter(touched | F.col(day).isNull() if None in days else touched)
+    columns = [c for c in stored.columns if c != "merged_by"]
+    last = F.coalesce(F.col("merged_by"), F.lit(-1))
+    new = changes.select(*[F.col(c).alias(f"new_{c}") for c in changes.columns])
+    on = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"new_{k}") for k in keys] + [F.col(day).eqNullSafe(F.col(f"new_{day}"))])
+    both = stored.join(new, on, "left").withColumn("_hit", F.col(f"new_{keys[0]}").isNotNull() & (last < number))
+    out = [F.when(F.col("_hit"), values[c].cast(stored.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in columns]
+    out.append(F.when(F.col("_hit"), F.lit(number).cast("long")).otherwise(F.when(last >= 0, last.cast("long"))).alias("merged_by"))
+    replace_days(written(both.select(*out), "merged-days"), root, name, day)
+    return days
+
+
+def raise_duplicates(spark: SparkSession, root: str, rows: DataFrame, number: int, name: str = "alerts") -> list:
+    """Adds a batch's duplicates (rows of ingest.classified() with duplicate_of) to the counters of the stored alerts that they repeat.
+
+    A duplicate has the content of its alert and so its time: the day is the row's own. Where it repeats an id alone, the
+    day comes from a scan of ids and days.
+    """
+    more = rows.filter("status = 'duplicate' and duplicate_of is not null").groupBy(F.col("duplicate_of").alias("alert_id"), F.to_date("ts").alias("own")).agg(F.count(F.lit(1)).alias("n"))
+    more = written(more, "more-duplicates")
+    at = read(spark, root, name).select(F.col("alert_id").alias("_id"), "day")
+    near = at.join(F.broadcast(more.select(F.col("own").alias("day")).distinct()), "day", "left_semi")  # a row a day
+    found = written(more.join(near, F.col("alert_id") == F.col("_id")).select("alert_id", "own", "day", "n"), "near-duplicates")
+    other = more.join(found.select("alert_id", "own"), ["alert_id", "own"], "left_anti")
+    if not other.isEmpty():
+        found = found.unionByName(other.join(at, F.col("alert_id") == F.col("_id")).select("alert_id", "own", "day", "n"))
+    changes = written(found.groupBy("alert_id", "day").agg(F.sum("n").alias("n")), "duplicate-changes")
+    return merge_days(spark, root, name, changes, ["alert_id"], {"duplicate_count": F.col("duplicate_count") + F.col("new_n")}, number)
+
+
+def append_gaps(spark: SparkSession, root: str, name: str, incoming: DataFrame, keys: list[str], only_ok: bool = False) -> None:
+    """Appends the rows of fill_gaps() that the stored table lacks; its files stay, and only its keys are read. Doing it again adds nothing."""
+    have = read(spark, root, name)
+    have = (have.filter("status = 'ok'") if only_ok else have).select(*keys).distinct()
+    new = incoming.dropDuplicates(keys).join(have, keys, "left_anti")
+    append(written(new, "gaps"), root, name)
+
+
 def append_alerts(alerts: DataFrame, root: str) -> None:
     append(alerts.withColumn("day", F.to_date("ts")), root, "alerts", by="day")
 

@@ -1,6 +1,7 @@
 """Plans for keys, components and histories of any size, against plain Python."""
 
 import collections
+import math
 import random
 import time
 
@@ -8,8 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from alertmill.operators import anomaly, components, correlate
+from alertmill.operators import anomaly, components, correlate, iforest
 from alertmill.operators.correlate import Correlation
+from alertmill.sources import tables
 
 MINUTE = 60_000_000
 
@@ -162,3 +164,63 @@ def test_a_batch_does_not_read_what_came_before(spark, tmp_path):
     assert [got[f"A{i}"] for i in (1, 2, 4, 25, 35)] == [1, 1, 1, 1, 1] and got["A5"] == 0
     c = stream.counters(spark, root).first()
     assert (c["received"], c["accepted"], c["duplicates"], c["rejected"]) == (58, 42, 14, 2)
+
+
+# --- isolation forest ---------------------------------------------------------------------------------
+
+
+def test_draws_take_each_tree_alike(spark):
+    n, trees, share = 60_000, 200, 0.01
+    got = iforest.draws(spark.range(n).withColumn("x", F.lit(1.0)), share, trees, 7).toPandas()
+    assert got.duplicated(["id", "tree"]).sum() == 0
+    by_tree, by_row = np.bincount(got["tree"], minlength=trees), np.bincount(np.bincount(got["id"], minlength=n), minlength=12)[:12]
+    assert abs(len(got) - n * trees * share) < 5 * (n * trees * share) ** 0.5
+    assert ((by_tree - n * share) ** 2 / (n * share)).sum() < trees + 5 * (2 * trees) ** 0.5
+    want = [n * math.comb(trees, k) * share**k * (1 - share) ** (trees - k) for k in range(6)]
+    assert all(abs(a - b) < 5 * b**0.5 for a, b in zip(by_row, want, strict=False))
+    both = got[got["tree"].isin([0, 1])].groupby("id").size()
+    assert (both == 2).sum() < 25  # neighbours are independent: six expected
+    again = iforest.draws(spark.range(n).repartition(7).withColumn("x", F.lit(1.0)), share, trees, 7).toPandas()
+    assert set(zip(got["id"], got["tree"])) == set(zip(again["id"], again["tree"]))
+    assert iforest.draws(spark.range(5), 1.0, 4, 7).count() == 20 and iforest.draws(spark.range(0), 0.5, 4, 7).count() == 0
+
+
+# --- merges -------------------------------------------------------------------------------------------
+
+
+def files_of(root):
+    return {str(f): f.stat().st_mtime_ns for f in root.rglob("*.parquet")}
+
+
+def test_merges_leave_other_days_alone(spark, tmp_path):
+    day = 86_400_000_000
+    base = spark.range(40).select(F.concat(F.lit("A"), "id").alias("alert_id"), F.when(F.col("id") < 36, F.timestamp_micros(F.col("id") % 4 * day)).alias("ts"), F.lit(0).cast("long").alias("duplicate_count"))
+    tables.append_alerts(base, str(tmp_path))
+    before = files_of(tmp_path)
+    dup = lambda i, of, d, status="duplicate": (f"D{i}", status, of, d)
+    rows = spark.createDataFrame([dup(0, "A1", 1), dup(1, "A1", 1), dup(2, "A5", 1), dup(3, "A2", 1), dup(4, "nowhere", 1), dup(5, "A9", 1, "rejected"), dup(6, None, 1)], "alert_id string, status string, duplicate_of string, d long")
+    rows = rows.withColumn("ts", F.timestamp_micros(F.col("d") * day))
+    days = tables.raise_duplicates(spark, str(tmp_path), rows, 7)
+    assert sorted(str(d) for d in days) == ["1970-01-02", "1970-01-03"]  # A2 repeats an id of another day
+    for _ in range(2):  # again, as after a failure
+        got = {r["alert_id"]: r["duplicate_count"] for r in tables.read(spark, str(tmp_path), "alerts").collect()}
+        assert len(got) == 40 and {k: v for k, v in got.items() if v} == {"A1": 2, "A5": 1, "A2": 1}
+        after = files_of(tmp_path)
+        same = [f for f in before if "day=1970-01-01" in f or "day=1970-01-04" in f or "HIVE_DEFAULT" in f]
+        assert same and all(after[f] == before[f] for f in same)
+        tables.raise_duplicates(spark, str(tmp_path), rows, 7)
+    tables.raise_duplicates(spark, str(tmp_path), spark.createDataFrame([("E", "duplicate", "A37", None), ("F", "duplicate", "A1", None)], "alert_id string, status string, duplicate_of string, d long").withColumn("ts", F.timestamp_micros("d")), 8)
+    got = {r["alert_id"]: r["duplicate_count"] for r in tables.read(spark, str(tmp_path), "alerts").collect()}
+    assert {k: v for k, v in got.items() if v} == {"A1": 3, "A5": 1, "A2": 1, "A37": 1}
+    assert tables.raise_duplicates(spark, str(tmp_path), rows.limit(0), 9) == []
+
+
+def test_gaps_are_appended(spark, tmp_path):
+    stored = spark.createDataFrame([("a", "ok", 1), ("b", "failed", 2)], "k string, status string, v int")
+    tables.replace(stored, str(tmp_path), "decision_runs")
+    before = files_of(tmp_path)
+    incoming = spark.createDataFrame([("a", "ok", 9), ("b", "ok", 8), ("c", "ok", 7), ("c", "ok", 7), (None, "ok", 6)], "k string, status string, v int")
+    for _ in range(2):
+        tables.append_gaps(spark, str(tmp_path), "decision_runs", incoming.filter("k is not null"), ["k"], only_ok=True)
+        assert sorted((r["k"], r["v"]) for r in tables.read(spark, str(tmp_path), "decision_runs").collect()) == [("a", 1), ("b", 2), ("b", 8), ("c", 7)]
+    assert all(files_of(tmp_path)[f] == t for f, t in before.items())
