@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from alertmill.sources.shared import written
+
 
 def title_grams(titles: DataFrame, column: str = "title") -> DataFrame:
     """title, gram, w: the L2-normed TF-IDF weights of the distinct titles' character 3- to 5-grams inside padded words."""
@@ -32,6 +34,26 @@ def title_similarity(titles: DataFrame, column: str = "title", pairs: DataFrame
     return met.groupBy("a", "b").agg(F.sum(F.col("w") * F.col("wb")).alias("similarity"))
 
 
+def similar_titles(titles: DataFrame, least: float, column: str = "title") -> DataFrame:
+    """a, b, similarity of all pairs of distinct titles whose cosine is at least least (above 0), a < b.
+
+    A title's grams are ordered from the rarest in all titles to the commonest, and its prefix ends where the rest has a norm
+    below least. Two titles that are similar share their rarest common gram in both prefixes, and at it the norms of what is
+    left of both bound the cosine; only pairs that pass are compared in full. Common grams, which most
+    titles share, are in few prefixes.
+    """
+    if least <= 0:
+        raise ValueError("least must be above 0; title_similarity() gives all pairs")
+    g = written(title_grams(titles, column), "title-grams")
+    ranked = g.join(g.groupBy("gram").agg(F.count(F.lit(1)).alias("df")), "gram")
+    rest = Window.partitionBy("title").orderBy(F.desc("df"), F.desc("gram")).rowsBetween(Window.unboundedPreceding, 0)
+    prefix = ranked.withColumn("left", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest))).filter(F.col("left") >= least - 1e-9)
+    first, other = prefix.select("gram", F.col("title").alias("a"), F.col("left").alias("la")), prefix.select("gram", F.col("title").alias("b"), F.col("left").alias("lb"))
+    pairs = first.join(other, "gram").filter((F.col("a") < F.col("b")) & (F.col("la") * F.col("lb") >= least - 1e-9)).select("a", "b").distinct()
+    whole = pairs.join(g.withColumnRenamed("title", "a"), "a").join(g.select(F.col("title").alias("b"), "gram", F.col("w").alias("wb")), ["b", "gram"])
+    return whole.groupBy("a", "b").agg(F.sum(F.col("w") * F.col("wb")).alias("similarity")).filter(F.col("similarity") >= least)
+
+
 def similar_sets(sets: DataFrame, key: str, token: str, least: float = 0.2, top: int = 3) -> DataFrame:
     """key, other, similarity, place: the top partners by Jaccard above least. sets: a row for each key and token.
 

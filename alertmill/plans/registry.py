@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertmill.functions import catalog, normalize
-from alertmill.operators import anomaly, briefs, chain, correlate, entities, evaluate, graph, iforest, incidents, ingest, similarity, techniques, views
+from alertmill.operators import anomaly, briefs, chain, correlate, entities, evaluate, graph, iforest, incidents, ingest, search, similarity, techniques, views
 from alertmill.operators.components import connected_components
 from alertmill.operators.correlate import Correlation
 from alertmill.plans import pipeline
@@ -198,6 +198,12 @@ def title_similarity(spark, sf_dir):
     return similarity.title_similarity(table(spark, sf_dir, "part"), "p_name").withColumn("similarity", F.round("similarity", 5))
 
 
+@query("WITH " + _titles_sql("SELECT p_name AS title FROM part") + "SELECT a, b, round(similarity, 5) AS similarity FROM titles WHERE similarity >= 0.35")
+def similar_titles(spark, sf_dir):
+    """Pairs at or above a threshold, without meeting those below it on common grams."""
+    return similarity.similar_titles(table(spark, sf_dir, "part"), 0.35, "p_name").withColumn("similarity", F.round("similarity", 5))
+
+
 @query(
     """WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS c FROM e GROUP BY ALL)
 SELECT vec_id, e.label, round(sum(x * c) / (sqrt(sum(x * x)) * sqrt(sum(c * c))), 5) AS similarity FROM e JOIN m ON e.label = m.label AND e.i = m.i GROUP BY ALL"""
@@ -644,6 +650,15 @@ def alert_search(spark, sf_dir):
     return views.page_with_total(views.search_alerts(alerts(spark, sf_dir), "power", severity="low"), [F.desc("us"), F.desc("pos")], 50, 10).select("pos", "alert_id", "total")
 
 
+@query(ORACLES["alert_search"])
+def indexed_search(spark, sf_dir):
+    """The same page and total, through a trigram index of all alerts."""
+    root = f"{shared.shared_folder(spark)}/search-{uuid.uuid4().hex}"
+    a = alerts(spark, sf_dir)
+    search.write_index(a, root)
+    return views.page_with_total(search.search(a, root, "power", severity="low"), [F.desc("us"), F.desc("pos")], 50, 10).select("pos", "alert_id", "total")
+
+
 @query("WITH " + ALERTS_SQL + "SELECT severity, count(*) AS n FROM alerts_v GROUP BY 1")
 def severity_overview(spark, sf_dir):
     return views.overview(alerts(spark, sf_dir))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from alertmill.operators import anomaly, components, correlate, iforest
+from alertmill.operators import anomaly, components, correlate, iforest, search, similarity, views
 from alertmill.operators.correlate import Correlation
 from alertmill.sources import tables
 
@@ -224,3 +224,37 @@ def test_gaps_are_appended(spark, tmp_path):
         tables.append_gaps(spark, str(tmp_path), "decision_runs", incoming.filter("k is not null"), ["k"], only_ok=True)
         assert sorted((r["k"], r["v"]) for r in tables.read(spark, str(tmp_path), "decision_runs").collect()) == [("a", 1), ("b", 2), ("b", 8), ("c", 7)]
     assert all(files_of(tmp_path)[f] == t for f, t in before.items())
+
+
+# --- titles and search --------------------------------------------------------------------------------
+
+
+def test_similar_titles_are_those_of_all_pairs(spark):
+    rng = random.Random(3)
+    words = ["failed", "sign-in", "sign-ins", "from", "host", "powershell", "power", "unusual", "exécution", "of", "a", "x"]
+    titles = [" ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 3, 5]))) for _ in range(150)] + [None, "", "  ", "Failed Host", "failed host"]
+    frame = spark.createDataFrame([(t, 1) for t in titles], "title string, gram int")
+    every = {(r["a"], r["b"]): r["similarity"] for r in similarity.title_similarity(frame).collect()}
+    for least in (0.3, 0.7, 1.0 - 1e-9):
+        got = {(r["a"], r["b"]): r["similarity"] for r in similarity.similar_titles(frame, least).collect()}
+        assert got == pytest.approx({k: v for k, v in every.items() if v >= least}) and ("Failed Host", "failed host") in got
+    assert similarity.similar_titles(frame.limit(0), 0.5).collect() == []
+
+
+def test_search_through_the_index(spark, tmp_path):
+    rng = random.Random(6)
+    pick = lambda *x: rng.choice(x)
+    rows = [(i, f"ALT-{i:04d}" + pick("", "-DUP", "x"), pick("PowerShell ran", "Failed sign-in", None, "é power"), pick("ann", "bob.power", None), pick("HOST-1", "POWER-9", None), pick("10.0.0.1", "10.30.0.7", None), pick("powershell_execution", "failed_login"), i % 5) for i in range(400)]
+    frame = spark.createDataFrame(rows, "pos long, alert_id string, title string, user string, host string, src_ip string, alert_type string, d int").withColumn("ts", F.when(F.col("d") < 4, F.timestamp_micros(F.col("d") * 86_400_000_000)))
+    search.write_index(frame, str(tmp_path))
+    dated = frame.withColumn("day", F.to_date("ts"))
+    for q in ("power", "POWER", "é pow", "10.3", "0.30", "dup", "DUP", "x", "ALT-0012", "nothing here", "login", "ell ran"):
+        for a in (frame, dated):
+            assert {r["pos"] for r in search.search(a, str(tmp_path), q).collect()} == {r["pos"] for r in views.search_alerts(frame, q).collect()}, q
+    assert search.search(frame, str(tmp_path), "power", host="power-9").count() == views.search_alerts(frame, "power", host="power-9").count() > 0
+    want = search.found_places(spark, str(tmp_path), "0012").count()
+    mine = search._buckets_of(spark, ["001", "012"])
+    for f in (tmp_path / "grams").glob("bucket=*/*.parquet"):  # other folders are not opened
+        if f.parent.name not in {f"bucket={b}" for b in mine}:
+            f.write_bytes(b"")
+    assert search.matching_values(spark, str(tmp_path), "0012").count() == want > 0
