@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertmill.llm.common import partitions, slices
@@ -154,38 +154,51 @@ def fingerprints(docs: DataFrame, keep: int = KEEP, id_col: str = "doc_id", text
     return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
+def _splitters(rows: DataFrame, column: str, n: int) -> list:
+    """At most n - 1 values, of any type, that cut the rows' values into ranges of like size: the largest of each of Spark's own sampled ranges but the last."""
+    ranges = rows.select(column).repartitionByRange(n, column).groupBy(F.spark_partition_id().alias("range")).agg(F.max(column).alias("v"))
+    return sorted({r["v"] for r in ranges.collect()})[:-1]  # a row for each range
+
+
 def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, ahead, part: rows in descending doc_id inside each part; a row with ahead stands for the next part's first.
 
     Parts are ranges of ids from sampled splitters (as many as there are shuffle partitions), so one shuffle
     lays each document beside the next. A part's first row is also sent to the part before it, and the very
-    first to the last; that doubles at most one row for each part. Equal ids are ordered by text; null ids
-    come last and make a part of their own.
+    first to the last; that doubles at most one row for each part. Ids have any type that is ordered; whole numbers
+    come out as long. Equal ids are ordered by text; null ids come last, and are cut into parts by their texts' beginnings.
     """
-    narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    narrow = docs.select((docs[id_col].cast("long") if whole else docs[id_col]).alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     n = partitions(docs.sparkSession)
-    cuts = sorted(set(narrow.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
-    part = F.lit(len(cuts)) - F.expr(_bisect([int(x) for x in cuts]))  # 0: the largest ids
-    placed = narrow.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(part).cast("int"))
+    if whole:
+        cuts = sorted({int(x) for x in narrow.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n))}) if n > 1 else []
+    else:
+        cuts = _splitters(narrow.filter("doc_id is not null"), "doc_id", n)
+    part = F.lit(len(cuts)) - _below(F.col("doc_id"), cuts)  # 0: the largest ids
+    begins = F.substring("text", 1, 64)
+    unnamed = narrow.filter("doc_id is null")
+    text_cuts = [] if unnamed.select("doc_id").isEmpty() else _splitters(unnamed.select(begins.alias("begins")), "begins", n)
+    placed = narrow.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1) + _below(begins, text_cuts)).otherwise(part).cast("int"))
     tops = {r["part"]: r["top"] for r in placed.groupBy("part").agg(F.max("doc_id").alias("top")).collect()}  # a row for each part
     have = sorted(tops)
     before = {p: have[i - 1] for i, p in enumerate(have)}  # the first part's is the last one
     if not have:
         return placed.withColumn("ahead", F.lit(False))
-    ahead = docs.sparkSession.createDataFrame([(p, tops[p], before[p]) for p in have], "part int, top long, to int")
+    ahead = docs.sparkSession.createDataFrame([(p, tops[p], before[p]) for p in have], f"part int, top {narrow.schema['doc_id'].dataType.simpleString()}, to int")
     firsts = placed.join(F.broadcast(ahead), "part").filter(F.col("doc_id").eqNullSafe(F.col("top")))
     # several rows may share the top id: the first of them by text
     firsts = firsts.groupBy("part", "to").agg(F.min_by(F.struct("doc_id", "text"), "text").alias("r")).select("r.doc_id", "r.text", F.col("to").alias("part"), F.lit(True).alias("ahead"))
     rows = placed.withColumn("ahead", F.lit(False)).unionByName(firsts)
-    return rows.repartitionById(len(cuts) + 2, "part").sortWithinPartitions("part", "ahead", F.desc_nulls_last("doc_id"), "text")
+    return rows.repartitionById(len(cuts) + len(text_cuts) + 2, "part").sortWithinPartitions("part", "ahead", F.desc_nulls_last("doc_id"), "text")
 
 
-def _bisect(cuts: list[int]) -> str:
-    """SQL for the number of cuts below doc_id, by halving."""
+def _below(value: Column, cuts: list) -> Column:
+    """The number of cuts below a value, by halving."""
     if not cuts:
-        return "0"
+        return F.lit(0)
     m = len(cuts) // 2
-    return f"(case when doc_id > {cuts[m]} then {m + 1} + {_bisect(cuts[m + 1 :])} else {_bisect(cuts[:m])} end)"
+    return F.when(value > F.lit(cuts[m]), F.lit(m + 1) + _below(value, cuts[m + 1 :])).otherwise(_below(value, cuts[:m]))
 
 
 def edited_likeness(docs: DataFrame, keep: int = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,7 +216,7 @@ def edited_likeness(docs: DataFrame, keep: int = KEEP, id_col: str = "doc_id", t
         (a, short), (b, short_edited) = anchors_and_sketches([*own, nexts[-1]], keep), anchors_and_sketches(edited, keep)
         return pd.DataFrame(
             {
-                "doc_id": pd.array([r[0] for r in rows], "Int64"), "n_chars": [len(t) for t in own],
+                "n_chars": [len(t) for t in own],
                 "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited],
                 "fingerprint": [as_text(x) for x in short[:-1]], "edited_fingerprint": [as_text(x) for x in short_edited],
                 "near_edited": [likeness(x, y) for x, y in zip(a, b, strict=False)], "near_next": [likeness(x, y) for x, y in zip(a, a[1:], strict=False)],
@@ -218,15 +231,17 @@ def edited_likeness(docs: DataFrame, keep: int = KEEP, id_col: str = "doc_id", t
                 if p != part:
                     part, held, size = p, [], 0
                 if held and (ahead or size > 1_000_000):
-                    yield from pack(results(held, [*[r[1] for r in held[1:]], t]))
+                    yield pack(held, results(held, [*[r[1] for r in held[1:]], t]), batch.column("doc_id").type)
                     held, size = [], 0
                 if not ahead:
                     held.append((i, t))
                     size += len(t)
         assert not held, "a part ends with the row of the next one"
 
-    def pack(rows: pd.DataFrame) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_pandas(rows, preserve_index=False)
+    def pack(rows: list[tuple], found: pd.DataFrame, kind: pa.DataType) -> pa.RecordBatch:
+        made = pa.RecordBatch.from_pandas(found, preserve_index=False)
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), *made.columns], names=["doc_id", *made.schema.names])
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return beside_next(docs, id_col, text_col).select("part", "doc_id", "text", "ahead").mapInArrow(run, schema)
+    rows = beside_next(docs, id_col, text_col).select("part", "doc_id", "text", "ahead")
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return rows.mapInArrow(run, schema)

@@ -167,3 +167,41 @@ def test_long_documents_keep_their_overlaps(spark):
     rows = {r["doc_id"]: r for r in fingerprints.edited_likeness(spark.createDataFrame([(3, a), (2, b), (1, c)], "doc_id long, text string")).collect()}
     assert rows[3]["near_next"] > 0.0005 and rows[2]["near_next"] == rows[1]["near_next"] == 0
     assert abs(rows[3]["near_edited"] - 0.5) < 0.01  # two thirds of each of two texts of one length
+
+
+def plain_anchors(text):
+    """The runs of K characters whose smallest run of S stands first or last, in order."""
+    k, s = fingerprints.K, fingerprints.S
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    inner = [int(fingerprints.span_hashes(points[i : i + s], np.array([0]), np.array([s]))[0]) for i in range(len(text) - s + 1)]
+    at = [i for i in range(len(text) - k + 1) if min(inner[i : i + k - s + 1]) in (inner[i], inner[i + k - s])]
+    return [text[i : i + k] for i in at] or ([text] if text else [])  # a text without anchors is its own
+
+
+def plain_likeness(a, b):
+    a, b = plain_anchors(a), plain_anchors(b)
+    if not a or not b:
+        return float(len(a) == len(b))
+    common = common_subsequence(a, b)
+    return common / (len(a) + len(b) - common)
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "decimal(20,0)", "int"])
+def test_likeness_against_plain_python(spark, kind):
+    rng = random.Random(11)
+    words = lambda n: " ".join(rng.choice(["straße", "the", "of", "näher", "x", "analysis", "report"]) for _ in range(n))
+    texts = [words(rng.choice([0, 1, 12, 40, 90])) for _ in range(40)]
+    texts += [texts[3], texts[5] + " and more", None, "", "ab" * 60]
+    name = {"string": lambda i: f"doc-{i:03d}", "decimal(20,0)": lambda i: __import__("decimal").Decimal(i)}.get(kind, lambda i: i)
+    data = [(name(i), t) for i, t in enumerate(texts)] + [(name(7), "a repeated id with a text of its own"), *[(None, words(20) + str(i)) for i in range(9)], (None, None)]
+    order = sorted(((i, t or "") for i, t in data if i is not None), key=lambda r: r[1])
+    order = sorted(order, key=lambda r: r[0], reverse=True) + sorted(((i, t or "") for i, t in data if i is None), key=lambda r: r[1])
+    want = []
+    for (d, t), (_, u) in zip(order, order[1:] + order[:1], strict=True):
+        n = len(t) // 3
+        edited = t[: len(t) - n] + u[:n]
+        want.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), round(plain_likeness(t, edited), 12), round(plain_likeness(t, u), 12)))
+    found = fingerprints.edited_likeness(spark.createDataFrame(data, f"doc_id {kind}, text string"))
+    assert found.schema["doc_id"].dataType.simpleString() == ("bigint" if kind in ("long", "int") else kind)
+    got = [(r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 12), round(r["near_next"], 12)) for r in found.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
