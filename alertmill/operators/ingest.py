@@ -50,6 +50,12 @@ def first_rejects(rows: DataFrame, limit: int = 200) -> DataFrame:
     return rows.filter("status = 'rejected'").select("pos", "alert_id", "errors").orderBy("pos").limit(limit)
 
 
+def batch_record(rows: DataFrame, batch_id: str, source_name: str | None = None, limit: int = 200) -> DataFrame:
+    """One row of the batch log: batch_id, source_name, batch_summary() and rejected_rows, the first limit rejects by pos (pos, alert_id, errors)."""
+    first = first_rejects(rows, limit).agg(F.array_sort(F.collect_list(F.struct("pos", "alert_id", "errors"))).alias("rejected_rows"))
+    return batch_summary(rows).crossJoin(F.broadcast(first)).select(F.lit(batch_id).alias("batch_id"), F.lit(source_name).cast("string").alias("source_name"), "*")
+
+
 def bump_duplicates(stored: DataFrame, rows: DataFrame) -> DataFrame:
     """Stored alerts with their duplicate_count raised by a later batch's duplicates of them."""
     more = rows.filter("status = 'duplicate'").groupBy(F.col("duplicate_of").alias("alert_id")).agg(F.count(F.lit(1)).alias("_more"))

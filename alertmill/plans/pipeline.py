@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertmill.operators import anomaly, chain, correlate, entities, iforest, incidents, techniques
+from alertmill.operators import anomaly, chain, correlate, entities, iforest, incidents, ingest, techniques
 from alertmill.operators.correlate import Correlation
 from alertmill.sources.readers import ip_to_host
 from alertmill.sources import tables
@@ -93,3 +93,24 @@ def run(alerts: DataFrame, users: DataFrame, root: str, run_id: str, hosts: Data
     """The whole job: analyses alerts and writes all results; tables in between are deleted."""
     with scratch(alerts.sparkSession):
         persist(analyze(alerts, users, hosts, cfg, decisions), alerts, root, run_id)
+
+
+def store_batch(rows: DataFrame, root: str, batch_id: str, number: int, source_name: str | None = None) -> None:
+    """Stores a batch (rows of ingest.classified()): its row of the log, its accepted alerts by day, and the counters of the stored alerts that its duplicates repeat.
+
+    Only the days of the batch are read and only those with changes written. A batch that is stored again, under the
+    same id and number, changes nothing; numbers must rise from batch to batch.
+    """
+    spark = rows.sparkSession
+    with scratch(spark):
+        rows = written(rows, "batch")
+        tables.replace_days(ingest.batch_record(rows, batch_id, source_name), root, "ingest_batches", "batch_id")
+        new = rows.filter("status = 'accepted'").drop("status", "duplicate_of", "errors").withColumns({"batch_id": F.lit(batch_id), "merged_by": F.lit(None).cast("long"), "day": F.to_date("ts")})
+        days = [r[0] for r in new.select("day").distinct().collect()]  # one row a day
+        if tables.exists(spark, root, "alerts"):
+            stored = tables.read(spark, root, "alerts").filter(F.col("day").isin(days) & (F.col("batch_id") == batch_id)).select("alert_id")
+            new = new.join(stored, "alert_id", "left_anti").select(*new.columns)
+        tables.append(written(new, "new-alerts"), root, "alerts", by="day")
+        own = rows.filter("status = 'accepted'").select(F.col("alert_id").alias("_own"))
+        later = rows.filter("status = 'duplicate'").join(own, F.col("duplicate_of") == F.col("_own"), "left_anti")  # those inside the batch are counted already
+        tables.raise_duplicates(spark, root, later, number)

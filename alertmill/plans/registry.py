@@ -89,6 +89,29 @@ def ingest_summary(spark, sf_dir):
     return ingest.batch_summary(ingest.classified(normalized(spark, sf_dir)))
 
 
+@query(
+    "WITH " + ALERTS_SQL + ", " + RAW_SQL
+    + """, s AS (SELECT CASE WHEN content_place = 1 THEN 'a' ELSE 'd' END AS s FROM accepted_2 UNION ALL SELECT 'r' FROM accepted_0 WHERE id_place > 1 OR len(errors) > 0),
+f AS (SELECT pos, alert_id, CASE WHEN len(errors) = 0 THEN ['duplicate alert_id'] ELSE errors END AS e FROM accepted_0 WHERE id_place > 1 OR len(errors) > 0 ORDER BY pos LIMIT 200)
+SELECT 'B1' AS batch_id, count(*) AS received, count(*) FILTER (WHERE s = 'a') AS accepted, count(*) FILTER (WHERE s = 'd') AS duplicates, count(*) FILTER (WHERE s = 'r') AS rejected,
+(SELECT string_agg(pos || ' ' || alert_id || ': ' || array_to_string(e, ', '), '; ' ORDER BY pos) FROM f) AS rejected_rows FROM s"""
+)
+def batch_log(spark, sf_dir):
+    """The log's row of one batch, with its first 200 rejects."""
+    said = F.transform("rejected_rows", lambda r: F.concat(r["pos"].cast("string"), F.lit(" "), r["alert_id"], F.lit(": "), F.array_join(r["errors"], ", ")))
+    return ingest.batch_record(ingest.classified(normalized(spark, sf_dir)), "B1").drop("source_name").withColumn("rejected_rows", F.array_join(said, "; "))
+
+
+@query(
+    "WITH " + ALERTS_SQL + ", " + RAW_SQL + ", " + CONTEXT_SQL
+    + """SELECT a.pos, greatest(coalesce(h.criticality, 1), coalesce(r.criticality, 1)) AS asset_criticality, coalesce(u.privilege, 1) AS user_privilege, t.source, t.title, 'unknown' AS vendor, round(confidence, 6) AS confidence
+FROM accepted_0 a JOIN types_v t USING (alert_type) LEFT JOIN users_v u ON u."user" = a."user" LEFT JOIN hosts_v h ON h.host = a.host LEFT JOIN resources_v r ON r.resource = a.resource WHERE len(errors) = 0"""
+)
+def enriched_alerts(spark, sf_dir):
+    """What contexts and the type's row add to raw alerts, and defaults."""
+    return normalized(spark, sf_dir).filter(F.size("errors") == 0).select("pos", "asset_criticality", "user_privilege", "source", "title", "vendor", F.round("confidence", 6).alias("confidence"))
+
+
 @query(
     "WITH " + ALERTS_SQL + ", " + RAW_SQL
     + """, late AS (SELECT kept AS alert_id, count(*) AS n FROM accepted_2 WHERE content_place > 1 GROUP BY 1)
