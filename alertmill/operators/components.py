@@ -19,7 +19,7 @@ MANY = 200_000
 STRETCH = 500_000
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", within: str | None = None) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", within: str | None = None, whole: int = 0) -> DataFrame:
     """node, component: the smallest node that each node of the edges reaches; with within, in each of its values apart.
 
     Each task first replaces its edges, a bounded stretch at a time, by stars around the smallest nodes that they
@@ -27,7 +27,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", within: s
     neighbours on to its smallest one, until each node has one smaller neighbour and that none. The
     number of rounds grows with the logarithm of the longest path, and the edges never grow in number. Edge
     rows alone are moved, minima are combined before the shuffle, a hub's neighbours are dealt to several tasks,
-    and each round is a table in the shared folder. Nulls and loops link nothing.
+    and each round is a table in the shared folder. What tasks leave is joined in one more task if it is at most whole
+    edges (STRETCH at most), else in rounds. Nulls and loops link nothing.
     """
     key = [within] if within else []
     now = edges.select(*key, F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
@@ -36,6 +37,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", within: s
         near, size = _state(now, key)
         if near == 1:
             break
+        if size <= min(whole, STRETCH):
+            now = written(spanning_stars(now.coalesce(1), key), "edges")
+            break
         many = size > MANY
         now = written(_small_star(_large_star(now, key, many), key, many), "edges")
     return now.select(*key, F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(*key, F.col("v").alias("node"), F.col("v").alias("component")).distinct())

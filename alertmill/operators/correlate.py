@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from alertmill.functions import catalog
 from alertmill.operators import similarity
-from alertmill.operators.components import connected_components
+from alertmill.operators.components import STRETCH, connected_components
 from alertmill.operators.hot import sent_if_small
 from alertmill.operators.recut import ROUNDS, cut_component
 from alertmill.sources.shared import written
@@ -156,7 +156,7 @@ def edge_reasons(edges: DataFrame) -> DataFrame:
 
 def grouped(edges: DataFrame, alerts: DataFrame) -> DataFrame:
     """pos and component (its smallest pos) of each alert; alerts without an edge are groups of one."""
-    found = connected_components(edges)
+    found = connected_components(edges, whole=STRETCH)
     return alerts.select("pos").join(found.select(F.col("node").alias("pos"), "component"), "pos", "left").withColumn("component", F.coalesce("component", "pos"))
 
 

@@ -59,7 +59,7 @@ def draws(rows: DataFrame, share: float, trees: int, seed: int, id_col: str = "i
                 if not len(at):
                     break
                 out.append((at, tree[at]))
-                x = h[at] + np.uint64(j) * np.uint64(0x9E3779B97F4A7C15)  # splitmix64: the row's j-th number
+                x = h[at] + np.uint64(j * 0x9E3779B97F4A7C15 % (1 << 64))  # splitmix64: the row's j-th number
                 x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
                 x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
                 u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53

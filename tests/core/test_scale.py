@@ -94,6 +94,8 @@ def test_components_of_random_graphs(spark, monkeypatch, kind):
         got = components.connected_components(frame).collect()
         want = plain_components([(a, b) for a, b in edges if a != b])
         assert len(got) == len(want) and {r["node"]: r["component"] for r in got} == want
+    whole = components.connected_components(frame, whole=10**6).collect()
+    assert len(whole) == len(want) and {r["node"]: r["component"] for r in whole} == want
     both = frame.withColumn("of", F.lit("x")).unionByName(frame.filter(F.col("a") < F.col("b")).withColumn("of", F.lit("y")))
     apart = components.connected_components(both, within="of").collect()
     assert {r["node"]: r["component"] for r in apart if r["of"] == "x"} == want
@@ -113,8 +115,8 @@ def test_tasks_leave_few_rounds(spark, monkeypatch):
 def test_cuts_in_tasks_are_those_in_rounds(spark):
     rng = random.Random(8)
     rows, groups = [], []
-    for c in range(6):
-        n = rng.choice([12, 30, 45])
+    for c in range(2):
+        n = rng.choice([30, 45])
         base = 100 * c
         edges = {(base + i, base + rng.randrange(i)) for i in range(1, n)} | {tuple(sorted(rng.sample(range(base, base + n), 2))[::-1]) for _ in range(2 * n)}
         rows += [(min(e), max(e), rng.choice([0.41, 0.47, 0.52, 0.58, 0.66, 0.7]) + rng.random() / 100, rng.random() < 0.8) for e in sorted(edges)]
