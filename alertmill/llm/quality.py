@@ -8,8 +8,9 @@ is never in one place, and counts cover every trusted document.
 Texts fall into two halves by hash (copies into the same). Each half is scored by the model of the other, so
 no document is scored by a model that has seen it, and thresholds hold for unseen documents too.
 
-A document has two scores: the mean over all of its characters, which junk of any length raises, and its
-worst window, which a single strange word raises however much normal prose stands around it.
+A document has three scores: the mean over all of its characters, which junk of any length raises, its
+worst window, which a single strange word raises however much normal prose stands around it, and its burst,
+which an n-gram raises that comes far more often than trusted text makes likely, however usual each place is.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ QUANTILE, FACTOR = 0.995, 1.05
 CHANCE = 2.0
 #: Characters of a window, and the quantile of a language's trusted worst windows beyond which a document is rejected.
 WINDOW, WINDOW_QUANTILE = 5, 0.99
+#: The quantile of a language's trusted bursts beyond which a document is rejected, and by what factor: 1.1 and, as a high quantile of n rows is uncertain, 3 / sqrt(n).
+BURST_QUANTILE, BURST_FACTOR, BURST_CHANCE = 0.995, 1.1, 3.0
 
 #: Bytes of text that a task gathers before it cuts them into one block for each shard.
 BLOCK_BYTES = 16_000_000
@@ -178,40 +181,59 @@ def worst_windows(sums: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def bursts(codes: np.ndarray, offsets: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """Of each text the largest log likelihood ratio of an n-gram's own count k, above one and above the expected m, to m: k log(k / m) - k + m (none: 0).
+
+    codes: the n-gram at each character, offsets: where texts start, rate: each n-gram's share of trusted text.
+    """
+    sizes = np.diff(offsets)
+    out = np.zeros(len(sizes))
+    place, k = np.unique(np.repeat(np.arange(len(sizes)), sizes) * len(rate) + codes, return_counts=True)
+    if len(place):
+        text, gram = np.divmod(place, len(rate))
+        m = sizes[text] * rate[gram]
+        ratio = np.where((k > 1) & (k > m), k * np.log(k / m) - k + m, 0.0)
+        first = np.flatnonzero(np.diff(text, prepend=-1))
+        out[text[first]] = np.maximum.reduceat(ratio, first)
+    return out
+
+
 def _shard_scores(key, blocks: pa.Table, model: pa.Table) -> pa.Table:
-    """doc_id, row, lang, n_chars, the sum of log probabilities and the worst window of each document. A shard of the model always has documents."""
+    """doc_id, row, lang, n_chars, the sum of log probabilities, the worst window and the burst of each document. A shard of the model always has documents."""
     docs = _opened(blocks)
-    total, worst, size = np.zeros(docs.num_rows), np.zeros(docs.num_rows), np.zeros(docs.num_rows, np.int64)
+    total, worst, burst, size = np.zeros(docs.num_rows), np.zeros(docs.num_rows), np.zeros(docs.num_rows), np.zeros(docs.num_rows, np.int64)
     langs = model.column("lang").to_numpy(zero_copy_only=False)
-    gram, logp = model.column("gram").to_numpy(), model.column("logp").to_numpy()
+    gram, logp, rate = (model.column(c).to_numpy() for c in ("gram", "logp", "rate"))
     by_lang = {}
     for lang in set(langs):
         own = np.flatnonzero(langs == lang)
         order = own[np.argsort(gram[own])]
-        by_lang[lang] = gram[order], logp[order]
+        by_lang[lang] = gram[order], logp[order], rate[order]
     for lang, rows, texts in _per_language(docs):
         code, offsets = grams(texts)
         codes, names = pd.factorize(code)
         if len(names):
-            known, values = by_lang[lang]
-            sums = np.concatenate([[0.0], np.cumsum(values[np.searchsorted(known, names)][codes])])
+            known, values, rates = by_lang[lang]
+            at = np.searchsorted(known, names)
+            sums = np.concatenate([[0.0], np.cumsum(values[at][codes])])
             total[rows] = sums[offsets[1:]] - sums[offsets[:-1]]
             worst[rows] = worst_windows(sums, offsets)
+            burst[rows] = bursts(codes, offsets, rates[at].astype(np.float64))
         size[rows] = np.diff(offsets)
-    return pa.table([docs.column("doc_id"), docs.column("row"), docs.column("lang"), pa.array(size), pa.array(total), pa.array(worst)], names=["doc_id", "row", "lang", "n_chars", "log_sum", "worst"])
+    return pa.table([docs.column("doc_id"), docs.column("row"), docs.column("lang"), pa.array(size), pa.array(total), pa.array(worst), pa.array(burst)], names=["doc_id", "row", "lang", "n_chars", "log_sum", "worst", "burst"])
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
-    """lang and the three discounts d1, d2, d3 from the numbers of n-grams seen once to four times; 0.5, 1 and 1.5 where those are missing."""
-    n = counts.groupBy("lang").agg(*[F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4)])
+    """lang, total (the sum of c) and the three discounts d1, d2, d3 from the numbers of n-grams seen once to four times; 0.5, 1 and 1.5 where those are missing."""
+    n = counts.groupBy("lang").agg(F.sum("c").alias("total"), *[F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4)])
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
     enough = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0)
     d = [F.when(enough, F.greatest(F.lit(0.0), F.least(F.lit(float(i)), i - (i + 1) * y * F.col(f"n{i + 1}") / F.when(F.col(f"n{i}") > 0, F.col(f"n{i}"))))).otherwise(F.lit(0.5 * i)).alias(f"d{i}") for i in (1, 2, 3)]
-    return n.select("lang", *d)
+    return n.select("lang", "total", *d)
 
 
 def probabilities(counts: DataFrame, few_languages: bool = False) -> DataFrame:
-    """lang, gram, p of each n-gram of counts (lang, gram, c; c may be 0); lang may name a half too.
+    """lang, gram, p and rate of each n-gram of counts (lang, gram, c; c may be 0); lang may name a half too. rate: c + 1 by the sum of c.
 
     The longest n-grams have their counts, shorter ones the number of different characters before them.
     Each order takes its discount, by count 1, 2 or more, and hands it to the next shorter one; below single
@@ -232,7 +254,7 @@ def probabilities(counts: DataFrame, few_languages: bool = False) -> DataFrame:
             now = now.withColumn("q", F.lit(1 / 65536))
         else:
             now = now.withColumn("gram_below", F.col("gram").bitwiseAND(F.lit(_MASK[k - 1]))).join(lower, ["lang", "gram_below"])
-        now = now.select("lang", "gram", F.when(F.col("sum") > 0, (own + F.col("left") * F.col("q")) / F.col("sum")).otherwise(F.col("q")).alias("p"))
+        now = now.select("lang", "gram", F.when(F.col("sum") > 0, (own + F.col("left") * F.col("q")) / F.col("sum")).otherwise(F.col("q")).alias("p"), ((F.col("c") + 1) / F.greatest("total", F.lit(1))).alias("rate"))
         lower = now.select("lang", F.col("gram").alias("gram_below"), F.col("p").alias("q"))
     return now
 
@@ -247,7 +269,7 @@ def half(text):
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, row, lang, n_chars, perplexity and worst (window; both null for empty texts) of each row of docs; trusted: a table of doc_id."""
+    """doc_id, row, lang, n_chars, perplexity, worst (window) and burst (all null for empty texts) of each row of docs; trusted: a table of doc_id."""
     spark = docs.sparkSession
     base = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), F.coalesce(docs[lang_col].cast("string"), F.lit("")).alias("lang"))
     size = base.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -261,10 +283,11 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     model = probabilities(found.groupBy("lang", "gram").agg(F.sum(F.when(F.col("shard") >= 0, F.col("c"))).alias("c")), few)
     own = found.select("shard", F.col("lang").alias("own_lang"), F.col("gram").alias("own_gram"), F.col("c").alias("own_c"))
     joined = own.join(model, (F.col("own_lang") == F.col("lang")) & (F.col("own_gram") == F.col("gram")))
-    needed = joined.select("shard", "lang", "gram", F.when(F.col("own_c") >= 0, F.log("p")).cast("float").alias("logp"))
+    needed = joined.select("shard", "lang", "gram", F.when(F.col("own_c") >= 0, F.log("p")).cast("float").alias("logp"), F.col("rate").cast("float").alias("rate"))
     kind = base.schema["doc_id"].dataType.simpleString()
-    scored = dealt.cogroup(needed.groupBy("shard")).applyInArrow(_shard_scores, f"doc_id {kind}, row long, lang string, n_chars long, log_sum double, worst double")
-    return scored.select("doc_id", "row", "lang", "n_chars", F.when(F.col("n_chars") > 0, F.exp(-F.col("log_sum") / F.col("n_chars"))).alias("perplexity"), F.when(F.col("n_chars") > 0, F.col("worst")).alias("worst"))
+    scored = dealt.cogroup(needed.groupBy("shard")).applyInArrow(_shard_scores, f"doc_id {kind}, row long, lang string, n_chars long, log_sum double, worst double, burst double")
+    some = F.col("n_chars") > 0
+    return scored.select("doc_id", "row", "lang", "n_chars", F.when(some, F.exp(-F.col("log_sum") / F.col("n_chars"))).alias("perplexity"), F.when(some, F.col("worst")).alias("worst"), F.when(some, F.col("burst")).alias("burst"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -274,30 +297,31 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def _limits(values: DataFrame, quantile: float) -> DataFrame:
-    """lang and the least value of its rows (lang, value) that the given share of them does not exceed."""
+    """lang, the least value of its rows (lang, value) that the given share of them does not exceed, and n, the number of its rows."""
     by_lang = Window.partitionBy("lang")
     bins = values.groupBy("lang", "value").agg(F.count(F.lit(1)).alias("n"))
     bins = bins.withColumns({"below": F.sum("n").over(by_lang.orderBy("value")), "all": F.sum("n").over(by_lang)})
-    return bins.filter(F.col("below") >= quantile * F.col("all")).groupBy("lang").agg(F.min("value").alias("value"))
+    return bins.filter(F.col("below") >= quantile * F.col("all")).groupBy("lang").agg(F.min("value").alias("value"), F.max("all").alias("n"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, factor: float = FACTOR, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", window_quantile: float = WINDOW_QUANTILE) -> DataFrame:
-    """doc_id, row, lang, n_chars, perplexity, worst, score, threshold, worst_threshold and kept of each row of docs.
+def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, factor: float = FACTOR, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", window_quantile: float = WINDOW_QUANTILE, burst_quantile: float = BURST_QUANTILE) -> DataFrame:
+    """doc_id, row, lang, n_chars, perplexity, worst, burst, score, threshold, worst_threshold, burst_threshold and kept of each row of docs.
 
     A document is rejected if its score is above its language's threshold, factor times the given quantile
-    of the language's trusted documents' scores (to 1 / 10000), or its worst window above the window_quantile
-    of theirs (to 1 / 1000). A language without trusted documents has no thresholds and loses nothing; nor
+    of the language's trusted documents' scores (to 1 / 10000), or its worst window above the
+    window_quantile or its burst above BURST_FACTOR + BURST_CHANCE / sqrt(n) times the burst_quantile of theirs (n; both to 1 / 1000). A value at its threshold is not above it. A language without trusted documents has no thresholds and loses nothing; nor
     does an empty text. Null languages are one language.
     """
     good = trusted_ids(labels)
-    scored = perplexities(docs, good, id_col, text_col, lang_col).withColumns({"score": F.col("perplexity") * F.exp(-CHANCE / F.sqrt("n_chars")), "worst": F.round("worst", 3)})
+    scored = perplexities(docs, good, id_col, text_col, lang_col).withColumns({"score": F.col("perplexity") * F.exp(-CHANCE / F.sqrt("n_chars")), "worst": F.round("worst", 3), "burst": F.round("burst", 3)})
     scored = written(scored, "quality-scores")
     of_trusted = scored.filter("score is not null").join(good, "doc_id", "left_semi")
     # counts on grids (1 / 10000 in the logarithm, 1 / 1000): bounded for each language, and the same in any order of summing
     limits = _limits(of_trusted.select("lang", F.round(F.log("score") * 10_000).alias("value")), quantile).select("lang", (F.exp(F.col("value") / 10_000) * factor).alias("threshold"))
-    worst_limits = _limits(of_trusted.select("lang", F.col("worst").alias("value")), window_quantile).withColumnRenamed("value", "worst_threshold")
-    kept = (F.col("score") <= F.col("threshold")) & (F.col("worst") <= F.col("worst_threshold"))
-    return scored.join(limits, "lang", "left").join(worst_limits, "lang", "left").withColumn("kept", F.coalesce(kept, F.lit(True)))
+    worst_limits = _limits(of_trusted.select("lang", F.col("worst").alias("value")), window_quantile).select("lang", F.col("value").alias("worst_threshold"))
+    burst_limits = _limits(of_trusted.select("lang", F.col("burst").alias("value")), burst_quantile).select("lang", (F.col("value") * (BURST_FACTOR + BURST_CHANCE / F.sqrt("n"))).alias("burst_threshold"))
+    kept = (F.col("score") <= F.col("threshold")) & (F.col("worst") <= F.col("worst_threshold")) & (F.col("burst") <= F.col("burst_threshold"))
+    return scored.join(limits, "lang", "left").join(worst_limits, "lang", "left").join(burst_limits, "lang", "left").withColumn("kept", F.coalesce(kept, F.lit(True)))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
