@@ -33,11 +33,14 @@ LEAST_PAGES = 4
 MOST, USUAL, COMMON = 0.6, 0.5, 0.01
 #: Templates that are sent to all tasks: 100,000 hosts of some 100 bytes and a million tokens of 8. Salts of a larger table.
 SENT_HOSTS, SENT_TOKENS, SALTS = 100_000, 1_000_000, 64
-_LEXER = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+#: Levels of elements that paths tell apart (deeper ones stand beside each other on the last), and characters of a name, beyond which a hash stands for its classes: bounds of a path.
+DEEPEST, LONGEST = 64, 60
+_OPEN = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
+_MARK = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([A-Za-z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 # Fixed values of HTML.
 _RAW = frozenset("script style textarea title noscript iframe xmp noframes template".split())
-_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in _RAW}
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in _RAW}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label map mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -56,14 +59,46 @@ _OUT_WORDS = frozenset(
 _HEADER = "header"
 
 
+class _Ends:
+    """Where the tags of a page end: at the first > outside quotes. Places from which none was found are kept, so all searches together take time in proportion to the page."""
+
+    def __init__(self, html: str) -> None:
+        self.html = html
+        self.vain: set[int] = set()  # quotes that opened on the way to no end
+        self.start = self.first = -1  # the first mark from start on
+
+    def find(self, at: int) -> int:
+        """Index of the > that ends a tag whose name ends at at; none: -1. Calls go from left to right."""
+        if not 0 <= self.start <= at <= self.first:
+            self.start, self.first = at, self._mark(at)
+        place, opened = self.first, []
+        while place < len(self.html) and place not in self.vain:
+            if self.html[place] == ">":
+                return place
+            opened.append(place)
+            close = self.html.find(self.html[place], place + 1)
+            if close < 0:
+                break
+            place = self._mark(close + 1)
+        self.vain.update(opened)
+        return -1
+
+    def _mark(self, at: int) -> int:
+        m = _MARK.search(self.html, at)
+        return m.start() if m else len(self.html)
+
+
 class Page:
-    """Elements (by their paths) and text blocks of one page."""
+    """Elements (by their paths) and text blocks of one page, read in time and memory in proportion to it, however deep or broken."""
 
     def __init__(self, html: str) -> None:
-        self.paths: list[str] = []  # of each block element, all different: /name[place among siblings of the name] on every level
+        self.paths: list[str] = []  # of each block element, all different: /name[place among siblings of the name] on every level up to DEEPEST
         self.blocks: list[tuple[str, str, bool, bool]] = []  # path, text, left out, inside an article
         self.frame: set[str] = set()
-        stack: list[tuple[str, str, bool, bool, dict[str, int]]] = [("", "", False, False, {})]  # tag, path, left out, inside an article, children
+        # open elements: tag, path, left out, inside an article, and of its children the path before theirs and their numbers by name
+        stack: list[tuple[str, str, bool, bool, str, dict[str, int]]] = [("", "", False, False, "", {})]
+        opened: dict[str, list[int]] = defaultdict(list)  # where each tag is in stack
+        scopes = [0]
         held: list[str] = []
 
         def flush() -> None:
@@ -72,19 +107,40 @@ class Page:
             if text:
                 self.blocks.append((stack[-1][1], text, stack[-1][2], stack[-1][3]))
 
-        at = 0
-        while m := _LEXER.match(html, at):
-            at = m.end()
-            close, tag, attributes = m.group(1), (m.group(2) or "").lower(), m.group(3) or ""
-            if not tag:
-                if html[m.start()] != "<" or at == m.start() + 1:
-                    held.append(entities.unescape(m.group()))
-                elif not m.group().startswith("<!--"):
-                    flush()
+        def leave(i: int) -> None:
+            while len(stack) > i:
+                tag = stack.pop()[0]
+                opened[tag].pop()
+                if tag in _SCOPES:
+                    scopes.pop()
+
+        ends, last, at = _Ends(html), html.rfind(">"), 0
+        while at < len(html):
+            if html[at] != "<":
+                end = html.find("<", at)
+                end = end if end >= 0 else len(html)
+                held.append(entities.unescape(html[at:end]))
+                at = end
+                continue
+            if html.startswith("<!--", at):
+                end = html.find("-->", at + 4)
+                at = end + 3 if end >= 0 else len(html)
+                continue
+            if html.startswith(("<!", "<?"), at) and at + 2 <= last:
+                flush()
+                at = html.find(">", at + 2) + 1
+                continue
+            m = _OPEN.match(html, at)
+            end = ends.find(m.end()) if m else -1
+            if end < 0:
+                held.append("<")
+                at += 1
                 continue
+            close, tag, attributes, at = m.group(1), m.group(2).lower(), html[m.end() : end], end + 1
             if not close and tag in _RAW:
-                end = _END[tag].search(html, at)
-                at = end.end() if end else len(html)
+                found = _END[tag].search(html, at)
+                end = html.find(">", found.end()) if found else -1
+                at = end + 1 if end >= 0 else len(html)
                 continue
             if tag in _INLINE:
                 if tag == "br":
@@ -92,34 +148,32 @@ class Page:
                 continue
             flush()
             if close:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in _SCOPES and tag not in _SCOPES:
-                        break
+                if opened[tag] and (tag in _SCOPES or opened[tag][-1] >= scopes[-1]):
+                    leave(opened[tag][-1])
                 continue
             gone = _CLOSES.get(tag, set()) | ({"p"} if tag in _ENDS_P else set())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in gone:
-                    del stack[i:]
-                    break
-                if stack[i][0] in _SCOPES:
-                    break
+            top = max((opened[t][-1] for t in gone if opened[t]), default=-1)
+            if top >= scopes[-1]:
+                leave(top)
             own = {k.lower(): (a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes else {}
             words = set(re.findall(r"[a-z]+", " ".join(own.get(k, "") for k in ("class", "id", "role")).lower())) if own else set()
-            above, path, out, main, children = stack[-1]
+            above, _, out, main, path, children = stack[-1]
             main_here = tag in _MAIN or own.get("role") == "main" or own.get("itemprop") == "articleBody"
             out = out or tag in _OUT_TAGS or "hidden" in own or "display:none" in own.get("style", "").replace(" ", "") or own.get("aria-hidden") == "true"
             out = out or (tag not in ("html", "body") and not main_here and bool(words & _OUT_WORDS)) or (not main and not main_here and (tag == _HEADER or (_HEADER in words and tag not in ("html", "body"))))
             name = ".".join([tag, *sorted(re.findall(r"[a-z0-9_-]+", own.get("class", "").lower()))]) if own else tag
+            if len(name) > LONGEST:
+                name = f"{tag[: LONGEST - 20]}.{xxhash.xxh64_hexdigest(name)}"
             if above in ("body", "html", "") and tag not in ("html", "head", "body") and tag not in _TEXT and tag not in _VOID:
                 self.frame.add(name)
             children[name] = children.get(name, 0) + 1
-            path = f"{path}/{name}[{children[name]}]"
-            self.paths.append(path)
+            here = f"{path}/{name}[{children[name]}]"
+            self.paths.append(here)
             if tag not in _VOID:
-                stack.append((tag, path, out, main or main_here, {}))
+                opened[tag].append(len(stack))
+                if tag in _SCOPES:
+                    scopes.append(len(stack))
+                stack.append((tag, here, out, main or main_here, *((here, {}) if len(stack) < DEEPEST else (path, children))))
         flush()
 
 

@@ -3,6 +3,7 @@ import html as entities
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -16,6 +17,42 @@ from alertmill.llm import bpe, html, quality
 SF = "/root/testdata/sf0.001"
 
 
+def test_ends_of_tags():
+    rule = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>")
+    rng = random.Random(5)
+    for _ in range(3000):
+        page = "".join(rng.choice("""<<<>"'ab """) for _ in range(rng.randrange(40)))
+        ends = html._Ends(page)
+        for at in (i + 1 for i, c in enumerate(page) if c == "<"):
+            m = rule.match(page, at)
+            assert ends.find(at) == (m.end() - 1 if m else -1), (page, at)
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<h1>", "<foo>", "<p x", '<a "', "<a '<b \"", "<!x", "<?x", "</script x", "<foo><div><x></foo>", f"<div class='{'long ' * 40}'>"])
+def test_broken_pages_take_work_in_proportion(piece):
+    """Unclosed tags, quotes and elements of any depth: no path or search grows with what stands before it."""
+    sizes, seconds = [], []
+    for n in (50_000, 200_000):
+        start = time.process_time()
+        page = html.Page("<body><p>first" + piece * (n // len(piece)) + "<p>last")
+        seconds.append(time.process_time() - start)
+        sizes.append(sum(map(len, page.paths)))
+        assert page.blocks[0][1].startswith("first") and all(len(p) < 90 * html.DEEPEST for p in page.paths)
+    assert sizes[1] <= 5 * sizes[0] + 1000 and seconds[1] < 10 * seconds[0] + 1
+
+
+def test_deep_pages_keep_their_text(spark):
+    """Elements below DEEPEST stand on the last level, and what closes them still does."""
+    deep = "<body><nav><div>menu</div></nav>" + "<div>" * 500 + "<nav>no</nav><p>deep" + "</div>" * 500 + "<p>after"
+    rows = [(1, "http://d.org/1", deep), (2, "http://d.org/2", "<div>" * 3000 + "text <p x"), (3, "http://d.org/3", "<a 'never" + "<p>x")]
+    got = {r["page_id"]: r["text"] for r in html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "deep\nafter"
+    assert got[2] == "text <p x" and got[3].startswith("<a 'never")
+    page = html.Page(deep)
+    assert [b[1] for b in page.blocks if not b[2]] == ["deep", "after"] and len(set(page.paths)) == len(page.paths)
+    assert page.blocks[-1][0].count("/") == 2
+
+
 def test_given_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in html.main_texts(pages).collect()}
