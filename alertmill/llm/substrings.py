@@ -157,7 +157,8 @@ def without_repeated_passages(docs: DataFrame, words: int = WORDS, digest: bool
     heads = named.groupBy("t", "u").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     # by key alone, as texts are dealt by it once for all levels; rows of one key tell their ids apart inside
     copies = written(join_groups(named, heads, ["t", "u"], ["key", "id"]).filter("id <> head").groupBy("key").agg(F.collect_set("id").alias("copies")), "passage-copies")
-    tagged = base.join(copies, "key", "left").withColumn("copy", F.coalesce(F.array_contains("copies", F.col("id")), F.lit(False))).drop("copies")
+    # dealt even where copies are few: sent to all tasks, texts would be dealt after this join, once with whole copies and once without
+    tagged = base.join(copies.hint("merge"), "key", "left").withColumn("copy", F.coalesce(F.array_contains("copies", F.col("id")), F.lit(False))).drop("copies")
     own = tagged.filter("not copy")
     found, firsts, half = repeated_windows(own, words, _small_ids(base))
     ids = base.select("key", "id").distinct().join(firsts, "id").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("id", "firsts"))).alias("by_id"))
