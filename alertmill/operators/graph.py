@@ -9,22 +9,32 @@ MAX_NODES, LEAST_RARITY, MAX_IDS = 200, 0.1, 50
 
 
 def _refs(members: DataFrame, weights: DataFrame, ip_to_host: DataFrame | None) -> DataFrame:
-    """members with the ids of up to six nodes each; common entities and an alert's own address are none."""
-    rare = weights.filter(F.col("weight") >= LEAST_RARITY).select(F.col("entity_key").alias("id"))
+    """members with the ids of up to six nodes each; common entities and an alert's own address are none.
+
+    weights: entity_stats() of these alerts or of more. The common ones are few (below 0.1, an entity is in more than n^0.8 of n
+    alerts) and sent to all tasks, so an entity that is in every alert, or null in most, brings no rows together.
+    """
+    common = weights.filter(F.col("weight") < LEAST_RARITY).select(F.col("entity_key").alias("_common"))
     out = members
     for c, kind in (("src_ip", "ip"), ("dst_ip", "ip"), ("user", "user"), ("host", "host"), ("process", "process"), ("resource", "resource")):
         key = F.concat(F.lit(f"{kind}:"), F.col(c)) if c != "dst_ip" else F.when(~F.col("dst_ip").eqNullSafe(F.col("src_ip")), F.concat(F.lit("ip:"), "dst_ip"))
-        out = out.withColumn(f"n_{c}", key).join(rare.select(F.col("id").alias(f"n_{c}"), F.lit(True).alias(f"ok_{c}")), f"n_{c}", "left")
+        out = _rare(out.withColumn(f"n_{c}", key), f"n_{c}", common)
         if kind == "ip" and ip_to_host is not None:
-            at = ip_to_host.select(F.concat(F.lit("ip:"), "ip").alias(f"n_{c}"), F.col("host").alias(f"at_{c}"))
-            out = out.join(at, f"n_{c}", "left").join(rare.select(F.concat(F.lit(""), "id").alias(f"hk_{c}"), F.lit(True).alias(f"okh_{c}")), F.concat(F.lit("host:"), F.col(f"at_{c}")) == F.col(f"hk_{c}"), "left")
-            own = F.col(f"at_{c}").isNotNull()
-            out = out.withColumn(f"n_{c}", F.when(F.col(f"ok_{c}"), F.when(own, F.when(F.col(f"okh_{c}") & ~F.col(f"at_{c}").eqNullSafe(F.col("host")), F.col(f"hk_{c}"))).otherwise(F.col(f"n_{c}"))))
-        else:
-            out = out.withColumn(f"n_{c}", F.when(F.col(f"ok_{c}"), F.col(f"n_{c}")))
+            held = weights.filter(F.col("weight") >= LEAST_RARITY).select(F.col("entity_key").alias("_key"))
+            at = ip_to_host.select(F.concat(F.lit("ip:"), "ip").alias(f"_at_{c}"), F.col("host").alias(f"at_{c}"), F.concat(F.lit("host:"), "host").alias("_key"))
+            at = at.join(held.withColumn(f"okh_{c}", F.lit(True)), "_key", "left").drop("_key")  # on the side of the addresses, not of the alerts
+            out = out.join(at, F.col(f"n_{c}") == F.col(f"_at_{c}"), "left")
+            own = F.when(F.col(f"okh_{c}") & ~F.col(f"at_{c}").eqNullSafe(F.col("host")), F.concat(F.lit("host:"), f"at_{c}"))
+            out = out.withColumn(f"n_{c}", F.when(F.col(f"at_{c}").isNotNull(), own).otherwise(F.col(f"n_{c}")))
     return out.select(*members.columns, *[f"n_{c}" for c in ("src_ip", "user", "host", "process", "resource", "dst_ip")])
 
 
+def _rare(rows: DataFrame, column: str, common: DataFrame) -> DataFrame:
+    """rows, with null for common entities."""
+    found = rows.join(F.broadcast(common), F.col(column) == F.col("_common"), "left")
+    return found.withColumn(column, F.when(F.col("_common").isNull(), F.col(column))).drop("_common")
+
+
 def graph(members: DataFrame, weights: DataFrame, ip_to_host: DataFrame | None = None, max_nodes: int = MAX_NODES) -> tuple[DataFrame, DataFrame]:
     """Nodes (incident_id, node, role, n_alerts, alert_ids, stages, degree, rarity) and edges (incident_id, source, target, relation, n_alerts, alert_ids).
 
@@ -34,7 +44,7 @@ def graph(members: DataFrame, weights: DataFrame, ip_to_host: DataFrame | None =
     src, user, host, proc, res, dst = (F.col(f"n_{c}") for c in ("src_ip", "user", "host", "process", "resource", "dst_ip"))
     roles = ((src, "source"), (user, "actor"), (host, "device"), (proc, "process"), (res, "target"), (dst, "destination"))
     each = F.array_compact(F.array(*[F.when(n.isNotNull(), F.struct(n.alias("node"), F.lit(r).alias("role"), F.lit(i).alias("at"))) for i, (n, r) in enumerate(roles)]))
-    rows = refs.select("incident_id", "us", "pos", "alert_id", "stage", F.explode(each).alias("x")).select("incident_id", "us", "pos", "alert_id", "stage", "x.*")
+    rows = refs.select("incident_id", "us", "pos", "alert_id", "stage", F.explode(each).alias("x")).select("incident_id", "us", "pos", "alert_id", "stage", "x.*").repartition("incident_id", "node")
     top = F.row_number().over(Window.partitionBy("incident_id", "node").orderBy("us", "pos", "at"))
     nodes = rows.withColumn("_place", top).groupBy("incident_id", "node").agg(
         F.min_by("role", "_place").alias("role"), F.count(F.lit(1)).alias("n_alerts"), F.min(F.struct("us", "pos", "at")).alias("seen"),
