@@ -15,7 +15,7 @@ def cut_component(a, b, score, strong, turns_a, turns_b, largest: int, steps: tu
     nodes, first, place = np.unique(np.concatenate([a, b]), return_index=True, return_inverse=True)
     turns = np.concatenate([turns_a, turns_b])[first]
     a, b = place[: len(a)], place[len(a) :]
-    label = np.empty(len(nodes), np.int64)
+    label, of = np.empty(len(nodes), np.int64), np.empty(len(nodes), np.int64)
     todo = [(np.arange(len(nodes)), np.arange(len(a)))]
     while todo:
         members, edges = todo.pop()
@@ -23,13 +23,16 @@ def cut_component(a, b, score, strong, turns_a, turns_b, largest: int, steps: tu
         if part is None:
             label[members] = members[0]
             continue
-        of = np.full(len(nodes), -1)
+        label[members] = members[part]  # of parts that are small enough
         of[members] = part
+        order = np.argsort(part, kind="stable")
+        names, starts, sizes = np.unique(part[order], return_index=True, return_counts=True)
+        large = sizes > largest
         inside = edges[of[a[edges]] == of[b[edges]]]
-        order, mine = np.argsort(part, kind="stable"), inside[np.argsort(of[a[inside]], kind="stable")]
-        for k in np.unique(part):
-            held = members[order[np.searchsorted(part[order], k) : np.searchsorted(part[order], k, "right")]]
-            todo.append((held, mine[np.searchsorted(of[a[mine]], k) : np.searchsorted(of[a[mine]], k, "right")]))
+        mine = inside[np.argsort(of[a[inside]], kind="stable")]
+        lows, highs = (np.searchsorted(of[a[mine]], names[large], side) for side in ("left", "right"))
+        for start, size, low, high in zip(starts[large], sizes[large], lows, highs, strict=True):
+            todo.append((members[order[start : start + size]], mine[low:high]))
     return nodes, nodes[label]
 
 
