@@ -13,32 +13,31 @@ def classified(normalized: DataFrame, known: DataFrame | None = None) -> DataFra
     rejected; the first accepted row of a content hash stays, later ones are its duplicates. known (alert_id,
     content_hash) are alerts already stored: equal ids or hashes are duplicates of those. Both windows are
     over keys with few rows; copies of one alert beyond that are sorted on disk, not held in memory. Rows
-    without an id (they have an error) go past the window over ids.
+    without an id, and rejected ones, are groups of their own in a window, so all rows go one way and are read once.
     """
-    by_id = Window.partitionBy("alert_id").orderBy("pos")
-    with_id, without = normalized.filter("alert_id is not null"), normalized.filter("alert_id is null")
-    rows = with_id.withColumn("_id_place", F.row_number().over(by_id)).unionByName(without.withColumn("_id_place", F.lit(1)))
+    rows = normalized.withColumn("_alone", F.when(F.col("alert_id").isNull(), F.col("pos")))
+    rows = rows.withColumn("_id_place", F.row_number().over(Window.partitionBy("alert_id", "_alone").orderBy("pos")))
     rows = rows.withColumn("errors", F.when((F.col("_id_place") > 1) & (F.size("errors") == 0), F.array(F.lit("duplicate alert_id"))).otherwise(F.col("errors")))
-    good, bad = rows.filter(F.size("errors") == 0), rows.filter(F.size("errors") > 0)
-    by_hash = Window.partitionBy("content_hash").orderBy("pos")
-    good = good.withColumns({"_place": F.row_number().over(by_hash), "_first": F.first("alert_id").over(by_hash), "_copies": F.count(F.lit(1)).over(Window.partitionBy("content_hash")) - 1})
+    good = F.size("errors") == 0
+    rows = rows.withColumns({"_good": good, "_hash": F.when(good, F.col("content_hash")), "_alone": F.when(~good, F.col("pos"))})
+    whole = Window.partitionBy("_hash", "_alone")
+    by_hash = whole.orderBy("pos")
+    rows = rows.withColumns({"_place": F.row_number().over(by_hash), "_first": F.first("alert_id").over(by_hash), "_copies": F.count(F.lit(1)).over(whole) - 1})
     if known is None:
-        good = good.withColumns({"_stored_hash": F.lit(None).cast("string"), "_stored_id": F.lit(None).cast("string")})
+        rows = rows.withColumns({"_stored_hash": F.lit(None).cast("string"), "_stored_id": F.lit(None).cast("string")})
     else:
         hashes = known.groupBy("content_hash").agg(F.min("alert_id").alias("_stored_hash"))
         ids = known.select(F.col("alert_id"), F.col("alert_id").alias("_stored_id")).distinct()
-        good = good.join(hashes, "content_hash", "left").join(ids, "alert_id", "left")
+        rows = rows.join(hashes, "content_hash", "left").join(ids, "alert_id", "left")
     stored = F.coalesce("_stored_id", "_stored_hash")
-    good = good.withColumns(
+    rows = rows.withColumns(
         {
-            "status": F.when(stored.isNotNull() | (F.col("_place") > 1), "duplicate").otherwise("accepted"),
-            "duplicate_of": F.coalesce(stored, F.when(F.col("_place") > 1, F.col("_first"))),
-            "duplicate_count": F.when(stored.isNull() & (F.col("_place") == 1), F.col("_copies")).otherwise(0),
+            "status": F.when(~F.col("_good"), "rejected").when(stored.isNotNull() | (F.col("_place") > 1), "duplicate").otherwise("accepted"),
+            "duplicate_of": F.when(F.col("_good"), F.coalesce(stored, F.when(F.col("_place") > 1, F.col("_first")))),
+            "duplicate_count": F.when(F.col("_good") & stored.isNull() & (F.col("_place") == 1), F.col("_copies")).otherwise(0),
         }
     )
-    bad = bad.withColumns({"status": F.lit("rejected"), "duplicate_of": F.lit(None).cast("string"), "duplicate_count": F.lit(0).cast("long")})
-    keep = [*normalized.columns, "status", "duplicate_of", "duplicate_count"]
-    return good.select(*keep).unionByName(bad.select(*keep))
+    return rows.select(*normalized.columns, "status", "duplicate_of", "duplicate_count")
 
 
 def batch_summary(rows: DataFrame) -> DataFrame:
