@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TREES, SAMPLE, SEED = 200, 256, 7
+#: Rows that a task scores at once.
+BLOCK_ROWS = 200_000
 #: behavioural features; the four counts enter as log1p
 COLUMNS = ["fails_user_10m", "fails_ip_10m", "users_per_ip_60m", "hosts_per_user_60m", "novel_source", "off_hours", "process_rarity", "novel_process", "success_after_failures"]
 
@@ -96,29 +98,51 @@ def fit(rows: DataFrame, columns: list[str] = COLUMNS, id_col: str = "pos", tree
     return chosen.groupBy("tree").applyInPandas(grow, "tree int, node int, feature int, cut double, left int, right int, path double")
 
 
-def score(rows: DataFrame, forest: DataFrame, columns: list[str] = COLUMNS, id_col: str = "pos", sample: int = SAMPLE) -> DataFrame:
-    """id and forest_raw (near 1: easily isolated) of each row. The forest has at most trees x 2 x sample nodes, so it is sent to all tasks."""
+def score(rows: DataFrame, forest: DataFrame, columns: list[str] = COLUMNS, id_col: str = "pos", sample: int = SAMPLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, the columns to keep and forest_raw (near 1: easily isolated) of each row. The forest has at most trees x 2 x sample nodes, so it is sent to all tasks.
+
+    Rows are taken BLOCK_ROWS at a time, and equal ones go down the trees once.
+    """
     table = forest.orderBy("tree", "node").toPandas()
     by_tree = [g[["feature", "cut", "left", "right", "path"]].to_numpy(float) for _, g in table.groupby("tree")]
     shared = rows.sparkSession.sparkContext.broadcast(by_tree)
     unit = float(path_bonus(min(sample, max(2, rows.count()))))
+    out = [id_col, *keep]
+
+    def scored(rows: pa.Table) -> pa.RecordBatch:
+        x = np.empty((rows.num_rows, len(columns)))
+        for i, c in enumerate(columns):
+            x[:, i] = rows.column(f"_{c}").to_numpy()
+        _, first, which = np.unique(x.view(f"V{8 * len(columns)}").ravel(), return_index=True, return_inverse=True)
+        raw = pa.array(2.0 ** (-paths(x[first])[which] / max(1, len(shared.value)) / unit))
+        return rows.select(out).append_column("forest_raw", raw).combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= BLOCK_ROWS:
+                yield scored(pa.Table.from_batches(held))
+                held, size = [], 0
+        if held:
+            yield scored(pa.Table.from_batches(held))
+
+    def paths(x: np.ndarray) -> np.ndarray:
+        x[:, :4] = np.log1p(x[:, :4])
+        total = np.zeros(len(x))
+        for nodes in shared.value:
+            at = np.zeros(len(x), int)
+            while True:
+                f = nodes[at, 0].astype(int)
+                inner = np.flatnonzero(f >= 0)
+                if not len(inner):
+                    break
+                left = x[inner, f[inner]] <= nodes[at[inner], 1]
+                at[inner] = np.where(left, nodes[at[inner], 2], nodes[at[inner], 3]).astype(int)
+            total += nodes[at, 4]
+        return total
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = pdf[columns].to_numpy(float)
-            x[:, :4] = np.log1p(x[:, :4])
-            total = np.zeros(len(x))
-            for nodes in shared.value:
-                at = np.zeros(len(x), int)
-                while True:
-                    f = nodes[at, 0].astype(int)
-                    inner = np.flatnonzero(f >= 0)
-                    if not len(inner):
-                        break
-                    left = x[inner, f[inner]] <= nodes[at[inner], 1]
-                    at[inner] = np.where(left, nodes[at[inner], 2], nodes[at[inner], 3]).astype(int)
-                total += nodes[at, 4]
-            yield pd.DataFrame({id_col: pdf[id_col], "forest_raw": 2.0 ** (-total / max(1, len(shared.value)) / unit)})
-
-    kind = rows.schema[id_col].dataType.simpleString()
-    return rows.select(id_col, *columns).mapInPandas(run, f"{id_col} {kind}, forest_raw double")
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in out)
+    return rows.select(*out, *[F.col(c).cast("double").alias(f"_{c}") for c in columns]).mapInArrow(run, f"{kinds}, forest_raw double")
