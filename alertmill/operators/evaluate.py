@@ -39,8 +39,13 @@ def clustering_metrics(pred: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def dominant_truth(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """incident_id, gt_id (the most frequent one; ties: the smallest id), share."""
-    cells = pred.join(truth, "alert_id").groupBy("incident_id", "gt_id").agg(F.count(F.lit(1)).alias("n"))
+    """dominant_of() alerts in both. pred: alert_id, incident_id; truth: alert_id, gt_id."""
+    return dominant_of(pred.join(truth, "alert_id"))
+
+
+def dominant_of(rows: DataFrame) -> DataFrame:
+    """incident_id, gt_id (the most frequent one; ties: the smallest id), share. rows: alerts with incident_id and gt_id."""
+    cells = rows.groupBy("incident_id", "gt_id").agg(F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(Window.partitionBy("incident_id").orderBy(F.desc("n"), "gt_id"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy("incident_id"))
     return cells.withColumns({"place": place, "share": share}).filter("place = 1").select("incident_id", "gt_id", "share")
